@@ -6,7 +6,7 @@ from importlib import import_module
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-MODULES = ("op4_secret_links", "op5_byte_bpe", "op7_host_rules")
+MODULES = ("op4_secret_links", "op5_byte_bpe", "op7_host_rules", "op8_simhash")
 for _m in MODULES:
     _module = import_module(f"roadloom.llm.{_m}")
     QUERIES.update(_module.QUERIES)
