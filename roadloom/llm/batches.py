@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Bounds of an Arrow batch that goes to a Python worker.
-ROWS, BYTES = 1000, 16 << 20
+ROWS, BYTES = 1000, 8 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
