@@ -21,11 +21,11 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BYTES}b")
 
 
-def add_columns(df: DataFrame, source: str, fields: list[T.StructField], make: Callable[[list], list[pa.Array]]) -> DataFrame:
+def add_columns(df: DataFrame, source: str, fields: list[T.StructField], make: Callable[..., list[pa.Array]], arrow: bool = False) -> DataFrame:
     """``df`` with ``fields``, which ``make`` computes batch by batch from the values of column ``source``.
 
     Columns of ``df`` with those names are replaced; all others pass through unchanged, whatever they are called.
-    ``make`` gets a list of Python values and returns an Arrow array for each field.
+    ``make`` gets a list of Python values (the Arrow array itself if ``arrow``) and returns an Arrow array per field.
     """
     new = {f.name.lower() for f in fields}
     names = [c for c in df.columns if c.lower() not in new or c == source]
@@ -37,7 +37,7 @@ def add_columns(df: DataFrame, source: str, fields: list[T.StructField], make: C
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = make(b.column(at).to_pylist())
+            made = make(b.column(at) if arrow else b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(i) for i in kept] + made, names=[f.name for f in schema.fields])
 
     return slim.mapInArrow(run, schema)
