@@ -132,18 +132,31 @@ def _bytes_of_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class _State(dict):
+    """By byte: (next state, change of the count). content: what the state stands for."""
+
+    __slots__ = ("content",)
+
+
+_NEVER = 1 << 30
+
+
 class MergeTransducer:
     """Counts the tokens of a piece's bytes. ``limit``: so many states at most are kept; then they are met anew."""
 
-    def __init__(self, merges: list, limit: int = 100_000) -> None:
+    def __init__(self, merges: list, limit: int = 150_000) -> None:
         letters = _bytes_of_letters()
         raw = lambda x: bytes(letters[c] for c in x)
         pairs = [tuple(map(raw, m.split(" ") if isinstance(m, str) else m)) for m in merges]
         self.ranks = {p: i for i, p in reversed([*enumerate(pairs)])}
-        tokens = [bytes([b]) for b in range(256)] + [a + b for a, b in pairs]
+        #: Of each merged token, its parts and rank.
+        self.parts = {a + b: (a, b, i) for i, (a, b) in enumerate(pairs)}
+        made = lambda t: self.parts[t][2] if len(t) > 1 else -1
+        #: Whether every token has one derivation, whose parts were merged before it.
+        self.plain = len(self.parts) == len(pairs) and all(len(x) == 1 or x in self.parts and made(x) < i for i, p in enumerate(pairs) for x in p)
         self.children: list[dict[int, int]] = [{}]
         self.token: list[bytes | None] = [None]
-        for t in tokens:
+        for t in [bytes([b]) for b in range(256)] + list(self.parts):
             node = 0
             for b in t:
                 if b not in self.children[node]:
@@ -154,68 +167,109 @@ class MergeTransducer:
             self.token[node] = t
         self.limit = limit
         self.pairs: dict[tuple, bool] = {}
+        self.edges: dict[tuple, tuple] = {}
         self._forget()
 
     def _forget(self) -> None:
-        self.states: dict[tuple, dict] = {}
-        self.content: dict[int, tuple] = {}
+        self.states: dict[tuple, _State] = {}
         self.start = self._state(((0, None, 0),))
 
-    def _state(self, content: tuple) -> dict:
-        if content not in self.states:
-            self.states[content] = state = {}
-            self.content[id(state)] = content
-        return self.states[content]
+    def _state(self, content: tuple) -> _State:
+        state = self.states.get(content)
+        if state is None:
+            self.states[content] = state = _State()
+            state.content = content
+        return state
 
     def merge(self, word: bytes) -> list[bytes]:
         """Plain BPE: the leftmost pair of the lowest rank is merged until none is left."""
         parts = [word[i : i + 1] for i in range(len(word))]
         while len(parts) > 1:
-            rank, i = min((self.ranks.get(p, 1 << 30), i) for i, p in enumerate(zip(parts, islice(parts, 1, None), strict=False)))
-            if rank == 1 << 30:
+            rank, i = min((self.ranks.get(p, _NEVER), i) for i, p in enumerate(zip(parts, islice(parts, 1, None), strict=False)))
+            if rank == _NEVER:
                 break
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
+    def _edge(self, token: bytes, side: int) -> tuple:
+        """From the byte at a token's left (0) or right (1) edge up to the token: each part there, with the rank of
+        the merge that takes it up."""
+        key = (token, side)
+        if key not in self.edges:
+            steps, taken = [(token, _NEVER)], token
+            while len(taken) > 1:
+                *both, rank = self.parts[taken]
+                taken = both[side]
+                steps.append((taken, rank))
+            self.edges[key] = tuple(reversed(steps))
+        return self.edges[key]
+
     def _fits(self, before: bytes | None, token: bytes) -> bool:
-        """Whether ``token`` can follow: the two, merged from their bytes, come out as they are."""
+        """Whether ``token`` can follow: the two, merged from their bytes, come out as they are.
+
+        Where parts are merged before what they make, it is enough to follow the parts that meet between the two:
+        none of their pairs may have a rank below that of the merge which takes one of them up (on the left, an
+        equal one comes first).
+        """
         key = (before, token)
-        if key not in self.pairs:
-            if len(self.pairs) > 4 * self.limit:
-                self.pairs.clear()
-            self.pairs[key] = self.merge((before or b"") + token) == ([token] if before is None else [before, token])
-        return self.pairs[key]
-
-    def _step(self, state: dict, byte: int) -> tuple[dict, int]:
-        content = self.content[id(state)]
+        known = self.pairs.get(key)
+        if known is not None:
+            return known
+        if len(self.pairs) > 4 * self.limit:
+            self.pairs.clear()
+        if before is None or not self.plain:
+            known = self.merge((before or b"") + token) == ([token] if before is None else [before, token])
+        else:
+            known, left, right, i, j, ranks = True, self._edge(before, 1), self._edge(token, 0), 0, 0, self.ranks
+            while True:
+                (a, up), (b, over) = left[i], right[j]
+                rank = ranks.get((a, b), _NEVER)
+                if rank < up and rank <= over and rank != _NEVER:
+                    known = False
+                    break
+                if up == over == _NEVER:
+                    break
+                if up <= over:
+                    i += 1
+                else:
+                    j += 1
+        self.pairs[key] = known
+        return known
+
+    def _step(self, state: _State, byte: int) -> tuple[_State, int]:
+        children, tokens = self.children, self.token
         token, change, longer = None, 0, []
-        for node, before, since in content:
-            to = self.children[node].get(byte)
+        for node, before, since in state.content:
+            to = children[node].get(byte)
             if to is None:
                 continue
-            t = self.token[to]
-            if token is None and t is not None and self._fits(before, t):
-                token, change = t, 1 - since
-            if self.children[to]:
+            if token is None:
+                t = tokens[to]
+                if t is not None and self._fits(before, t):
+                    token, change = t, 1 - since
+            if children[to]:
                 longer.append((to, before, since))
-        nxt = self._state((*((n, b, s + change) for n, b, s in longer), (0, token, 0)))
-        state[byte] = nxt, change
-        return state[byte]
+        content = tuple([(n, b, s + change) for n, b, s in longer] if change else longer) + ((0, token, 0),)
+        state[byte] = out = (self._state(content), change)
+        return out
 
     def count(self, word: bytes) -> int:
         if len(self.states) > self.limit:
             self._forget()
         state, total = self.start, 0
         for byte in word:
-            state, change = state.get(byte) or self._step(state, byte)
-            total += change
+            step = state.get(byte)
+            if step is None:
+                step = self._step(state, byte)
+            state = step[0]
+            total += step[1]
         return total
 
 
 class _Pieces(dict):
     """Counts by piece, for up to ``limit`` pieces at a time."""
 
-    def __init__(self, merges: MergeTransducer, fixed: dict[str, int], limit: int = 200_000) -> None:
+    def __init__(self, merges: MergeTransducer, fixed: dict[str, int], limit: int = 400_000) -> None:
         self.merges, self.fixed, self.limit = merges, fixed, limit
         self.update(fixed)
 
