@@ -230,7 +230,7 @@ def city_edges(s, d):
 
 
 def city_nodes(s, d):
-    g = city.extract_city(_segments(s, d), city.Boundary.of(RING), road_graph.DEFAULTS.updated(buffer_m=0.0, retain_percent=2.0))
+    g = city.extract_city(_segments(s, d), city.Boundary.of(RING), road_graph.DEFAULTS.updated(buffer_m=0.0, retain_percent=0.2))
     return g.nodes.select("node_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
@@ -350,7 +350,7 @@ ORACLES = {
     "in_polygon": f"WITH {_P}, ring(i, x1, y1, x2, y2) AS (VALUES {_RINGSQL}) SELECT seq, lat, lon FROM v WHERE {_INSIDE.format(lat='v.lat', lon='v.lon')}",
     "pair_distance": f"WITH {_P} SELECT seq, round({hav('lat', 'lon', '48.1::DOUBLE', '17.1::DOUBLE')}, 3) AS dist_m FROM v WHERE seq % 3 = 0",
     "city_edges": f"WITH {_CITY} SELECT src, dst, dist_m FROM edges",
-    "city_nodes": f"{_W}{_CITY}, {_LABELS}, {_SIZES} SELECT node_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM nodes JOIN cc ON id = node_id JOIN sz ON component = c WHERE size >= greatest(1, floor((SELECT count(*) FROM nodes) * 2.0 / 100)) OR (SELECT count(*) FROM sz) <= 1",
+    "city_nodes": f"{_W}{_CITY}, {_LABELS}, {_SIZES} SELECT node_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM nodes JOIN cc ON id = node_id JOIN sz ON component = c WHERE size >= greatest(1, floor((SELECT count(*) FROM nodes) * 0.2 / 100)) OR (SELECT count(*) FROM sz) <= 1",
     "graph_summaries": "SELECT c_custkey AS graph_id, c_name AS name, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS node_count, (SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey = c_custkey) AS edge_count, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 5 = 0) AS station_count FROM customer",
 }
 QUERIES = {

@@ -84,10 +84,7 @@ class GraphStore:
         """Each graph of the user with the numbers of its nodes, edges and stations."""
         parts = {}
         for t in ("nodes", "edges", "stations"):
-            if self._exists(t):
-                parts[t] = self.spark.read.parquet(f"{self.root}/{t}").select(F.col("graph_id").cast("long").alias("graph_id"))
-            else:
-                parts[t] = self.spark.createDataFrame([], "graph_id long")
+            parts[t] = self._read(t, "node_id string, src string, graph_id long").select("graph_id")
         return graph_summaries(self.headers(user_id).select("graph_id", "name", "created_at"), **parts)
 
 
