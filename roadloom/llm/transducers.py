@@ -219,6 +219,8 @@ class MergeTransducer:
             self.pairs.clear()
         if before is None or not self.plain:
             known = self.merge((before or b"") + token) == ([token] if before is None else [before, token])
+        elif not self._fits(None, token):
+            known = False
         else:
             known, left, right, i, j, ranks = True, self._edge(before, 1), self._edge(token, 0), 0, 0, self.ranks
             while True:
