@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.plans.staging import drop_staged, staged
+from roadloom.plans.staging import drop_staged, staged_with
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -20,8 +20,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _print(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _print() -> dict:
+    """What tells two tables of edges apart, as they are written."""
+    return {"n": F.count(F.lit(1)), "x": F.bit_xor(F.xxhash64("u", "v"))}
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -33,17 +34,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     of the size; each is written to the shared folder.
     """
     a, b = F.col(src), F.col(dst)
-    now = staged(
-        edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(),
-        "cc",
-    )
-    seen = _print(now)
+    first = edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    now, seen = staged_with(first.distinct(), "cc", **_print())
     for _ in range(max_rounds):
-        wide = staged(_large_star(now), "cc")
+        if not seen["n"]:
+            break
+        new, got = staged_with(_small_star(_large_star(now)), "cc", **_print())
         drop_staged(now)
-        now = staged(_small_star(wide), "cc")
-        drop_staged(wide)
-        last, seen = seen, _print(now)
+        now, last, seen = new, seen, got
         if seen == last:
             break
     else:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from roadloom.operators.reach import bounded_reach, nearest_station
 from roadloom.operators.road_graph import Graph
 from roadloom.plans.config import PlacementRequest
-from roadloom.plans.staging import drop_staged, staged
+from roadloom.plans.staging import drop_staged, staged, staged_with
 
 _MAX_ROUNDS = 10_000
 
@@ -76,14 +76,14 @@ def _by_gain(reach: DataFrame, nodes: DataFrame, k: int, only_open: bool, alpha:
         free = state.where(F.col("gain").isNull() & (F.col("n") < k if only_open else F.lit(True))).select("run", "node")
         gains = free.join(reach.select(F.col("src").alias("node"), F.col("dst").alias("spot")), "node").join(todo.select("run", F.col("node").alias("spot")), ["run", "spot"], "left_semi")
         gains = gains.groupBy("run", "node").agg(F.count("*").alias("g"))
-        scored = staged(gains.withColumn("low", -F.col("g") * (1 - alpha * draw)), "gains")
-        lead = staged(_leaders(scored, reach, todo, ["low"]).select("run", "node", "g"), "leaders")
-        if lead.isEmpty():
+        scored = gains.withColumn("low", -F.col("g") * (1 - alpha * draw))
+        lead, seen = staged_with(_leaders(scored, reach, todo, ["low"]).select("run", "node", "g"), "leaders", n=F.count(F.lit(1)))
+        if not seen["n"]:
             break
         more = _coverage(reach, lead).withColumnRenamed("n", "m")
         new = state.join(more, ["run", "node"], "left").join(lead, ["run", "node"], "left")
         new = staged(new.select("run", "node", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"), F.coalesce("gain", "g").alias("gain")), "state")
-        for old in (state, scored, lead):
+        for old in (state, lead):
             drop_staged(old)
         state = new
     return state.where(F.col("gain").isNotNull()).select("run", "node", "gain")
@@ -106,8 +106,9 @@ def random_runs(reach: DataFrame, nodes: DataFrame, k: int, iterations: int, see
         seen = near.where("t2 < turn").groupBy("run", "node").agg(F.count_if(F.col("s2").isNull()).alias("waits"), F.count_if("s2").alias("n"))
         rows = open_rows.join(seen, ["run", "node"], "left").select("run", "node", F.coalesce("waits", F.lit(0)).alias("waits"), F.coalesce("n", F.lit(0)).alias("n"))
         # Enough stations before it settle a node early; otherwise all before it must be decided.
-        decided = staged(rows.where((F.col("n") >= k) | (F.col("waits") == 0)).select("run", "node", (F.col("n") < k).alias("s")), "decided")
-        if decided.isEmpty():
+        ready = rows.where((F.col("n") >= k) | (F.col("waits") == 0)).select("run", "node", (F.col("n") < k).alias("s"))
+        decided, seen = staged_with(ready, "decided", n=F.count(F.lit(1)))
+        if not seen["n"]:
             break
         new = staged(state.join(decided, ["run", "node"], "left").select("run", "node", "turn", F.coalesce("station", "s").alias("station")), "state")
         drop_staged(state)

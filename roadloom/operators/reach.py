@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.operators.road_graph import Graph, adjacency
-from roadloom.plans.staging import drop_staged, staged
+from roadloom.plans.staging import drop_staged, staged, staged_with
 
 
 def relax(adj: DataFrame, sources: DataFrame, radius: float | None, max_rounds: int = 10_000) -> DataFrame:
@@ -24,10 +24,10 @@ def relax(adj: DataFrame, sources: DataFrame, radius: float | None, max_rounds:
         if radius is not None:
             step = step.where(F.col("dist_m") <= radius)
         both = best.unionByName(step).groupBy("src", "dst").agg(F.min(F.struct("dist_m", "turn")).alias("b"))
-        now = staged(both.select("src", "dst", "b.dist_m", "b.turn"), "reach")
+        now, seen = staged_with(both.select("src", "dst", "b.dist_m", "b.turn"), "reach", n=F.count_if(F.col("turn") == turn))
         drop_staged(best)
         best = now
-        if best.where(F.col("turn") == turn).isEmpty():
+        if not seen["n"]:
             return best.drop("turn")
     raise RuntimeError("distances did not settle")
 

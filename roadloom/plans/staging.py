@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +35,13 @@ def staged(df: DataFrame, name: str = "step") -> DataFrame:
     return out
 
 
+def staged_with(df: DataFrame, name: str = "step", **measures: Column) -> tuple[DataFrame, dict]:
+    """:func:`staged`, and aggregates of the rows that are observed while they are written."""
+    seen = Observation()
+    out = staged(df.observe(seen, *[c.alias(k) for k, c in measures.items()]), name)
+    return out, seen.get
+
+
 def drop_staged(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`staged`; nothing may read it afterwards."""
     path = getattr(df, "_staged_path", None)
