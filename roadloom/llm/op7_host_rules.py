@@ -64,7 +64,9 @@ def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
     rest = [*keep, *DIGEST[:4]]
     starts = rows.select(*rest, twice.alias(s)).select(*rest, F.sort_array(F.transform(F.col(s), lambda x: x["p"])).alias(s))
     covered = F.transform(F.col(s), lambda p, i: F.coalesce(F.least(F.get(F.col(s), i + 1) - p, F.lit(3)), F.lit(3)).cast("long"))
-    return starts.select(*rest, F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_repeat_words"))
+    repeats = F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_repeat_words")
+    # Made by a generator, the measures aren't computed anew in each condition that is pushed below.
+    return starts.select(*keep, F.inline(F.array(F.struct(*DIGEST[:4], repeats))))
 
 
 def base_failure(p: HostPolicy) -> Column:
