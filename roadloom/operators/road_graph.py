@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
@@ -9,7 +10,6 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from roadloom.functions.geo import grid_cell, haversine, hex_cell
 from roadloom.operators.trips import clean_trips, in_order, numbered
@@ -130,8 +130,20 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
 
 
-WIRE = T.StructType(
-    [
-        T.StructField("id", T.StringType()), T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType()), T.StructField("componentId", T.IntegerType()),
-    ]
-)
+def wire_nodes(nodes: DataFrame) -> DataFrame:
+    """One JSON document per node: id, lat, lon, componentId (0 unless ``nodes`` has component_id)."""
+    part = F.col("component_id") if "component_id" in nodes.columns else F.lit(0)
+    return nodes.select(F.to_json(F.struct(F.col("node_id").alias("id"), "lat", "lon", part.alias("componentId"))).alias("value"))
+
+
+def wire_edges(edges: DataFrame) -> DataFrame:
+    """One JSON document per edge: sourceId, targetId, distanceMeters."""
+    return edges.select(F.to_json(F.struct(F.col("src").alias("sourceId"), F.col("dst").alias("targetId"), F.col("dist_m").alias("distanceMeters"))).alias("value"))
+
+
+def graph_to_request(graph: Graph, most: int = 250_000) -> dict:
+    """The whole graph in its wire form, for graphs within ``most`` nodes and four times as many edges."""
+    nodes, edges = wire_nodes(graph.nodes).limit(most + 1).collect(), wire_edges(graph.edges).limit(4 * most + 1).collect()
+    if len(nodes) > most or len(edges) > 4 * most:
+        raise ValueError("the graph is too large for one document; write wire_nodes and wire_edges")
+    return {"nodes": [json.loads(r[0]) for r in nodes], "edges": [json.loads(r[0]) for r in edges]}

@@ -7,9 +7,15 @@ from dataclasses import dataclass, replace
 ALGORITHMS = ("GREEDY", "RANDOM", "GRASP")
 
 
-def _within(name: str, value: float, low: float, high: float) -> None:
-    if not low <= value <= high:
-        raise ValueError(f"{name} must be from {low} to {high}, not {value}")
+def _check(settings: object, bounds: dict[str, tuple[float, float]], *more: str) -> None:
+    """One error that names every setting out of its bounds, after ``more`` (messages, or empty)."""
+    wrong = [m for m in more if m]
+    for name, (low, high) in bounds.items():
+        value = getattr(settings, name)
+        if not low <= value <= high:
+            wrong.append(f"{name} must be from {low} to {high}, not {value}")
+    if wrong:
+        raise ValueError("; ".join(wrong))
 
 
 @dataclass(frozen=True)
@@ -27,19 +33,15 @@ class PipelineConfig:
     algorithm: str = "RANDOM"
 
     def __post_init__(self) -> None:
-        _within("max_speed_kmh", self.max_speed_kmh, 1, 1000)
-        _within("cell_resolution", self.cell_resolution, 0, 15)
-        _within("k", self.k, 1, 1_000_000)
-        _within("max_radius_m", self.max_radius_m, 1, 10_000_000)
-        _within("iterations", self.iterations, 1, 100_000)
-        _within("grasp_alpha", self.grasp_alpha, 0, 1)
-        _within("grasp_eval_budget", self.grasp_eval_budget, 1, 100_000_000)
-        _within("retain_percent", self.retain_percent, 0, 100)
-        _within("buffer_m", self.buffer_m, 0, 1_000_000)
-        if self.country not in (None, "sk", "cz", "at"):
-            raise ValueError("country must be sk, cz, at or None")
-        if self.algorithm not in ALGORITHMS:
-            raise ValueError(f"algorithm must be one of {ALGORITHMS}")
+        _check(
+            self,
+            {
+                "max_speed_kmh": (1, 1000), "cell_resolution": (0, 15), "k": (1, 1_000_000), "max_radius_m": (1, 10_000_000), "iterations": (1, 100_000),
+                "grasp_alpha": (0, 1), "grasp_eval_budget": (1, 100_000_000), "retain_percent": (0, 100), "buffer_m": (0, 1_000_000),
+            },
+            "" if self.country in (None, "sk", "cz", "at") else "country must be sk, cz, at or None",
+            "" if self.algorithm in ALGORITHMS else f"algorithm must be one of {ALGORITHMS}",
+        )
 
     def updated(self, **changes: object) -> PipelineConfig:
         return replace(self, **changes)
@@ -77,10 +79,8 @@ class PlacementRequest:
     seed: int = 0
 
     def __post_init__(self) -> None:
-        if self.algorithm not in ALGORITHMS:
-            raise ValueError(f"algorithm must be one of {ALGORITHMS}")
-        _within("k", self.k, 1, 1_000_000)
-        _within("max_radius_m", self.max_radius_m, 0, 10_000_000)
-        _within("iterations", self.iterations, 1, 100_000)
-        _within("grasp_alpha", self.grasp_alpha, 0, 1)
-        _within("grasp_eval_budget", self.grasp_eval_budget, 1, 100_000_000)
+        _check(
+            self,
+            {"k": (1, 1_000_000), "max_radius_m": (0, 10_000_000), "iterations": (1, 100_000), "grasp_alpha": (0, 1), "grasp_eval_budget": (1, 100_000_000)},
+            "" if self.algorithm in ALGORITHMS else f"algorithm must be one of {ALGORITHMS}",
+        )
