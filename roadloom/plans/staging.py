@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
+@functools.cache
+def _own_dir() -> str:
+    """A temporary folder of this process, deleted at its end."""
+    path = tempfile.mkdtemp(prefix="roadloom-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
@@ -19,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
-        return os.path.join(tempfile.gettempdir(), "roadloom-staging")
+        return _own_dir()
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staging"
 
 
