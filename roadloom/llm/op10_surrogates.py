@@ -7,6 +7,7 @@ takes the next attempt. Attempts above 0 are few; texts are rewritten where they
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import hmac
 import re
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadloom.llm.batches import add_columns, bound_batches
-from roadloom.plans.staging import drop_staged, staged
+from roadloom.plans.staging import staged
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _DIGIT_KINDS = [
@@ -201,21 +202,19 @@ def settle(known: DataFrame, policy: SurrogatePolicy = SurrogatePolicy()) -> Dat
     with the cores that are settled; of equal proposals, the smallest form keeps its own."""
     owner = lambda c: F.when(F.col("kind") == "name", F.substring_index(c, ":", -1)).otherwise(F.col(c))
     real = known.select("kind", owner("form").alias("core")).distinct()
-    done, todo = None, known.withColumn("attempt", F.lit(0))
+    parts, todo = [], known
     for turn in range(policy.rounds + 1):
-        tried = staged(_proposed(todo.withColumn("attempt", F.lit(turn if turn < policy.rounds else -1)), policy.key), "tried")
-        used = real if done is None else real.unionByName(done.select("kind", "core"))
-        first = tried.groupBy("kind", "core").agg(F.min("form").alias("form")).join(used.distinct(), ["kind", "core"], "left_anti")
-        good = tried.join(first, ["kind", "core", "form"], "left_semi") if turn < policy.rounds else tried
-        now = staged(good if done is None else done.unionByName(good), "settled")
-        todo = staged(tried.join(now.select("kind", "form"), ["kind", "form"], "left_anti").select("kind", "form"), "open")
-        if done is not None:
-            drop_staged(done)
-        drop_staged(tried)
-        done = now
+        last = turn == policy.rounds
+        tried = staged(_proposed(todo.withColumn("attempt", F.lit(-1 if last else turn)), policy.key), "tried")
+        used = real
+        for p in parts:
+            used = used.unionByName(p.select("kind", "core"))
+        first = tried.groupBy("kind", "core").agg(F.min("form").alias("form")).join(used, ["kind", "core"], "left_anti")
+        parts.append(tried if last else staged(tried.join(first, ["kind", "core", "form"], "left_semi"), "settled"))
+        todo = staged(tried.join(parts[-1].select("kind", "form"), ["kind", "form"], "left_anti").select("kind", "form"), "open")
         if todo.isEmpty():
             break
-    return done
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def replace_entities(docs: DataFrame, text: str = "text", policy: SurrogatePolicy = SurrogatePolicy()) -> DataFrame:
