@@ -99,6 +99,7 @@ def link_groups(bits: DataFrame, max_bits: int = 4, segments: int = 3) -> DataFr
     bits = staged(bits.select("b").distinct(), "bits")
     if max_bits >= 2:
         first = connected_components(_close_groups(bits)).withColumnRenamed("node", "b")
+        first = staged(first, "first")
         bits = staged(bits.join(first, "b", "left").select("b", F.coalesce("component", "b").alias("g")), "grouped")
     else:
         bits = bits.select("b", F.col("b").alias("g"))
@@ -114,7 +115,7 @@ def link_groups(bits: DataFrame, max_bits: int = 4, segments: int = 3) -> DataFr
     near = F.bit_count(F.col("b").bitwiseXOR(F.col("b2"))) <= max_bits
     hits = probes.join(tables, (probes["key"] == tables["key"]) & (F.col("g") != F.col("g2")) & near)
     links = hits.select(F.least("g", "g2").alias("src"), F.greatest("g", "g2").alias("dst")).distinct()
-    merged = connected_components(links)
+    merged = staged(connected_components(links), "merged")
     return bits.join(merged.withColumnRenamed("node", "g"), "g", "left").select("b", F.coalesce("component", "g").alias("group"))
 
 
@@ -129,9 +130,10 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     rows = with_fingerprints(docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), out="b", words=words)
     rows = staged(rows.drop("text"), "fingerprints")
     groups = staged(link_groups(rows, max_bits, segments), "groups")
-    nodes = rows.groupBy("b").agg(F.min("doc_id").alias("low")).join(groups, "b")
-    ids = nodes.groupBy("group").agg(F.min("low").alias("component_id"))
-    of = nodes.join(ids, "group").select("b", "component_id")
+    nodes = staged(rows.groupBy("b").agg(F.min("doc_id").alias("low")).join(groups, "b"), "nodes")
+    # Written apart, so that the join reads nothing but two exchanges and a large group can be split.
+    ids = staged(nodes.groupBy("group").agg(F.min("low").alias("component_id")), "ids")
+    of = staged(nodes.join(ids, "group").select("b", "component_id"), "of")
     return rows.join(of, "b").select("doc_id", F.lower(F.lpad(F.hex("b"), 16, "0")).alias("fingerprint"), "component_id")
 
 
