@@ -8,13 +8,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from roadloom.functions.geo import haversine
 from roadloom.operators.components import connected_components
 from roadloom.operators.reach import relax
 from roadloom.operators.road_graph import Graph, adjacency
+from roadloom.plans.order import ranked
 from roadloom.plans.staging import staged
 
 #: The largest graph, in nodes, whose eccentricities are exact and whose treewidth is bounded.
@@ -32,9 +32,9 @@ def components_of(graph: Graph) -> DataFrame:
 def ranked_components(labels: DataFrame) -> DataFrame:
     """(component, size, component_id): ids from 0, larger components first, then by smallest node.
 
-    One row per component is ordered, not one per node."""
+    Components are ordered by range, in as many tasks as that takes."""
     sizes = labels.groupBy("component").agg(F.count("*").alias("size"))
-    return sizes.withColumn("component_id", F.row_number().over(W.orderBy(F.desc("size"), "component")) - 1)
+    return ranked(sizes, F.desc("size"), "component", out="component_id").withColumn("component_id", F.col("component_id").cast("int"))
 
 
 def with_component_ids(graph: Graph) -> DataFrame:

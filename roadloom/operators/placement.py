@@ -11,12 +11,12 @@ import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from roadloom.operators.reach import bounded_reach, nearest_station
 from roadloom.operators.road_graph import Graph
 from roadloom.plans.config import PlacementRequest
+from roadloom.plans.order import ranked
 from roadloom.plans.staging import drop_staged, staged, staged_with
 
 _MAX_ROUNDS = 10_000
@@ -58,8 +58,12 @@ def greedy(reach: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     A node whose neighbours are all covered may stay open at the end, as candidates are open nodes only."""
     runs = nodes.select(F.lit(0).alias("run"), F.col("node_id").alias("node"))
     picked = _by_gain(reach, runs, k, only_open=True)
-    ranked = picked.withColumn("rank", F.row_number().over(W.orderBy(F.desc("gain"), "node")))
-    return ranked.select(F.col("node").alias("node_id"), "rank")
+    return _in_turn(picked, F.desc("gain"), "node")
+
+
+def _in_turn(rows: DataFrame, *order: object) -> DataFrame:
+    """(node_id, rank): ranks from 1 in ``order``."""
+    return ranked(rows, *order, out="at").select(F.col("node").alias("node_id"), (F.col("at") + 1).cast("int").alias("rank"))
 
 
 def _by_gain(reach: DataFrame, nodes: DataFrame, k: int, only_open: bool, alpha: float = 0.0, seed: int = 0) -> DataFrame:
@@ -197,12 +201,12 @@ def place(graph: Graph, request: PlacementRequest, reach: DataFrame | None = Non
     reach = staged(bounded_reach(graph, request.max_radius_m), "reach") if reach is None else reach
     r = request
     if r.algorithm == "GREEDY":
-        ranked = greedy(reach, nodes, r.k)
+        chosen = greedy(reach, nodes, r.k)
     else:
         runs = random_runs(reach, nodes, r.k, r.iterations, r.seed) if r.algorithm == "RANDOM" else grasp_runs(reach, nodes, r.k, r.iterations, r.grasp_alpha, r.seed)
         order = ["turn"] if r.algorithm == "RANDOM" else ["node"]
-        ranked = best_run(runs).withColumn("rank", F.row_number().over(W.orderBy(*order))).select(F.col("node").alias("node_id"), "rank")
-    stations = staged(ranked.join(nodes.select("node_id", "lat", "lon"), "node_id").select("node_id", "lat", "lon", "rank"), "stations")
+        chosen = _in_turn(best_run(runs), *order)
+    stations = staged(chosen.join(nodes.select("node_id", "lat", "lon"), "node_id").select("node_id", "lat", "lon", "rank"), "stations")
     coverage = nearest_station(nodes, reach, stations)
     return Placement(stations, coverage, stations.count(), total, int((time.monotonic() - began) * 1000))
 
