@@ -56,7 +56,9 @@ def dedup(s, d):
 
 
 def min_len(s, d):
-    rows = trips.valid_points(_points(s, d)).where("seq % 7 = 0 and trip_id % 3 = 0 or seq % 211 = 0")
+    """Trips of one user on one day; many have a single point."""
+    day = F.coalesce(F.dayofyear("ts"), F.lit(0))
+    rows = trips.valid_points(_points(s, d)).withColumn("trip_id", F.col("trip_id") * 1000 + day)
     return trips.long_trips(rows).select("seq", "trip_id")
 
 
@@ -206,7 +208,7 @@ def in_polygon(s, d):
 
 
 def pair_distance(s, d):
-    p = trips.valid_points(_points(s, d)).where("seq % 3 = 0")
+    p = trips.valid_points(_points(s, d))
     return p.select("seq", F.round(haversine(F.col("lat"), F.col("lon"), F.lit(48.1), F.lit(17.1)), 3).alias("dist_m"))
 
 
@@ -238,14 +240,12 @@ def graph_summaries(s, d):
     read = lambda t: s.read.parquet(f"{d}/{t}.parquet")
     heads = read("customer").select(F.col("c_custkey").alias("graph_id"), F.col("c_name").alias("name"))
     o = read("orders").select(F.col("o_custkey").alias("graph_id"), "o_orderkey")
-    return store.graph_summaries(heads, o, read("lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("graph_id"), o.where("o_orderkey % 5 = 0"))
+    return store.graph_summaries(heads, o, read("lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("graph_id"), read("orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("graph_id")))
 
 
 def map_match(s, d):
-    """Trips matched to the roads that the same trips make on a fine grid."""
-    points = _plain(s, d).where("trip_id % 4 = 1")
-    g = road_graph.merged_graph(road_graph.matched_points(points, None), road_graph.grid_encoder(FINE))
-    found = matching.RoadMatcher(Graph(staged(g.nodes, "nodes"), staged(g.edges, "edges")), reach_m=600.0).match(trips.numbered(points))
+    """All trips matched to the roads that they make on a coarse grid."""
+    found = matching.RoadMatcher(_graph(s, d, COARSE), reach_m=2500.0).match(trips.numbered(_plain(s, d)))
     return found.groupBy("trip_id").agg(F.count("*").alias("n_matched"))
 
 
@@ -324,7 +324,7 @@ ORACLES = {
     "speed_filter": f"{_W}{_P}, {_FOLD} SELECT seq, trip_id FROM f WHERE keep",
     "clean_trips": f"{_W}{_P}, {_FOLD}, kp AS (SELECT o.* FROM o JOIN f USING (seq) WHERE keep), d1 AS ({_FIRST.format(t='kp')}) SELECT seq, trip_id FROM ({_LONG.format(t='d1')})",
     "dedup": f"WITH {_P} SELECT seq, trip_id FROM ({_FIRST.format(t='p')})",
-    "min_len": f"WITH {_P}, z AS (SELECT * FROM v WHERE seq % 7 = 0 AND trip_id % 3 = 0 OR seq % 211 = 0) SELECT seq, trip_id FROM ({_LONG.format(t='z')})",
+    "min_len": f"WITH {_P}, z AS (SELECT * REPLACE ((trip_id * 1000 + coalesce(dayofyear(make_timestamp(us)), 0))::INT AS trip_id) FROM v) SELECT seq, trip_id FROM ({_LONG.format(t='z')})",
     "point_order": f"WITH {_PLAIN} SELECT seq, trip_id, pos FROM o",
     "traj_edges": f"WITH {_PLAIN}, n AS (SELECT *, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM o WINDOW w AS (PARTITION BY trip_id ORDER BY pos)) SELECT trip_id || '_' || pos AS src, trip_id || '_' || (pos + 1) AS dst, round({hav('lat', 'lon', 'lat2', 'lon2')}, 3) AS dist_m FROM n WHERE lat2 IS NOT NULL",
     "cell_nodes": f"WITH {_F} SELECT node_id, round(lat, 7) AS lat, round(lon, 7) AS lon, TRUE AS off_road, us AS first_us FROM nodes",
@@ -348,10 +348,10 @@ ORACLES = {
     "eccentricity_sampled": f"{_W}{_C}, fx AS (SELECT node_id FROM nodes WHERE right(node_id, 2) = '51'), {_dist('fx')} SELECT s AS node_id, round(max(d), 3) AS ecc FROM r GROUP BY s",
     "csv_parse": f"WITH {_P} SELECT seq, CASE WHEN seq % 13 = 0 THEN 1 ELSE trip_id END AS trip_id, lat, lon, us FROM p WHERE seq % 17 <> 0 AND seq % 19 <> 0",
     "in_polygon": f"WITH {_P}, ring(i, x1, y1, x2, y2) AS (VALUES {_RINGSQL}) SELECT seq, lat, lon FROM v WHERE {_INSIDE.format(lat='v.lat', lon='v.lon')}",
-    "pair_distance": f"WITH {_P} SELECT seq, round({hav('lat', 'lon', '48.1::DOUBLE', '17.1::DOUBLE')}, 3) AS dist_m FROM v WHERE seq % 3 = 0",
+    "pair_distance": f"WITH {_P} SELECT seq, round({hav('lat', 'lon', '48.1::DOUBLE', '17.1::DOUBLE')}, 3) AS dist_m FROM v",
     "city_edges": f"WITH {_CITY} SELECT src, dst, dist_m FROM edges",
     "city_nodes": f"{_W}{_CITY}, {_LABELS}, {_SIZES} SELECT node_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM nodes JOIN cc ON id = node_id JOIN sz ON component = c WHERE size >= greatest(1, floor((SELECT count(*) FROM nodes) * 0.2 / 100)) OR (SELECT count(*) FROM sz) <= 1",
-    "graph_summaries": "SELECT c_custkey AS graph_id, c_name AS name, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS node_count, (SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey = c_custkey) AS edge_count, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 5 = 0) AS station_count FROM customer",
+    "graph_summaries": "SELECT c_custkey AS graph_id, c_name AS name, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS node_count, (SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey = c_custkey) AS edge_count, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AS station_count FROM customer",
 }
 QUERIES = {
     f.__name__: f
