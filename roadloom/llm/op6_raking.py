@@ -6,6 +6,7 @@ language and topic. Each document is then sampled with its cell's calibrated pro
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,14 +16,18 @@ from roadloom.llm.text import words_of
 from roadloom.plans.staging import drop_staged, staged
 
 DIMS = ("source", "lang", "topic")
+_LOG = logging.getLogger(__name__)
 
 
 @dataclass(frozen=True)
 class MixPolicy:
     """rate: the share of all tokens to sample, on average. temperature: without a table of targets, a value's
     target is proportional to its tokens to this power. targets: by dimension, a table (value, share) whose shares
-    are scaled to sum to 1; values without a target get none. rounds: of raking. fill_rounds: of sharing out what
-    probabilities capped at 1 leave over. seed: of the draws. broadcast_cells: up to so many cells, which the driver
+    are scaled to sum to 1; values without a target get none. rounds: of raking, and of raking again beside cells
+    capped at 1. give_way: where the targets can't be met at ``rate``, sample less, so that they are met. by_scale:
+    share out what capped cells leave by one scalar instead, which loses the targets (the form that the SQL has), in
+    ``fill_rounds``. tolerance: the relative gap in a marginal above which ``give_way`` lowers the rate until no cell
+    is capped, and a warning is logged. seed: of the draws. broadcast_cells: up to so many cells, which the driver
     counts, they are broadcast; beyond it the join shuffles."""
 
     rate: float = 0.8
@@ -32,6 +37,9 @@ class MixPolicy:
     fill_rounds: int = 6
     seed: int = 42
     broadcast_cells: int = 100_000
+    give_way: bool = False
+    by_scale: bool = False
+    tolerance: float = 0.01
 
 
 def topic_of(text: Column) -> Column:
@@ -97,9 +105,60 @@ def rake(cells: DataFrame, policy: MixPolicy = MixPolicy()) -> tuple[DataFrame,
 
 
 def calibrate(fitted: DataFrame, policy: MixPolicy = MixPolicy()) -> DataFrame:
-    """Per cell, its sampling probability: proportional to its factor, at most 1, with a mean over all tokens of
-    ``policy.rate`` as far as cells with a factor allow. What capped cells leave goes to the others, in a few rounds
-    of one row of sums each."""
+    """Per cell, its sampling probability, at most 1, with a mean over all tokens of ``policy.rate`` as far as the
+    targets allow.
+
+    Cells capped at 1 are held, and the others are raked again to what is left of the marginals of ``fitted``. Each
+    value gets at most its target's part of the rate; with ``give_way``, exactly its part of a rate that all can meet.
+    """
+    if policy.by_scale:
+        return _by_scale(fitted, policy)
+    total = fitted.agg(F.sum("w")).first()[0] or 0.0
+    goals = {d: staged(fitted.groupBy(d).agg(F.sum("w").alias("has"), F.sum(F.col("w") * F.col("factor")).alias("goal")), f"left-{d}") for d in DIMS}
+    if not policy.give_way:
+        return _beside_capped(fitted, goals, float(total) * policy.rate, policy)
+    most = [goals[d].where("goal > 0").agg(F.min(F.col("has") / F.col("goal"))).first()[0] for d in DIMS]
+    out = staged(_beside_capped(fitted, goals, min([float(total) * policy.rate, *[m for m in most if m is not None]]), policy), "tried")
+    reached = marginals(fitted, out, {d: goals[d].select(d, "goal") for d in DIMS})
+    if largest_gap(reached) <= policy.tolerance:
+        return out
+    top = fitted.where("w > 0").agg(F.max("factor")).first()[0]
+    scale = min(float(total) * policy.rate, 1 / top if top else 0.0)
+    return fitted.select(*DIMS, F.least(F.col("factor") * F.lit(scale), F.lit(1.0)).alias("probability"))
+
+
+def _beside_capped(fitted: DataFrame, goals: dict, scale: float, policy: MixPolicy) -> DataFrame:
+    """Raking of min(1, factor * scale * the dimensions' new factors) to ``scale`` times the goals.
+
+    What a value's cells sum to is concave in its new factor, so of the two lower bounds of the factor sought (no cell
+    capped, or those that are so now) the larger one never passes it, and rounds come closer to it from below.
+    """
+    factors = {d: staged(goals[d].select(d, F.lit(1.0).alias(f"g_{d}")), "factor") for d in DIMS}
+    for _ in range(policy.rounds):
+        for d in DIMS:
+            rows = fitted
+            for o in DIMS:
+                rows = rows.join(factors[o], o)
+            one, two = (F.col(f"g_{o}") for o in DIMS if o != d)
+            x = F.col("factor") * F.lit(scale) * one * two
+            full = x * F.col(f"g_{d}") >= 1
+            sums = rows.groupBy(d).agg(
+                F.max(f"g_{d}").alias("old"), F.sum(F.col("w") * x).alias("all"), F.sum(F.when(full, F.col("w")).otherwise(0.0)).alias("full"), F.sum(F.when(full, 0.0).otherwise(F.col("w") * x)).alias("open")
+            ).join(goals[d], d)
+            goal = F.col("goal") * F.lit(scale)
+            held = F.when(F.col("open") > 0, (goal - F.col("full")) / F.col("open")).when(goal >= F.col("full") * (1 - 1e-9), F.col("old"))
+            new = staged(sums.select(d, F.when(F.col("all") > 0, F.greatest(goal / F.col("all"), held)).otherwise(F.col("old")).alias(f"g_{d}")), "factor")
+            drop_staged(factors[d])
+            factors[d] = new
+    for d in DIMS:
+        fitted = fitted.join(factors[d], d)
+    g = [F.col(f"g_{d}") for d in DIMS]
+    return fitted.select(*DIMS, F.least(F.col("factor") * F.lit(scale) * g[0] * g[1] * g[2], F.lit(1.0)).alias("probability"))
+
+
+def _by_scale(fitted: DataFrame, policy: MixPolicy) -> DataFrame:
+    """Proportional to the factor, at most 1. What capped cells leave goes to the others, in a few rounds of one row
+    of sums each."""
     total = fitted.agg(F.sum("w")).first()[0] or 0.0
     scale = float(total) * policy.rate
     for _ in range(policy.fill_rounds):
@@ -113,6 +172,27 @@ def calibrate(fitted: DataFrame, policy: MixPolicy = MixPolicy()) -> DataFrame:
     return fitted.select(*DIMS, F.least(F.col("factor") * F.lit(scale), F.lit(1.0)).alias("probability"))
 
 
+def marginals(cells: DataFrame, probabilities: DataFrame, goals: dict) -> DataFrame:
+    """(dimension, value, natural, goal, sampled): of each value, its share of all tokens, its goal, and its share of
+    the tokens that the probabilities sample on average."""
+    rows = cells.select(*DIMS, "w").join(probabilities, [*DIMS])
+    each = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in DIMS])).alias("x")
+    sums = rows.select(each, "w", (F.col("w") * F.col("probability")).alias("kept")).groupBy("x.dimension", "x.value").agg(F.sum("w").alias("w"), F.sum("kept").alias("kept"))
+    sums = staged(sums, "marginals")
+    total = sums.where(F.col("dimension") == DIMS[0]).agg(F.sum("w").alias("w"), F.sum("kept").alias("kept")).first()
+    goal = None
+    for d in DIMS:
+        part = goals[d].select(F.lit(d).alias("dimension"), F.col(d).alias("value"), "goal")
+        goal = part if goal is None else goal.unionByName(part)
+    share = lambda c: F.coalesce(F.col(c), F.lit(0.0)) / F.lit(float(total[c] or 1.0))
+    return sums.join(goal, ["dimension", "value"], "full").select("dimension", "value", share("w").alias("natural"), F.coalesce("goal", F.lit(0.0)).alias("goal"), share("kept").alias("sampled"))
+
+
+def largest_gap(reached: DataFrame) -> float:
+    """The largest relative gap between what is sampled and its goal."""
+    return reached.where("goal > 0").agg(F.max(F.abs(F.col("sampled") / F.col("goal") - 1))).first()[0] or 0.0
+
+
 def draw(key: Column, seed: int) -> Column:
     """A uniform number in [0, 1) from a document's key: 52 bits of an MD5 digest."""
     digest = F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(f":{seed}")))
@@ -120,11 +200,15 @@ def draw(key: Column, seed: int) -> Column:
 
 
 def cell_probabilities(measured: DataFrame, policy: MixPolicy = MixPolicy()) -> tuple[DataFrame, float]:
-    """(source, lang, topic, probability) of each cell, and the gap that raking left. A hot source is summed within
-    tasks before the shuffle."""
+    """(source, lang, topic, probability) of each cell, and the largest relative gap in a marginal of what they
+    sample, caps included. A hot source is summed within tasks before the shuffle."""
     cells = staged(measured.groupBy(*DIMS).agg(F.sum("n_tokens").cast("double").alias("w")), "cells")
-    fitted, gap = rake(cells, policy)
-    return staged(calibrate(staged(fitted, "fitted"), policy), "probabilities"), gap
+    fitted, _ = rake(cells, policy)
+    out = staged(calibrate(staged(fitted, "fitted"), policy), "probabilities")
+    gap = largest_gap(marginals(cells, out, {d: _goal(cells, d, policy) for d in DIMS}))
+    if gap > policy.tolerance:
+        _LOG.warning("raking: at the rate of %s, a marginal is off its goal by up to %.3f of it", policy.rate, gap)
+    return out, gap
 
 
 def sample_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: str | None = None, policy: MixPolicy = MixPolicy()) -> DataFrame:
@@ -157,7 +241,7 @@ def sample_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
 
 def op6_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return sample_plan(docs).withColumn("probability", F.round("probability", 9))
+    return sample_plan(docs, policy=MixPolicy(by_scale=True)).withColumn("probability", F.round("probability", 9))
 
 
 def oracle(p: MixPolicy = MixPolicy()) -> str:

@@ -138,6 +138,26 @@ def test_raking_meets_its_targets(spark):
     assert sum(r["w"] * r["probability"] for r in p) <= 0.3 * sum(r["w"] for r in p) + 1e-6
 
 
+def test_sampling_keeps_the_targets(spark):
+    rng = np.random.default_rng(34)
+    rows = [("=" + s, "=" + la, "=" + t, float(rng.integers(1, 100)) ** 2) for s in "abc" for la in "xy" for t in "pq"]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, n_tokens double")
+    goals = lambda p: {(d, v): x**p.temperature for d, at in zip(mix.DIMS, range(3), strict=True) for v, x in Counter({v: sum(r[3] for r in rows if r[at] == v) for v in {r[at] for r in rows}}).items()}
+    shares = {}
+    for name, policy in {"low": mix.MixPolicy(rate=0.4), "gives way": mix.MixPolicy(give_way=True)}.items():
+        prob, gap = mix.cell_probabilities(cells, policy)
+        p = {tuple(r[d] for d in mix.DIMS): r["probability"] for r in prob.collect()}
+        kept, goal = Counter(), goals(policy)
+        for *c, w in rows:
+            kept.update({(d, v): w * p[tuple(c)] for d, v in zip(mix.DIMS, c, strict=True)})
+        total, want = sum(w * p[tuple(c)] for *c, w in rows), {k: g / sum(x for o, x in goal.items() if o[0] == k[0]) for k, g in goal.items()}
+        off = {k: kept[k] / total / want[k] - 1 for k in want}
+        assert max(map(abs, off.values())) == pytest.approx(gap, abs=1e-6) and max(p.values()) <= 1
+        shares[name] = gap, total / sum(r[3] for r in rows), max(p.values())
+    assert shares["low"][0] < 0.01 and shares["low"][1] == pytest.approx(0.4, abs=1e-3) and shares["low"][2] == 1
+    assert shares["gives way"][0] < 0.01 and shares["gives way"][1] < 0.8
+
+
 def test_sampling_rows(odd, none):
     plan = mix.sample_plan(odd).collect()
     assert len(plan) == 9 and all(0 <= r["probability"] <= 1 for r in plan)
