@@ -1,11 +1,12 @@
-"""License scans: winnowed fingerprints of templates in an inverted index pick candidates, and banded alignment of
-word sequences reports how much of a template a text holds and where.
+"""License scans: winnowed fingerprints of templates in an inverted index, and single words of short ones, pick
+candidates, and banded alignment of word sequences reports how much of a template a text holds and where.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from bisect import bisect
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -42,13 +43,15 @@ _WORD = re.compile(r"[^\W_]+")
 class LicensePolicy:
     """k: words of a fingerprinted gram. window: grams of which winnowing keeps one, so any shared run of
     k + window - 1 words is found. band: how far an alignment may leave its diagonal, in words. min_coverage: the
-    least share of a template's words that must match. max_index: most fingerprints of all templates, checked."""
+    least share of a template's words that must match. short: templates of up to so many words are also found by
+    single words, whatever stands between them. max_index: most fingerprints of all templates, checked."""
 
     k: int = 4
     window: int = 2
     band: int = 6
     min_coverage: float = 0.8
     max_index: int = 1_000_000
+    short: int = 12
 
 
 def words_with_spans(text: str) -> tuple[list[str], list[tuple[int, int]]]:
@@ -76,23 +79,25 @@ def align(a: list[str], b: list[str], shift: int, band: int) -> tuple[int, int,
     """(matched words, first and last place in ``b`` that match, end exclusive) of the best alignment of template
     ``a`` with ``b`` in which a's word i meets b's words from i + shift - band to i + shift + band.
 
-    Words match or are skipped on either side; of alignments with as many matches, the one with the latest start.
+    Words match or are skipped on either side; of alignments with as many matches, the shortest in ``b``, the first of
+    equals.
     """
-    best: dict[int, tuple[int, int, int]] = {}
-    zero = (0, 0, 0)
+    best: dict[int, tuple[int, int]] = {}
+    zero, top = (0, 0), (0, 0, 0)
     for i, w in enumerate(a):
-        row: dict[int, tuple[int, int, int]] = {}
+        row: dict[int, tuple[int, int]] = {}
         left = zero
         for j in range(max(0, i + shift - band), min(len(b), i + shift + band + 1)):
-            up, diagonal = best.get(j, zero), best.get(j - 1, zero)
-            cell = max(up, left)
+            cell = max(best.get(j, zero), left)
             if b[j] == w:
-                n, start, _ = diagonal
-                cell = max(cell, (n + 1, start if n else -j, j + 1))
+                n, start = best.get(j - 1, zero)
+                met = (n + 1, start if n else j)
+                cell = max(cell, met)
+                top = max(top, (met[0], met[1] - j - 1, -met[1]))
             row[j] = left = cell
         best = row
-    n, start, end = max(best.values(), default=zero)
-    return n, -start, end
+    n, span, start = top
+    return n, -start, -start - span
 
 
 class TemplateIndex:
@@ -106,41 +111,84 @@ class TemplateIndex:
             self.templates.append((name, words))
             for gram, place in winnow(words, policy.k, policy.window):
                 self.index[gram].append((n, place))
-        if sum(map(len, self.index.values())) > policy.max_index:
+        self.anchors: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        #: By short template, the words that only its license has, where they are few: its name.
+        self.names: dict[int, set[str]] = {}
+        owners, uses = defaultdict(set), Counter()
+        for name, words in self.templates:
+            uses.update(words)
+            for w in words:
+                owners[w].add(name)
+        for n, (_, words) in enumerate(self.templates):
+            if len(words) <= policy.short:
+                self._anchor(n, words, [i for i, w in enumerate(words) if len(owners[w]) == 1], uses)
+        if sum(map(len, self.index.values())) + sum(map(len, self.anchors.values())) > policy.max_index:
             raise ValueError("the templates' index exceeds max_index")
         self.first = {g[0] for g in self.index}
         self.sizes = sorted({len(g) for g in self.index})
 
+    def _anchor(self, n: int, words: list[str], own: list[int], uses: Counter) -> None:
+        """Of more words than a match may lack, one is matched; so is each word of the name, as no other license may
+        pass for this one."""
+        rare = lambda i: (uses[words[i]], -len(words[i]), i)
+        if own and 3 * len(own) <= len(words):
+            self.names[n] = {words[i] for i in own}
+            one = words[min(own, key=rare)]
+            places = [i for i in own if words[i] == one]
+        else:
+            least = sum(k < self.policy.min_coverage * len(words) for k in range(len(words) + 1))
+            places = sorted(range(len(words)), key=rare)[: len(words) - least + 1]
+        for i in places:
+            self.anchors[words[i]].append((n, i))
+
+    def _search(self, n: int, words: list[str], low: int, high: int, shift: int, named: bool) -> list[tuple[int, int, int]]:
+        """(matched words, first and last word, end exclusive) of the template's matches within a window, in order."""
+        template, out = self.templates[n][1], []
+        if high - low < self.policy.min_coverage * len(template):
+            return out
+        matched, a, b = align(template, words[low:high], shift - low, self.policy.band)
+        if matched < self.policy.min_coverage * len(template):
+            return out
+        a, b = low + a, low + b
+        if not named or self.names.get(n, set()) <= set(words[a:b]):
+            out.append((matched, a, b))
+        return [*self._search(n, words, low, a, shift, named), *out, *self._search(n, words, b if out else a + 1, high, shift, named)]
+
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """(name, coverage, start, end) of each match, in code points, by start. Of matches that overlap, those with
         more matched words stay."""
         p = self.policy
         words, spans = words_with_spans(text)
         hits: dict[int, set[int]] = defaultdict(set)
+        grams: dict[int, set[int]] = defaultdict(set)
         for i, w in enumerate(words):
+            for n, place in self.anchors.get(w, ()):
+                hits[n].add(i - place)
             if w in self.first:
                 for size in self.sizes:
                     if i + size <= len(words):
                         for n, place in self.index.get(tuple(words[i : i + size]), ()):
                             hits[n].add(i - place)
+                            grams[n].add(i - place)
         found = []
         for n, shifts in hits.items():
             name, template = self.templates[n]
+            # Two copies can't start so near each other if they are long; short ones are looked for from each start.
+            near = p.band if p.min_coverage * len(template) > 3 * p.band else -1
             done = -(1 << 60)
             for s in sorted(shifts):
-                if s - done <= p.band:
+                if s - done <= near:
                     continue
-                low = max(0, s - p.band)
-                part = words[low : s + len(template) + p.band + 1]
-                matched, a, b = align(template, part, s - low, p.band)
-                if matched >= p.min_coverage * len(template):
+                low, high = max(0, s - p.band), min(len(words), s + len(template) + p.band + 1)
+                for matched, a, b in self._search(n, words, low, high, s, s not in grams[n]):
                     done = s
-                    found.append((matched, name, matched / len(template), spans[low + a][0], spans[low + b - 1][1]))
-        out: list[tuple[str, float, int, int]] = []
+                    found.append((matched, name, matched / len(template), spans[a][0], spans[b - 1][1]))
+        out: list[tuple[int, int, str, float]] = []
         for _, name, coverage, a, b in sorted(found, key=lambda x: (-x[0], -x[2], x[3], x[1])):
-            if all(b <= c or a >= d for _, _, c, d in out):
-                out.append((name, coverage, a, b))
-        return sorted(out, key=lambda x: (x[2], x[3]))
+            at = bisect(out, (a,))
+            if (at == 0 or out[at - 1][1] <= a) and (at == len(out) or b <= out[at][0]):
+                out.insert(at, (a, b, name, coverage))
+        return [(name, coverage, a, b) for a, b, name, coverage in out]
 
 
 _MATCH = T.StructType(

@@ -91,6 +91,22 @@ def test_templates_are_found(at):
         assert index.scan("x " + changed)[0][0] == name and half == (["Apache-2.0"] if name == "Apache-2.0" else [])
 
 
+def test_short_notices():
+    index = lic.TemplateIndex(lic.TEMPLATES, lic.LicensePolicy())
+    names = lambda t: [(n, round(c, 2)) for n, c, _, _ in index.scan(t)]
+    assert names("It is released under the terms of the MIT License, as is.") == [("MIT", 1.0)]
+    assert names("Released under an MIT License") == [("MIT", 0.8)]
+    assert names("Released, a, under b the c MIT d License") == [("MIT", 1.0)]
+    assert names("Released under the Foo License") == [] and names("MIT: released under the Foo License") == []
+    one = "Released under the MIT License."
+    for text, n in ((f"{one} {one}", 2), (f"{one} " * 50, 50), (f"{one} Released under an MIT License. {one}", 3)):
+        got = index.scan(text)
+        assert [x for x, *_ in got] == ["MIT"] * n and all(len(text[a:b].split()) == 5 for _, _, a, b in got)
+    [(_, _, a, b)] = index.scan(f"{one} See the other License")
+    assert (a, b) == (0, len(one) - 1)
+    assert names("Licensed under the Apache License, Version 2.0. " * 3) == [("Apache-2.0", 1.0)] * 3
+
+
 def test_license_rows(spark, odd, none, sf):
     assert lic.scan_licenses(none).count() == 0
     assert all(r["licenses"] == [] for r in lic.scan_licenses(odd.withColumnRenamed("lang", "licenses")).collect())
