@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import base64
-import hashlib
+import functools
 import re
 
 import numpy as np
@@ -19,14 +19,24 @@ from roadloom.llm.batches import add_columns
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: A text longer than this (characters) is cut at safe boundaries into parts of about this length.
 PART_CHARS = 1 << 16
-#: No match of the pattern spans the place between an ASCII letter or digit and a space or line feed, and what
-#: follows is matched the same wherever it begins: the pattern looks ahead only past white space.
-_SAFE = re.compile(r"(?<=[A-Za-z0-9])(?=[ \n])")
+#: White space as the library's expressions see it.
+_BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Letters and digits in any version of Unicode, and signs that are neither.
+_WORD, _SIGN = "A-Za-z0-9\u00c0-\u00d6\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3", r"!-/:-@\[-`{-~\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f"
+#: No match of the pattern spans the place before white space that follows something else, or between a letter or
+#: digit and a sign; and what follows is matched the same wherever it begins: the pattern looks ahead only past white
+#: space.
+_SAFE = re.compile(f"(?<=[^{_BLANK}])(?=[{_BLANK}])|(?<=[{_WORD}])(?=[{_SIGN}])")
+_WHOLE = r"[\s\S]+"
 _ENCODINGS: dict = {}
 
 
-def safe_parts(text: str, size: int = PART_CHARS) -> list[str]:
-    """``text`` cut into parts that encode to the same ids as the whole. A run without a safe place stays whole."""
+@functools.cache
+def _long_run(least: int) -> re.Pattern:
+    return re.compile(f"[{_BLANK}]{{{least},}}")
+
+
+def _cut(text: str, size: int) -> list[str]:
     parts, at = [], 0
     while len(text) - at > size:
         m = _SAFE.search(text, at + size)
@@ -38,17 +48,36 @@ def safe_parts(text: str, size: int = PART_CHARS) -> list[str]:
     return parts
 
 
+def safe_parts(text: str, size: int = PART_CHARS) -> list[tuple[str, bool]]:
+    """``text`` cut into parts that encode to the same ids as the whole; with each, whether it is one match.
+
+    A run of as much white space as a part is a part of its own, without its last character unless it ends the text:
+    the pattern takes it as one match, but its matcher backtracks over the run and fails on very long ones. Any other
+    run without a safe place is a single match too and stays whole.
+    """
+    if len(text) <= size:
+        return [(text, False)]
+    parts, at = [], 0
+    for m in _long_run(max(2, min(size, PART_CHARS))).finditer(text):
+        end = m.end() - (m.end() < len(text))
+        parts += [(p, False) for p in _cut(text[at : m.start()], size) if p]
+        parts.append((text[m.start() : end], True))
+        at = end
+    return parts + [(p, False) for p in _cut(text[at:], size) if p]
+
+
 def _encoding(ranks: bytes, pattern: str) -> tiktoken.Encoding:
     """The encoding of a rank file's content, kept by each Python worker."""
-    key = (hashlib.sha256(ranks).digest(), pattern)
+    key = (ranks, pattern)
     if key not in _ENCODINGS:
         table = {base64.b64decode(a): int(b) for a, b in (x.split() for x in ranks.splitlines() if x.strip())}
         _ENCODINGS[key] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
     return _ENCODINGS[key]
 
 
-def encode_text(enc: tiktoken.Encoding, text: str | None, size: int = PART_CHARS) -> np.ndarray:
-    parts = [enc.encode_to_numpy(p, disallowed_special=()) for p in safe_parts(text or "", size)]
+def encode_text(ranks: bytes, pattern: str, text: str | None, size: int = PART_CHARS) -> np.ndarray:
+    """The ids of the whole text. A part that is one match is encoded by the same ranks without a split."""
+    parts = [_encoding(ranks, _WHOLE if one else pattern).encode_to_numpy(p, disallowed_special=()) for p, one in safe_parts(text or "", size)]
     return np.concatenate(parts).astype("<u4") if len(parts) > 1 else parts[0].astype("<u4")
 
 
@@ -56,22 +85,26 @@ def encode(docs: DataFrame, text: str = "text", ranks: str | None = None, patter
     """``docs`` with n_tokens (long) and ids (binary: little-endian unsigned 32-bit integers).
 
     ``ranks`` is the path of a rank file on the driver, which goes to the tasks by broadcast (under 2 MB).
-    Null text: no ids. Empty table: no rows. Repeated rows each get their ids. Columns of ``docs`` named n_tokens or
-    ids are replaced; all others stay. One row is in memory at a time, beside its Arrow batch.
+    ``pattern`` must be of the family that :func:`safe_parts` explains. Null text: no ids. Empty table: no rows.
+    Repeated rows each get their ids. Texts of any length, whatever runs they hold, are encoded whole. Columns of
+    ``docs`` named n_tokens or ids are replaced; all others stay. One row is in memory at a time, beside its Arrow
+    batch.
     """
     with open(ranks or public_tokenizers.path(RANKS), "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def make(texts: list) -> list[pa.Array]:
-        enc = _encoding(shared.value, pattern)
-        ids = [encode_text(enc, t, part_chars) for t in texts]
+        ids = [encode_text(shared.value, pattern, t, part_chars) for t in texts]
         return [pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())]
 
     return add_columns(docs, text, [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())], make)
 
 
 def decode(encoded: DataFrame, ids: str = "ids", out: str = "decoded", ranks: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """``encoded`` with ``out`` (binary): the raw bytes of the tokens, which need not be valid UTF-8. Null ids: null."""
+    """``encoded`` with ``out`` (binary): the raw bytes of the tokens, which need not be valid UTF-8.
+
+    Null ids: null. No ids: no bytes. An id that the ranks don't hold fails. Empty table: no rows. A column named
+    ``out`` is replaced, all others stay."""
     with open(ranks or public_tokenizers.path(RANKS), "rb") as f:
         shared = encoded.sparkSession.sparkContext.broadcast(f.read())
 

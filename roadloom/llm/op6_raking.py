@@ -1,7 +1,9 @@
 """Mixing by iterative proportional fitting, with DataFrame functions only.
 
 Token weights of the cells (source, language, topic) are raked until their sums meet the target share of each source,
-language and topic. Each document is then sampled with its cell's calibrated probability.
+language and topic. Probabilities are capped at 1 within the fit: capped cells are held and the others raked again,
+and where targets need more tokens than there are, the rate gives way. Each document is then sampled with its cell's
+probability.
 """
 
 from __future__ import annotations
@@ -12,40 +14,48 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm.text import words_of
+from roadloom.llm.text import fresh, words_of
 from roadloom.plans.staging import drop_staged, staged
 
 DIMS = ("source", "lang", "topic")
+#: By topic, what marks a text of it.
+MARKS = {"license": ("icense", "opyright", "arrant"), "contact": ("@", "hone:", "Tel."), "table": (" | ", "\t")}
 _LOG = logging.getLogger(__name__)
 
 
 @dataclass(frozen=True)
 class MixPolicy:
-    """rate: the share of all tokens to sample, on average. temperature: without a table of targets, a value's
-    target is proportional to its tokens to this power. targets: by dimension, a table (value, share) whose shares
-    are scaled to sum to 1; values without a target get none. rounds: of raking, and of raking again beside cells
-    capped at 1. give_way: where the targets can't be met at ``rate``, sample less, so that they are met. by_scale:
-    share out what capped cells leave by one scalar instead, which loses the targets (the form that the SQL has), in
-    ``fill_rounds``. tolerance: the relative gap in a marginal above which ``give_way`` lowers the rate until no cell
-    is capped, and a warning is logged. seed: of the draws. broadcast_cells: up to so many cells, which the driver
-    counts, they are broadcast; beyond it the join shuffles."""
+    """rate: the share of all tokens to sample, on average, at most. temperature: without a table of targets, a
+    value's target is proportional to its tokens to this power. targets: by dimension, a table (value, share) whose
+    shares are scaled to sum to 1; values without a target get none, and targets of absent values can't be met.
+    rounds: of raking. give_way: where the targets can't be met at ``rate``, sample less, so that they are met;
+    otherwise values with too few tokens are taken whole as far as the others allow, and fall short. headroom: the
+    share of the greatest rate at which each value alone has tokens enough that is tried first; then 0.8 of it, and
+    so on. tolerance: the greatest relative gap between what is sampled and a target; beyond it a warning is logged,
+    or with ``strict`` an error raised. marks: by topic, the strings that mark it. seed: of the draws.
+    broadcast_cells: up to so many cells, which the driver counts, they are broadcast to the documents; beyond it the
+    join shuffles."""
 
     rate: float = 0.8
     temperature: float = 0.7
     targets: dict = field(default_factory=dict)
     rounds: int = 8
-    fill_rounds: int = 6
     seed: int = 42
     broadcast_cells: int = 100_000
-    give_way: bool = False
-    by_scale: bool = False
+    give_way: bool = True
+    headroom: float = 0.999
     tolerance: float = 0.01
+    strict: bool = False
+    marks: dict = field(default_factory=lambda: MARKS)
 
 
-def topic_of(text: Column) -> Column:
-    """A coarse topic from what a text holds: licence, contact, table or prose."""
+def topic_of(text: Column, marks: dict = MARKS) -> Column:
+    """The topic with the most marks in a text, the first of equals; prose without any."""
     t = F.coalesce(text, F.lit(""))
-    return F.when(t.contains("icense"), "license").when(t.contains("@"), "contact").when(t.contains(" | "), "table").otherwise("prose")
+    count = lambda m: F.floor((F.octet_length(t) - F.octet_length(F.replace(t, F.lit(m), F.lit("")))) / len(m.encode()))
+    scores = [F.struct(sum((count(m) for m in ms[1:]), count(ms[0])).alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("topic")) for i, (name, ms) in enumerate(marks.items())]
+    best = F.greatest(*scores, F.struct(F.lit(0).cast("long").alias("n"), F.lit(1).alias("i"), F.lit("prose").alias("topic")))
+    return best["topic"]
 
 
 def _value(c: Column) -> Column:
@@ -53,129 +63,92 @@ def _value(c: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null"))
 
 
-def measure(docs: DataFrame, key: str, text: str, source: str, lang: str, topic: str | None = None) -> DataFrame:
-    """Per document: doc_id, source, lang and topic as keys, n_tokens (words; null text: none)."""
+def measure(docs: DataFrame, key: str, text: str, source: str, lang: str, topic: str | None = None, tokens: str | None = None, policy: MixPolicy = MixPolicy()) -> DataFrame:
+    """Per document: doc_id, source, lang and topic as keys, n_tokens: column ``tokens`` (null: none) or, without
+    one, the words of the text (null: none)."""
     t = F.col(f"`{text}`")
+    size = F.coalesce(F.col(f"`{tokens}`"), F.lit(0)) if tokens else F.size(words_of(F.coalesce(t, F.lit(""))))
     return docs.select(
         F.col(f"`{key}`").alias("doc_id"),
         _value(F.col(f"`{source}`")).alias("source"),
         _value(F.col(f"`{lang}`")).alias("lang"),
-        _value(F.col(f"`{topic}`") if topic else topic_of(t)).alias("topic"),
-        F.size(words_of(F.coalesce(t, F.lit("")))).cast("long").alias("n_tokens"),
+        _value(F.col(f"`{topic}`") if topic else topic_of(t, policy.marks)).alias("topic"),
+        size.cast("long").alias("n_tokens"),
     )
 
 
 def _goal(cells: DataFrame, dim: str, policy: MixPolicy) -> DataFrame:
+    """(value, has, goal): of each value, its tokens and its share of the target."""
+    has = cells.groupBy(dim).agg(F.sum("w").alias("has"))
     if dim in policy.targets:
         own = policy.targets[dim].select(_value(F.col("value")).alias(dim), F.col("share").cast("double").alias("share"))
+        own = has.join(own, dim, "full").select(dim, F.coalesce("has", F.lit(0.0)).alias("has"), F.coalesce("share", F.lit(0.0)).alias("share"))
     else:
-        own = cells.groupBy(dim).agg(F.pow(F.sum("w"), F.lit(policy.temperature)).alias("share"))
+        own = has.withColumn("share", F.pow("has", F.lit(policy.temperature)))
+    own = staged(own, "shares")
     total = own.agg(F.sum("share")).first()[0] or 1.0
-    return staged(own.select(dim, (F.col("share") / F.lit(float(total))).alias("goal")), f"goal-{dim}")
+    return own.select(dim, "has", (F.col("share") / F.lit(float(total))).alias("goal"))
 
 
-def rake(cells: DataFrame, policy: MixPolicy = MixPolicy()) -> tuple[DataFrame, float]:
-    """``cells`` (source, lang, topic, w) with ``factor``, and the largest relative gap left in a marginal.
+def rake(cells: DataFrame, goals: dict, rate: float, policy: MixPolicy = MixPolicy()) -> DataFrame:
+    """``cells`` (source, lang, topic, w) with ``probability``: min(1, rate * the dimensions' factors), such that the
+    tokens sampled of each value come to ``rate`` times its goal, of all tokens.
 
-    factor * w sums to the goals of every dimension. Only the dimensions' factors are carried from step to step, as
-    written tables: a step joins the cells with the two other dimensions' factors and sums them per value, so it
-    shuffles partial sums, and plans stay as long in the last round as in the first.
-    """
-    goals = {d: _goal(cells, d, policy) for d in DIMS}
-    factors = {d: staged(goals[d].select(d, F.lit(1.0).alias(f"f_{d}")), "factor") for d in DIMS}
-    gap = 0.0
-    for turn in range(policy.rounds):
-        for d in DIMS:
-            rows = cells
-            for o in DIMS:
-                if o != d:
-                    rows = rows.join(factors[o], o)
-            mass = F.sum(F.col("w") * F.col([f"f_{o}" for o in DIMS if o != d][0]) * F.col([f"f_{o}" for o in DIMS if o != d][1]))
-            sums = rows.groupBy(d).agg(mass.alias("m")).join(goals[d], d)
-            new = staged(sums.select(d, F.when(F.col("m") > 0, F.col("goal") / F.col("m")).otherwise(0.0).alias(f"f_{d}")), "factor")
-            if turn == policy.rounds - 1:
-                moved = new.withColumnRenamed(f"f_{d}", "new").join(factors[d], d).where("new > 0")
-                gap = max(gap, moved.agg(F.max(F.abs(F.col(f"f_{d}") / F.col("new") - 1))).first()[0] or 0.0)
-            drop_staged(factors[d])
-            factors[d] = new
-    for d in DIMS:
-        cells = cells.join(factors[d], d, "left")
-    f = [F.coalesce(F.col(f"f_{d}"), F.lit(0.0)) for d in DIMS]
-    return cells.select(*DIMS, "w", (f[0] * f[1] * f[2]).alias("factor")), gap
-
-
-def calibrate(fitted: DataFrame, policy: MixPolicy = MixPolicy()) -> DataFrame:
-    """Per cell, its sampling probability, at most 1, with a mean over all tokens of ``policy.rate`` as far as the
-    targets allow.
-
-    Cells capped at 1 are held, and the others are raked again to what is left of the marginals of ``fitted``. Each
-    value gets at most its target's part of the rate; with ``give_way``, exactly its part of a rate that all can meet.
-    """
-    if policy.by_scale:
-        return _by_scale(fitted, policy)
-    total = fitted.agg(F.sum("w")).first()[0] or 0.0
-    goals = {d: staged(fitted.groupBy(d).agg(F.sum("w").alias("has"), F.sum(F.col("w") * F.col("factor")).alias("goal")), f"left-{d}") for d in DIMS}
-    if not policy.give_way:
-        return _beside_capped(fitted, goals, float(total) * policy.rate, policy)
-    most = [goals[d].where("goal > 0").agg(F.min(F.col("has") / F.col("goal"))).first()[0] for d in DIMS]
-    out = staged(_beside_capped(fitted, goals, min([float(total) * policy.rate, *[m for m in most if m is not None]]), policy), "tried")
-    reached = marginals(fitted, out, {d: goals[d].select(d, "goal") for d in DIMS})
-    if largest_gap(reached) <= policy.tolerance:
-        return out
-    top = fitted.where("w > 0").agg(F.max("factor")).first()[0]
-    scale = min(float(total) * policy.rate, 1 / top if top else 0.0)
-    return fitted.select(*DIMS, F.least(F.col("factor") * F.lit(scale), F.lit(1.0)).alias("probability"))
-
-
-def _beside_capped(fitted: DataFrame, goals: dict, scale: float, policy: MixPolicy) -> DataFrame:
-    """Raking of min(1, factor * scale * the dimensions' new factors) to ``scale`` times the goals.
-
-    What a value's cells sum to is concave in its new factor, so of the two lower bounds of the factor sought (no cell
-    capped, or those that are so now) the larger one never passes it, and rounds come closer to it from below.
+    Cells at 1 are held while the others are raked. What a value's cells sum to is concave in its factor, so of the
+    two lower bounds of the factor sought (no cell capped, or those that are so now) the larger one never passes it,
+    and rounds come closer to it from below. Only the dimensions' factors are carried from step to step, as written
+    tables: a step joins the cells with them and sums per value, so it shuffles partial sums, and plans stay as long
+    in the last round as in the first.
     """
+    total = float(cells.agg(F.sum("w")).first()[0] or 0.0)
     factors = {d: staged(goals[d].select(d, F.lit(1.0).alias(f"g_{d}")), "factor") for d in DIMS}
     for _ in range(policy.rounds):
         for d in DIMS:
-            rows = fitted
+            rows = cells
             for o in DIMS:
                 rows = rows.join(factors[o], o)
             one, two = (F.col(f"g_{o}") for o in DIMS if o != d)
-            x = F.col("factor") * F.lit(scale) * one * two
+            x = F.lit(rate) * one * two
             full = x * F.col(f"g_{d}") >= 1
             sums = rows.groupBy(d).agg(
                 F.max(f"g_{d}").alias("old"), F.sum(F.col("w") * x).alias("all"), F.sum(F.when(full, F.col("w")).otherwise(0.0)).alias("full"), F.sum(F.when(full, 0.0).otherwise(F.col("w") * x)).alias("open")
             ).join(goals[d], d)
-            goal = F.col("goal") * F.lit(scale)
+            goal = F.col("goal") * F.lit(rate * total)
             held = F.when(F.col("open") > 0, (goal - F.col("full")) / F.col("open")).when(goal >= F.col("full") * (1 - 1e-9), F.col("old"))
             new = staged(sums.select(d, F.when(F.col("all") > 0, F.greatest(goal / F.col("all"), held)).otherwise(F.col("old")).alias(f"g_{d}")), "factor")
             drop_staged(factors[d])
             factors[d] = new
     for d in DIMS:
-        fitted = fitted.join(factors[d], d)
+        cells = cells.join(factors[d], d)
     g = [F.col(f"g_{d}") for d in DIMS]
-    return fitted.select(*DIMS, F.least(F.col("factor") * F.lit(scale) * g[0] * g[1] * g[2], F.lit(1.0)).alias("probability"))
-
-
-def _by_scale(fitted: DataFrame, policy: MixPolicy) -> DataFrame:
-    """Proportional to the factor, at most 1. What capped cells leave goes to the others, in a few rounds of one row
-    of sums each."""
-    total = fitted.agg(F.sum("w")).first()[0] or 0.0
-    scale = float(total) * policy.rate
-    for _ in range(policy.fill_rounds):
-        full = F.col("factor") * F.lit(scale) >= 1
-        s = fitted.agg(
-            F.sum(F.when(full, F.col("w")).otherwise(0.0)).alias("full"), F.sum(F.when(full, 0.0).otherwise(F.col("w") * F.col("factor"))).alias("open")
-        ).first()
-        if not s["open"]:
-            break
-        scale = (total * policy.rate - s["full"]) / s["open"]
-    return fitted.select(*DIMS, F.least(F.col("factor") * F.lit(scale), F.lit(1.0)).alias("probability"))
-
-
-def marginals(cells: DataFrame, probabilities: DataFrame, goals: dict) -> DataFrame:
+    return cells.select(*DIMS, "w", F.least(F.lit(rate) * g[0] * g[1] * g[2], F.lit(1.0)).alias("probability"))
+
+
+def calibrate(cells: DataFrame, policy: MixPolicy = MixPolicy()) -> tuple[DataFrame, float]:
+    """:func:`rake` at the greatest rate up to the policy's at which the targets are met, and the largest relative gap
+    that is left in a marginal.
+
+    With ``give_way`` the rate falls to what every value of every dimension can give, and further until the gap is
+    within the tolerance or no cell is capped. Otherwise the rate stays, and values with too few tokens fall short.
+    """
+    goals = {d: _goal(cells, d, policy) for d in DIMS}
+    total = float(cells.agg(F.sum("w")).first()[0] or 0.0)
+    rate = policy.rate
+    if policy.give_way and total:
+        most = [goals[d].where("goal > 0 and has > 0").agg(F.min(F.col("has") / F.col("goal"))).first()[0] for d in DIMS]
+        rate = min([rate, *[policy.headroom * m / total for m in most if m is not None]])
+    while True:
+        out = staged(rake(cells, goals, rate, policy), "probabilities")
+        gap = largest_gap(marginals(out, goals))
+        if gap <= policy.tolerance or not policy.give_way or not out.where("probability >= 1").limit(1).count():
+            return out, gap
+        drop_staged(out)
+        rate *= 0.8
+
+
+def marginals(rows: DataFrame, goals: dict) -> DataFrame:
     """(dimension, value, natural, goal, sampled): of each value, its share of all tokens, its goal, and its share of
-    the tokens that the probabilities sample on average."""
-    rows = cells.select(*DIMS, "w").join(probabilities, [*DIMS])
+    the tokens that the cells' probabilities sample on average."""
     each = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in DIMS])).alias("x")
     sums = rows.select(each, "w", (F.col("w") * F.col("probability")).alias("kept")).groupBy("x.dimension", "x.value").agg(F.sum("w").alias("w"), F.sum("kept").alias("kept"))
     sums = staged(sums, "marginals")
@@ -203,21 +176,24 @@ def cell_probabilities(measured: DataFrame, policy: MixPolicy = MixPolicy()) ->
     """(source, lang, topic, probability) of each cell, and the largest relative gap in a marginal of what they
     sample, caps included. A hot source is summed within tasks before the shuffle."""
     cells = staged(measured.groupBy(*DIMS).agg(F.sum("n_tokens").cast("double").alias("w")), "cells")
-    fitted, _ = rake(cells, policy)
-    out = staged(calibrate(staged(fitted, "fitted"), policy), "probabilities")
-    gap = largest_gap(marginals(cells, out, {d: _goal(cells, d, policy) for d in DIMS}))
+    out, gap = calibrate(cells, policy)
     if gap > policy.tolerance:
-        _LOG.warning("raking: at the rate of %s, a marginal is off its goal by up to %.3f of it", policy.rate, gap)
-    return out, gap
+        told = f"at the rate of {policy.rate}, a marginal is off its goal by up to {gap:.3f} of it"
+        if policy.strict:
+            raise ValueError(told)
+        _LOG.warning("raking: %s", told)
+    return out.drop("w"), gap
 
 
-def sample_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: str | None = None, policy: MixPolicy = MixPolicy()) -> DataFrame:
+def sample_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: str | None = None, tokens: str | None = None, policy: MixPolicy = MixPolicy()) -> DataFrame:
     """Per document: doc_id, n_tokens, topic, probability and sampled, without the text.
 
-    Null source, language or topic: a value of its own. Null or empty text: no tokens, the probability of its cell.
-    Null key: one draw for all such rows; repeated keys are drawn alike. Empty table: no rows.
+    ``topic``: a column of topics; without one, :func:`topic_of`. ``tokens``: a column of token counts; without one,
+    words. Null source, language or topic: a value of its own. Null or empty text: no words, the probability of its
+    cell. Null key: one draw for all such rows; repeated keys are drawn alike. Empty table: no rows. Other columns
+    are dropped, whatever their names.
     """
-    rows = staged(measure(docs, key, text, source, lang, topic), "measures")
+    rows = staged(measure(docs, key, text, source, lang, topic, tokens, policy), "measures")
     cells, _ = cell_probabilities(rows, policy)
     if cells.count() <= policy.broadcast_cells:
         cells = F.broadcast(cells)
@@ -227,57 +203,58 @@ def sample_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     )
 
 
-def sample_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: str | None = None, policy: MixPolicy = MixPolicy()) -> DataFrame:
-    """The sampled rows of ``docs`` with all their columns; the texts stay where they are while cells are raked."""
-    cells, _ = cell_probabilities(measure(docs, key, text, source, lang, topic), policy)
-    side = cells.select(*[F.col(d).alias(f"_mix_{d}") for d in DIMS], F.col("probability").alias("_mix_p"))
+def sample_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: str | None = None, tokens: str | None = None, policy: MixPolicy = MixPolicy()) -> DataFrame:
+    """The rows of ``docs`` that :func:`sample_plan` samples, with all their columns, whatever their names; the texts
+    stay where they are while cells are raked. Nulls, empty texts, repeated rows and empty tables are as there."""
+    cells, _ = cell_probabilities(measure(docs, key, text, source, lang, topic, tokens, policy), policy)
+    *names, p = fresh(docs, *DIMS, "probability")
+    side = cells.select(*[F.col(d).alias(n) for d, n in zip(DIMS, names, strict=True)], F.col("probability").alias(p))
     if cells.count() <= policy.broadcast_cells:
         side = F.broadcast(side)
     t = F.col(f"`{text}`")
-    own = (_value(F.col(f"`{source}`")), _value(F.col(f"`{lang}`")), _value(F.col(f"`{topic}`") if topic else topic_of(t)))
-    on = (own[0] == F.col("_mix_source")) & (own[1] == F.col("_mix_lang")) & (own[2] == F.col("_mix_topic"))
-    return docs.join(side, on).where(draw(F.col(f"`{key}`"), policy.seed) < F.col("_mix_p")).drop("_mix_source", "_mix_lang", "_mix_topic", "_mix_p")
+    own = (_value(F.col(f"`{source}`")), _value(F.col(f"`{lang}`")), _value(F.col(f"`{topic}`") if topic else topic_of(t, policy.marks)))
+    on = (own[0] == side[names[0]]) & (own[1] == side[names[1]]) & (own[2] == side[names[2]])
+    return docs.join(side, on).where(draw(F.col(f"`{key}`"), policy.seed) < F.col(p)).drop(*names, p)
 
 
 def op6_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return sample_plan(docs, policy=MixPolicy(by_scale=True)).withColumn("probability", F.round("probability", 9))
+    return sample_plan(docs).withColumn("probability", F.round("probability", 9))
 
 
 def oracle(p: MixPolicy = MixPolicy()) -> str:
+    """The same fit in SQL, at the first rate that is tried."""
+    count = lambda m: f"(strlen(t) - strlen(replace(t, '{m}', ''))) // {len(m.encode())}".replace("\t", "' || chr(9) || '")
+    scores = [" + ".join(count(m) for m in ms) for ms in p.marks.values()]
+    names = list(p.marks)
+    topic = "CASE " + " ".join(f"WHEN s{i} > 0 AND s{i} = greatest({', '.join(f's{j}' for j in range(len(names)))}) THEN '{n}'" for i, n in enumerate(names)) + " ELSE 'prose' END"
     steps = [
-        """d AS MATERIALIZED (SELECT doc_id, coalesce('=' || source, 'null') AS source, coalesce('=' || lang, 'null') AS lang,
-  '=' || CASE WHEN contains(coalesce(text, ''), 'icense') THEN 'license' WHEN contains(coalesce(text, ''), '@') THEN 'contact'
-    WHEN contains(coalesce(text, ''), ' | ') THEN 'table' ELSE 'prose' END AS topic,
-  len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM documents)""",
+        f"""t AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+k AS (SELECT *, {", ".join(f"{s} AS s{i}" for i, s in enumerate(scores))} FROM t),
+d AS MATERIALIZED (SELECT doc_id, coalesce('=' || source, 'null') AS source, coalesce('=' || lang, 'null') AS lang, '=' || {topic} AS topic,
+  len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM k)""",
         "c AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS w FROM d GROUP BY ALL)",
     ]
+    by = lambda of: " ".join(f"JOIN f_{d}_{of[d]} {n} USING ({d})" for d, n in zip(DIMS, "xyz", strict=True))
     for x in DIMS:
-        steps.append(f"g_{x} AS MATERIALIZED (SELECT {x}, pow(sum(w), {p.temperature}) / sum(pow(sum(w), {p.temperature})) OVER () AS goal FROM c GROUP BY {x})")
+        steps.append(f"g_{x} AS MATERIALIZED (SELECT {x}, sum(w) AS has, pow(sum(w), {p.temperature}) / sum(pow(sum(w), {p.temperature})) OVER () AS goal FROM c GROUP BY {x})")
         steps.append(f"f_{x}_0 AS MATERIALIZED (SELECT {x}, 1.0::DOUBLE AS f FROM g_{x})")
+    least = ", ".join(f"(SELECT {p.headroom}::DOUBLE * min(has / goal) FROM g_{x} WHERE goal > 0) / sum(w)" for x in DIMS)
+    steps.append(f"s AS MATERIALIZED (SELECT least({p.rate}::DOUBLE, {least}) AS rate, sum(w) AS total FROM c)")
     at = dict.fromkeys(DIMS, 0)
     for _ in range(p.rounds):
-        for x in DIMS:
-            a, b = (o for o in DIMS if o != x)
+        for n, x in zip("xyz", DIMS, strict=True):
+            one, two = (f"{m}.f" for m in "xyz" if m != n)
             steps.append(
-                f"f_{x}_{at[x] + 1} AS MATERIALIZED (SELECT {x}, CASE WHEN m > 0 THEN goal / m ELSE 0 END AS f FROM "
-                f"(SELECT c.{x}, sum(w * a.f * b.f) AS m FROM c JOIN f_{a}_{at[a]} a USING ({a}) JOIN f_{b}_{at[b]} b USING ({b}) GROUP BY c.{x}) JOIN g_{x} USING ({x}))"
+                f"f_{x}_{at[x] + 1} AS MATERIALIZED (SELECT {x}, CASE WHEN al > 0 THEN greatest(goal * scale / al, CASE WHEN op > 0 THEN (goal * scale - fu) / op WHEN goal * scale >= fu * (1 - 1e-9) THEN old END) ELSE old END AS f FROM "
+                f"(SELECT {x}, any_value(scale) AS scale, max(old) AS old, sum(w * v) AS al, sum(CASE WHEN v * old >= 1 THEN w ELSE 0 END) AS fu, sum(CASE WHEN v * old >= 1 THEN 0 ELSE w * v END) AS op FROM "
+                f"(SELECT c.{x}, w, rate * total AS scale, {n}.f AS old, rate * {one} * {two} AS v FROM c {by(at)}, s) GROUP BY {x}) JOIN g_{x} USING ({x}))"
             )
             at[x] += 1
-    steps.append(
-        "r AS MATERIALIZED (SELECT c.*, x.f * y.f * z.f AS factor FROM c "
-        + " ".join(f"JOIN f_{d}_{at[d]} {n} USING ({d})" for d, n in zip(DIMS, "xyz", strict=True)) + ")"
-    )
-    steps.append(f"s_0 AS MATERIALIZED (SELECT sum(w) AS total, sum(w) * {p.rate} AS scale FROM c)")
-    for i in range(p.fill_rounds):
-        steps.append(
-            f"s_{i + 1} AS MATERIALIZED (SELECT any_value(total) AS total, CASE WHEN sum(CASE WHEN factor * scale >= 1 THEN 0 ELSE w * factor END) > 0 THEN "
-            f"(any_value(total) * {p.rate} - sum(CASE WHEN factor * scale >= 1 THEN w ELSE 0 END)) / sum(CASE WHEN factor * scale >= 1 THEN 0 ELSE w * factor END) ELSE any_value(scale) END AS scale FROM r, s_{i})"
-        )
+    steps.append(f"q AS (SELECT source, lang, topic, least(rate * x.f * y.f * z.f, 1.0) AS p FROM c {by(at)}, s)")
     return (
-        "WITH " + ",\n".join(steps) + f"\nSELECT doc_id, n_tokens, substr(topic, 2) AS topic, round(least(factor * scale, 1.0), 9) AS probability, "
-        f"('0x' || substr(md5(doc_id::VARCHAR || ':{p.seed}'), 1, 13))::BIGINT::DOUBLE / {float(1 << 52)!r} < least(factor * scale, 1.0) AS sampled "
-        f"FROM d JOIN r USING (source, lang, topic), s_{p.fill_rounds}"
+        "WITH " + ",\n".join(steps) + f"\nSELECT doc_id, n_tokens, substr(topic, 2) AS topic, round(p, 9) AS probability, "
+        f"('0x' || substr(md5(doc_id::VARCHAR || ':{p.seed}'), 1, 13))::BIGINT::DOUBLE / {float(1 << 52)!r} < p AS sampled FROM d JOIN q USING (source, lang, topic)"
     )
 
 

@@ -2,6 +2,7 @@
 
 Each document is measured and held against the rules in one pass over the texts. Failures are summed by host, the
 hosts' rates are shrunk towards a beta prior fitted to all hosts, and each host's verdict goes back to its documents.
+A document is kept if it passes the base rule and its host isn't rejected; the other rules speak through the hosts.
 """
 
 from __future__ import annotations
@@ -16,14 +17,18 @@ from roadloom.plans.staging import staged
 
 SYMBOLS = "#*$%&|<>"
 DIGEST = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+VERDICT = ("host_rate", "host_low", "host_rejected", "prior_a", "prior_b")
 
 
 @dataclass(frozen=True)
 class HostPolicy:
     """min_words, max_repeat_percent: the base rule. max_symbols_per_word, max_dup_lines_per_word, word length:
-    what else counts as a failure of a document. max_host_rate: a host whose shrunk rate of failures is above it is
-    rejected with all its documents. broadcast_hosts: up to so many rejected hosts, which the driver counts, they
-    are broadcast; beyond it the join shuffles."""
+    what else counts as a failure of a document. max_host_rate, max_ratio: a host is rejected, with all its documents,
+    when the lower end of its posterior rate lies above ``max_host_rate`` or above ``max_ratio`` times the prior's
+    mean, whichever is lower. z: standard deviations of the posterior from its mean to that end; it spares small hosts
+    that failed by chance. min_weight, max_weight: bounds of the prior's weight in documents; the upper one also
+    counts where hosts differ no more than chance lets them. broadcast_hosts: up to so many rejected hosts, which
+    the driver counts, they are broadcast; beyond it the join shuffles."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -32,9 +37,18 @@ class HostPolicy:
     min_word_chars: float = 1.5
     max_word_chars: float = 40.0
     max_host_rate: float = 0.5
+    max_ratio: float = 2.0
+    z: float = 1.645
+    min_weight: float = 1.0
+    max_weight: float = 1000.0
     broadcast_hosts: int = 100_000
 
 
+def domain_of(url: Column) -> Column:
+    """The host of a URL in lower case, without ``www.``; null where there is none."""
+    return F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")
+
+
 def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with the five measures of :data:`DIGEST` (long); a null text counts as empty.
 
@@ -87,62 +101,65 @@ def rule_failure(p: HostPolicy) -> Column:
 
 
 def host_verdicts(measured: DataFrame, host: str, policy: HostPolicy = HostPolicy()) -> DataFrame:
-    """One row per host (null is a host): host, n_docs, n_failed, host_rate, host_rejected.
+    """One row per host (null is a host): host, n_docs, n_failed, host_rate, host_low, host_rejected, prior_a, prior_b.
 
     host_rate = (n_failed + a) / (n_docs + a + b), where the beta prior (a, b) has the documents' mean rate and,
-    by the method of moments, the spread of the hosts' rates beyond chance. Partial sums leave each task before
-    the shuffle, so a host with a third of all rows costs no more than another. The prior is one row of sums.
+    by the method of moments, the spread of the hosts' rates beyond chance; host_low is its posterior's lower end.
+    Partial sums leave each task before the shuffle, so a host with a third of all rows costs no more than another.
+    The prior is one row of sums. Empty table: no rows.
     """
-    hosts = measured.groupBy(F.col(f"`{host}`").alias("host")).agg(
-        F.count("*").alias("n_docs"), F.sum(rule_failure(policy).cast("long")).alias("n_failed")
-    )
+    failed = F.col("failed") if "failed" in measured.columns else rule_failure(policy)
+    hosts = measured.groupBy(F.col(f"`{host}`").alias("host")).agg(F.count("*").alias("n_docs"), F.sum(failed.cast("long")).alias("n_failed"))
     hosts = staged(hosts, "hosts")
     n, f = F.col("n_docs"), F.col("n_failed")
     s = hosts.agg(
         F.count("*").alias("h"), F.sum(n).alias("n"), F.sum(f).alias("f"), F.sum(F.pow(n.cast("double"), F.lit(2.0))).alias("nn"),
         F.sum(F.pow(f.cast("double"), F.lit(2.0)) / n).alias("ffn"),
     ).first()
-    a, b = beta_prior(s["h"], s["n"] or 0, s["f"] or 0, s["nn"] or 0.0, s["ffn"] or 0.0)
+    a, b = beta_prior(s["h"], s["n"] or 0, s["f"] or 0, s["nn"] or 0.0, s["ffn"] or 0.0, policy)
     rate = (f + F.lit(a)) / (n + F.lit(a + b))
-    return hosts.select("host", "n_docs", "n_failed", rate.alias("host_rate"), (rate > policy.max_host_rate).alias("host_rejected"))
+    low = rate - policy.z * F.sqrt(rate * (1 - rate) / (n + F.lit(a + b + 1)))
+    rejected = low > min(policy.max_host_rate, policy.max_ratio * a / (a + b))
+    return hosts.select("host", "n_docs", "n_failed", rate.alias("host_rate"), low.alias("host_low"), rejected.alias("host_rejected"), F.lit(a).alias("prior_a"), F.lit(b).alias("prior_b"))
 
 
-def beta_prior(hosts: int, n: int, f: int, nn: float, ffn: float) -> tuple[float, float]:
+def beta_prior(hosts: int, n: int, f: int, nn: float, ffn: float, policy: HostPolicy = HostPolicy()) -> tuple[float, float]:
     """The prior's parameters from sums over hosts of 1, n, f, n*n and f*f/n (f failures of n documents).
 
-    With fewer than two hosts, no spread beyond chance or a mean of 0 or 1, the prior has a weight of 1000.
+    With fewer than two hosts, no spread beyond chance or a mean of 0 or 1, the prior has the policy's greatest weight.
     """
     if n == 0:
         return 1.0, 1.0
     mean = min(max(f / n, 1e-6), 1 - 1e-6)
-    weight = 1000.0
+    weight = policy.max_weight
     spread = n - nn / n
     if hosts > 1 and spread > 0 and 0 < f < n:
         # Weighted variance of the hosts' rates less what binomial chance adds to it.
         between = (ffn - f * f / n - (hosts - 1) * mean * (1 - mean)) / spread
         if between > 0:
-            weight = min(max(mean * (1 - mean) / between - 1, 1.0), 1000.0)
+            weight = min(max(mean * (1 - mean) / between - 1, policy.min_weight), policy.max_weight)
     return mean * weight, (1 - mean) * weight
 
 
 def with_verdicts(measured: DataFrame, host: str, policy: HostPolicy = HostPolicy()) -> DataFrame:
-    """``measured`` with base_failed, host_rate, host_rejected and kept.
+    """``measured`` with base_failed, host_rate, host_low, host_rejected, prior_a, prior_b and kept.
 
-    kept: no rule failed and the host isn't rejected. The verdicts of hosts are broadcast when their count is
+    kept: the base rule passed and the host isn't rejected. The verdicts of hosts are broadcast when their count is
     within ``policy.broadcast_hosts``; otherwise the join shuffles, and adaptive execution splits a hot host.
     """
     verdicts = staged(host_verdicts(measured, host, policy), "verdicts")
-    h, own = fresh(measured, "_host", "_own")
-    side = verdicts.select(F.col("host").alias(h), "host_rate", "host_rejected")
+    [h] = fresh(measured, "_host")
+    side = verdicts.select(F.col("host").alias(h), *VERDICT)
     if verdicts.count() <= policy.broadcast_hosts:
         side = F.broadcast(side)
-    out = measured.select("*", base_failure(policy).alias("base_failed"), rule_failure(policy).alias(own))
+    out = measured.select("*", base_failure(policy).alias("base_failed"))
     out = out.join(side, F.col(f"`{host}`").eqNullSafe(F.col(h)), "left")
-    return out.withColumn("kept", ~F.col(own) & ~F.col("host_rejected")).drop(h, own)
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected")).drop(h)
 
 
 def host_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", policy: HostPolicy = HostPolicy()) -> DataFrame:
-    """Per document: its key, the measures, base_failed, host_rate, host_rejected and kept, without the text.
+    """Per document: its key, the measures, base_failed, host_rate, host_low, host_rejected, prior_a, prior_b and
+    kept, without the text.
 
     Null text: empty, so it fails. Null host: the documents without a host form one. Repeated rows and keys: each
     row is judged. Empty table: no rows. Other columns are dropped, whatever their names.
@@ -153,24 +170,21 @@ def host_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", host:
 
 
 def keep_quality(docs: DataFrame, text: str = "text", host: str = "source", policy: HostPolicy = HostPolicy()) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns.
+    """The rows of ``docs`` that are kept, with all their columns, whatever their names.
 
-    The texts stay where they are: they are measured twice, for the hosts' sums and then beside the verdicts.
+    Texts are measured once: the rows are written with their failures, those that fail the base rule without their
+    columns, hosts are judged from that table's narrow columns, and the rows of hosts that aren't rejected are read
+    back. Null text: empty, so the row goes. Null host: the rows without a host form one. Repeated rows are judged
+    alike. Empty table: no rows.
     """
-    m = fresh(docs, *DIGEST, "host_rate", "host_rejected", "base_failed", "kept")
-    clash = [c for c, f in zip((*DIGEST, "host_rate", "host_rejected", "base_failed", "kept"), m, strict=True) if c != f]
-    bare = docs.select(*[F.col(f"`{c}`").alias(f"_kept_{c}") for c in docs.columns]) if clash else docs
-    t, h = (f"_kept_{text}", f"_kept_{host}") if clash else (text, host)
-    narrow = bare.select(F.col(f"`{h}`").alias("host"), F.col(f"`{t}`").alias("text"))
-    verdicts = host_verdicts(with_measures(narrow).drop("text"), "host", policy)
-    bad = staged(verdicts.where("host_rejected").select("host"), "bad-hosts")
-    [b] = fresh(bare, "_bad")
-    side = bad.select(F.col("host").alias(b))
-    if bad.count() <= policy.broadcast_hosts:
-        side = F.broadcast(side)
-    out = with_measures(bare, t).where(~rule_failure(policy))
-    out = out.join(side, F.col(f"`{h}`").eqNullSafe(F.col(b)), "left_anti")
-    return out.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(bare.columns, docs.columns, strict=True)])
+    d, t, h, base, failed = "row", "text", "host", "base_failed", "failed"
+    bare = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias(d), F.col(f"`{host}`").alias(h), F.col(f"`{text}`").alias(t))
+    rows = with_measures(bare).select(h, F.when(~base_failure(policy), F.col(d)).alias(d), base_failure(policy).alias(base), rule_failure(policy).alias(failed))
+    rows = staged(rows, "judged")
+    bad = staged(host_verdicts(rows, h, policy).where("host_rejected").select(F.col("host").alias("bad")), "bad-hosts")
+    side = F.broadcast(bad) if bad.count() <= policy.broadcast_hosts else bad
+    out = rows.where(~F.col(base)).join(side, F.col(h).eqNullSafe(F.col("bad")), "left_anti")
+    return out.select(*[F.col(f"{d}.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,9 +212,10 @@ h AS (SELECT source, count(*)::DOUBLE AS n, sum(failed::INT)::DOUBLE AS f FROM f
 s AS (SELECT count(*) AS h, sum(n) AS n, sum(f) AS f, sum(n * n) AS nn, sum(f * f / n) AS ffn FROM h),
 v AS (SELECT *, least(greatest(f / n, 1e-6), 1 - 1e-6) AS mean, n - nn / n AS spread FROM s),
 x AS (SELECT *, CASE WHEN h > 1 AND spread > 0 AND f > 0 AND f < n THEN (ffn - f * f / n - (h - 1) * mean * (1 - mean)) / spread ELSE 0 END AS between_hosts FROM v),
-z AS (SELECT mean, CASE WHEN between_hosts > 0 THEN least(greatest(mean * (1 - mean) / between_hosts - 1, 1), 1000) ELSE 1000 END AS weight FROM x),
-q AS (SELECT source, (f + mean * weight) / (n + weight) > {_P.max_host_rate} AS bad FROM h, z)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT failed AND NOT bad AS kept
+z AS (SELECT mean, CASE WHEN between_hosts > 0 THEN least(greatest(mean * (1 - mean) / between_hosts - 1, {_P.min_weight}::DOUBLE), {_P.max_weight}::DOUBLE) ELSE {_P.max_weight}::DOUBLE END AS weight FROM x),
+o AS (SELECT source, n, weight, mean, (f + mean * weight) / (n + weight) AS rate FROM h, z),
+q AS (SELECT source, rate - {_P.z}::DOUBLE * sqrt(rate * (1 - rate) / (n + weight + 1)) > least({_P.max_host_rate}::DOUBLE, {_P.max_ratio}::DOUBLE * mean) AS bad FROM o)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept
 FROM f JOIN q ON f.source IS NOT DISTINCT FROM q.source
 """
 QUERIES = {"op7_host_rules": op7_host_rules}

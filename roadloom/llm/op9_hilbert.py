@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadloom.llm.text import fresh
 from roadloom.plans.order import ranked
 from roadloom.plans.staging import staged
 
@@ -57,12 +58,13 @@ def curve_index(dims: list[Column], bits: int = BITS) -> Column:
 def ordinal(df: DataFrame, column: str, bits: int, out: str, broadcast_values: int = 100_000) -> DataFrame:
     """``df`` with ``column`` quantised to ``bits`` by the order of its distinct values; null: before all others."""
     values = df.select(column).distinct()
-    known = ranked(values, F.asc_nulls_first(column), out="_rank")
+    rank, value = fresh(df, "_rank", "_value")
+    known = ranked(values, F.asc_nulls_first(column), out=rank)
     n = known.count()
-    side = known.select(F.col(column).alias("_value"), F.floor(F.col("_rank") * (1 << bits) / max(n, 1)).cast("int").alias(out))
+    side = known.select(F.col(column).alias(value), F.floor(F.col(rank) * (1 << bits) / max(n, 1)).cast("int").alias(out))
     if n <= broadcast_values:
         side = F.broadcast(side)
-    return df.join(side, F.col(column).eqNullSafe(F.col("_value"))).drop("_value")
+    return df.join(side, F.col(column).eqNullSafe(F.col(value))).drop(value)
 
 
 def shard_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", shards: int = 16, bits: int = BITS) -> DataFrame:
@@ -91,11 +93,22 @@ def shard_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     return out.select("doc_id", "source", "lang", "size", "text_crc32", "shard", slot.alias("slot"), "curve")
 
 
-def write_shards(docs: DataFrame, plan: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Write ``docs`` as one folder of Parquet per shard, sorted along the curve. Keys must be unique and not null."""
-    side = plan.select(F.col("doc_id").alias("_doc"), "shard", F.col("slot").alias("_slot"))
-    rows = docs.join(side, F.col(f"`{key}`") == F.col("_doc")).drop("_doc")
-    rows.repartitionByRange("shard", "_slot").sortWithinPartitions("shard", "_slot").drop("_slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, plan: DataFrame, path: str, key: str = "doc_id", shard: str = "shard") -> None:
+    """Write ``docs`` as one folder of Parquet per shard (``shard=0`` and so on), each sorted along the curve.
+
+    Keys that are null or repeated have no row of their own in the plan: an error before anything is written. A
+    column of ``docs`` named ``shard`` is an error too, as a folder's name would hide it; others may have any name.
+    Null and empty texts are rows like others. Empty table: an empty folder.
+    """
+    if shard.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the table has a column {shard}; name another")
+    bad = plan.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count()
+    if bad:
+        raise ValueError("keys must be unique and not null")
+    k, slot = fresh(docs, "_doc", "_slot")
+    side = plan.select(F.col("doc_id").alias(k), F.col("shard").alias(shard), F.col("slot").alias(slot))
+    rows = docs.join(side, F.col(f"`{key}`") == F.col(k)).drop(k)
+    rows.repartitionByRange(shard, slot).sortWithinPartitions(shard, slot).drop(slot).write.partitionBy(shard).parquet(path)
 
 
 def op9_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
