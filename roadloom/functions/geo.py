@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column
@@ -66,23 +67,40 @@ def degrees_of(metres: float) -> float:
 
 
 def in_ring(lat: Column, lon: Column, ring: list[tuple[float, float]], buffer_m: float = 0.0) -> Column:
-    """Whether a point lies in the polygon ``ring`` of (lon, lat), or within ``buffer_m`` of its border.
+    """Whether a point lies in the polygon ``ring`` of (lon, lat), or within ``buffer_m`` of its border."""
+    return in_rings(lat, lon, [ring], buffer_m)
 
-    Ray casting and distances to segments, in degrees, by higher-order functions over the ring's literal edges.
+
+def in_rings(lat: Column, lon: Column, rings: list[list[tuple[float, float]]], buffer_m: float = 0.0) -> Column:
+    """Whether a point lies within an odd number of ``rings`` of (lon, lat): in a part and in none of its holes; or
+    within ``buffer_m`` of a border.
+
+    Ray casting and distances to sides, in degrees, by higher-order functions. The sides are one literal, dealt out by
+    bands of latitude, so a point meets only those of its band, however long the border is.
     """
-    edges = [(a, b) for a, b in zip(ring, [*ring[1:], ring[0]], strict=True) if a != b]
-    if not edges:
+    sides = [(*a, *b) for ring in rings for a, b in zip(ring, [*ring[1:], *ring[:1]], strict=True) if a != b]
+    if not sides:
         return F.lit(False)
-    sides = F.array(*[F.array(*[F.lit(float(v)) for v in (*a, *b)]) for a, b in edges])
+    reach = degrees_of(max(buffer_m, 0.0))
+    low, high = min(min(e[1], e[3]) for e in sides) - reach, max(max(e[1], e[3]) for e in sides) + reach
+    n = max(1, math.isqrt(len(sides)))
+    height = (high - low) / n or 1.0
+    bands: list[list[list[float]]] = [[] for _ in range(n)]
+    for e in sides:
+        first, last = (int((y - low) / height) for y in (min(e[1], e[3]) - reach, max(e[1], e[3]) + reach))
+        # One more on either side, for places at a band's very edge.
+        for i in range(max(0, first - 1), min(n, last + 2)):
+            bands[i].append([float(v) for v in e])
+    literal = F.from_json(F.lit(json.dumps(bands)), "array<array<array<double>>>")
+    band = F.coalesce(F.get(literal, F.floor((lat - low) / height).cast("int")), F.array().cast("array<array<double>>"))
 
     def crosses(e: Column) -> Column:
         x1, y1, x2, y2 = e[0], e[1], e[2], e[3]
         return ((y1 > lat) != (y2 > lat)) & (lon < (x2 - x1) * (lat - y1) / F.when(y2 != y1, y2 - y1).otherwise(1.0) + x1)
 
-    inside = F.size(F.filter(sides, crosses)) % 2 == 1
+    inside = F.size(F.filter(band, crosses)) % 2 == 1
     if buffer_m <= 0:
         return inside
-    reach = degrees_of(buffer_m)
 
     def near(e: Column) -> Column:
         x1, y1, x2, y2 = e[0], e[1], e[2], e[3]
@@ -90,4 +108,4 @@ def in_ring(lat: Column, lon: Column, ring: list[tuple[float, float]], buffer_m:
         t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((lon - x1) * dx + (lat - y1) * dy) / (dx * dx + dy * dy)))
         return F.pow(lon - x1 - t * dx, 2) + F.pow(lat - y1 - t * dy, 2) <= reach * reach
 
-    return inside | F.exists(sides, near)
+    return inside | F.exists(band, near)

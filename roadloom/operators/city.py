@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from roadloom.functions.geo import haversine, in_ring
+from roadloom.functions.geo import haversine, in_rings
 from roadloom.operators.metrics import guard_size, prune_components
 from roadloom.operators.road_graph import Graph, canonical_edges
 from roadloom.plans.config import DEFAULTS, PipelineConfig
@@ -21,9 +21,9 @@ SEGMENTS = "edge_id long, base long, adj long, car_fwd boolean, car_bwd boolean,
 
 @dataclass(frozen=True)
 class Boundary:
-    """ring: (lon, lat) of the polygon; the box around it unless given."""
+    """rings: (lon, lat) of all parts' borders and holes; the box around them unless given."""
 
-    ring: tuple
+    rings: tuple
     min_lat: float
     max_lat: float
     min_lon: float
@@ -31,23 +31,35 @@ class Boundary:
 
     @staticmethod
     def of(ring: list, box: tuple | None = None) -> Boundary:
-        lats, lons = [p[1] for p in ring], [p[0] for p in ring]
+        return Boundary.of_rings([ring], box)
+
+    @staticmethod
+    def of_rings(rings: list, box: tuple | None = None) -> Boundary:
+        """``box``: (min_lat, max_lat, min_lon, max_lon)."""
+        lats, lons = ([p[i] for r in rings for p in r] for i in (1, 0))
         low_lat, high_lat, low_lon, high_lon = box or (min(lats), max(lats), min(lons), max(lons))
-        return Boundary(tuple(map(tuple, ring)), low_lat, high_lat, low_lon, high_lon)
+        return Boundary(tuple(tuple((p[0], p[1]) for p in r) for r in rings), low_lat, high_lat, low_lon, high_lon)
 
 
-def read_boundary(spark: SparkSession, path: str) -> Boundary:
-    """The first settlement of a GeoJSON file (a geometry, feature or collection); none is an error."""
-    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).limit(1).collect())
+def boundary_of(text: str) -> Boundary:
+    """The first settlement of a GeoJSON document (a geometry, feature or collection), with all its parts and holes;
+    none is an error. A bbox (west, south, east, north) of the feature or geometry counts instead of the box around."""
     shape = json.loads(text or "{}")
     if shape.get("type") == "FeatureCollection":
         shape = (shape.get("features") or [{}])[0]
-    geometry = shape.get("geometry", shape)
-    rings = geometry.get("coordinates") if geometry.get("type") in ("Polygon", "MultiPolygon") else None
-    if not rings:
+    geometry = shape.get("geometry") or shape
+    parts = geometry.get("coordinates")
+    parts = {"Polygon": [parts], "MultiPolygon": parts}.get(geometry.get("type")) if parts else None
+    if not parts:
         raise ValueError("city not found")
-    ring = rings[0] if geometry["type"] == "Polygon" else rings[0][0]
-    return Boundary.of(ring)
+    box = shape.get("bbox") or geometry.get("bbox")
+    half = len(box) // 2 if box else 0
+    return Boundary.of_rings([ring for part in parts for ring in part if ring], (box[1], box[half + 1], box[0], box[half]) if box else None)
+
+
+def read_boundary(spark: SparkSession, path: str) -> Boundary:
+    """:func:`boundary_of` a file."""
+    return boundary_of("\n".join(r[0] for r in spark.read.text(path, wholetext=True).limit(1).collect()))
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
@@ -62,11 +74,11 @@ def drivable(segments: DataFrame) -> DataFrame:
 def _inside(point: Column, b: Boundary, buffer_m: float) -> Column:
     lat, lon = point["lat"], point["lon"]
     box = lat.between(b.min_lat, b.max_lat) & lon.between(b.min_lon, b.max_lon)
-    return box & in_ring(lat, lon, list(b.ring), buffer_m)
+    return box & in_rings(lat, lon, [list(r) for r in b.rings], buffer_m)
 
 
 def within(segments: DataFrame, b: Boundary, buffer_m: float = 0.0) -> DataFrame:
-    """Segments of which an end lies in the box and in the polygon or its buffer; the cheap test comes first."""
+    """Segments of which an end lies in the box and in the polygons or their buffer; the cheap test comes first."""
     first, last = F.element_at("geometry", 1), F.element_at("geometry", -1)
     return segments.where(_inside(first, b, buffer_m) | _inside(last, b, buffer_m))
 

@@ -1,86 +1,219 @@
-"""Map matching by a hidden Markov model (Newson and Krumm, 2009) over candidate nodes of a road graph."""
+"""Map matching by a hidden Markov model (Newson and Krumm, 2009) over places on the edges of a road graph."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from roadloom.functions.geo import METRES_PER_DEGREE, haversine
-from roadloom.operators.reach import bounded_reach
-from roadloom.operators.road_graph import Graph
-from roadloom.plans.staging import staged
+from roadloom.operators.reach import distances
+from roadloom.operators.road_graph import Graph, adjacency
+from roadloom.plans.staging import drop_staged, staged
+
+_BEST = "trip_id int, pos int, place string, via string, total double"
 
 
 @dataclass(frozen=True)
 class RoadMatcher:
-    """Matches each point to a node within ``reach_m``; routes are shortest paths of up to ``route_m``.
+    """Matches each point to a place on an edge within ``reach_m``.
 
     Emission: Gaussian in the distance, ``sigma_m``. Transition: exponential in the difference between the route and
-    the straight line, ``beta_m``. ``candidates``: nearest nodes per point. The path of highest probability is found
-    trip by trip; a trip with a gap (no candidate, or no route) fails.
+    the straight line, ``beta_m``; routes are shortest paths of up to ``detour`` times the line and ``slack_m``. All
+    edges in reach count. The path of highest probability is found trip by trip; a trip with a gap (no edge in reach,
+    or no route) fails.
     """
 
     graph: Graph
     reach_m: float = 50.0
-    route_m: float = 30_000.0
     sigma_m: float = 10.0
     beta_m: float = 50.0
-    candidates: int = 3
+    detour: float = 3.0
+    slack_m: float = 1000.0
+
+    def _row(self, lat: Column) -> Column:
+        return F.floor(lat * (METRES_PER_DEGREE / (2 * self.reach_m)))
+
+    def _column(self, lon: Column, row: Column, shift: int = 0) -> Column:
+        """The cell of a longitude in a row of cells, which are at least two reaches wide anywhere in the row."""
+        step = 2 * self.reach_m / METRES_PER_DEGREE
+        top = F.least(F.greatest(F.abs(row), F.abs(row + 1)) * step, F.lit(89.99))
+        n = F.greatest(F.floor(F.cos(F.radians(top)) * (360 / step)), F.lit(1))
+        return F.pmod(F.floor((lon + 180) * n / 360) + shift, n)
+
+    def _edges(self) -> DataFrame:
+        """(a, b, len, alat, alon, dlat, dlon): each edge with its first end and the way to the other."""
+        end = lambda k: self.graph.nodes.select(F.col("node_id").alias(k), F.col("lat").alias(f"{k}lat"), F.col("lon").alias(f"{k}lon"))
+        rows = self.graph.edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("dist_m").alias("len")).join(end("a"), "a").join(end("b"), "b")
+        return rows.select("a", "b", "len", "alat", "alon", (F.col("blat") - F.col("alat")).alias("dlat"), (F.pmod(F.col("blon") - F.col("alon") + 540, F.lit(360.0)) - 180).alias("dlon"))
 
     def candidates_of(self, points: DataFrame) -> DataFrame:
-        """(trip_id, pos, lat, lon, node_id, nlat, nlon, off_m): an equi-join on square cells as wide as the reach,
-        with the eight cells around each node."""
-        step = self.reach_m / METRES_PER_DEGREE * 2
-        cell = lambda c: F.floor(c / step)
-        n = self.graph.nodes.select("node_id", F.col("lat").alias("nlat"), F.col("lon").alias("nlon"))
-        shifts = F.array(F.lit(-1), F.lit(0), F.lit(1))
-        n = n.withColumn("cy", F.explode(F.transform(shifts, lambda i: cell(F.col("nlat")) + i))).withColumn("cx", F.explode(F.transform(shifts, lambda i: cell(F.col("nlon")) + i)))
-        p = points.select("trip_id", "pos", "lat", "lon", cell(F.col("lat")).alias("cy"), cell(F.col("lon")).alias("cx"))
-        near = p.join(n, ["cy", "cx"]).withColumn("off_m", haversine(F.col("lat"), F.col("lon"), F.col("nlat"), F.col("nlon"))).where(F.col("off_m") <= self.reach_m)
-        best = W.partitionBy("trip_id", "pos").orderBy("off_m", "node_id")
-        return near.withColumn("i", F.row_number().over(best)).where(F.col("i") <= self.candidates).drop("cy", "cx", "i")
+        """(trip_id, pos, lat, lon, a, b, len, t, off_m, plat, plon): the nearest place of each edge in reach, at the
+        share t of its length.
+
+        An equi-join on cells: edges lie in the cells around points along them, a reach apart. Columns of cells get
+        wider towards the poles and meet at 180 degrees.
+        """
+        e = self._edges()
+        n = F.greatest(F.ceil(F.col("len") / self.reach_m), F.lit(1))
+        along = e.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), n))).withColumn("f", F.col("i") / n)
+        along = along.select("a", "b", self._row(F.col("alat") + F.col("f") * F.col("dlat")).alias("row"), (F.col("alon") + F.col("f") * F.col("dlon")).alias("lon"))
+        around = along.withColumn("row", F.explode(F.array(*[F.col("row") + i for i in (-1, 0, 1)])))
+        around = around.select("a", "b", "row", F.explode(F.array(*[self._column(F.col("lon"), F.col("row"), i) for i in (-1, 0, 1)])).alias("col")).distinct()
+        p = points.select("trip_id", "pos", "lat", "lon", self._row(F.col("lat")).alias("row")).withColumn("col", self._column(F.col("lon"), F.col("row")))
+        near = p.join(around, ["row", "col"]).drop("row", "col").join(e, ["a", "b"])
+        east = F.cos(F.radians("lat"))
+        px, py = (F.pmod(F.col("lon") - F.col("alon") + 540, F.lit(360.0)) - 180) * east, F.col("lat") - F.col("alat")
+        ex, ey = F.col("dlon") * east, F.col("dlat")
+        square = ex * ex + ey * ey
+        t = F.when(square > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * ex + py * ey) / square))).otherwise(0.0)
+        rows = near.withColumn("t", t).withColumns({"plat": F.col("alat") + F.col("t") * F.col("dlat"), "plon": F.col("alon") + F.col("t") * F.col("dlon")})
+        rows = rows.withColumn("off_m", haversine(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))).where(F.col("off_m") <= self.reach_m)
+        return rows.select("trip_id", "pos", "lat", "lon", "a", "b", "len", "t", "off_m", "plat", "plon")
+
+    def _steps(self, found: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(trip_id, pos, p, place, cost, x, y) from each place to each of the next point, over the ends x and y of
+        their edges (null within one edge); and the routes between ends."""
+        place = F.concat_ws("|", "a", "b")
+        ends = F.explode(F.array(F.struct(F.col("a").alias("n"), (F.col("t") * F.col("len")).alias("d")), F.struct(F.col("b").alias("n"), ((1 - F.col("t")) * F.col("len")).alias("d")))).alias("e")
+        limits = found.join(lines, ["trip_id", "pos"]).select(F.explode(F.array("a", "b")).alias("node_id"), (F.col("line") * self.detour + self.slack_m).alias("limit_m"))
+        routes = distances(self.graph, limits.groupBy("node_id").agg(F.max("limit_m").alias("limit_m")))
+        here = found.select("trip_id", "pos", place.alias("p"), "t", "len", ends)
+        there = found.select("trip_id", (F.col("pos") - 1).alias("pos"), place.alias("place"), F.col("t").alias("t2"), "off_m", ends)
+        here, there = here.select("trip_id", "pos", "p", "t", "len", F.col("e.n").alias("x"), F.col("e.d").alias("dx")), there.select("trip_id", "pos", "place", "t2", "off_m", F.col("e.n").alias("y"), F.col("e.d").alias("dy"))
+        pairs = here.join(there, ["trip_id", "pos"]).join(routes.select(F.col("src").alias("x"), F.col("dst").alias("y"), "dist_m"), ["x", "y"], "left")
+        way = F.struct((F.col("dx") + F.col("dist_m") + F.col("dy")).alias("m"), "x", "y")
+        none = F.lit(None).cast("string")
+        direct = F.struct((F.abs(F.col("t2") - F.col("t")) * F.col("len")).alias("m"), none.alias("x"), none.alias("y"))
+        best = pairs.groupBy("trip_id", "pos", "p", "place", "off_m").agg(F.min(F.when(F.col("p") == F.col("place"), direct).when(F.col("dist_m").isNotNull(), way)).alias("way"))
+        best = best.join(lines, ["trip_id", "pos"]).where(F.col("way.m") <= F.col("line") * self.detour + self.slack_m)
+        cost = F.round(F.abs(F.col("way.m") - F.col("line")) / self.beta_m + self._emission(F.col("off_m")), 6)
+        return best.select("trip_id", (F.col("pos") + 1).cast("int").alias("pos"), "p", "place", cost.alias("cost"), F.col("way.x").alias("x"), F.col("way.y").alias("y")), routes
+
+    def _emission(self, off: Column) -> Column:
+        return 0.5 * F.pow(off / self.sigma_m, 2)
+
+    def _solve(self, trips: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """(chosen, candidates, steps, routes); chosen: (trip_id, pos, place, via) of each point of the matched trips."""
+        points = staged(trips.select(F.col("trip_id").cast("int").alias("trip_id"), F.col("pos").cast("int").alias("pos"), "lat", "lon"), "points")
+        found = staged(self.candidates_of(points), "candidates")
+        b = points.select("trip_id", (F.col("pos") - 1).alias("pos"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+        lines = staged(points.join(b, ["trip_id", "pos"]).select("trip_id", "pos", haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")).alias("line")), "lines")
+        steps, routes = self._steps(found, lines)
+        steps = staged(steps, "steps")
+        first = found.where("pos = 0").select("trip_id", "pos", F.lit(None).cast("string").alias("p"), F.concat_ws("|", "a", "b").alias("place"), F.round(self._emission(F.col("off_m")), 6).alias("cost"))
+        rows = first.unionByName(steps.select(*first.columns)).repartition("trip_id").sortWithinPartitions("trip_id", "pos", "place", "p")
+        best = staged(rows.mapInArrow(_forward, _BEST), "best")
+        # Trips that were followed to their last point, and where they end.
+        lengths = points.groupBy("trip_id").agg(F.max("pos").alias("pos"))
+        last = best.join(lengths, ["trip_id", "pos"]).groupBy("trip_id").agg(F.min_by("place", F.struct("total", "place")).alias("last"))
+        back = best.join(last, "trip_id").select("trip_id", "pos", "place", "via", "last").repartition("trip_id").sortWithinPartitions("trip_id", F.desc("pos"))
+        return staged(back.mapInArrow(_backward, "trip_id int, pos int, place string, via string"), "chosen"), found, steps, routes
+
+    def match_points(self, trips: DataFrame) -> DataFrame:
+        """(trip_id, pos, a, b, t, lat, lon): where on which edge each point of the matched trips lies; ``trips`` needs
+        trip_id, pos (from 0), lat and lon."""
+        chosen, found, _, _ = self._solve(trips)
+        at = found.select("trip_id", "pos", F.concat_ws("|", "a", "b").alias("place"), "a", "b", "t", F.col("plat").alias("lat"), F.col("plon").alias("lon"))
+        return chosen.select("trip_id", "pos", "place").join(at, ["trip_id", "pos", "place"]).drop("place")
 
     def match(self, trips: DataFrame) -> DataFrame:
-        """(trip_id, pos, lat, lon) of the matched trips, which need trip_id, pos, lat and lon.
-
-        Steps between consecutive candidates get their costs in joins; the best path is then a fold over one trip's
-        costs."""
-        found = staged(self.candidates_of(trips), "candidates")
-        starts = found.select("node_id").distinct()
-        routes = staged(bounded_reach(self.graph, self.route_m, starts), "routes")
-        a = found.select("trip_id", "pos", "lat", "lon", F.col("node_id").alias("a"))
-        b = found.select("trip_id", (F.col("pos") - 1).alias("pos"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("node_id").alias("b"), F.col("off_m").alias("off2"))
-        steps = a.join(b, ["trip_id", "pos"]).join(routes.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("dist_m").alias("route")), ["a", "b"])
-        line = haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
-        emission = lambda c: 0.5 * F.pow(c / self.sigma_m, 2)
-        costs = steps.select("trip_id", F.col("pos") + 1, "a", "b", (F.abs(F.col("route") - line) / self.beta_m + emission(F.col("off2"))).alias("cost"))
-        first = found.where("pos = 0").select("trip_id", "pos", F.lit(None).cast("string").alias("a"), F.col("node_id").alias("b"), emission(F.col("off_m")).alias("cost"))
-        rows = first.unionByName(costs.toDF(*first.columns))
-        lengths = trips.groupBy("trip_id").agg((F.max("pos") + 1).alias("n"))
-
-        def viterbi(part):
-            import pandas as pd
-
-            best, back, n = {}, [], int(part["n"].iloc[0])
-            for pos, step in part.sort_values(["pos", "b", "a"]).groupby("pos"):
-                if pos != len(back):
-                    break
-                new, via = {}, {}
-                for a_, b_, c in zip(step["a"], step["b"], step["cost"], strict=True):
-                    total = c if pos == 0 else best.get(a_, float("inf")) + c
-                    if total < new.get(b_, float("inf")):
-                        new[b_], via[b_] = total, a_
-                best, back = new, [*back, via]
-            if len(back) < n or not best:
-                return pd.DataFrame({"trip_id": [], "pos": [], "node_id": []}).astype({"trip_id": "int32", "pos": "int32", "node_id": "object"})
-            at, path = min(best, key=lambda k: (best[k], k)), []
-            for via in reversed(back):
-                path.append(at)
-                at = via[at]
-            return pd.DataFrame({"trip_id": int(part["trip_id"].iloc[0]), "pos": range(n), "node_id": path[::-1]})
-
-        matched = rows.join(lengths, "trip_id").groupBy("trip_id").applyInPandas(viterbi, "trip_id int, pos int, node_id string")
-        return matched.join(self.graph.nodes.select("node_id", "lat", "lon"), "node_id").select("trip_id", "pos", "lat", "lon")
+        """(trip_id, pos, lat, lon) along the roads of the matched trips: the first point's place, all nodes of the
+        routes between, and the last point's place."""
+        chosen, found, steps, routes = self._solve(trips)
+        taken = chosen.where("pos > 0").select("trip_id", "pos", "place", F.col("via").alias("p")).join(steps, ["trip_id", "pos", "p", "place"]).where("x is not null").select("trip_id", "pos", "x", "y")
+        taken = staged(taken, "taken")
+        paths = paths_of(self.graph, routes, taken.select("x", "y").distinct())
+        nodes = self.graph.nodes.select(F.col("node_id").alias("node"), "lat", "lon")
+        inner = taken.join(paths, ["x", "y"]).join(nodes, "node").select("trip_id", "pos", (F.lit(0) - F.col("back")).alias("k"), "node", "lat", "lon")
+        at = chosen.join(found.select("trip_id", "pos", F.concat_ws("|", "a", "b").alias("place"), "plat", "plon"), ["trip_id", "pos", "place"])
+        length = chosen.groupBy("trip_id").agg(F.max("pos").alias("end"))
+        ends = at.join(length, "trip_id").where("pos = 0 or pos = end").select("trip_id", F.when(F.col("pos") == 0, 0).otherwise(F.col("pos") + 1).alias("pos"), F.lit(0).alias("k"), F.lit(None).cast("string").alias("node"), F.col("plat").alias("lat"), F.col("plon").alias("lon"))
+        w = W.partitionBy("trip_id").orderBy("pos", "k")
+        rows = inner.unionByName(ends).withColumns({"y0": F.lag("lat").over(w), "x0": F.lag("lon").over(w)})
+        rows = rows.where("y0 is null or y0 <> lat or x0 <> lon")
+        return rows.select("trip_id", (F.row_number().over(w) - 1).alias("pos"), "lat", "lon")
+
+
+def _forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least total cost of each place, from rows (trip_id, pos, p, place, cost) in order; one point's places are in
+    memory at a time. A trip ends at its first gap."""
+    trip, pos, alive, best, new = None, -1, False, {}, {}
+    out: list[tuple] = []
+
+    def close() -> None:
+        nonlocal best, new, alive
+        alive = alive and bool(new)
+        if alive:
+            out.extend((trip, pos, b, via, total) for b, (total, via) in new.items())
+        best, new = new, {}
+
+    for batch in batches:
+        for t, at, a, b, c in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if t != trip or at != pos:
+                close()
+                if t != trip:
+                    trip, alive, best = t, at == 0, {}
+                else:
+                    alive = alive and at == pos + 1
+                pos = at
+            if alive and (a is None or a in best):
+                total = c if a is None else best[a][0] + c
+                if b not in new or (total, a or "") < (new[b][0], new[b][1] or ""):
+                    new[b] = (total, a)
+        if len(out) > 10_000:
+            yield _batch(out)
+            out = []
+    close()
+    yield _batch(out)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (("trip_id", pa.int32()), ("pos", pa.int32()), ("place", pa.string()), ("via", pa.string()), ("total", pa.float64()))
+    width = len(rows[0]) if rows else 5
+    columns = list(zip(*rows, strict=True)) or [()] * width
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=False)], names=[n for n, _ in kinds[: len(columns)]])
+
+
+def _backward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chosen places, from rows (trip_id, pos, place, via, last) of each trip from its end on."""
+    trip, want = None, None
+    for batch in batches:
+        out: list[tuple] = []
+        for t, at, b, via, last in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if t != trip:
+                trip, want, next_pos = t, last, at
+            if at == next_pos and b == want:
+                out.append((t, at, b, via))
+                want, next_pos = via, at - 1
+        if out:
+            yield _batch(out)
+
+
+def paths_of(graph: Graph, routes: DataFrame, pairs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """(x, y, back, node): the nodes of a shortest path for each pair, counted back from y.
+
+    All paths are followed back at once, a node a round: the one before is a neighbour from which the distance adds up
+    (of several, the least id).
+    """
+    adj = staged(adjacency(graph.edges), "adjacency")
+    from_x = routes.select(F.col("src").alias("x"), F.col("dst").alias("node"), F.col("dist_m").alias("d"))
+    now = staged(pairs.select("x", "y", F.lit(0).alias("back"), F.col("y").alias("node")).join(from_x, ["x", "node"]), "path")
+    parts = [now]
+    for turn in range(1, max_rounds):
+        far = now.where("node <> x").withColumnRenamed("node", "u").withColumnRenamed("d", "du")
+        before = far.join(adj, "u").join(from_x.withColumnRenamed("node", "v"), ["x", "v"]).where(F.col("d") + F.col("w") == F.col("du"))
+        new = before.groupBy("x", "y").agg(F.min(F.struct(F.col("v").alias("node"), "d")).alias("b"))
+        now = staged(new.select("x", "b.node", "y", F.lit(turn).alias("back"), "b.d"), "path")
+        if now.isEmpty():
+            drop_staged(now)
+            out = parts[0]
+            for p in parts[1:]:
+                out = out.unionByName(p)
+            return out.select("x", "y", "back", "node")
+        parts.append(now)
+    raise RuntimeError("a path did not end")

@@ -5,22 +5,19 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.functions.geo import haversine
 from roadloom.operators.components import connected_components
-from roadloom.operators.reach import relax
+from roadloom.operators.reach import arrays_of, distances
 from roadloom.operators.road_graph import Graph, adjacency
 from roadloom.plans.order import ranked
 from roadloom.plans.staging import staged
 
 #: The largest graph, in nodes, whose eccentricities are exact and whose treewidth is bounded.
 EXACT_NODES = 10_000
-#: The most directed edges that go to every task: 16 bytes each.
-MAX_BROADCAST_EDGES = 4_000_000
 
 
 def components_of(graph: Graph) -> DataFrame:
@@ -90,48 +87,26 @@ def clustering(graph: Graph) -> DataFrame:
 def eccentricities(graph: Graph, seeds: DataFrame | None = None) -> DataFrame:
     """(node_id, ecc): the greatest distance from each seed (default: every node) to a node that it reaches.
 
-    Few seeds: distances are relaxed by joins over the whole graph. Every node: only for graphs within
-    :data:`EXACT_NODES` and :data:`MAX_BROADCAST_EDGES`, whose edges go to each task; the seeds are dealt out."""
+    Every node: only for graphs within :data:`EXACT_NODES` and the bound of edges that go to each task."""
     if seeds is not None:
-        dist = relax(adjacency(graph.edges), seeds.select("node_id"), None)
-        return dist.groupBy("src").agg(F.max("dist_m").alias("ecc")).withColumnRenamed("src", "node_id")
-    ids = [r[0] for r in graph.nodes.select("node_id").orderBy("node_id").limit(EXACT_NODES + 1).collect()]
-    m = graph.edges.limit(MAX_BROADCAST_EDGES // 2 + 1).count()
-    if len(ids) > EXACT_NODES or m > MAX_BROADCAST_EDGES // 2:
+        return distances(graph, seeds).groupBy("src").agg(F.max("dist_m").alias("ecc")).withColumnRenamed("src", "node_id")
+    arrays = arrays_of(graph, EXACT_NODES)
+    if arrays is None:
         raise ValueError("the graph is too large for exact eccentricities; give seeds")
-    place = {n: i for i, n in enumerate(ids)}
-    links: list[list[tuple[int, float]]] = [[] for _ in ids]
-    for a, b, w in graph.edges.select("src", "dst", "dist_m").collect():
-        links[place[a]].append((place[b], w))
-        links[place[b]].append((place[a], w))
     spark = graph.nodes.sparkSession
-    shared = spark.sparkContext.broadcast((ids, links))
+    shared, n = spark.sparkContext.broadcast(arrays), len(arrays.ids)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, out = shared.value
+        g = shared.value
         for b in batches:
-            yield pd.DataFrame({"node_id": [names[i] for i in b["id"]], "ecc": [_farthest(out, i) for i in b["id"]]})
+            yield pd.DataFrame({"node_id": [g.ids[i] for i in b["id"]], "ecc": [max(g.search(int(i)).values()) for i in b["id"]]})
 
-    return spark.range(0, len(ids), 1, max(1, min(len(ids), spark.sparkContext.defaultParallelism * 4))).mapInPandas(run, "node_id string, ecc double")
-
-
-def _farthest(links: list[list[tuple[int, float]]], start: int) -> float:
-    best, done, heap, far = {start: 0.0}, set(), [(0.0, start)], 0.0
-    while heap:
-        d, u = heapq.heappop(heap)
-        if u in done:
-            continue
-        done.add(u)
-        far = d
-        for v, w in links[u]:
-            if v not in done and d + w < best.get(v, np.inf):
-                best[v] = d + w
-                heapq.heappush(heap, (d + w, v))
-    return far
+    return spark.range(0, n, 1, max(1, min(n, spark.sparkContext.defaultParallelism * 4))).mapInPandas(run, "node_id string, ecc double")
 
 
 def sample_nodes(nodes: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    return nodes.select("node_id").orderBy(F.xxhash64("node_id", F.lit(seed)), "node_id").limit(n)
+    """``n`` nodes without replacement, the first in a random order that follows from ``seed``."""
+    return nodes.select("node_id").orderBy(F.md5(F.concat(F.col("node_id"), F.lit(f":{seed}"))), "node_id").limit(n)
 
 
 def treewidth_bound(graph: Graph, labels: DataFrame) -> DataFrame:

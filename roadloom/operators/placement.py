@@ -8,6 +8,7 @@ choices can change another, so the rounds choose what choosing one after the oth
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -40,25 +41,45 @@ def _coverage(reach: DataFrame, chosen: DataFrame) -> DataFrame:
     return hit.groupBy("run", F.col("dst").alias("node")).agg(F.count("*").alias("n"))
 
 
+def _first_at_all(at: DataFrame, row: list[str]) -> DataFrame:
+    """The rows (``row``: their columns beside run) that come first, by ``key``, at every spot that they touch.
+
+    ``at``: (run, ``row``, spot, key). No two of them share a spot, so they can all be taken at once."""
+    firsts = at.groupBy("run", "spot").agg(F.min("key").alias("first"))
+    beaten = at.join(firsts, ["run", "spot"]).groupBy("run", *row).agg(F.max(F.col("key") != F.col("first")).alias("beaten"))
+    return beaten.where(~F.col("beaten")).select("run", *row)
+
+
 def _leaders(rows: DataFrame, reach: DataFrame, open_nodes: DataFrame, order: list) -> DataFrame:
     """The rows (run, node, ...) that come first, by ``order`` (columns; least first), among the rows that share an
     open node with them: a row leads if it is the first at every open node that it reaches."""
-    key = F.struct(*order, "node")
-    at = rows.withColumn("key", key).join(reach.select(F.col("src").alias("node"), F.col("dst").alias("spot")), "node")
+    at = rows.withColumn("key", F.struct(*order, "node")).join(reach.select(F.col("src").alias("node"), F.col("dst").alias("spot")), "node")
     at = at.join(open_nodes.select("run", F.col("node").alias("spot")), ["run", "spot"], "left_semi")
-    firsts = at.groupBy("run", "spot").agg(F.min("key").alias("first"))
-    beaten = at.join(firsts, ["run", "spot"]).groupBy("run", "node").agg(F.max(F.col("key") != F.col("first")).alias("beaten"))
-    return rows.join(beaten.where(~F.col("beaten")).select("run", "node"), ["run", "node"], "left_semi")
+    return rows.join(_first_at_all(at, ["node"]), ["run", "node"], "left_semi")
+
+
+def _turn(*parts: object) -> object:
+    """A place in a random order that follows from ``parts`` (columns or values): an MD5 digest."""
+    return F.md5(F.concat_ws(":", *[F.col(p) if isinstance(p, str) else F.lit(str(p)) for p in parts]))
+
+
+def _share(turn: object) -> object:
+    """A uniform number in [0, 1) from a digest."""
+    return F.conv(F.substring(turn, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def greedy(reach: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """(node_id, rank): again and again the open node that reaches most open nodes (ties: least id); open nodes are
     those covered fewer than k times, and a station is no candidate any more.
 
-    A node whose neighbours are all covered may stay open at the end, as candidates are open nodes only."""
+    Gains only fall, so a leader would be chosen before anything that it shares open nodes with. A node whose
+    neighbours are all covered may stay open at the end, as candidates are open nodes only."""
     runs = nodes.select(F.lit(0).alias("run"), F.col("node_id").alias("node"))
-    picked = _by_gain(reach, runs, k, only_open=True)
-    return _in_turn(picked, F.desc("gain"), "node")
+
+    def pick(gains: DataFrame, turn: int) -> tuple[DataFrame, list]:
+        return gains.withColumn("low", -F.col("g")), ["low"]
+
+    return _in_turn(_construct(reach, runs, k, True, pick), F.desc("gain"), "node")
 
 
 def _in_turn(rows: DataFrame, *order: object) -> DataFrame:
@@ -66,22 +87,20 @@ def _in_turn(rows: DataFrame, *order: object) -> DataFrame:
     return ranked(rows, *order, out="at").select(F.col("node").alias("node_id"), (F.col("at") + 1).cast("int").alias("rank"))
 
 
-def _by_gain(reach: DataFrame, nodes: DataFrame, k: int, only_open: bool, alpha: float = 0.0, seed: int = 0) -> DataFrame:
-    """(run, node, gain): stations of each run by rounds of leaders with the highest scores.
+def _construct(reach: DataFrame, nodes: DataFrame, k: int, only_open: bool, pick: Callable[[DataFrame, int], tuple[DataFrame, list]]) -> DataFrame:
+    """(run, node, gain): stations of each run by rounds of leaders.
 
-    A score is the gain, lowered by up to ``alpha`` of itself by a factor drawn for each run and node. Gains only
-    fall and the factors stay, so a leader would be chosen before anything that it shares nodes with.
-    """
+    ``pick`` gets the candidates (run, node, g: open nodes in reach) and the round, and returns those that may be
+    chosen with the columns of their order."""
     reach = staged(reach.select("src", "dst"), "pairs")
     state = staged(nodes.select("run", "node", F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("gain")), "state")
-    draw = F.pmod(F.xxhash64("run", "node", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    for _ in range(_MAX_ROUNDS):
+    for turn in range(_MAX_ROUNDS):
         todo = state.where(F.col("n") < k).select("run", "node")
         free = state.where(F.col("gain").isNull() & (F.col("n") < k if only_open else F.lit(True))).select("run", "node")
         gains = free.join(reach.select(F.col("src").alias("node"), F.col("dst").alias("spot")), "node").join(todo.select("run", F.col("node").alias("spot")), ["run", "spot"], "left_semi")
         gains = gains.groupBy("run", "node").agg(F.count("*").alias("g"))
-        scored = gains.withColumn("low", -F.col("g") * (1 - alpha * draw))
-        lead, seen = staged_with(_leaders(scored, reach, todo, ["low"]).select("run", "node", "g"), "leaders", n=F.count(F.lit(1)))
+        may, order = pick(gains, turn)
+        lead, seen = staged_with(_leaders(may, reach, todo, order).select("run", "node", "g"), "leaders", n=F.count(F.lit(1)))
         if not seen["n"]:
             break
         more = _coverage(reach, lead).withColumnRenamed("n", "m")
@@ -93,6 +112,23 @@ def _by_gain(reach: DataFrame, nodes: DataFrame, k: int, only_open: bool, alpha:
     return state.where(F.col("gain").isNotNull()).select("run", "node", "gain")
 
 
+def restricted(gains: DataFrame, alpha: float, budget: int, turn: int, seed: int) -> DataFrame:
+    """The restricted candidate list of each run: of ``gains`` (run, node, g), those with a gain of at least
+    ceil(most - alpha * (most - least)), and ``turn_key``, a random order for uniform picks.
+
+    Of more than ``budget`` candidates, each is evaluated with a probability that leaves ``budget`` on average.
+    """
+    drawn = gains.withColumn("turn_key", _turn("run", "node", turn, seed))
+    sizes = drawn.groupBy("run").agg(F.count("*").alias("size"))
+    drawn = drawn.join(F.broadcast(sizes), "run").withColumn("in", _share(_turn("node", "run", seed, turn)) * F.col("size") < budget)
+    # A run whose draw leaves nobody evaluates everybody.
+    some = drawn.groupBy("run").agg(F.max("in").alias("some"))
+    kept = drawn.join(F.broadcast(some), "run").where(F.col("in") | ~F.col("some")).drop("in", "some", "size")
+    span = kept.groupBy("run").agg(F.max("g").alias("most"), F.min("g").alias("least"))
+    least = F.ceil(F.round(F.col("most") - alpha * (F.col("most") - F.col("least")), 9))
+    return kept.join(F.broadcast(span), "run").where(F.col("g") >= least).select("run", "node", "g", "turn_key")
+
+
 def random_runs(reach: DataFrame, nodes: DataFrame, k: int, iterations: int, seed: int = 0) -> DataFrame:
     """(run, node, turn): in each run, nodes in a random order of their own; one becomes a station if it is covered
     fewer than k times by then. That is the same as drawing open nodes one by one.
@@ -101,7 +137,7 @@ def random_runs(reach: DataFrame, nodes: DataFrame, k: int, iterations: int, see
     """
     reach = staged(reach.select("src", "dst"), "pairs")
     every = nodes.select(F.col("node_id").alias("node")).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    order = F.struct(F.xxhash64("run", "node", F.lit(seed)).alias("h"), "node")
+    order = F.struct(_turn("run", "node", seed).alias("h"), "node")
     state = staged(every.select("run", "node", order.alias("turn"), F.lit(None).cast("boolean").alias("station")), "state")
     pairs = reach.where("src <> dst").select(F.col("src").alias("node"), F.col("dst").alias("other"))
     for _ in range(_MAX_ROUNDS):
@@ -142,8 +178,9 @@ def remove_redundant(reach: DataFrame, stations: DataFrame, k: int) -> DataFrame
 
 
 def swap_round(reach: DataFrame, stations: DataFrame, k: int) -> DataFrame:
-    """(run, out, into): per run, one swap of a station with a node in its reach that leaves every node as covered as
-    it must be and makes another station redundant; the least by (into, out).
+    """(run, out, into): swaps of a station with a node in its reach, each of which leaves every node as covered as it
+    must be and makes another station redundant. Of those that touch a node in common, the least by (into, out,
+    other) is taken, so all of a run's swaps can be made at once.
 
     ``into`` must reach all nodes that keep the other station, whose own coverage is exactly k, from being redundant;
     nodes that only ``out`` reaches must be covered more than k times, and more than k + 1 times where the other
@@ -167,22 +204,31 @@ def swap_round(reach: DataFrame, stations: DataFrame, k: int) -> DataFrame:
     # A node that both reach stays as covered as it is: it must not be one that the other station waits for.
     bad = (~kept & (F.col("n") <= k)) | (~kept & shared & (F.col("n") <= k + 1)) | (kept & shared & (F.col("n") <= k))
     wrong = lost.groupBy("run", "other", "into", "out").agg(F.max(bad).alias("bad"))
-    return wrong.where(~F.col("bad")).groupBy("run").agg(F.min(F.struct("into", "out")).alias("s")).select("run", "s.out", "s.into")
+    good = staged(wrong.where(~F.col("bad")).select("run", "into", "out", "other"), "good")
+    touched = good.select("*", F.explode(F.array("into", "out", "other")).alias("src"), F.struct("into", "out", "other").alias("key"))
+    at = touched.join(r, "src").select("run", "into", "out", "other", F.col("dst").alias("spot"), "key").distinct()
+    return _first_at_all(at, ["into", "out", "other"]).select("run", "out", "into")
+
 
+def grasp_runs(reach: DataFrame, nodes: DataFrame, k: int, iterations: int, alpha: float, seed: int = 0, budget: int = 500) -> DataFrame:
+    """(run, node): in each run, a construction from restricted candidate lists, then removal of redundant stations,
+    then swaps that free a station until there is none. Candidates are all nodes that aren't stations.
 
-def grasp_runs(reach: DataFrame, nodes: DataFrame, k: int, iterations: int, alpha: float, seed: int = 0, swap_rounds: int = 20) -> DataFrame:
-    """(run, node): in each run, a construction whose gains are lowered at random by up to ``alpha`` of themselves,
-    then removal of redundant stations, then up to ``swap_rounds`` swaps that free a station. Candidates are all
-    nodes that aren't stations."""
+    In a round, of the candidates on the list that share an open node, the first in a random order is chosen.
+    """
     every = nodes.select(F.col("node_id").alias("node")).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    now = remove_redundant(reach, _by_gain(reach, every, k, only_open=False, alpha=alpha, seed=seed), k)
-    for _ in range(swap_rounds):
+
+    def pick(gains: DataFrame, turn: int) -> tuple[DataFrame, list]:
+        return restricted(gains, alpha, budget, turn, seed), ["turn_key"]
+
+    now = remove_redundant(reach, _construct(reach, every, k, False, pick), k)
+    for _ in range(_MAX_ROUNDS):
         swaps = staged(swap_round(reach, now, k), "swaps")
         if swaps.isEmpty():
-            break
+            return now
         moved = now.join(swaps.select("run", F.col("out").alias("node")), ["run", "node"], "left_anti").unionByName(swaps.select("run", F.col("into").alias("node")))
         now = remove_redundant(reach, staged(moved, "swapped"), k)
-    return now
+    raise RuntimeError("swaps did not settle")
 
 
 def best_run(runs: DataFrame) -> DataFrame:
@@ -193,8 +239,7 @@ def best_run(runs: DataFrame) -> DataFrame:
 
 
 def place(graph: Graph, request: PlacementRequest, reach: DataFrame | None = None) -> Placement:
-    """Stations by the request's strategy, and each node's distance to the nearest. ``grasp_eval_budget`` bounds
-    what a search that evaluates candidates one by one looks at; here one aggregate evaluates all."""
+    """Stations by the request's strategy, and each node's distance to the nearest."""
     began = time.monotonic()
     nodes = graph.nodes
     total = nodes.count()
@@ -203,7 +248,7 @@ def place(graph: Graph, request: PlacementRequest, reach: DataFrame | None = Non
     if r.algorithm == "GREEDY":
         chosen = greedy(reach, nodes, r.k)
     else:
-        runs = random_runs(reach, nodes, r.k, r.iterations, r.seed) if r.algorithm == "RANDOM" else grasp_runs(reach, nodes, r.k, r.iterations, r.grasp_alpha, r.seed)
+        runs = random_runs(reach, nodes, r.k, r.iterations, r.seed) if r.algorithm == "RANDOM" else grasp_runs(reach, nodes, r.k, r.iterations, r.grasp_alpha, r.seed, r.grasp_eval_budget)
         order = ["turn"] if r.algorithm == "RANDOM" else ["node"]
         chosen = _in_turn(best_run(runs), *order)
     stations = staged(chosen.join(nodes.select("node_id", "lat", "lon"), "node_id").select("node_id", "lat", "lon", "rank"), "stations")

@@ -1,40 +1,129 @@
-"""Distances along the graph by relaxation: bounded reach, nearest stations, coverage."""
+"""Distances along the graph: bounded reach, nearest stations, coverage.
+
+Two ways, with the same results. A graph whose edges are few enough, which is counted first, goes to every task as
+arrays, and each source is searched where it is. Beyond that, distances are relaxed by joins.
+"""
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.operators.road_graph import Graph, adjacency
 from roadloom.plans.staging import drop_staged, staged, staged_with
 
+#: The most undirected edges, and nodes, of a graph that goes to every task: 24 bytes an edge and an id a node.
+MAX_BROADCAST_EDGES, MAX_BROADCAST_NODES = 2_000_000, 1_000_000
+_ROWS = 50_000
+
+
+@dataclass(frozen=True)
+class Arrays:
+    """A graph by node number: the neighbours of node i, and the weights, at starts[i] to starts[i + 1]."""
+
+    ids: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    weights: np.ndarray
+
+    def search(self, start: int, radius: float = np.inf) -> dict[int, float]:
+        """The distance from ``start`` to every node within ``radius``."""
+        best, done, heap = {start: 0.0}, {}, [(0.0, start)]
+        while heap:
+            d, u = heapq.heappop(heap)
+            if u in done:
+                continue
+            done[u] = d
+            at = slice(self.starts[u], self.starts[u + 1])
+            for v, w in zip(self.ends[at].tolist(), self.weights[at].tolist(), strict=True):
+                t = d + w
+                if t <= radius and v not in done and t < best.get(v, np.inf):
+                    best[v] = t
+                    heapq.heappush(heap, (t, v))
+        return done
+
+
+def arrays_of(graph: Graph, most_nodes: int = MAX_BROADCAST_NODES, most_edges: int = MAX_BROADCAST_EDGES) -> Arrays | None:
+    """The graph as arrays on the driver, or None if it is larger than that; edges are counted before any is read."""
+    if graph.edges.limit(most_edges + 1).count() > most_edges or graph.nodes.limit(most_nodes + 1).count() > most_nodes:
+        return None
+    ids = graph.nodes.select("node_id").distinct().toArrow().column(0).to_numpy(zero_copy_only=False)
+    ids = np.sort(ids.astype(object))
+    edges = graph.edges.select("src", "dst", F.col("dist_m").cast("double").alias("w")).toArrow()
+    place = {n: i for i, n in enumerate(ids)}
+    a, b = (np.fromiter((place.get(x, -1) for x in edges.column(i).to_pylist()), np.int64, edges.num_rows) for i in (0, 1))
+    w, known = edges.column(2).to_numpy(), (a >= 0) & (b >= 0)
+    a, b, w = (np.concatenate([x[known], y[known]]) for x, y in ((a, b), (b, a), (w, w)))
+    order = np.argsort(a, kind="stable")
+    starts = np.searchsorted(a[order], np.arange(len(ids) + 1))
+    return Arrays(ids, starts, b[order], w[order])
 
-def relax(adj: DataFrame, sources: DataFrame, radius: float | None, max_rounds: int = 10_000) -> DataFrame:
-    """(src, dst, dist_m): the shortest distance from each source to each node within ``radius`` (None: any).
+
+def _searched(arrays: Arrays, sources: DataFrame) -> DataFrame:
+    """(src, dst, dist_m) of the sources (node_id, limit_m), each searched in the task that holds it."""
+    shared = sources.sparkSession.sparkContext.broadcast(arrays)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = shared.value
+        for b in batches:
+            src, dst, dist = [], [], []
+            for name, radius in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                at = int(np.searchsorted(g.ids, name)) if name is not None else len(g.ids)
+                found = g.search(at, radius) if at < len(g.ids) and g.ids[at] == name else {}
+                src += [name] * len(found)
+                dst += [g.ids[i] for i in found]
+                dist += found.values()
+                if len(src) >= _ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(dst, pa.string()), pa.array(dist, pa.float64())], names=["src", "dst", "dist_m"])
+                    src, dst, dist = [], [], []
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(dst, pa.string()), pa.array(dist, pa.float64())], names=["src", "dst", "dist_m"])
+
+    tasks = sources.sparkSession.sparkContext.defaultParallelism * 4
+    return sources.repartition(tasks, "node_id").mapInArrow(run, "src string, dst string, dist_m double")
+
+
+def relax(adj: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """(src, dst, dist_m): the shortest distance from each source (node_id, limit_m) to each node within its limit.
 
     Each round joins the pairs that got shorter with their neighbours and keeps the minimum of each pair, so it ends
     after as many rounds as the longest of those paths has edges. Pairs are partial minima before they shuffle; every
     round is a written table, so a lost executor costs one round at most. ``dist_m`` is summed from the source on.
     """
     adj = staged(adj, "adjacency")
-    best = staged(sources.select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"), F.lit(0.0).alias("dist_m"), F.lit(0).alias("turn")), "reach")
+    best = staged(sources.select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"), F.lit(0.0).alias("dist_m"), F.lit(0).alias("turn"), "limit_m"), "reach")
     for turn in range(1, max_rounds):
         last = best.where(F.col("turn") == turn - 1)
-        step = last.join(adj, F.col("dst") == F.col("u")).select("src", F.col("v").alias("dst"), (F.col("dist_m") + F.col("w")).alias("dist_m"), F.lit(turn).alias("turn"))
-        if radius is not None:
-            step = step.where(F.col("dist_m") <= radius)
-        both = best.unionByName(step).groupBy("src", "dst").agg(F.min(F.struct("dist_m", "turn")).alias("b"))
-        now, seen = staged_with(both.select("src", "dst", "b.dist_m", "b.turn"), "reach", n=F.count_if(F.col("turn") == turn))
+        step = last.join(adj, F.col("dst") == F.col("u")).select("src", F.col("v").alias("dst"), (F.col("dist_m") + F.col("w")).alias("dist_m"), F.lit(turn).alias("turn"), "limit_m")
+        both = best.unionByName(step.where("dist_m <= limit_m")).groupBy("src", "dst").agg(F.min(F.struct("dist_m", "turn", "limit_m")).alias("b"))
+        now, seen = staged_with(both.select("src", "dst", "b.*"), "reach", n=F.count_if(F.col("turn") == turn))
         drop_staged(best)
         best = now
         if not seen["n"]:
-            return best.drop("turn")
+            return best.drop("turn", "limit_m")
     raise RuntimeError("distances did not settle")
 
 
+def distances(graph: Graph, sources: DataFrame | None = None, radius_m: float | None = None, by_joins: bool | None = None) -> DataFrame:
+    """(src, dst, dist_m) from each source (node_id; default: every node) to what it reaches within ``radius_m`` (None:
+    any distance), itself included. ``sources`` may have a limit of their own, limit_m. ``by_joins``: by default, as
+    the size of the graph asks for."""
+    sources = graph.nodes if sources is None else sources
+    own = F.max("limit_m") if "limit_m" in sources.columns else F.lit(float("inf"))
+    limit = F.least(own, F.lit(float("inf") if radius_m is None else float(radius_m)))
+    sources = sources.groupBy("node_id").agg(limit.alias("limit_m"))
+    arrays = None if by_joins else arrays_of(graph)
+    return relax(adjacency(graph.edges), sources) if arrays is None else staged(_searched(arrays, sources), "reach")
+
+
 def bounded_reach(graph: Graph, radius_m: float, sources: DataFrame | None = None) -> DataFrame:
     """The nodes within ``radius_m`` of each source (default: every node), itself included."""
-    return relax(adjacency(graph.edges), graph.nodes if sources is None else sources, radius_m)
+    return distances(graph, sources, radius_m)
 
 
 def coverage_gain(reach: DataFrame, unsatisfied: DataFrame) -> DataFrame:

@@ -38,13 +38,13 @@ def speed_filter(points: DataFrame, max_speed_kmh: float = 200.0) -> DataFrame:
     rows = points.select(*COLUMNS).repartition("trip_id").sortWithinPartitions("trip_id", F.asc_nulls_last("ts"), "seq")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trip, last = None, None
+        trip, last = object(), None
         for b in batches:
             ids, lats, lons = (b.column(i).to_pylist() for i in (1, 2, 3))
-            times = [None if t is None else t // 1_000_000 * 1_000_000 + t % 1_000_000 for t in b.column(4).cast(pa.int64()).to_pylist()]
+            times = b.column(4).cast(pa.int64()).to_pylist()
             keep = np.ones(b.num_rows, bool)
             for i, (t, y, x, us) in enumerate(zip(ids, lats, lons, times, strict=True)):
-                if t != trip or i == 0 and trip is None:
+                if t != trip:
                     trip, last = t, None
                     if us is not None:
                         last = (y, x, us)
@@ -67,9 +67,11 @@ def speed_filter(points: DataFrame, max_speed_kmh: float = 200.0) -> DataFrame:
 
 
 def distinct_points(points: DataFrame) -> DataFrame:
-    """The first of points equal in trip, place and time."""
-    first = W.partitionBy("trip_id", "lat", "lon", "ts").orderBy("seq")
-    return points.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    """The first of points equal in trip, place and time: partial minima, without a sort."""
+    same = ["trip_id", "lat", "lon", "ts"]
+    rest = [c for c in points.columns if c not in same]
+    first = points.groupBy(*same).agg(F.min_by(F.struct(*rest), "seq").alias("r"))
+    return first.select(*[c if c in same else F.col(f"r.{c}").alias(c) for c in points.columns])
 
 
 def long_trips(points: DataFrame, least: int = 2) -> DataFrame:

@@ -9,10 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.functions.geo import haversine, hex_cell, in_ring
-from roadloom.operators import city, matching, metrics, placement, reach, road_graph, trips
+from roadloom.operators import city, metrics, reach, road_graph, trips
 from roadloom.operators.road_graph import Graph
 from roadloom.plans import store
-from roadloom.plans.config import PlacementRequest
 from roadloom.plans.staging import staged
 from roadloom.sources.points import parse_csv, points_of_events
 
@@ -153,45 +152,14 @@ def coverage_gain(s, d):
 
 def nearest_station(s, d):
     g = _graph(s, d, COARSE)
-    fixed = g.nodes.where(F.substring("node_id", -1, 1) == "3").select("node_id")
+    fixed = g.nodes.where("lat > 50 and lon > 17.1").select("node_id")
     return reach.nearest_station(g.nodes, reach.bounded_reach(g, RADIUS, fixed), fixed).select("node_id", F.round("dist_m", 3).alias("dist_m"))
 
 
-def eccentricity(s, d):
-    g = _graph(s, d, COARSE)
-    return metrics.eccentricities(g).select("node_id", F.round("ecc", 3).alias("ecc"))
-
-
 def eccentricity_sampled(s, d):
+    """From a sample of 50 nodes."""
     g = _graph(s, d, COARSE)
-    return metrics.eccentricities(g, g.nodes.where(F.substring("node_id", -2, 2) == "51").select("node_id")).select("node_id", F.round("ecc", 3).alias("ecc"))
-
-
-def graph_metrics(s, d):
-    m = metrics.compute_metrics(_graph(s, d, COARSE))
-    return m.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in m.dtypes])
-
-
-def treewidth(s, d):
-    g = _graph(s, d, COARSE)
-    return metrics.treewidth_bound(g, metrics.components_of(g))
-
-
-def _placed(s, d, algorithm):
-    r = PlacementRequest(algorithm, K, RADIUS, 3, seed=7)
-    return placement.place(_graph(s, d, COARSE), r).stations.select("node_id", "rank")
-
-
-def place_greedy(s, d):
-    return _placed(s, d, "GREEDY")
-
-
-def place_random(s, d):
-    return _placed(s, d, "RANDOM")
-
-
-def place_grasp(s, d):
-    return _placed(s, d, "GRASP")
+    return metrics.eccentricities(g, metrics.sample_nodes(g.nodes, 50)).select("node_id", F.round("ecc", 3).alias("ecc"))
 
 
 def csv_parse(s, d):
@@ -213,9 +181,10 @@ def pair_distance(s, d):
 
 
 def _segments(s, d) -> DataFrame:
-    """Road segments of three points from the events: ends on a grid of nodes, a point of their own between."""
-    p = trips.valid_points(_points(s, d)).where("seq < 1000000000")
-    i = F.col("seq")
+    """Road segments of three points from the events: ends on a grid of nodes, a point of their own between. Some are
+    repeated."""
+    p = trips.valid_points(_points(s, d))
+    i = F.col("seq") % 1_000_000_000
     lat, lon = lambda n: 49.0 + (n % 40) * 0.005, lambda n: 17.0 + F.floor(n / 40) % 40 * 0.005
     a, b = i % 1600, (i * 7 + 1 + i % 3) % 1600
     pt = lambda y, x: F.struct(y.alias("lat"), x.alias("lon"))
@@ -227,7 +196,7 @@ def _segments(s, d) -> DataFrame:
 
 
 def city_edges(s, d):
-    g = city.chain_graph(city.chains(city.within(city.drivable(_segments(s, d)), city.Boundary.of(RING))))
+    g = city.chain_graph(city.chains(city.within(city.drivable(_segments(s, d).dropDuplicates(["edge_id"])), city.Boundary.of(RING))))
     return g.edges.select("src", "dst", F.round("dist_m", 3).alias("dist_m"))
 
 
@@ -243,12 +212,6 @@ def graph_summaries(s, d):
     return store.graph_summaries(heads, o, read("lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("graph_id"), read("orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("graph_id")))
 
 
-def map_match(s, d):
-    """All trips matched to the roads that they make on a coarse grid."""
-    found = matching.RoadMatcher(_graph(s, d, COARSE), reach_m=2500.0).match(trips.numbered(_plain(s, d)))
-    return found.groupBy("trip_id").agg(F.count("*").alias("n_matched"))
-
-
 # SQL.
 _HAV = "(2 * 6371000.0 * atan2(sqrt({a}), sqrt(1 - {a})))"
 
@@ -302,7 +265,7 @@ _RINGSQL = ", ".join(f"({i}, {a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[
 _INSIDE = "((SELECT count(*) FROM ring g WHERE (g.y1 > {lat}) <> (g.y2 > {lat}) AND {lon} < (g.x2 - g.x1) * ({lat} - g.y1) / (g.y2 - g.y1) + g.x1) % 2 = 1)"
 _BOX = f"{{lat}} BETWEEN {min(p[1] for p in RING)} AND {max(p[1] for p in RING)} AND {{lon}} BETWEEN {min(p[0] for p in RING)} AND {max(p[0] for p in RING)} AND {_INSIDE}"
 _CITY = f"""{_P}, ring(i, x1, y1, x2, y2) AS (VALUES {_RINGSQL}),
-g AS (SELECT seq AS edge_id, seq % 1600 AS a, (seq * 7 + 1 + seq % 3) % 1600 AS b FROM v WHERE seq < 1000000000 AND (seq % 5 <> 0 OR seq % 10 = 0) AND seq % 11 <> 0),
+g AS (SELECT DISTINCT seq AS edge_id, seq % 1600 AS a, (seq * 7 + 1 + seq % 3) % 1600 AS b FROM (SELECT seq % 1000000000 AS seq FROM v) WHERE (seq % 5 <> 0 OR seq % 10 = 0) AND seq % 11 <> 0),
 h AS (SELECT edge_id, a, b, 49.0::DOUBLE + (a % 40) * 0.005::DOUBLE AS ya, 17.0::DOUBLE + (a // 40) % 40 * 0.005::DOUBLE AS xa, 49.0::DOUBLE + (b % 40) * 0.005::DOUBLE AS yb, 17.0::DOUBLE + (b // 40) % 40 * 0.005::DOUBLE AS xb FROM g WHERE a <> b),
 k AS MATERIALIZED (SELECT * FROM h WHERE ({_BOX.format(lat="ya", lon="xa")}) OR ({_BOX.format(lat="yb", lon="xb")})),
 q AS (SELECT edge_id, 0 AS pos, a::VARCHAR AS id, ya AS lat, xa AS lon FROM k UNION ALL SELECT edge_id, 1, edge_id || '_p1', (ya + yb) / 2, (xa + xb) / 2 FROM k UNION ALL SELECT edge_id, 2, b::VARCHAR, yb, xb FROM k),
@@ -344,8 +307,8 @@ ORACLES = {
     "road_components": f"{_W}{_P}, {_FOLD}, kp AS (SELECT o.* EXCLUDE (rn) FROM o JOIN f USING (seq) WHERE keep), d1 AS ({_FIRST.format(t='kp')}), l1 AS ({_LONG.format(t='d1')}), o1 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY us NULLS LAST, seq) - 1 AS pos FROM l1), {_merged(FINE, 'o1')}, {_LABELS}, {_SIZES}, rk AS (SELECT component, row_number() OVER (ORDER BY size DESC, component) - 1 AS component_id FROM sz) SELECT component_id, count(*) AS n_nodes, round(min(lat), 6) AS min_lat, round(max(lat), 6) AS max_lat FROM cc JOIN nodes ON node_id = id JOIN rk ON component = c GROUP BY component_id",
     "reach": f"{_W}{_C}, {_dist('nodes', _NEAR)} SELECT s AS src, t AS dst, round(d, 3) AS dist_m FROM r",
     "coverage_gain": f"{_W}{_C}, {_dist('nodes', _NEAR)} SELECT s AS node_id, count(*) AS gain FROM r WHERE t IN (SELECT node_id FROM nodes WHERE lat > 50) GROUP BY s",
-    "nearest_station": f"{_W}{_C}, fx AS (SELECT node_id FROM nodes WHERE right(node_id, 1) = '3'), {_dist('fx', _NEAR)} SELECT node_id, round(coalesce(min(d), -1), 3) AS dist_m FROM nodes LEFT JOIN r ON t = node_id GROUP BY node_id",
-    "eccentricity_sampled": f"{_W}{_C}, fx AS (SELECT node_id FROM nodes WHERE right(node_id, 2) = '51'), {_dist('fx')} SELECT s AS node_id, round(max(d), 3) AS ecc FROM r GROUP BY s",
+    "nearest_station": f"{_W}{_C}, fx AS (SELECT node_id FROM nodes WHERE lat > 50 AND lon > 17.1), {_dist('fx', _NEAR)} SELECT node_id, round(coalesce(min(d), -1), 3) AS dist_m FROM nodes LEFT JOIN r ON t = node_id GROUP BY node_id",
+    "eccentricity_sampled": f"{_W}{_C}, fx AS (SELECT node_id FROM nodes ORDER BY md5(node_id || ':0'), node_id LIMIT 50), {_dist('fx')} SELECT s AS node_id, round(max(d), 3) AS ecc FROM r GROUP BY s",
     "csv_parse": f"WITH {_P} SELECT seq, CASE WHEN seq % 13 = 0 THEN 1 ELSE trip_id END AS trip_id, lat, lon, us FROM p WHERE seq % 17 <> 0 AND seq % 19 <> 0",
     "in_polygon": f"WITH {_P}, ring(i, x1, y1, x2, y2) AS (VALUES {_RINGSQL}) SELECT seq, lat, lon FROM v WHERE {_INSIDE.format(lat='v.lat', lon='v.lon')}",
     "pair_distance": f"WITH {_P} SELECT seq, round({hav('lat', 'lon', '48.1::DOUBLE', '17.1::DOUBLE')}, 3) AS dist_m FROM v",
@@ -357,7 +320,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         coord_filter, trip_sizes, speed_filter, clean_trips, dedup, min_len, point_order, traj_edges, cell_nodes, cell_edges, hex_cells, edge_canonical, node_distinct, bound_edges,
-        avg_edge_len, bbox_density, avg_degree, degrees, clustering, components, component_rank, component_prune, road_components, coverage_gain, nearest_station, eccentricity,
-        eccentricity_sampled, graph_metrics, treewidth, place_greedy, place_random, place_grasp, csv_parse, in_polygon, pair_distance, city_edges, city_nodes, graph_summaries, map_match,
+        avg_edge_len, bbox_density, avg_degree, degrees, clustering, components, component_rank, component_prune, road_components, coverage_gain, nearest_station,
+        eccentricity_sampled, csv_parse, in_polygon, pair_distance, city_edges, city_nodes, graph_summaries,
     )
 } | {"reach": graph_reach}

@@ -36,6 +36,16 @@ class GraphStore:
         row = [(graph_id, user_id, name, created or now, now, revision, deleted)]
         self.spark.createDataFrame(row, _HEADER).coalesce(1).write.mode("append").parquet(f"{self.root}/headers")
 
+    def _claim(self) -> int:
+        """An id of its own, also beside other writers: a marker file is created for it, which fails where it exists."""
+        graph_id = self._read("headers", _HEADER).agg(F.coalesce(F.max("graph_id"), F.lit(0))).first()[0]
+        jvm = self.spark._jvm
+        while True:
+            graph_id += 1
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/ids/{graph_id}")
+            if path.getFileSystem(self.spark._jsc.hadoopConfiguration()).createNewFile(path):
+                return graph_id
+
     def headers(self, user_id: int | None = None) -> DataFrame:
         """The latest header of each graph that isn't deleted."""
         rows = self._read("headers", _HEADER)
@@ -51,8 +61,7 @@ class GraphStore:
 
     def save(self, graph: Graph, name: str, user_id: int, stations: DataFrame | None = None, metrics: DataFrame | None = None) -> int:
         """Save a graph and return its id."""
-        taken = self._read("headers", _HEADER).agg(F.coalesce(F.max("graph_id"), F.lit(0))).first()[0]
-        graph_id = taken + 1
+        graph_id = self._claim()
         self._append(graph.nodes, "nodes", graph_id)
         self._append(graph.edges, "edges", graph_id)
         if stations is not None:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from roadloom.plans.order import ranked
+
 POINTS = T.StructType(
     [T.StructField("seq", T.LongType()), T.StructField("trip_id", T.IntegerType()), T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType()), T.StructField("ts", T.TimestampType())]
 )
@@ -24,14 +27,19 @@ def instant(text: Column) -> Column:
     return F.when(F.trim(text).rlike(_INSTANT), F.trim(text).try_cast("timestamp"))
 
 
-def read_gpx(spark: SparkSession, path: str) -> DataFrame:
-    """Track points; every segment is a trip, counted from 1 across tracks, empty ones too. A point without a time
-    has the file's. Routes and waypoints don't count."""
+def _file(with_file: bool) -> list[Column]:
+    return [F.col("_metadata.file_path").alias("file")] if with_file else []
+
+
+def read_gpx(spark: SparkSession, path: str | list[str], with_file: bool = False) -> DataFrame:
+    """Track points; every segment is a trip, counted from 1 across a file's tracks, empty ones too. A point without a
+    time has the file's. Routes and waypoints don't count. ``with_file``: a column ``file`` comes first."""
     rows = spark.read.format("xml").option("rowTag", "gpx").schema(_GPX).load(path)
-    segments = rows.select(F.col("metadata.time").alias("whole"), F.posexplode(F.flatten(F.transform("trk", lambda t: F.coalesce(t["trkseg"], F.array())))).alias("s", "seg"))
-    points = segments.select("whole", "s", F.posexplode("seg.trkpt").alias("p", "pt"))
+    kept = ["file"] if with_file else []
+    segments = rows.select(*_file(with_file), F.col("metadata.time").alias("whole"), F.posexplode(F.flatten(F.transform("trk", lambda t: F.coalesce(t["trkseg"], F.array())))).alias("s", "seg"))
+    points = segments.select(*kept, "whole", "s", F.posexplode("seg.trkpt").alias("p", "pt"))
     return points.select(
-        ((F.col("s").cast("long") * F.lit(1 << 32)) + F.col("p")).alias("seq"), (F.col("s") + 1).cast("int").alias("trip_id"),
+        *kept, ((F.col("s").cast("long") * F.lit(1 << 32)) + F.col("p")).alias("seq"), (F.col("s") + 1).cast("int").alias("trip_id"),
         F.col("pt._lat").alias("lat"), F.col("pt._lon").alias("lon"), instant(F.coalesce("pt.time", "whole")).alias("ts"),
     )
 
@@ -66,16 +74,17 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return points
 
 
-def read_geojson(spark: SparkSession, path: str) -> DataFrame:
+def read_geojson(spark: SparkSession, path: str | list[str], with_file: bool = False) -> DataFrame:
     """Point features; coordinates are (lon, lat). A missing timestamp or another geometry fails the query; a
-    missing trip_id is 1."""
+    missing trip_id is 1. ``with_file``: a column ``file`` comes first."""
     rows = spark.read.option("multiLine", True).schema(_GEOJSON).json(path)
-    f = rows.select(F.posexplode("features").alias("seq", "f"))
+    kept = ["file"] if with_file else []
+    f = rows.select(*_file(with_file), F.posexplode("features").alias("seq", "f"))
     c = F.col("f.geometry.coordinates")
     fail = lambda test, value, why: F.when(test, value).otherwise(F.raise_error(F.lit(why)).cast("string"))
     is_point = (F.coalesce(F.col("f.geometry.type"), F.lit("Point")) == "Point") & (F.size(c) >= 2)
     return f.select(
-        F.col("seq").cast("long").alias("seq"), F.coalesce(F.col("f.properties.trip_id"), F.lit(1)).alias("trip_id"),
+        *kept, F.col("seq").cast("long").alias("seq"), F.coalesce(F.col("f.properties.trip_id"), F.lit(1)).alias("trip_id"),
         fail(is_point, c[1], "a feature is not a Point").cast("double").alias("lat"), fail(is_point, c[0], "a feature is not a Point").cast("double").alias("lon"),
         instant(fail(F.col("f.properties.timestamp").isNotNull(), F.col("f.properties.timestamp"), "a feature has no timestamp")).alias("ts"),
     )
@@ -92,6 +101,32 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
     return _READERS[kind](spark, path)
 
 
+def read_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, seq, trip_id, lat, lon, ts) of all files in a folder and those below, each read by its extension; seq and
+    trip_id are those within the file, see :func:`merged_files`. Names that begin with a dot or underscore don't count."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found, by_kind = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), {}
+    while found.hasNext():
+        file = found.next().getPath()
+        if not file.getName().startswith((".", "_")):
+            by_kind.setdefault(file.getName().rsplit(".", 1)[-1], []).append(file.toString())
+    if not by_kind or set(by_kind) - set(_READERS):
+        raise ValueError(f"unsupported file format in {folder}: {sorted(set(by_kind) - set(_READERS))}" if by_kind else f"no files in {folder}")
+    parts = []
+    for kind, paths in sorted(by_kind.items()):
+        # Each CSV file has a header of its own.
+        parts += [read_csv(spark, p).select(F.lit(p).alias("file"), "*") for p in sorted(paths)] if kind == "csv" else [_READERS[kind](spark, paths, with_file=True)]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def merged_files(points: DataFrame) -> DataFrame:
+    """Points of many files (file, seq, trip_id, ...) as those of one: trips numbered by file and trip from 1, points by
+    file and seq from 0."""
+    trips = ranked(points.select("file", "trip_id").distinct(), "file", "trip_id", out="n")
+    rows = points.join(trips, ["file", "trip_id"]).withColumn("trip_id", (F.col("n") + 1).cast("int")).drop("n").withColumnRenamed("seq", "own")
+    return ranked(rows, "file", "own", out="seq").select("seq", "trip_id", "lat", "lon", "ts")
+
+
 def list_samples(folder: str) -> list[str]:
     return sorted(f for f in os.listdir(folder) if "." in f)
 
