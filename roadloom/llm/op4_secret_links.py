@@ -1,8 +1,8 @@
 """Secret scans by linking the parts of multipart credentials.
 
 A text's scopes are its paragraphs, cut at blank lines. Within a scope, an interval join links access identifiers,
-secrets and endpoints that lie at most ``gap`` characters apart. Strong parts are reported as they are; a weak
-candidate is reported only when a part that complements it is that near.
+secrets and endpoints. Strong parts are reported as they are; a weak candidate is reported only when a part that
+complements it lies in its scope, or near it there if the policy sets a gap.
 """
 
 from __future__ import annotations
@@ -36,9 +36,9 @@ _BLANK = re.compile(r"\n[\x20\t\r]*\n")
 
 @dataclass(frozen=True)
 class LinkPolicy:
-    """gap: most characters between linked parts. Both parts of a link lie in one scope."""
+    """gap: most characters between linked parts (None: any). Both parts of a link lie in one scope."""
 
-    gap: int = 200
+    gap: int | None = None
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -60,7 +60,7 @@ def weak_spans(text: str, base: list[tuple[int, int, str]], policy: LinkPolicy =
 
     An identifier is complemented by a secret, a secret by an identifier, and an endpoint by either. What supports
     a candidate is a base part (access identifiers; assigned values and hex secrets) or, for an identifier and a
-    secret that are both weak, one another; an endpoint supports a secret too. The join is a sweep: parts of each
+    secret that are both weak, one another; an endpoint supports a secret too, also one that overlaps a base span. The join is a sweep: parts of each
     role are sorted by start with running greatest ends, so a search finds each candidate's nearest partner.
     """
     weak = [(m.start(m.lastindex), m.end(m.lastindex), "weak_id") for m in _WEAK_ID.finditer(text)]
@@ -77,11 +77,14 @@ def weak_spans(text: str, base: list[tuple[int, int, str]], policy: LinkPolicy =
     free = [x for x in weak + ends if not _near(spans, taken, x[0], x[1], -1)]
     if not free:
         return []
+    # An endpoint that holds a base span isn't reported, but what is beside it belongs to it.
+    held = [(a, b, "") for a, b, _ in ends if _near(spans, taken, a, b, -1)]
     cuts = [m.start() for m in _BLANK.finditer(text)]
     scoped: dict[int, dict[str, list]] = {}
-    for a, b, kind in [*base, *free]:
-        role = {"access": "id", "weak_id": "id", "endpoint": "endpoint"}.get(kind, "secret")
+    for a, b, kind in [*base, *free, *held]:
+        role = {"access": "id", "weak_id": "id", "endpoint": "endpoint", "": "endpoint"}.get(kind, "secret")
         scoped.setdefault(bisect_left(cuts, a), {}).setdefault(role, []).append((a, b, kind))
+    gap = len(text) if policy.gap is None else policy.gap
     for roles in scoped.values():
         sides = {}
         for role, parts in roles.items():
@@ -93,7 +96,7 @@ def weak_spans(text: str, base: list[tuple[int, int, str]], policy: LinkPolicy =
             sides[role] = ([(a, b) for a, b, _ in parts], reach)
         for role, partners in (("id", ("secret",)), ("secret", ("id", "endpoint")), ("endpoint", ("id", "secret"))):
             for a, b, kind in roles.get(role, []):
-                if kind in WEAK and any(p in sides and _near(*sides[p], a, b, policy.gap) for p in partners):
+                if kind in WEAK and any(p in sides and _near(*sides[p], a, b, gap) for p in partners):
                     found.append((a, b, kind))
     return found
 
@@ -137,7 +140,11 @@ def redact(text: str | None, policy: LinkPolicy = LinkPolicy()) -> str | None:
 
 
 def redact_secrets(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars", policy: LinkPolicy = LinkPolicy()) -> DataFrame:
-    """``docs``, with the same columns in the same order, the text redacted and its length in ``n_chars`` renewed."""
+    """``docs``, with the same columns in the same order, the text redacted and its length in ``n_chars`` renewed.
+
+    Null text: stays null, as does its length. Empty and clean texts stay as they are. Repeated rows are redacted
+    alike. Empty table: no rows. Columns may have any name.
+    """
     cols = docs.columns
 
     def make(texts: list) -> list[pa.Array]:

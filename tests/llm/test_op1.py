@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pyarrow as pa
 
-from roadloom.llm.op1_itq import ItqPolicy, candidates, encode, fit_rotation, near_duplicates, unit_rows
+from roadloom.llm.op1_itq import ItqPolicy, candidates, encode, fit_rotation, layout_for, near_duplicates, unit_rows
 from roadloom.llm.registry import ORACLES, QUERIES
 
 
@@ -45,9 +45,35 @@ def make_rows():
 def test_against_brute_force(spark):
     rows = make_rows()
     df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").withColumnRenamed("vec_id", "id")
-    got = near_duplicates(df.selectExpr("id", "label", "embedding", "1 as digest", "2 as code"), key="id")
+    clash = df.selectExpr("id", "label", "embedding", "1 as digest", "2 as codes", "3 as dim", "4 as _again")
     rows32 = [(k, lab, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for k, lab, v in rows]
-    assert sorted((tuple(r) for r in got.collect()), key=repr) == plain(rows32)
+    for layout in (None, (3, 4)):
+        got = near_duplicates(clash, key="id", policy=ItqPolicy(layout=layout))
+        assert sorted((tuple(r) for r in got.collect()), key=repr) == plain(rows32)
+
+
+def test_great_and_small_components(spark):
+    rows = [(1, 0, [1e200, 2e200]), (2, 0, [1.0, 2.0]), (3, 0, [1e-200, 2.1e-200]), (4, 0, [1e308, -1e308]), (5, 0, [5e-324, 0.0])]
+    got = near_duplicates(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4), (5, 0, 5)]
+
+
+def test_recall_at_the_threshold(spark):
+    """Of pairs barely above the threshold, in every layout, at least 0.9 are found; and none below it."""
+    rng, rows = np.random.default_rng(12), []
+    for i in range(1500):
+        a = rng.normal(size=64)
+        a /= np.linalg.norm(a)
+        b = rng.normal(size=64)
+        b -= a * (a @ b)
+        c = 0.93 + 0.004 * rng.random() if i % 5 else 0.925
+        rows += [(2 * i, 0, a.tolist()), (2 * i + 1, 0, (c * a + (1 - c * c) ** 0.5 * b / np.linalg.norm(b)).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    assert [layout_for(n) for n in (0, 10**5, 10**7)] == [(1, 6), (3, 4), (7, 3)]
+    for layout in ((1, 6), (3, 4), (7, 3)):
+        found = {r["vec_id"] // 2 for r in near_duplicates(df, policy=ItqPolicy(layout=layout)).where("n_links > 0").collect()}
+        print(layout, len(found) / 1200)
+        assert len(found) >= 0.9 * 1200 and all(i % 5 for i in found)
 
 
 def test_empty(spark):
@@ -68,7 +94,7 @@ def test_candidates_miss_nothing(spark):
     base = int(rng.integers(0, 1 << 62))
     codes = [base] + [base ^ int(sum(1 << int(b) for b in rng.choice(64, n, replace=False))) for n in (1, 3, 6, 9, 11, 11, 11, 12, 14)]
     codes = [c - (1 << 64) if c >= 1 << 63 else c for c in codes]
-    df = spark.createDataFrame([(1, 4, i, c) for i, c in enumerate(codes)], "label int, dim int, rep long, code long")
+    df = spark.createDataFrame([(1, 4, i, [c]) for i, c in enumerate(codes)], "label int, dim int, rep long, codes array<long>")
     got = [tuple(r) for r in candidates(df, ItqPolicy()).collect()]
     want = [(i, j) for i in range(len(codes)) for j in range(i + 1, len(codes)) if bin((codes[i] ^ codes[j]) & (2**64 - 1)).count("1") <= 11]
     assert sorted(got) == want

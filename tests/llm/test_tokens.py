@@ -99,12 +99,32 @@ def plain():
     return tiktoken.Encoding("plain", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def test_parts_are_safe(plain):
-    for t in texts(400, 2, 60) + ["word and 12 more\n\n  lines " * 40, "x" * 500, " " * 500]:
+@pytest.fixture(scope="module")
+def ranks():
+    with open(P.path(op5.RANKS), "rb") as f:
+        return f.read()
+
+
+CUTS = [*BITS, " " * 5, "\n" * 4, "\t\t", "\u3000\u3000", "中文", "。", "，", "가", "テ", "x)", "9-", "\x1f"]
+
+
+def test_parts_are_safe(plain, ranks):
+    rng = random.Random(7)
+    sample = texts(400, 2, 60) + ["".join(rng.choice(CUTS) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    for t in sample + ["word and 12 more\n\n  lines " * 40, "x" * 500, " " * 500, "中。" * 300, "a" + "\n" * 300, "\t" * 300 + "b"]:
         for size in (1, 5, 17):
-            parts = op5.safe_parts(t, size)
-            assert "".join(parts) == t
-            assert [i for p in parts for i in plain.encode_ordinary(p)] == plain.encode_ordinary(t)
+            assert "".join(p for p, _ in op5.safe_parts(t, size)) == t
+            assert op5.encode_text(ranks, P.PATTERN, t, size).tolist() == plain.encode_ordinary(t), (t, size)
+    assert max(len(p) for p, one in op5.safe_parts("中文，字。" * 1000, 50) if not one) < 60
+
+
+@pytest.mark.parametrize("before, after", [("", ""), ("a", ""), ("", "b"), ("1.\n", "  z")])
+def test_long_runs(plain, ranks, before, after):
+    for run in (" ", "\t", "\n", " \n\t", "x", "中", "=", "é1"):
+        some, all_ = (before + (run * (n // len(run) + 1))[:n] + after for n in (200_000, 5_000_000))
+        assert op5.encode_text(ranks, P.PATTERN, some).tolist() == plain.encode_ordinary(some)
+        if before == "1.\n":
+            assert plain.decode_bytes(op5.encode_text(ranks, P.PATTERN, all_).tolist()) == all_.encode()
 
 
 def test_encode_and_decode(odd, none, plain):
@@ -115,6 +135,12 @@ def test_encode_and_decode(odd, none, plain):
     assert len(rows) == 9 and op5.encode(none).count() == 0
 
 
+def test_a_row_of_white_space_survives(spark):
+    df = spark.createDataFrame([(1, " " * 1_500_000), (2, "a\n" + "\t" * 1_500_000 + "b"), (3, "x")], "doc_id long, text string")
+    for r in op5.decode(op5.encode(df)).collect():
+        assert r["decoded"] == r["text"].encode()
+
+
 def test_decoding_is_raw(spark, plain):
     half = np.array([plain.encode_single_token(bytes([b])) for b in "é".encode()[:1]], "<u4").tobytes()
     rows = op5.decode(spark.createDataFrame([(half,), (None,)], "ids binary")).collect()
