@@ -30,11 +30,10 @@ class MixPolicy:
     shares are scaled to sum to 1; values without a target get none, and targets of absent values can't be met.
     rounds: of raking. give_way: where the targets can't be met at ``rate``, sample less, so that they are met;
     otherwise values with too few tokens are taken whole as far as the others allow, and fall short. headroom: the
-    share of the greatest rate at which each value alone has tokens enough that is tried first; then 0.8 of it, and
-    so on. tolerance: the greatest relative gap between what is sampled and a target; beyond it a warning is logged,
-    or with ``strict`` an error raised. marks: by topic, the strings that mark it. seed: of the draws.
-    broadcast_cells: up to so many cells, which the driver counts, they are broadcast to the documents; beyond it the
-    join shuffles."""
+    share of the greatest rate at which each value alone has tokens enough that is tried first. tolerance: the
+    greatest relative gap between what is sampled and a target; beyond it a warning is logged, or with ``strict`` an
+    error raised. marks: by topic, the strings that mark it. seed: of the draws. broadcast_cells: up to so many cells,
+    which the driver counts, they are broadcast to the documents; beyond it the join shuffles."""
 
     rate: float = 0.8
     temperature: float = 0.7
@@ -128,8 +127,9 @@ def calibrate(cells: DataFrame, policy: MixPolicy = MixPolicy()) -> tuple[DataFr
     """:func:`rake` at the greatest rate up to the policy's at which the targets are met, and the largest relative gap
     that is left in a marginal.
 
-    With ``give_way`` the rate falls to what every value of every dimension can give, and further until the gap is
-    within the tolerance or no cell is capped. Otherwise the rate stays, and values with too few tokens fall short.
+    With ``give_way`` the rate falls to what every value of every dimension can give; if the gap is still above the
+    tolerance there, towards the rate at which no cell is capped, which one more fit tells, and at last to that rate.
+    Otherwise the rate stays, and values with too few tokens fall short.
     """
     goals = {d: _goal(cells, d, policy) for d in DIMS}
     total = float(cells.agg(F.sum("w")).first()[0] or 0.0)
@@ -137,13 +137,21 @@ def calibrate(cells: DataFrame, policy: MixPolicy = MixPolicy()) -> tuple[DataFr
     if policy.give_way and total:
         most = [goals[d].where("goal > 0 and has > 0").agg(F.min(F.col("has") / F.col("goal"))).first()[0] for d in DIMS]
         rate = min([rate, *[policy.headroom * m / total for m in most if m is not None]])
-    while True:
+
+    def tried(rate: float) -> tuple[DataFrame, float, float]:
         out = staged(rake(cells, goals, rate, policy), "probabilities")
-        gap = largest_gap(marginals(out, goals))
-        if gap <= policy.tolerance or not policy.give_way or not out.where("probability >= 1").limit(1).count():
-            return out, gap
-        drop_staged(out)
-        rate *= 0.8
+        return out, largest_gap(marginals(out, goals)), out.agg(F.max("probability")).first()[0] or 0.0
+
+    out, gap, top = tried(rate)
+    if gap <= policy.tolerance or not policy.give_way or top < 1:
+        return out, gap
+    low = 1e-6 * rate
+    open_, open_gap, top = tried(low)
+    uncapped = min(rate, low / top) if top else low
+    out, gap, _ = tried((rate * uncapped) ** 0.5)
+    if gap <= policy.tolerance:
+        return out, gap
+    return staged(open_.withColumn("probability", F.least(F.col("probability") * (uncapped / low), F.lit(1.0))), "probabilities"), open_gap
 
 
 def marginals(rows: DataFrame, goals: dict) -> DataFrame:
