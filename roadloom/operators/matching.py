@@ -142,7 +142,7 @@ class RoadMatcher:
 def _forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The least total cost of each place, from rows (trip_id, pos, p, place, cost) in order; one point's places are in
     memory at a time. A trip ends at its first gap."""
-    trip, pos, alive, best, new = None, -1, False, {}, {}
+    trip, pos, alive, best, new = object(), -1, False, {}, {}
     out: list[tuple] = []
 
     def close() -> None:
@@ -181,7 +181,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _backward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The chosen places, from rows (trip_id, pos, place, via, last) of each trip from its end on."""
-    trip, want = None, None
+    trip, want, next_pos = object(), None, -1
     for batch in batches:
         out: list[tuple] = []
         for t, at, b, via, last in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):

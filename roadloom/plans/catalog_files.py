@@ -131,8 +131,8 @@ def saved_graphs(s, d):
         except ValueError:
             denied += 1
     loaded, stations, _ = store.load(first, 1)
-    rows = store.list(1).select("graph_id", "name", "node_count", "edge_count", "station_count")
-    sums = loaded.edges.agg(F.count("*").alias("edge_count")).select(F.lit(0).cast("long").alias("graph_id"), F.lit("loaded").alias("name"), F.lit(denied).cast("long").alias("node_count"), "edge_count", F.lit(stations.count()).cast("long").alias("station_count"))
+    rows = store.list(1).select((F.col("graph_id") == first).alias("first"), "name", "node_count", "edge_count", "station_count")
+    sums = loaded.edges.agg(F.count("*").alias("edge_count")).select(F.lit(True).alias("first"), F.lit("loaded").alias("name"), F.lit(denied).cast("long").alias("node_count"), "edge_count", F.lit(stations.count()).cast("long").alias("station_count"))
     return rows.unionByName(sums)
 
 
@@ -175,7 +175,7 @@ ORACLES = {
     "in_boundary": f"WITH {_P}, sd(x1, y1, x2, y2) AS (VALUES {_VALUES}), k AS (SELECT seq, count(*) FILTER ((y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / CASE WHEN y1 = y2 THEN 1 ELSE y2 - y1 END + x1) % 2 = 1 AS inside, bool_or(pow(lon - x1 - {_T} * (x2 - x1), 2) + pow(lat - y1 - {_T} * (y2 - y1), 2) <= pow({BUFFER_M}::DOUBLE / 111000, 2)) AS close_by FROM v, sd WHERE {_BOX} GROUP BY seq) SELECT seq, inside, inside OR close_by AS near FROM k WHERE inside OR close_by",
     "request_graph": "WITH e AS (SELECT n_nationkey AS k, 'n' || n_nationkey AS a, 'n' || (n_nationkey + 1 + n_regionkey) % 27 AS b, 10.0::DOUBLE + n_nationkey AS v FROM nation), i AS (SELECT 'n' || n_nationkey AS id FROM nation) SELECT 'n' || n_nationkey AS a, NULL::VARCHAR AS b, n_nationkey::DOUBLE AS v FROM nation UNION ALL SELECT least(a, b), greatest(a, b), arg_min(v, k) FROM e WHERE a IN (SELECT id FROM i) AND b IN (SELECT id FROM i) GROUP BY ALL",
     "wire_form": f"{_W}{_F}, {_LABELS}, {_SIZES}, rk AS (SELECT component, row_number() OVER (ORDER BY size DESC, component) - 1 AS part FROM sz) SELECT node_id AS a, '' AS b, round(lat, 6) AS v, part FROM nodes JOIN cc ON id = node_id JOIN rk ON component = c UNION ALL SELECT src, dst, dist_m, NULL FROM edges",
-    "saved_graphs": f"WITH {_C}, n AS (SELECT count(*) AS n, count(*) FILTER (lat < 50) AS south, count(*) FILTER (lat > 51.9) AS north FROM nodes), ge AS (SELECT count(*) AS n, count(*) FILTER (src IN (SELECT node_id FROM nodes WHERE lat < 50) AND dst IN (SELECT node_id FROM nodes WHERE lat < 50)) AS south FROM edges) SELECT 1::BIGINT AS graph_id, 'all' AS name, n.n AS node_count, ge.n AS edge_count, n.north AS station_count FROM n, ge UNION ALL SELECT 2, 'half', n.south, ge.south, 0 FROM n, ge UNION ALL SELECT 0, 'loaded', 3, ge.n, n.north FROM n, ge",
+    "saved_graphs": f"WITH {_C}, n AS (SELECT count(*) AS n, count(*) FILTER (lat < 50) AS south, count(*) FILTER (lat > 51.9) AS north FROM nodes), ge AS (SELECT count(*) AS n, count(*) FILTER (src IN (SELECT node_id FROM nodes WHERE lat < 50) AND dst IN (SELECT node_id FROM nodes WHERE lat < 50)) AS south FROM edges) SELECT TRUE AS first, 'all' AS name, n.n AS node_count, ge.n AS edge_count, n.north AS station_count FROM n, ge UNION ALL SELECT FALSE, 'half', n.south, ge.south, 0 FROM n, ge UNION ALL SELECT TRUE, 'loaded', 3, ge.n, n.north FROM n, ge",
     "settings": "SELECT * FROM (VALUES ('max_speed_kmh', '200.0'), ('cell_resolution', '12'), ('k', '2'), ('max_radius_m', '1000.0'), ('iterations', '10'), ('grasp_alpha', '0.3'), ('grasp_eval_budget', '500'), ('country', 'None'), ('retain_percent', '2.0'), ('buffer_m', '100.0'), ('algorithm', 'RANDOM')) t(name, value)",
     "refusals": "SELECT * FROM (VALUES ('settings', 'country must be sk, cz, at or None; k must be from 1 to 1000000, not 0; grasp_alpha must be from 0 to 1, not 1.5'), ('size', 'the graph has more than 10 nodes'), ('format', 'unsupported file format: track.GPX'), ('sample', 'a sample''s name must not hold a path'), ('city', 'city not found'), ('loop', 'a graph must not hold self-loops')) t(name, message)",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,36 +16,28 @@ _HEADER = "graph_id long, user_id long, name string, created_at timestamp_ntz, u
 class GraphStore:
     """Graphs of users under ``root``, a folder that all executors reach.
 
-    Parts are appended in folders by graph_id; a header row is appended for each change and the latest counts, so
-    renaming and deleting never rewrite data."""
+    Parts lie in folders by graph_id; a header row is added for each change and the latest counts, so renaming and
+    deleting never rewrite data."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
     def _append(self, df: DataFrame, table: str, graph_id: int) -> None:
-        df.withColumn("graph_id", F.lit(graph_id).cast("long")).write.mode("append").partitionBy("graph_id").parquet(f"{self.root}/{table}")
+        # A folder of its own: writers who append to one folder would clear each other's files under way.
+        df.write.parquet(f"{self.root}/{table}/graph_id={graph_id}")
 
     def _exists(self, table: str) -> bool:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
     def _read(self, table: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}") if self._exists(table) else self.spark.createDataFrame([], schema)
+        empty = self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}").select(*empty.columns) if self._exists(table) else empty
 
     def _write_header(self, graph_id: int, user_id: int, name: str, created: datetime, revision: int, deleted: bool = False) -> None:
         now = datetime.now(UTC).replace(tzinfo=None)
         row = [(graph_id, user_id, name, created or now, now, revision, deleted)]
-        self.spark.createDataFrame(row, _HEADER).coalesce(1).write.mode("append").parquet(f"{self.root}/headers")
-
-    def _claim(self) -> int:
-        """An id of its own, also beside other writers: a marker file is created for it, which fails where it exists."""
-        graph_id = self._read("headers", _HEADER).agg(F.coalesce(F.max("graph_id"), F.lit(0))).first()[0]
-        jvm = self.spark._jvm
-        while True:
-            graph_id += 1
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/ids/{graph_id}")
-            if path.getFileSystem(self.spark._jsc.hadoopConfiguration()).createNewFile(path):
-                return graph_id
+        self.spark.createDataFrame(row, _HEADER).coalesce(1).write.parquet(f"{self.root}/headers/entry={uuid.uuid4().hex}")
 
     def headers(self, user_id: int | None = None) -> DataFrame:
         """The latest header of each graph that isn't deleted."""
@@ -60,8 +53,8 @@ class GraphStore:
         return row
 
     def save(self, graph: Graph, name: str, user_id: int, stations: DataFrame | None = None, metrics: DataFrame | None = None) -> int:
-        """Save a graph and return its id."""
-        graph_id = self._claim()
+        """Save a graph and return its id: 63 random bits, so that writers need not ask one another."""
+        graph_id = uuid.uuid4().int >> 65
         self._append(graph.nodes, "nodes", graph_id)
         self._append(graph.edges, "edges", graph_id)
         if stations is not None:

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import hashlib
 import heapq
+import math
 import random
 
 import pytest
@@ -106,11 +108,15 @@ def test_eccentricities_agree(spark):
     assert {r[0]: r[1] for r in metrics.eccentricities(g, g.nodes).collect()} == pytest.approx(want)
 
 
-def test_reach(spark):
+@pytest.mark.parametrize("by_joins", [None, True])
+def test_reach(spark, by_joins):
     edges = random_edges(1)
-    got = {(r[0], r[1]): r[2] for r in reach.bounded_reach(make(spark, edges), 500).collect()}
-    near = links(edges)
+    g, near = make(spark, edges), links(edges)
+    got = {(r[0], r[1]): r[2] for r in reach.distances(g, radius_m=500, by_joins=by_joins).collect()}
     assert got == pytest.approx({(s, t): d for s in near for t, d in within(near, s, 500).items()})
+    some = spark.createDataFrame([("v01", 100.0), ("v01", 300.0), ("v02", 50.0), ("none", 1e9)], "node_id string, limit_m double")
+    got = {(r[0], r[1]): r[2] for r in reach.distances(g, some, by_joins=by_joins).where("src <> 'none'").collect()}
+    assert got == pytest.approx({(s, t): d for s, m in (("v01", 300), ("v02", 50)) for t, d in within(near, s, m).items()})
 
 
 def greedy_plain(near, nodes, r, k):
@@ -143,10 +149,9 @@ def test_random_is_a_random_order(spark):
     g, near, k = make(spark, edges), links(edges), 2
     table = reach.bounded_reach(g, 300)
     runs = placement.random_runs(table, g.nodes, k, 3, seed=1).collect()
-    order = g.nodes.selectExpr("node_id as node", "explode(sequence(0, 2)) as run").selectExpr("run", "node", "xxhash64(run, node, 1) as h").collect()
     for run in range(3):
         cover, want = dict.fromkeys(near, 0), set()
-        for _, n in sorted((r["h"], r["node"]) for r in order if r["run"] == run):
+        for n in sorted(near, key=lambda n: (hashlib.md5(f"{run}:{n}:1".encode()).hexdigest(), n)):
             if cover[n] < k:
                 want.add(n)
                 for m in within(near, n, 300):
@@ -166,6 +171,42 @@ def test_grasp_covers_and_is_minimal(spark):
     assert p.objective == len(chosen) and p.total_nodes == len(near)
 
 
+def test_grasp_takes_from_the_list(spark):
+    edges = random_edges(6)
+    g, near, k, r = make(spark, edges), links(edges), 1, 400
+    table = reach.bounded_reach(g, r)
+    # With alpha 0 and all evaluated, the first choices have the highest gain of all.
+    gains = reach.coverage_gain(table, g.nodes).selectExpr("0 as run", "node_id as node", "gain as g")
+    top = max(len(within(near, n, r)) for n in near)
+    least = min(len(within(near, n, r)) for n in near)
+    for alpha in (0.0, 0.5, 1.0):
+        rows = placement.restricted(gains, alpha, 10**6, 0, 1).collect()
+        assert {x["node"] for x in rows} == {n for n in near if len(within(near, n, r)) >= math.ceil(top - alpha * (top - least) - 1e-9)}
+    some = placement.restricted(gains, 1.0, 10, 0, 1).collect()
+    assert 1 <= len(some) <= 25
+    runs = placement.grasp_runs(table, g.nodes, k, 3, 0.4, seed=2, budget=15).collect()
+    for run in range(3):
+        chosen = {x["node"] for x in runs if x["run"] == run}
+        assert all(set(within(near, n, r)) & chosen for n in near)
+
+
+def test_swaps_go_on_to_the_end(spark):
+    edges = random_edges(9, 60, 100)
+    g, near, k = make(spark, edges), links(edges), 1
+    table = reach.bounded_reach(g, 300)
+    stations = placement.grasp_runs(table, g.nodes, k, 1, 1.0, seed=3)
+    assert placement.swap_round(table, stations, k).count() == 0
+
+
+def test_concurrent_saves_have_their_own_ids(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    stores, g = [GraphStore(spark, f"file://{tmp_path}/graphs") for _ in range(4)], make(spark, path(3))
+    with ThreadPoolExecutor(4) as pool:
+        ids = list(pool.map(lambda s: s.save(g, "g", 1), stores))
+    assert len(set(ids)) == 4 and {r["node_count"] for r in stores[0].list(1).collect()} == {3}
+
+
 def test_swap_frees_a_station(spark):
     # Stations b and d of a path of five: c alone would not do, but stations a and d can become b and d.
     edges = path(4)
@@ -207,12 +248,12 @@ def test_store(spark, tmp_path):
     assert store.list(1).count() == 0
     one = store.save(g, "one", 1, placement.place(g, PlacementRequest("GREEDY", 1, 100)).stations, metrics.compute_metrics(g))
     two = store.save(g, "two", 1)
-    assert (one, two) == (1, 2)
+    assert one != two
     assert {r["name"]: (r["node_count"], r["edge_count"], r["station_count"]) for r in store.list(1).collect()} == {"one": (3, 2, 1), "two": (3, 2, 0)}
     store.rename(two, "three", 1)
     graph, stations, row = store.load(one, 1)
     assert graph.edges.count() == 2 and stations.first()["rank"] == 1 and row.first()["node_count"] == 3
-    for bad in (lambda: store.load(one, 2), lambda: store.delete(9, 1)):
+    for bad in (lambda: store.load(one, 2), lambda: store.delete(one ^ 1, 1)):
         with pytest.raises(ValueError):
             bad()
     store.delete(one, 1)

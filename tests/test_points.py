@@ -1,12 +1,16 @@
 from __future__ import annotations
 
+import itertools
+import math
+import random
 from datetime import datetime
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from roadloom.functions.geo import haversine_m
+from roadloom.functions.geo import haversine_m, in_rings
 from roadloom.operators import city, trips
 from roadloom.operators.matching import RoadMatcher
 from roadloom.operators.road_graph import Graph, build_road_graph, grid_encoder, matched_points, merged_graph
@@ -119,6 +123,150 @@ def test_city(spark, tmp_path):
         city.read_boundary(spark, write(tmp_path / "none.geojson", '{"type":"FeatureCollection","features":[]}'))
 
 
+def test_city_with_parts_and_holes():
+    import json
+
+    rings = [[[[0, 0], [9, 0], [9, 9], [0, 9], [0, 0]], [[3, 3], [6, 3], [6, 6], [3, 6], [3, 3]]], [[[20, 0], [21, 0], [21, 1], [20, 0]]]]
+    b = city.boundary_of(json.dumps({"type": "Feature", "bbox": [-1, -2, 20.9, 9], "geometry": {"type": "MultiPolygon", "coordinates": rings}}))
+    assert len(b.rings) == 3 and (b.min_lat, b.max_lat, b.min_lon, b.max_lon) == (-2, 9, -1, 20.9)
+    assert city.boundary_of(json.dumps({"type": "Polygon", "coordinates": rings[0]})).max_lon == 9
+
+
+def test_long_borders(spark):
+    rng = random.Random(2)
+    ring = [(math.cos(a) * r, math.sin(a) * r) for a, r in ((i * math.tau / 900, rng.uniform(0.5, 1)) for i in range(900))]
+    hole = [(x * 0.3, y * 0.3) for x, y in ring]
+    points = [(rng.uniform(-1.1, 1.1), rng.uniform(-1.1, 1.1)) for _ in range(600)] + ring[:50]
+    df = spark.createDataFrame(points, "lon double, lat double")
+
+    def sides():
+        return [(a, b) for r in (ring, hole) for a, b in zip(r, [*r[1:], r[0]], strict=True)]
+
+    def inside(x, y):
+        return sum((a[1] > y) != (b[1] > y) and x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0] for a, b in sides()) % 2 == 1
+
+    def off(x, y):
+        best = 9.0
+        for a, b in sides():
+            dx, dy = b[0] - a[0], b[1] - a[1]
+            t = max(0.0, min(1.0, ((x - a[0]) * dx + (y - a[1]) * dy) / (dx * dx + dy * dy)))
+            best = min(best, math.hypot(x - a[0] - t * dx, y - a[1] - t * dy))
+        return best
+
+    for buffer_m in (0.0, 3000.0):
+        got = [r[0] for r in df.select(in_rings(F.col("lat"), F.col("lon"), [ring, hole], buffer_m)).collect()]
+        want = [inside(x, y) or (buffer_m > 0 and off(x, y) <= buffer_m / 111_000) for x, y in points]
+        assert sum(g != w for g, w in zip(got[:600], want[:600], strict=True)) == 0 and True in got and False in got
+        assert buffer_m == 0 or all(got[600:])
+
+
+def test_folders(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    gpx = '<gpx><trk><trkseg><trkpt lat="1" lon="2"><time>2024-01-01T10:00:00Z</time></trkpt></trkseg><trkseg><trkpt lat="3" lon="4"/></trkseg></trk></gpx>'
+    for name, text in (("a.gpx", gpx), ("b.gpx", gpx), ("c.csv", "lon,lat\n2,1\n"), ("d.csv", "lat,trip,lon\n1,7,2\n5,8,6\n")):
+        write(tmp_path / "in" / name, text)
+    rows = src.read_folder(spark, f"file://{tmp_path}/in")
+    assert sorted((r["file"].rsplit("/", 1)[1], r["trip_id"], r["lat"], r["lon"]) for r in rows.collect()) == [
+        ("a.gpx", 1, 1, 2), ("a.gpx", 2, 3, 4), ("b.gpx", 1, 1, 2), ("b.gpx", 2, 3, 4), ("c.csv", 1, 1, 2), ("d.csv", 7, 1, 2), ("d.csv", 8, 5, 6)]
+    merged = src.merged_files(rows).orderBy("seq").collect()
+    assert [(r["seq"], r["trip_id"], r["lat"]) for r in merged] == [(0, 1, 1), (1, 2, 3), (2, 3, 1), (3, 4, 3), (4, 5, 1), (5, 6, 1), (6, 7, 5)]
+    write(tmp_path / "in" / "e.txt", "x")
+    with pytest.raises(ValueError):
+        src.read_folder(spark, f"file://{tmp_path}/in")
+
+
+def grid(spark, lat0, lon0, n=4, step=0.01):
+    """A square grid of roads and its links; longitudes beyond 180 degrees go on at -180."""
+    wide = step / math.cos(math.radians(lat0))
+    at = {f"{y}.{x}": (lat0 + y * step, (lon0 + x * wide + 180) % 360 - 180) for y in range(n) for x in range(n)}
+    edges = []
+    for y in range(n):
+        for x in range(n):
+            for y2, x2 in ((y + 1, x), (y, x + 1)):
+                if y2 < n and x2 < n:
+                    a, b = sorted((f"{y}.{x}", f"{y2}.{x2}"))
+                    edges.append((a, b, haversine_m(*at[a], *at[b])))
+    nodes = spark.createDataFrame([(k, y, x, False, None, None) for k, (y, x) in at.items()], "node_id string, lat double, lon double, off_road boolean, first_seen timestamp, last_seen timestamp")
+    return Graph(nodes, spark.createDataFrame(edges, "src string, dst string, dist_m double")), at, edges, wide
+
+
+def plain_match(m, at, edges, trip):
+    """Viterbi over all edges, with shortest paths by relaxation."""
+    dist = {(a, b): 0.0 if a == b else math.inf for a in at for b in at}
+    for a, b, w in edges:
+        dist[a, b] = dist[b, a] = w
+    for k in at:
+        for a in at:
+            for b in at:
+                dist[a, b] = min(dist[a, b], dist[a, k] + dist[k, b])
+
+    def places(y, x):
+        out = {}
+        for a, b, w in edges:
+            east = math.cos(math.radians(y))
+            turn = lambda d: (d + 540) % 360 - 180
+            dx, dy, px, py = turn(at[b][1] - at[a][1]), at[b][0] - at[a][0], turn(x - at[a][1]), y - at[a][0]
+            t = max(0.0, min(1.0, (px * dx * east**2 + py * dy) / (dx * dx * east**2 + dy * dy)))
+            off = haversine_m(y, x, at[a][0] + t * dy, at[a][1] + t * dx)
+            if off <= m.reach_m:
+                out[a, b] = (t, w, off)
+        return out
+
+    best, back, last = None, [], None
+    for y, x in trip:
+        here = places(y, x)
+        cost = {p: 0.5 * (off / m.sigma_m) ** 2 for p, (_, _, off) in here.items()}
+        if best is None:
+            new, via = {p: round(c, 6) for p, c in cost.items()}, {}
+        else:
+            line, new, via = haversine_m(*last[0], y, x), {}, {}
+            for q, (t2, w2, _) in here.items():
+                for p in sorted(best):
+                    t, w, _ = last[1][p]
+                    way = abs(t - t2) * w if p == q else min(da + dist[e, f] + db for e, da in ((p[0], t * w), (p[1], (1 - t) * w)) for f, db in ((q[0], t2 * w2), (q[1], (1 - t2) * w2)))
+                    total = best[p] + round(abs(way - line) / m.beta_m + cost[q], 6)
+                    if way <= m.detour * line + m.slack_m and total < new.get(q, math.inf):
+                        new[q], via[q] = total, p
+        if not new:
+            return None
+        best, last = new, ((y, x), here)
+        back.append(via)
+    q = min(best, key=lambda p: (best[p], p))
+    path = [q]
+    for via in reversed(back[1:]):
+        path.append(via[path[-1]])
+    return path[::-1]
+
+
+@pytest.mark.parametrize("lat0, lon0", [(48.0, 17.0), (69.0, 179.985), (-0.015, -0.02)])
+def test_matching_against_all_edges(spark, lat0, lon0):
+    g, at, edges, wide = grid(spark, lat0, lon0)
+    m, rng = RoadMatcher(g, reach_m=400.0, sigma_m=150.0, beta_m=300.0), random.Random(int(lat0))
+    walks = []
+    for _ in range(6):
+        y, x = rng.randint(0, 3), rng.randint(0, 3)
+        trip = []
+        for _ in range(8):
+            trip.append((lat0 + y * 0.01 + rng.uniform(-0.0025, 0.0025), (lon0 + x * wide + rng.uniform(-0.0025, 0.0025) * wide / 0.01 + 180) % 360 - 180))
+            y, x = rng.choice([(v, u) for v, u in ((y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)) if 0 <= v < 4 and 0 <= u < 4])
+        walks.append(trip)
+    walks.append([walks[0][0], (lat0 + 0.3, lon0)])  # out of reach
+    df = spark.createDataFrame([(i, p, y, x) for i, t in enumerate(walks) for p, (y, x) in enumerate(t)], "trip_id int, pos int, lat double, lon double")
+    got = {}
+    for r in m.match_points(df).orderBy("trip_id", "pos").collect():
+        got.setdefault(r["trip_id"], []).append((r["a"], r["b"]))
+    want = {i: plain_match(m, at, edges, t) for i, t in enumerate(walks)}
+    assert want[6] is None and got == {i: p for i, p in want.items() if p}
+    # The geometry goes along roads: between its ends, each step joins neighbours.
+    lines, where = {}, {(round(y, 9), round(x, 9)): k for k, (y, x) in at.items()}
+    for r in m.match(df).orderBy("trip_id", "pos").collect():
+        lines.setdefault(r["trip_id"], []).append(where.get((round(r["lat"], 9), round(r["lon"], 9))))
+    near = {(a, b) for a, b, _ in edges} | {(b, a) for a, b, _ in edges}
+    assert set(lines) == set(got)
+    for line in lines.values():
+        assert all((a, b) in near for a, b in itertools.pairwise(line[1:-1]))
+
+
 def test_matching(spark):
     near = [(i, 1, 48.0 + i * 0.001 + 0.00002, 17.0, None) for i in range(5)] + [(9, 2, 20.0, 20.0, None), (10, 2, 20.1, 20.0, None)]
     df = spark.createDataFrame(near, "seq long, trip_id int, lat double, lon double, ts timestamp")

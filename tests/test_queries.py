@@ -3,19 +3,22 @@ from __future__ import annotations
 import pytest
 from compare import connect, rows_of, rows_of_sql
 
-from roadloom.plans import catalog
+from roadloom.plans import catalog, catalog_files, catalog_graphs
 
+QUERIES = catalog.QUERIES | catalog_files.QUERIES | catalog_graphs.QUERIES
+ORACLES = catalog.ORACLES | catalog_files.ORACLES | catalog_graphs.ORACLES
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, sf, name):
-    df = catalog.QUERIES[name](spark, sf)
-    want = rows_of_sql(connect(sf), catalog.ORACLES[name], df.columns)
+    df = QUERIES[name](spark, sf)
+    want = rows_of_sql(connect(sf), ORACLES[name], df.columns)
     assert rows_of(df) == want
 
 
-@pytest.mark.parametrize("name", ["map_match", "graph_metrics"])
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_runs(spark, sf, name):
-    assert catalog.QUERIES[name](spark, sf).count() > 0
+    assert QUERIES[name](spark, sf).count() > 0
 
 
 def test_entry(spark):
