@@ -13,27 +13,33 @@ from roadloom.plans.staging import staged
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a rule rejects, or whose host is rejected, go."""
+    """Documents that fail the base rule, or whose host is rejected, go. Null and empty texts fail; rows without a host
+    form one; repeated rows are judged alike. An empty table stays empty. All columns stay, whatever their names."""
     return keep_quality(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: that of the smallest id."""
+    """One document of each SimHash group stays: that of the smallest id. Texts without words are one group; rows
+    without an id stay; of rows that repeat an id, one stays. An empty table stays empty. All columns stay."""
     return keep_one(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets and the identifiers linked with them are replaced in the texts."""
+    """Secrets and the identifiers linked with them are replaced in the texts, and n_chars is renewed. No row goes:
+    null, empty and clean texts stay as they are. An empty table stays empty. All columns stay."""
     return redact_secrets(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are sampled towards the target weights of sources, languages and topics."""
+    """Documents are sampled to the target weights of sources, languages and topics, at the greatest rate up to 0.8
+    at which the targets are met. Null sources and languages are values like others; rows that repeat an id are drawn
+    alike; texts without words are drawn by their cell. An empty table stays empty. All columns stay."""
     return sample_mix(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of the texts, as little-endian unsigned 32-bit integers."""
+    """doc_id, lang, source, n_tokens, and ids: the texts' token ids as little-endian unsigned 32-bit integers. Null
+    and empty texts have none; repeated rows each get theirs. An empty table stays empty. Other columns are dropped."""
     return encode(docs.select("doc_id", "text", "lang", "source")).drop("text")
 
 
