@@ -116,5 +116,27 @@ def op9_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def oracle(shards: int = 16, bits: int = BITS) -> str:
+    """The same plan in SQL: the curve's automaton in steps, and CRC-32 by a table of bytes."""
+    steps, last = [], "(SELECT *, 0 AS s0, 0::BIGINT AS c0 FROM z)"
+    for i in range(bits):
+        cell = f"(x >> {bits - 1 - i} & 1) * 4 + (y >> {bits - 1 - i} & 1) * 2 + (z >> {bits - 1 - i} & 1)"
+        steps.append(f"a{i} AS (SELECT * EXCLUDE (s{i}, c{i}), s{i}, c{i}, {curve_table()}[s{i} * 8 + {cell} + 1] AS o{i} FROM {last})")
+        last = f"(SELECT * EXCLUDE (s{i}, c{i}, o{i}), o{i} // 8 AS s{i + 1}, c{i} * 8 + o{i} % 8 AS c{i + 1} FROM a{i})"
+    rank = lambda c: f"(SELECT {c}, (row_number() OVER (ORDER BY {c} NULLS FIRST) - 1) * {1 << bits} // count(*) OVER () AS v FROM (SELECT DISTINCT {c} FROM documents))"
+    return f"""
+WITH t AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+k AS (SELECT list(c ORDER BY i) AS k FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, b: xor(a >> 1, CASE WHEN a % 2 = 1 THEN {0xEDB88320} ELSE 0 END)) AS c FROM range(256) r(i))),
+b AS (SELECT *, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM t),
+d AS (SELECT doc_id, source, lang, strlen(t) + 1 AS size, md5(t) AS digest, xor(4294967295, list_reduce(list_prepend(4294967295, b), lambda a, x: xor(a >> 8, (k.k)[(xor(a, x) & 255) + 1]))) AS crc FROM b, k),
+z AS MATERIALIZED (SELECT doc_id, size, digest, crc, p.v AS x, q.v AS y, least(floor(ln(size) / ln(2) * {(1 << bits) // 32}), {(1 << bits) - 1})::BIGINT AS z
+  FROM d JOIN {rank("source")} p ON p.source IS NOT DISTINCT FROM d.source JOIN {rank("lang")} q ON q.lang IS NOT DISTINCT FROM d.lang),
+{", ".join(steps)},
+r AS (SELECT *, row_number() OVER (ORDER BY c{bits}, digest, doc_id NULLS FIRST) - 1 AS r, count(*) OVER () AS n FROM {last}),
+u AS (SELECT *, ({shards} * (r + 1) - 1) // n AS shard FROM r)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'rows' AS law, shard::INT AS shard, (r - shard * n // {shards})::BIGINT AS slot, NULL::INT AS grown_shard FROM u
+"""
+
+
 QUERIES = {"op9_hilbert": op9_hilbert}
-ORACLES: dict = {}
+ORACLES = {"op9_hilbert": oracle()}

@@ -109,6 +109,6 @@ def test_unit_rows():
 def test_query_equals_sql(spark, sf):
     from compare import connect, rows_of, rows_of_sql
 
-    for name in ("op1_itq", "op6_raking", "op7_host_rules"):
+    for name in ("op1_itq", "op6_raking", "op7_host_rules", "op9_hilbert"):
         df = QUERIES[name](spark, sf)
         assert rows_of(df) == rows_of_sql(connect(sf), ORACLES[name], df.columns), name
