@@ -185,14 +185,18 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
     of = _components(rows, max_bits, segments)
     per = rows.where("doc_id is not null").join(of, "b").groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
     per = staged(per, "per-key")
-    gone, again = (per.where(c).select(F.col("doc_id").alias(name)) for c, name in (("not stays or n > 1", "_key"), ("stays and n > 1", "_key")))
-    counts = per.agg(F.count_if("not stays or n > 1").alias("gone"), F.count_if("stays and n > 1").alias("again")).first()
     [g] = fresh(docs, "_key")
-    near = lambda side, n: F.broadcast(side) if n <= broadcast_keys else side
-    once = docs.join(near(gone.select(F.col("_key").alias(g)), counts["gone"]), k == F.col(g), "left_anti")
-    if not counts["again"]:
+
+    def keys(which: str) -> tuple[DataFrame, int]:
+        some = per.where(which).select(F.col("doc_id").alias(g))
+        n = some.count()
+        return (F.broadcast(some) if n <= broadcast_keys else some), n
+
+    (gone, _), (again, repeated) = keys("not stays or n > 1"), keys("stays and n > 1")
+    once = docs.join(gone, k == F.col(g), "left_anti")
+    if not repeated:
         return once
-    rest = docs.join(near(again.select(F.col("_key").alias(g)), counts["again"]), k == F.col(g), "left_semi")
+    rest = docs.join(again, k == F.col(g), "left_semi")
     # The repeated keys' rows alone are measured again, so that each is known by its own text.
     packed = rest.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), k.alias("doc_id"), F.col(f"`{text}`").alias("text"))
     packed = with_fingerprints(packed, out="b", words=words).join(of, "b").where("doc_id = component_id")
