@@ -9,7 +9,7 @@ from roadloom.llm.op5_byte_bpe import encode
 from roadloom.llm.op6_raking import sample_mix
 from roadloom.llm.op7_host_rules import keep_quality
 from roadloom.llm.op8_simhash import keep_one
-from roadloom.plans.staging import staged
+from roadloom.plans.staging import drop_staged, scope, staged
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's documents are written and read again by the next; the tables behind them are deleted then."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for at, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if at < len(STAGES) - 1:
-            docs = staged(docs, f"stage-{at}")
-    return docs
+    for at, (_, stage) in enumerate(STAGES[:-1]):
+        with scope(spark) as keep:
+            new = keep(staged(stage(spark, docs, sf_dir), f"stage-{at}"))
+        drop_staged(docs)
+        docs = new
+    return STAGES[-1][1](spark, docs, sf_dir)

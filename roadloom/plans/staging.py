@@ -7,10 +7,16 @@ import functools
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
+#: The paths staged in each open :func:`scope`, the innermost last.
+_SCOPES: list[list[str]] = []
+
+
 @functools.cache
 def _own_dir() -> str:
     """A temporary folder of this process, deleted at its end."""
@@ -22,7 +28,7 @@ def _own_dir() -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Where the setting is absent, a local master gets a temporary folder (its executors are threads of this
+    Where the setting is absent, Spark within one process gets a temporary folder (its executors are threads of this
     machine); a cluster gets a folder in the warehouse, never a machine-local one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -39,6 +45,8 @@ def staged(df: DataFrame, name: str = "step") -> DataFrame:
     The written table replaces the lineage, so losing an executor later repeats nothing before it.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_path = path
@@ -55,8 +63,34 @@ def staged_with(df: DataFrame, name: str = "step", **measures: Column) -> tuple[
 def drop_staged(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`staged`; nothing may read it afterwards."""
     path = getattr(df, "_staged_path", None)
-    if path is None:
-        return
-    spark = df.sparkSession
+    if path is not None:
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete, at the end, the tables staged within, but those given to the function that it yields.
+
+    What is built within must be written within, as it reads those tables."""
+    made: list[str] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._staged_path)
+        return df
+
+    _SCOPES.append(made)
+    try:
+        yield keep
+    finally:
+        _SCOPES.remove(made)
+        for path in made:
+            if path not in kept:
+                _delete(spark, path)
+        if _SCOPES:
+            _SCOPES[-1].extend(kept)

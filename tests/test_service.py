@@ -26,3 +26,19 @@ def test_from_file_to_stations(spark, tmp_path):
         PipelineConfig(k=0, grasp_alpha=2)
     with pytest.raises(ValueError):
         graph_to_request(graph, 5)
+
+
+def test_scopes_delete_what_they_staged(spark, tmp_path):
+    import os
+
+    from roadloom.plans.staging import scope, shared_dir, staged
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    with scope(spark) as keep:
+        staged(spark.range(3).toDF("a"), "gone")
+        with scope(spark) as inner:
+            kept = inner(staged(spark.range(4).toDF("a"), "handed on"))
+            staged(kept, "gone")
+        keep(kept)
+    assert kept.count() == 4 and len(set(os.listdir(folder)) - before) == 1
