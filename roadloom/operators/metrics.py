@@ -101,7 +101,7 @@ def eccentricities(graph: Graph, seeds: DataFrame | None = None) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"node_id": [g.ids[i] for i in b["id"]], "ecc": [max(g.search(int(i)).values()) for i in b["id"]]})
 
-    return spark.range(0, n, 1, max(1, min(n, spark.sparkContext.defaultParallelism * 4))).mapInPandas(run, "node_id string, ecc double")
+    return spark.range(0, n, 1, min(n // 64 + 1, spark.sparkContext.defaultParallelism * 4)).mapInPandas(run, "node_id string, ecc double")
 
 
 def sample_nodes(nodes: DataFrame, n: int, seed: int = 0) -> DataFrame:

@@ -91,9 +91,11 @@ def _construct(reach: DataFrame, nodes: DataFrame, k: int, only_open: bool, pick
     """(run, node, gain): stations of each run by rounds of leaders.
 
     ``pick`` gets the candidates (run, node, g: open nodes in reach) and the round, and returns those that may be
-    chosen with the columns of their order."""
+    chosen with the columns of their order. Pairs that lead to nodes settled in every run are dropped whenever the open
+    nodes have halved."""
     reach = staged(reach.select("src", "dst"), "pairs")
     state = staged(nodes.select("run", "node", F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("gain")), "state")
+    still = None
     for turn in range(_MAX_ROUNDS):
         todo = state.where(F.col("n") < k).select("run", "node")
         free = state.where(F.col("gain").isNull() & (F.col("n") < k if only_open else F.lit(True))).select("run", "node")
@@ -105,10 +107,16 @@ def _construct(reach: DataFrame, nodes: DataFrame, k: int, only_open: bool, pick
             break
         more = _coverage(reach, lead).withColumnRenamed("n", "m")
         new = state.join(more, ["run", "node"], "left").join(lead, ["run", "node"], "left")
-        new = staged(new.select("run", "node", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"), F.coalesce("gain", "g").alias("gain")), "state")
+        new, seen = staged_with(new.select("run", "node", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"), F.coalesce("gain", "g").alias("gain")), "state", open=F.count_if(F.col("n") < k))
         for old in (state, lead):
             drop_staged(old)
         state = new
+        if still is None or seen["open"] * 2 <= still:
+            if still is not None:
+                fewer = staged(reach.join(state.where(F.col("n") < k).select(F.col("node").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "pairs")
+                drop_staged(reach)
+                reach = fewer
+            still = seen["open"]
     return state.where(F.col("gain").isNotNull()).select("run", "node", "gain")
 
 

@@ -84,7 +84,7 @@ def _searched(arrays: Arrays, sources: DataFrame) -> DataFrame:
                     src, dst, dist = [], [], []
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(dst, pa.string()), pa.array(dist, pa.float64())], names=["src", "dst", "dist_m"])
 
-    tasks = sources.sparkSession.sparkContext.defaultParallelism * 4
+    tasks = min(sources.sparkSession.sparkContext.defaultParallelism * 4, len(arrays.ids) // 64 + 1)
     return sources.repartition(tasks, "node_id").mapInArrow(run, "src string, dst string, dist_m double")
 
 
