@@ -28,3 +28,9 @@ def fresh(df, *names: str) -> list[str]:
         taken.add(n.lower())
         out.append(n)
     return out
+
+
+def lower_ascii(text: Column) -> Column:
+    """``text`` with A-Z lower-cased and all other letters as they are."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
