@@ -30,7 +30,7 @@ _LETTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-WORDS = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+WORDS = "[0-9a-z\\x80-\\x{10FFFF}]+"
 
 
 @dataclass(frozen=True)
