@@ -24,13 +24,15 @@ _EXACT = "decimal(38,0)"
 class AuditPolicy:
     """min_docs: a language keeps the terms of so many of its documents. smoothing: added to each count. scale: what
     a share of one is written as. top_terms: ranks of terms to return. broadcast_groups: up to so many groups, which
-    the driver counts, they are broadcast to the vocabulary; beyond it they meet it in ``slices`` of each language."""
+    the driver counts, they are broadcast to the vocabulary; beyond it they meet it in ``slices`` of each language.
+    broadcast_terms: up to so many terms, counted too, the vocabulary is broadcast to the counts."""
 
     min_docs: int = 30
     smoothing: int = 5
     scale: int = 1_000_000_000
     top_terms: int = 50
     broadcast_groups: int = 10_000
+    broadcast_terms: int = 500_000
     slices: int = 256
 
 
@@ -41,10 +43,10 @@ def term_counts(docs: DataFrame) -> DataFrame:
     summed within tasks before the one shuffle.
     """
     terms = F.sort_array(F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(TERMS), F.lit(0)))
-    rows = docs.select("lang", "source", terms.alias("t"))
-    marked = F.transform("t", lambda x, i: F.struct(x.alias("term"), F.coalesce(x != F.get(F.col("t"), i - 1), F.lit(True)).alias("first")))
-    rows = rows.select("lang", "source", F.inline(marked))
-    return rows.groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.count_if("first").alias("docs"))
+    # The list beside itself, shifted by one: no term is empty, as what stands before the first is.
+    beside = F.arrays_zip(F.col("t").alias("term"), F.concat(F.array(F.lit("")), F.col("t")).alias("before"))
+    rows = docs.select("lang", "source", terms.alias("t")).select("lang", "source", F.inline(beside).alias("term", "before")).where("term is not null")
+    return rows.groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.count_if(F.col("term") != F.col("before")).alias("docs"))
 
 
 def _share(n: Column, total: Column, vocabulary: Column, p: AuditPolicy) -> Column:
@@ -80,7 +82,9 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     counts = staged(term_counts(bare), "terms")
     vocabulary = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("all_n")).where(F.col("docs") >= p.min_docs)
     vocabulary = staged(vocabulary.select("lang", "term", "all_n"), "vocabulary")
-    kept = staged(counts.join(vocabulary.select("lang", "term"), ["lang", "term"]).select("lang", "source", "term", "n"), "kept")
+    side = vocabulary.select("lang", "term")
+    side = F.broadcast(side) if side.count() <= p.broadcast_terms else side
+    kept = staged(counts.join(side, ["lang", "term"], "left_semi").select("lang", "source", "term", "n"), "kept")
     langs = vocabulary.groupBy("lang").agg(F.count("*").alias("v"), F.sum("all_n").alias("all_total"))
     sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     names = staged(bare.select("lang", "source").distinct(), "names")

@@ -47,7 +47,7 @@ def make():
     return rows + [(7, "long " * 50_000, "en", "s1"), (8, "ſtreet K İ", "en", "s1")]
 
 
-@pytest.mark.parametrize("policy", [AuditPolicy(min_docs=4), AuditPolicy(min_docs=1, top_terms=3, broadcast_groups=0), AuditPolicy()])
+@pytest.mark.parametrize("policy", [AuditPolicy(min_docs=4), AuditPolicy(min_docs=1, top_terms=3, broadcast_groups=0, broadcast_terms=0), AuditPolicy()])
 def test_against_brute_force(spark, odd, policy):
     rows = make() + [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in odd.collect()]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "1 as term", "2 as n", "3 as total", "4 as docs", "5 as v")
