@@ -12,6 +12,7 @@ import hashlib
 import hmac
 import ipaddress
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -32,9 +33,10 @@ _DIGIT_KINDS = [
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.ASCII)),
     ("ip", re.compile(rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d)", re.ASCII)),
     ("ip6", re.compile(rf"(?<![\w:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![\w:])", re.ASCII)),
-    # With a country's code; with an area's code apart; with a national 0, in pairs or after a slash or space.
+    # With a country's code; with an area's code apart; with a national 0, in pairs or after a slash or space. A run of
+    # digits is taken in one way only, so a number is tried no more often than it can have groups.
     ("phone", re.compile(
-        rf"(?<![\w+])(?<!\d[:./-])(?:(?:\+|00)[1-9]\d{{0,2}}(?:{_GAP}?\(\d{{1,4}}\))?(?:{_GAP}?\d{{1,14}}){{1,7}}|(?:\(\d{{2,4}}\)[ .-]?|\d{{2,4}}[ .-])\d{{3,4}}[ .-]?\d{{3,4}}"
+        rf"(?<![\w+])(?<!\d[:./-])(?:(?:\+|00)[1-9]\d{{0,2}}(?:{_GAP}?\(\d{{1,4}}\))?(?>{_GAP}?\d{{1,14}}){{1,7}}|(?:\(\d{{2,4}}\)[ .-]?|\d{{2,4}}[ .-])\d{{3,4}}[ .-]?\d{{3,4}}"
         rf"|0\d(?:[ .-]\d{{2}}){{4}}|0\d{{2,4}}[ /-]\d{{5,9}})(?!\w)", re.ASCII)),
 ]
 #: Countries' codes of two digits; 1 and 7 have one, all others three.
@@ -57,6 +59,8 @@ _GIVEN_GENDER = {n: g for g, ns in _GIVEN.items() for n in ns.split()}
 _UPPER = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĖĘĚĞĢĪĮİĶĹĽŁŃŅŇŌŐŒŔŘŚŞŠŢŤŪŮŰŲŹŻŽА-ЯЁІЇЄΑ-Ω"
 _START = re.compile(rf"[{_UPPER}][^\W\d_]+")
 _SMALL_TITLE = re.compile(r"(?<!\w)(г-н|г-жа|господин|госпожа)(?!\w)")
+_WORD = re.compile(r"\w+")
+_UNSPACED = ("han", "hangul", "katakana", "hiragana")
 _REST = re.compile(r"[ -]([^\W\d_]+)")
 #: Names before an honorific, with the gender that it gives. A Chinese or Korean name begins with a frequent surname.
 _BEFORE = [
@@ -121,6 +125,24 @@ def _ip6_form(text: str) -> str | None:
     return form if _DIGIT.search(text) and sum(g != "0000" for g in form.split(":")) >= 3 else None
 
 
+def _mentions(text: str, forms: dict[str, str]) -> Iterator[tuple[int, int, str]]:
+    """Where words of names stand in a text: whole words, or, in scripts that leave no space between words, the longest
+    from where it begins. Each word of the text is looked up, so many names cost no more than few."""
+    inner = {f for f in forms if _script(f) in _UNSPACED}
+    lengths = sorted({len(f) for f in inner}, reverse=True)
+    for m in _WORD.finditer(text):
+        word, a = m.group(), m.start()
+        if word in forms:
+            yield a, m.end(), word
+        elif inner and not word.isascii():
+            i = 0
+            while i < len(word):
+                n = next((n for n in lengths if n <= len(word) - i and word[i : i + n] in inner), 0)
+                if n:
+                    yield a + i, a + i + n, word[i : i + n]
+                i += n or 1
+
+
 def _names(text: str) -> list[tuple[int, int, str, str]]:
     """The words of names: after a title, from a known given name on, or before an honorific; and, once one is found,
     every other mention of its words in the text, which have the gender of the first."""
@@ -162,10 +184,8 @@ def _names(text: str) -> list[tuple[int, int, str, str]]:
                 found.setdefault(m.start(1), (m.end(1), role.setdefault(m.group(1), gender), m.group(1)))
     if role:
         mentions = {form: w for w in role for form in (w.upper(), w.capitalize())} | {text[a:b]: w for a, (b, _, w) in found.items()}
-        edge = lambda w: re.escape(w) if _script(w) in ("han", "hangul", "katakana", "hiragana") else rf"(?<!\w){re.escape(w)}(?!\w)"
-        for m in re.finditer("|".join(edge(w) for w in sorted(mentions, key=lambda w: (-len(w), w))), text):
-            word = mentions[m.group()]
-            found.setdefault(m.start(), (m.end(), role[word], word))
+        for a, b, form in _mentions(text, mentions):
+            found.setdefault(a, (b, role[mentions[form]], mentions[form]))
     return [(a, b, "name", f"{own}:{_script(w)}:{w}") for a, (b, own, w) in found.items()]
 
 
@@ -296,7 +316,8 @@ _ENTITIES = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.S
 
 
 def entities(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The distinct (kind, form) of all texts; a frequent entity leaves each task once."""
+    """The distinct (kind, form) of all texts; a frequent entity leaves each task once. Null and empty texts have none,
+    repeated rows add none, an empty table has no rows."""
 
     def make(texts: list) -> list[pa.Array]:
         return [pa.array([[{"kind": k, "form": f} for k, f in dict.fromkeys((k, f) for _, _, k, f in detect(t or ""))] for t in texts], pa.list_(_ENTITY))]
@@ -320,7 +341,8 @@ def _proposed(rows: DataFrame, key: bytes) -> DataFrame:
 def settle(known: DataFrame, policy: SurrogatePolicy = SurrogatePolicy()) -> DataFrame:
     """``known`` (kind, form; distinct) with attempt and core, such that no two entities of a kind share a core and
     no core is the form of an entity. Each round proposes for what is open and joins the proposals with all forms and
-    with the cores that are settled; of equal proposals, the smallest form keeps its own."""
+    with the cores that are settled; of equal proposals, the smallest form keeps its own. Null kinds and forms aren't
+    expected, as :func:`entities` makes none. Empty table: no rows."""
     owner = lambda c: F.when(F.col("kind") == "name", F.substring_index(c, ":", -1)).otherwise(F.col(c))
     real = known.select("kind", owner("form").alias("core")).distinct()
     parts, todo = [], known
@@ -344,7 +366,8 @@ def replace_entities(docs: DataFrame, text: str = "text", policy: SurrogatePolic
     Null text: stays null. Texts without entities, empty ones too, stay as they are. Empty table: no rows. Repeated
     rows are rewritten alike, and so is an entity in any document. A column named n_entities is replaced; all others
     stay, whatever their names. A name is seen by a title, an honorific or a given name of the list; from then on all
-    mentions of its words in that text are replaced, also where such a word has another meaning.
+    mentions of its words in that text are replaced, also where such a word has another meaning. Texts of any length
+    are read whole, and cost follows their length, however many numbers and names they hold.
     """
     known = staged(entities(docs, text), "entities")
     redone = staged(settle(known, policy).where("attempt <> 0").select("kind", "form", "attempt"), "redone")

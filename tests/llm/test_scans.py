@@ -287,3 +287,29 @@ def test_surrogate_query_against_plain_python(spark, sf):
         for a, b, k, f in sur.detect(docs[r["doc_id"]] or ""):
             if k in ("email", "card", "ip", "ssn"):
                 assert docs[r["doc_id"]][a:b] not in r["text"]
+
+
+def test_surrogates_cost_follows_length():
+    """Long runs of digits before a letter, and directories of names, take no more than their length asks for."""
+    import time
+
+    from roadloom.llm import op10_surrogates as pii
+
+    began = time.perf_counter()
+    for text in (("+" + "1" * 80 + "x ") * 2000, "+" + "12 " * 40_000 + "x", "+1" * 100_000, "+49 " + "1" * 100_000 + "a", "00" * 50_000 + "b", "a@" * 100_000, "a." * 100_000 + "@" + "b." * 100_000):
+        assert not [x for x in pii.detect(text) if x[2] == "phone"]
+    word = lambda i: chr(65 + i % 26) + "".join(chr(97 + i // 26**k % 26) for k in range(5))
+    names = {word(i) for i in range(0, 100_000, 2)}
+    found = pii.detect(" ".join(f"Mr. {w} said so, {w.upper()}." for w in sorted(names)))
+    assert len(found) == 2 * len(names)
+    han = "".join(f"王{chr(0x4E00 + i % 20_000)}{chr(0x4E00 + i // 7 % 20_000)}先生、" for i in range(50_000))
+    assert len(pii.detect(han)) == 50_000
+    assert time.perf_counter() - began < 10
+
+
+def test_names_within_words():
+    """In scripts without spaces the longest name counts, and none reaches beyond its word."""
+    from roadloom.llm import op10_surrogates as pii
+
+    text = "田中様 6789田中、田中様さん 김철수 씨, 김철수는 Dr. Ames, AMES, Amesbury"
+    assert [text[a:b] for a, b, _, _ in pii.detect(text)] == ["田中", "田中", "田中様", "김철수", "김철수", "Ames", "AMES"]
