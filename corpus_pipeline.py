@@ -31,8 +31,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are sampled to the target weights of sources, languages and topics, at the greatest rate up to 0.8
-    at which the targets are met. Null sources and languages are values like others; rows that repeat an id are drawn
+    """Documents are sampled to the target weights of sources, languages and topics, at a rate of 0.8 of all words, or
+    at the greatest below it at which the targets are met. Null sources and languages are values like others; rows that repeat an id are drawn
     alike; texts without words are drawn by their cell. An empty table stays empty. All columns stay."""
     return sample_mix(docs)
 

@@ -18,6 +18,8 @@ from roadloom.llm.text import fresh, words_of
 from roadloom.plans.staging import drop_staged, staged
 
 DIMS = ("source", "lang", "topic")
+#: Rounds in which values' goals are bounded, one aggregate of a dimension's values each.
+FILLINGS = 20
 #: By topic, what marks a text of it.
 MARKS = {"license": ("icense", "opyright", "arrant"), "contact": ("@", "hone:", "Tel."), "table": (" | ", "\t")}
 _LOG = logging.getLogger(__name__)
@@ -26,7 +28,8 @@ _LOG = logging.getLogger(__name__)
 @dataclass(frozen=True)
 class MixPolicy:
     """rate: the share of all tokens to sample, on average, at most. temperature: without a table of targets, a
-    value's target is proportional to its tokens to this power. targets: by dimension, a table (value, share) whose
+    value's target is proportional to its tokens to this power, but no more than the share ``bound`` of its tokens,
+    so that it can be met at ``rate``; what that takes from rare values goes to the others. targets: by dimension, a table (value, share) whose
     shares are scaled to sum to 1; values without a target get none, and targets of absent values can't be met.
     rounds: of raking. give_way: where the targets can't be met at ``rate``, sample less, so that they are met;
     otherwise values with too few tokens are taken whole as far as the others allow, and fall short. headroom: the
@@ -37,6 +40,7 @@ class MixPolicy:
 
     rate: float = 0.8
     temperature: float = 0.7
+    bound: float = 0.95
     targets: dict = field(default_factory=dict)
     rounds: int = 8
     seed: int = 42
@@ -77,7 +81,11 @@ def measure(docs: DataFrame, key: str, text: str, source: str, lang: str, topic:
 
 
 def _goal(cells: DataFrame, dim: str, policy: MixPolicy) -> DataFrame:
-    """(value, has, goal): of each value, its tokens and its share of the target."""
+    """(value, has, goal): of each value, its tokens and its share of the target.
+
+    Targets that aren't named are filled up like water: a value's goal is what it can give, or else its part of what
+    those at that bound leave. The bounded ones are the smallest, so every round finds more of them or none.
+    """
     has = cells.groupBy(dim).agg(F.sum("w").alias("has"))
     if dim in policy.targets:
         own = policy.targets[dim].select(_value(F.col("value")).alias(dim), F.col("share").cast("double").alias("share"))
@@ -85,8 +93,19 @@ def _goal(cells: DataFrame, dim: str, policy: MixPolicy) -> DataFrame:
     else:
         own = has.withColumn("share", F.pow("has", F.lit(policy.temperature)))
     own = staged(own, "shares")
-    total = own.agg(F.sum("share")).first()[0] or 1.0
-    return own.select(dim, "has", (F.col("share") / F.lit(float(total))).alias("goal"))
+    total = own.agg(F.sum("share"), F.sum("has")).first()
+    share, all_has = float(total[0] or 1.0), float(total[1] or 0.0)
+    if dim in policy.targets or not all_has:
+        return own.select(dim, "has", (F.col("share") / F.lit(share)).alias("goal"))
+    most, level = F.col("has") * F.lit(max(policy.bound, policy.rate) / (policy.rate * all_has)), 1.0 / share
+    for _ in range(FILLINGS):
+        full = F.col("share") * F.lit(level) >= most
+        held, open_ = own.agg(F.sum(F.when(full, most).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("share")))).first()
+        new = (1.0 - held) / open_ if open_ else level
+        if abs(new - level) <= 1e-12 * level:
+            break
+        level = new
+    return own.select(dim, "has", F.least(F.col("share") * F.lit(level), most).alias("goal"))
 
 
 def rake(cells: DataFrame, goals: dict, rate: float, policy: MixPolicy = MixPolicy()) -> DataFrame:
@@ -198,8 +217,8 @@ def sample_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source
 
     ``topic``: a column of topics; without one, :func:`topic_of`. ``tokens``: a column of token counts; without one,
     words. Null source, language or topic: a value of its own. Null or empty text: no words, the probability of its
-    cell. Null key: one draw for all such rows; repeated keys are drawn alike. Empty table: no rows. Other columns
-    are dropped, whatever their names.
+    cell. Null key: one draw for all such rows; repeated keys are drawn alike. Texts of any length are counted whole.
+    Empty table: no rows. Other columns are dropped, whatever their names.
     """
     rows = staged(measure(docs, key, text, source, lang, topic, tokens, policy), "measures")
     cells, _ = cell_probabilities(rows, policy)
@@ -245,7 +264,12 @@ d AS MATERIALIZED (SELECT doc_id, coalesce('=' || source, 'null') AS source, coa
     ]
     by = lambda of: " ".join(f"JOIN f_{d}_{of[d]} {n} USING ({d})" for d, n in zip(DIMS, "xyz", strict=True))
     for x in DIMS:
-        steps.append(f"g_{x} AS MATERIALIZED (SELECT {x}, sum(w) AS has, pow(sum(w), {p.temperature}) / sum(pow(sum(w), {p.temperature})) OVER () AS goal FROM c GROUP BY {x})")
+        steps.append(f"h_{x} AS MATERIALIZED (SELECT *, pow(has, {p.temperature}) AS share, has * {max(p.bound, p.rate)}::DOUBLE / ({p.rate}::DOUBLE * sum(has) OVER ()) AS most FROM (SELECT {x}, sum(w) AS has FROM c GROUP BY {x}))")
+        steps.append(f"l_{x}_0 AS MATERIALIZED (SELECT 1 / sum(share) AS v FROM h_{x})")
+        for i in range(FILLINGS):
+            full = f"share * (SELECT v FROM l_{x}_{i}) >= most"
+            steps.append(f"l_{x}_{i + 1} AS MATERIALIZED (SELECT coalesce((1 - coalesce(sum(most) FILTER ({full}), 0)) / sum(share) FILTER (NOT ({full})), (SELECT v FROM l_{x}_{i})) AS v FROM h_{x})")
+        steps.append(f"g_{x} AS MATERIALIZED (SELECT {x}, has, least(share * (SELECT v FROM l_{x}_{FILLINGS}), most) AS goal FROM h_{x})")
         steps.append(f"f_{x}_0 AS MATERIALIZED (SELECT {x}, 1.0::DOUBLE AS f FROM g_{x})")
     least = ", ".join(f"(SELECT {p.headroom}::DOUBLE * min(has / goal) FROM g_{x} WHERE goal > 0) / sum(w)" for x in DIMS)
     steps.append(f"s AS MATERIALIZED (SELECT least({p.rate}::DOUBLE, {least}) AS rate, sum(w) AS total FROM c)")

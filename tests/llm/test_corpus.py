@@ -223,25 +223,40 @@ def test_raking_meets_given_targets(spark):
     assert [kept["source", "=" + s] for s in "abc"] == pytest.approx([0.25, 0.5, 0.25], rel=0.01) and gap <= 0.01 and rate < 0.8
 
 
+def plain_goals(has, p=mix.MixPolicy()):
+    """Shares by the policy's temperature, none above what the value can give; the others share the rest."""
+    total, full = sum(has.values()), set()
+    most = {v: x * p.bound / (p.rate * total) for v, x in has.items()}
+    while True:
+        level = (1 - sum(most[v] for v in full)) / sum(x**p.temperature for v, x in has.items() if v not in full)
+        new = {v for v, x in has.items() if x**p.temperature * level >= most[v]}
+        if new <= full:
+            return {v: most[v] if v in full else x**p.temperature * level for v, x in has.items()}
+        full |= new
+
+
 def test_sampling_keeps_the_targets(spark):
     rng = np.random.default_rng(34)
     rows = [("=" + s, "=" + la, "=" + t, float(rng.integers(1, 100)) ** 2) for s in "abc" for la in "xy" for t in "pq"]
     cells = spark.createDataFrame(rows, CELLS)
     found = {}
-    for name, policy in {"low": mix.MixPolicy(rate=0.3), "gives way": mix.MixPolicy(), "keeps the rate": mix.MixPolicy(give_way=False)}.items():
+    for name, policy in {
+        "low": mix.MixPolicy(rate=0.3), "bounded": mix.MixPolicy(), "gives way": mix.MixPolicy(bound=1e9), "keeps the rate": mix.MixPolicy(bound=1e9, give_way=False)
+    }.items():
         prob, gap = mix.cell_probabilities(cells, policy)
         kept, rate, top = sampled_shares(rows, prob)
         has = Counter()
         for *c, w in rows:
             has.update({(d, v): w for d, v in zip(mix.DIMS, c, strict=True)})
-        total = {d: sum(x**0.7 for (o, _), x in has.items() if o == d) for d in mix.DIMS}
-        assert max(abs(kept[k] / (has[k] ** 0.7 / total[k[0]]) - 1) for k in has) == pytest.approx(gap, abs=1e-6)
+        goal = {(d, v): x for d in mix.DIMS for v, x in plain_goals({v: x for (o, v), x in has.items() if o == d}, policy).items()}
+        assert max(abs(kept[k] / goal[k] - 1) for k in has) == pytest.approx(gap, abs=1e-6)
         found[name] = gap, rate, top
     assert found["low"][0] < 0.01 and found["low"][1] == pytest.approx(0.3, abs=1e-3)
+    assert found["bounded"][0] < 0.01 and found["bounded"][1] == pytest.approx(0.8, rel=0.02)
     assert found["gives way"][0] < 0.01 and found["gives way"][1] < 0.8 and found["gives way"][2] == 1
     assert found["keeps the rate"][0] > 0.01 and found["keeps the rate"][1] > found["gives way"][1]
     with pytest.raises(ValueError):
-        mix.cell_probabilities(cells, mix.MixPolicy(give_way=False, strict=True))
+        mix.cell_probabilities(cells, mix.MixPolicy(bound=1e9, give_way=False, strict=True))
 
 
 def test_documents_are_sampled_to_the_targets(spark):
@@ -253,8 +268,8 @@ def test_documents_are_sampled_to_the_targets(spark):
         for r in rows:
             has[r[dim]] += r["n_tokens"]
             kept[r[dim]] += r["n_tokens"] * r["probability"]
-        goal = {v: x**0.7 / sum(y**0.7 for y in has.values()) for v, x in has.items()}
-        assert {v: x / sum(kept.values()) for v, x in kept.items()} == pytest.approx(goal, rel=0.01)
+        assert {v: x / sum(kept.values()) for v, x in kept.items()} == pytest.approx(plain_goals(has), rel=0.01)
+        assert sum(kept.values()) == pytest.approx(0.8 * sum(has.values()), rel=0.02)
     n, expected = sum(r["sampled"] for r in rows), sum(r["probability"] for r in rows)
     assert abs(n - expected) < 4 * sum(r["probability"] * (1 - r["probability"]) for r in rows) ** 0.5
 
