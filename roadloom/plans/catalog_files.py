@@ -84,7 +84,7 @@ def gpx_points(s, d):
 
 def csv_points(s, d):
     """Points written as CSV files with headers of their own, read from their folder and numbered across files."""
-    p = trips.valid_points(_chunked(s, d)).where("chunk < 4")
+    p = trips.valid_points(_chunked(s, d))
     line = F.concat_ws(",", "lon", F.col("trip_id") % 5, "lat")
     docs = p.groupBy("chunk").agg(F.concat(F.lit("LNG,trip, Lat\n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", line.alias("v")))), lambda x: x["v"]), "\n")).alias("value"))
     return src.merged_files(src.read_folder(s, _written(docs, _scratch(s, "csv"), "csv"))).select("seq", "trip_id", "lat", "lon")
@@ -171,7 +171,7 @@ _CHUNKS = _P.replace("p AS MATERIALIZED", "q AS", 1).replace("FROM p ", "FROM q
 ORACLES = {
     "geojson_points": f"WITH {_CHUNKS} SELECT chunk, row_number() OVER (PARTITION BY chunk ORDER BY seq) - 1 AS seq, (CASE WHEN seq % 7 > 0 THEN trip_id ELSE 1 END)::INT AS trip_id, lat, lon, us FROM p WHERE us IS NOT NULL",
     "gpx_points": f"WITH {_CHUNKS}, k AS (SELECT *, dense_rank() OVER (PARTITION BY chunk ORDER BY trip_id) AS t, row_number() OVER (PARTITION BY chunk, trip_id ORDER BY seq) - 1 AS i FROM p) SELECT chunk, (t - 1) * 4294967296 + i AS seq, t::INT AS trip_id, lat, lon, coalesce(us, epoch_us(TIMESTAMP '2020-01-01')) AS us FROM k",
-    "csv_points": f"WITH {_CHUNKS}, k AS (SELECT * FROM p JOIN (SELECT seq FROM v) USING (seq) WHERE chunk < 4) SELECT row_number() OVER (ORDER BY chunk, seq) - 1 AS seq, dense_rank() OVER (ORDER BY chunk, trip_id % 5)::INT AS trip_id, lat, lon FROM k",
+    "csv_points": f"WITH {_CHUNKS}, k AS (SELECT * FROM p JOIN (SELECT seq FROM v) USING (seq)) SELECT row_number() OVER (ORDER BY chunk, seq) - 1 AS seq, dense_rank() OVER (ORDER BY chunk, trip_id % 5)::INT AS trip_id, lat, lon FROM k",
     "in_boundary": f"WITH {_P}, sd(x1, y1, x2, y2) AS (VALUES {_VALUES}), k AS (SELECT seq, count(*) FILTER ((y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / CASE WHEN y1 = y2 THEN 1 ELSE y2 - y1 END + x1) % 2 = 1 AS inside, bool_or(pow(lon - x1 - {_T} * (x2 - x1), 2) + pow(lat - y1 - {_T} * (y2 - y1), 2) <= pow({BUFFER_M}::DOUBLE / 111000, 2)) AS close_by FROM v, sd WHERE {_BOX} GROUP BY seq) SELECT seq, inside, inside OR close_by AS near FROM k WHERE inside OR close_by",
     "request_graph": "WITH e AS (SELECT n_nationkey AS k, 'n' || n_nationkey AS a, 'n' || (n_nationkey + 1 + n_regionkey) % 27 AS b, 10.0::DOUBLE + n_nationkey AS v FROM nation), i AS (SELECT 'n' || n_nationkey AS id FROM nation) SELECT 'n' || n_nationkey AS a, NULL::VARCHAR AS b, n_nationkey::DOUBLE AS v FROM nation UNION ALL SELECT least(a, b), greatest(a, b), arg_min(v, k) FROM e WHERE a IN (SELECT id FROM i) AND b IN (SELECT id FROM i) GROUP BY ALL",
     "wire_form": f"{_W}{_F}, {_LABELS}, {_SIZES}, rk AS (SELECT component, row_number() OVER (ORDER BY size DESC, component) - 1 AS part FROM sz) SELECT node_id AS a, '' AS b, round(lat, 6) AS v, part FROM nodes JOIN cc ON id = node_id JOIN rk ON component = c UNION ALL SELECT src, dst, dist_m, NULL FROM edges",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadloom.plans.order import ranked
+from roadloom.plans.staging import staged
 
 POINTS = T.StructType(
     [T.StructField("seq", T.LongType()), T.StructField("trip_id", T.IntegerType()), T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType()), T.StructField("ts", T.TimestampType())]
@@ -44,34 +45,60 @@ def read_gpx(spark: SparkSession, path: str | list[str], with_file: bool = False
     )
 
 
+def _parsed(lines: DataFrame, at: dict[str, Column], *kept: str, value: str = "value") -> DataFrame:
+    """Points of data lines whose fields stand at the places ``at``, null for those that aren't there."""
+    cells = lines.where(F.trim(value) != "").withColumn("_c", F.split(F.regexp_replace(value, ",+$", ""), ","))
+    cells = cells.where(F.size("_c") > F.greatest(at["lat"], at["lon"]))
+    field = lambda k: F.trim(F.get("_c", at[k]))
+    return cells.select(*kept, F.coalesce(field("trip_id").try_cast("int"), F.lit(1)).alias("trip_id"), field("lat").cast("double").alias("lat"), field("lon").cast("double").alias("lon"), instant(field("ts")).alias("ts"))
+
+
+def places(header: Column) -> dict[str, Column]:
+    """Where the fields stand by a header line, from 0; null for those that aren't there. Of equal names the last
+    counts, of a field's names the first of :data:`ALIASES`."""
+    names = F.reverse(F.transform(F.split(F.ltrim(header, F.lit("\ufeff")), ","), lambda h: F.lower(F.trim(h))))
+    at = lambda a: F.size(names) - F.nullif(F.array_position(names, a), F.lit(0)).cast("int")
+    return {k: F.coalesce(*[at(a) for a in aliases]) for k, aliases in ALIASES.items()}
+
+
 def parse_csv(lines: DataFrame, header: str, value: str = "value", seq: str = "seq") -> DataFrame:
     """Points of the data lines in ``lines``, whose columns are named by ``header``.
 
     Fields are split at commas, without quoting. Blank and short lines are skipped. A bad latitude or longitude fails
     the query; a bad or absent timestamp is null; a bad or absent trip is 1.
     """
-    names = {h.strip().lower(): i for i, h in enumerate(header.lstrip("﻿").split(","))}
+    names = {h.strip().lower(): i for i, h in enumerate(header.lstrip("\ufeff").split(","))}
     at = {k: next((names[a] for a in aliases if a in names), None) for k, aliases in ALIASES.items()}
     if at["lat"] is None or at["lon"] is None:
         raise ValueError("a CSV file needs a latitude and a longitude column")
-    cells = lines.where(F.trim(value) != "").withColumn("_c", F.split(F.regexp_replace(value, ",+$", ""), ","))
-    cells = cells.where(F.size("_c") > max(at["lat"], at["lon"]))
-    field = lambda k: F.trim(F.get("_c", F.lit(at[k]))) if at[k] is not None else F.lit(None).cast("string")
-    return cells.select(
-        F.col(seq).alias("seq"), F.coalesce(field("trip_id").try_cast("int"), F.lit(1)).alias("trip_id"), field("lat").cast("double").alias("lat"), field("lon").cast("double").alias("lon"), instant(field("ts")).alias("ts")
-    )
+    rows = _parsed(lines.withColumnRenamed(seq, "seq"), {k: F.lit(i).cast("int") for k, i in at.items()}, "seq", value=value)
+    return rows.select("seq", "trip_id", "lat", "lon", "ts")
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Points of one CSV file in UTF-8, with or without a byte-order mark; a file without points is an error."""
-    lines = spark.read.text(path).withColumn("seq", F.monotonically_increasing_id())
-    first = lines.orderBy("seq").limit(1).collect()
-    if not first:
-        raise ValueError("the CSV file is empty")
-    points = parse_csv(lines.where(F.col("seq") > first[0]["seq"]), first[0]["value"])
-    if points.isEmpty():
-        raise ValueError("the CSV file has no points")
-    return points
+def read_csv(spark: SparkSession, path: str | list[str], with_file: bool = False) -> DataFrame:
+    """Points of CSV files in UTF-8, with or without a byte-order mark, each with a header of its own; a file without
+    the columns or without points is an error. ``with_file``: a column ``file`` comes first.
+
+    Any number of files is read in one plan: lines are written with their file and block, the first line of each file
+    is its header, and headers join back to the lines. A point's seq grows with its line in the file: it is the place
+    where its block begins and the number of lines since, which are fewer than the bytes in between.
+    """
+    paths = [path] if isinstance(path, str) else path
+    at = F.monotonically_increasing_id()
+    lines = staged(spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), at.alias("at"), "value"), "lines")
+    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.min_by(F.when(F.col("block") == 0, F.col("value")), "at").alias("header"))
+    blocks = staged(blocks, "blocks")
+    heads = blocks.where("block = 0").select("file", F.col("first").alias("top"), *[c.alias(f"at_{k}") for k, c in places(F.col("header")).items()])
+    heads = staged(heads, "headers")
+    wrong = [r["file"] for r in heads.where("at_lat is null or at_lon is null").select("file").limit(5).collect()]
+    if wrong:
+        raise ValueError(f"a CSV file needs a latitude and a longitude column: {', '.join(sorted(wrong))}")
+    rows = lines.join(blocks.select("file", "block", "first"), ["file", "block"]).join(heads, "file").where(F.col("at") != F.col("top"))
+    rows = rows.withColumn("seq", F.col("block") + F.col("at") - F.col("first"))
+    points = _parsed(rows, {k: F.col(f"at_{k}") for k in ALIASES}, "file", "seq")
+    if points.select("file").distinct().count() < len(paths):
+        raise ValueError("a CSV file is empty or has no points")
+    return points.select(*(["file"] if with_file else []), "seq", "trip_id", "lat", "lon", "ts")
 
 
 def read_geojson(spark: SparkSession, path: str | list[str], with_file: bool = False) -> DataFrame:
@@ -114,8 +141,7 @@ def read_folder(spark: SparkSession, folder: str) -> DataFrame:
         raise ValueError(f"unsupported file format in {folder}: {sorted(set(by_kind) - set(_READERS))}" if by_kind else f"no files in {folder}")
     parts = []
     for kind, paths in sorted(by_kind.items()):
-        # Each CSV file has a header of its own.
-        parts += [read_csv(spark, p).select(F.lit(p).alias("file"), "*") for p in sorted(paths)] if kind == "csv" else [_READERS[kind](spark, paths, with_file=True)]
+        parts.append(_READERS[kind](spark, paths, with_file=True))
     return functools.reduce(DataFrame.unionByName, parts)
 
 

@@ -46,6 +46,37 @@ def test_csv(spark, tmp_path):
         src.read_points(spark, write(tmp_path / "f.csv", "lat,lon\n1,2\nzz,3\n")).collect()
 
 
+def test_many_csv_files(spark, tmp_path):
+    """A thousand files with headers of different order in one set of jobs, lines cut into blocks; all in order."""
+    import time
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    want = []
+    for i in range(1000):
+        names = random.Random(i).sample(["lat", "LNG", "trip", "x"], 4)
+        rows = [{"lat": f"{i / 100}", "LNG": f"{j / 1000}", "trip": f"{i % 3}", "x": ""} for j in range(300 if i == 7 else 2)]
+        write(folder / f"f{i:04}.csv", ",".join(names) + "\n\n" + "\n".join(",".join([r[n] for n in names] + ["."]) for r in rows) + "\n")
+        want += [(f"f{i:04}.csv", i % 3, float(r["lat"]), float(r["LNG"])) for r in rows]
+    began = time.perf_counter()
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = src.read_folder(spark, f"file://{folder}")
+        rows = got.orderBy("file", "seq").select(F.substring_index("file", "/", -1), "trip_id", "lat", "lon").collect()
+        assert got.select("file", "seq").distinct().count() == len(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [tuple(r) for r in rows] == want
+    assert time.perf_counter() - began < 120
+    write(folder / "empty.csv", "lat,lon\n\n")
+    with pytest.raises(ValueError, match="no points"):
+        src.read_folder(spark, f"file://{folder}")
+    write(folder / "empty.csv", "lat,lat\n1,2\n")
+    with pytest.raises(ValueError, match="empty.csv"):
+        src.read_folder(spark, f"file://{folder}")
+
+
 def test_geojson(spark, tmp_path):
     f = lambda kind, props: '{"features":[{"geometry":{"type":"%s","coordinates":[17.1,48.1]},"properties":{%s}}]}' % (kind, props)  # noqa: E731, UP031
     rows = src.read_points(spark, write(tmp_path / "a.geojson", f("Point", '"timestamp":"2024-01-01T10:00:00Z"'))).collect()
