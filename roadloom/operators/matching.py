@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from roadloom.functions.geo import METRES_PER_DEGREE, haversine
 from roadloom.operators.reach import distances
 from roadloom.operators.road_graph import Graph, adjacency
-from roadloom.plans.staging import drop_staged, staged
+from roadloom.plans.staging import keep_path, shared_dir, staged
 
 _BEST = "trip_id int, pos int, place string, via string, total double"
 
@@ -81,7 +82,7 @@ class RoadMatcher:
         place = F.concat_ws("|", "a", "b")
         ends = F.explode(F.array(F.struct(F.col("a").alias("n"), (F.col("t") * F.col("len")).alias("d")), F.struct(F.col("b").alias("n"), ((1 - F.col("t")) * F.col("len")).alias("d")))).alias("e")
         limits = found.join(lines, ["trip_id", "pos"]).select(F.explode(F.array("a", "b")).alias("node_id"), (F.col("line") * self.detour + self.slack_m).alias("limit_m"))
-        routes = distances(self.graph, limits.groupBy("node_id").agg(F.max("limit_m").alias("limit_m")))
+        routes = distances(self.graph, limits.groupBy("node_id").agg(F.max("limit_m").alias("limit_m")), hops=True)
         here = found.select("trip_id", "pos", place.alias("p"), "t", "len", ends)
         there = found.select("trip_id", (F.col("pos") - 1).alias("pos"), place.alias("place"), F.col("t").alias("t2"), "off_m", ends)
         here, there = here.select("trip_id", "pos", "p", "t", "len", F.col("e.n").alias("x"), F.col("e.d").alias("dx")), there.select("trip_id", "pos", "place", "t2", "off_m", F.col("e.n").alias("y"), F.col("e.d").alias("dy"))
@@ -121,15 +122,18 @@ class RoadMatcher:
         at = found.select("trip_id", "pos", F.concat_ws("|", "a", "b").alias("place"), "a", "b", "t", F.col("plat").alias("lat"), F.col("plon").alias("lon"))
         return chosen.select("trip_id", "pos", "place").join(at, ["trip_id", "pos", "place"]).drop("place")
 
+    def _inner(self, taken: DataFrame, routes: DataFrame) -> DataFrame:
+        """(trip_id, pos, k, node, lat, lon): the nodes, in the order of k, of the routes from x to y that steps take."""
+        paths = paths_of(adjacency(self.graph.edges), routes, taken.select("x", "y").distinct())
+        nodes = self.graph.nodes.select(F.col("node_id").alias("node"), "lat", "lon")
+        return taken.join(paths, ["x", "y"]).join(nodes, "node").select("trip_id", "pos", (F.lit(0) - F.col("back")).alias("k"), "node", "lat", "lon")
+
     def match(self, trips: DataFrame) -> DataFrame:
         """(trip_id, pos, lat, lon) along the roads of the matched trips: the first point's place, all nodes of the
         routes between, and the last point's place."""
         chosen, found, steps, routes = self._solve(trips)
         taken = chosen.where("pos > 0").select("trip_id", "pos", "place", F.col("via").alias("p")).join(steps, ["trip_id", "pos", "p", "place"]).where("x is not null").select("trip_id", "pos", "x", "y")
-        taken = staged(taken, "taken")
-        paths = paths_of(self.graph, routes, taken.select("x", "y").distinct())
-        nodes = self.graph.nodes.select(F.col("node_id").alias("node"), "lat", "lon")
-        inner = taken.join(paths, ["x", "y"]).join(nodes, "node").select("trip_id", "pos", (F.lit(0) - F.col("back")).alias("k"), "node", "lat", "lon")
+        inner = self._inner(staged(taken, "taken"), routes)
         at = chosen.join(found.select("trip_id", "pos", F.concat_ws("|", "a", "b").alias("place"), "plat", "plon"), ["trip_id", "pos", "place"])
         length = chosen.groupBy("trip_id").agg(F.max("pos").alias("end"))
         ends = at.join(length, "trip_id").where("pos = 0 or pos = end").select("trip_id", F.when(F.col("pos") == 0, 0).otherwise(F.col("pos") + 1).alias("pos"), F.lit(0).alias("k"), F.lit(None).cast("string").alias("node"), F.col("plat").alias("lat"), F.col("plon").alias("lon"))
@@ -194,26 +198,32 @@ def _backward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(out)
 
 
-def paths_of(graph: Graph, routes: DataFrame, pairs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """(x, y, back, node): the nodes of a shortest path for each pair, counted back from y.
+def paths_of(adj: DataFrame, routes: DataFrame, pairs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """(x, y, back, node, hops): the nodes of a shortest path over ``adj`` (u, v, w) for each pair (x, y; distinct),
+    counted back from y. ``routes`` (src, dst, dist_m, hops) has the distances from each x.
 
     All paths are followed back at once, a node a round: the one before is a neighbour from which the distance adds up
-    (of several, the least id).
+    and that is nearer to x, or as near by fewer edges, as over edges of length 0 (of several, the least id). A path
+    ends where it has no edge left. Rounds are written to one table.
     """
-    adj = staged(adjacency(graph.edges), "adjacency")
-    from_x = routes.select(F.col("src").alias("x"), F.col("dst").alias("node"), F.col("dist_m").alias("d"))
-    now = staged(pairs.select("x", "y", F.lit(0).alias("back"), F.col("y").alias("node")).join(from_x, ["x", "node"]), "path")
-    parts = [now]
-    for turn in range(1, max_rounds):
-        far = now.where("node <> x").withColumnRenamed("node", "u").withColumnRenamed("d", "du")
-        before = far.join(adj, "u").join(from_x.withColumnRenamed("node", "v"), ["x", "v"]).where(F.col("d") + F.col("w") == F.col("du"))
-        new = before.groupBy("x", "y").agg(F.min(F.struct(F.col("v").alias("node"), "d")).alias("b"))
-        now = staged(new.select("x", "b.node", "y", F.lit(turn).alias("back"), "b.d"), "path")
-        if now.isEmpty():
-            drop_staged(now)
-            out = parts[0]
-            for p in parts[1:]:
-                out = out.unionByName(p)
-            return out.select("x", "y", "back", "node")
-        parts.append(now)
+    adj = staged(adj.select("u", "v", "w"), "adjacency")
+    from_x = routes.select(F.col("src").alias("x"), F.col("dst").alias("node"), F.col("dist_m").alias("d"), "hops")
+    last = F.struct("hops", "d")
+    start = pairs.select("x", "y", F.col("y").alias("node")).join(from_x, ["x", "node"])
+    # A pair that has a way around from x to itself begins at its end.
+    now = start.groupBy("x", "y").agg(F.max(last).alias("b")).select("x", "y", F.lit(0).alias("back"), F.col("y").alias("node"), "b.d", "b.hops")
+    folder = f"{shared_dir(adj.sparkSession)}/paths-{uuid.uuid4().hex}"
+    keep_path(folder)
+    schema = now.schema
+    for turn in range(max_rounds):
+        part = f"{folder}/turn={turn}"
+        now.write.parquet(part)
+        now = adj.sparkSession.read.schema(schema).parquet(part)
+        far = now.where("hops > 0").select("x", "y", F.col("node").alias("v"), F.col("d").alias("dv"), F.col("hops").alias("hv"))
+        if far.isEmpty():
+            return adj.sparkSession.read.schema(schema).parquet(folder).select("x", "y", "back", "node", "hops")
+        before = far.join(adj, "v").join(from_x.withColumnRenamed("node", "u"), ["x", "u"])
+        before = before.where((F.col("d") + F.col("w") == F.col("dv")) & ((F.col("d") < F.col("dv")) | (F.col("hops") < F.col("hv"))))
+        new = before.groupBy("x", "y").agg(F.min(F.struct(F.col("u").alias("node"), "d", "hops")).alias("b"))
+        now = new.select("x", "y", F.lit(turn + 1).alias("back"), "b.node", "b.d", "b.hops")
     raise RuntimeError("a path did not end")

@@ -99,7 +99,7 @@ def eccentricities(graph: Graph, seeds: DataFrame | None = None) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g = shared.value
         for b in batches:
-            yield pd.DataFrame({"node_id": [g.ids[i] for i in b["id"]], "ecc": [max(g.search(int(i)).values()) for i in b["id"]]})
+            yield pd.DataFrame({"node_id": [g.ids[i] for i in b["id"]], "ecc": [max(d for d, _ in g.search(int(i)).values()) for i in b["id"]]})
 
     return spark.range(0, n, 1, min(n // 64 + 1, spark.sparkContext.defaultParallelism * 4)).mapInPandas(run, "node_id string, ecc double")
 

@@ -21,6 +21,7 @@ from roadloom.plans.staging import drop_staged, staged, staged_with
 #: The most undirected edges, and nodes, of a graph that goes to every task: 24 bytes an edge and an id a node.
 MAX_BROADCAST_EDGES, MAX_BROADCAST_NODES = 2_000_000, 1_000_000
 _ROWS = 50_000
+_FAR = (np.inf, 0)
 
 
 @dataclass(frozen=True)
@@ -32,20 +33,20 @@ class Arrays:
     ends: np.ndarray
     weights: np.ndarray
 
-    def search(self, start: int, radius: float = np.inf) -> dict[int, float]:
-        """The distance from ``start`` to every node within ``radius``."""
-        best, done, heap = {start: 0.0}, {}, [(0.0, start)]
+    def search(self, start: int, radius: float = np.inf) -> dict[int, tuple[float, int]]:
+        """The distance from ``start`` to every node within ``radius``, and the fewest edges of a path so long."""
+        best, done, heap = {start: (0.0, 0)}, {}, [(0.0, 0, start)]
         while heap:
-            d, u = heapq.heappop(heap)
+            d, h, u = heapq.heappop(heap)
             if u in done:
                 continue
-            done[u] = d
+            done[u] = d, h
             at = slice(self.starts[u], self.starts[u + 1])
             for v, w in zip(self.ends[at].tolist(), self.weights[at].tolist(), strict=True):
                 t = d + w
-                if t <= radius and v not in done and t < best.get(v, np.inf):
-                    best[v] = t
-                    heapq.heappush(heap, (t, v))
+                if t <= radius and v not in done and (t, h + 1) < best.get(v, _FAR):
+                    best[v] = t, h + 1
+                    heapq.heappush(heap, (t, h + 1, v))
         return done
 
 
@@ -66,59 +67,77 @@ def arrays_of(graph: Graph, most_nodes: int = MAX_BROADCAST_NODES, most_edges: i
 
 
 def _searched(arrays: Arrays, sources: DataFrame) -> DataFrame:
-    """(src, dst, dist_m) of the sources (node_id, limit_m), each searched in the task that holds it."""
+    """(src, dst, dist_m, hops) of the sources (node_id, limit_m), each searched in the task that holds it."""
     shared = sources.sparkSession.sparkContext.broadcast(arrays)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = shared.value
+        def batch(src: list, dst: list, dist: list, hops: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(dst, pa.string()), pa.array(dist, pa.float64()), pa.array(hops, pa.int32())], names=["src", "dst", "dist_m", "hops"])
+
         for b in batches:
-            src, dst, dist = [], [], []
+            src, dst, dist, hops = [], [], [], []
             for name, radius in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 at = int(np.searchsorted(g.ids, name)) if name is not None else len(g.ids)
                 found = g.search(at, radius) if at < len(g.ids) and g.ids[at] == name else {}
                 src += [name] * len(found)
                 dst += [g.ids[i] for i in found]
-                dist += found.values()
+                dist += [d for d, _ in found.values()]
+                hops += [h for _, h in found.values()]
                 if len(src) >= _ROWS:
-                    yield pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(dst, pa.string()), pa.array(dist, pa.float64())], names=["src", "dst", "dist_m"])
-                    src, dst, dist = [], [], []
-            yield pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(dst, pa.string()), pa.array(dist, pa.float64())], names=["src", "dst", "dist_m"])
+                    yield batch(src, dst, dist, hops)
+                    src, dst, dist, hops = [], [], [], []
+            yield batch(src, dst, dist, hops)
 
     tasks = min(sources.sparkSession.sparkContext.defaultParallelism * 4, len(arrays.ids) // 64 + 1)
-    return sources.repartition(tasks, "node_id").mapInArrow(run, "src string, dst string, dist_m double")
+    return sources.repartition(tasks, "node_id").mapInArrow(run, "src string, dst string, dist_m double, hops int")
 
 
-def relax(adj: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """(src, dst, dist_m): the shortest distance from each source (node_id, limit_m) to each node within its limit.
+def relax(adj: DataFrame, sources: DataFrame, max_rounds: int = 10_000, from_neighbours: bool = False) -> DataFrame:
+    """(src, dst, dist_m, along, hops): the shortest distance from each source (node_id, limit_m) to each node within
+    its limit over ``adj`` (u, v, w, and along, a second measure that decides between equals; else 0), and the fewest
+    edges of such a path.
 
     Each round joins the pairs that got shorter with their neighbours and keeps the minimum of each pair, so it ends
     after as many rounds as the longest of those paths has edges. Pairs are partial minima before they shuffle; every
     round is a written table, so a lost executor costs one round at most. ``dist_m`` is summed from the source on.
+    ``from_neighbours``: paths have an edge at least, so a source is reached by a way around only.
     """
-    adj = staged(adj, "adjacency")
-    best = staged(sources.select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"), F.lit(0.0).alias("dist_m"), F.lit(0).alias("turn"), "limit_m"), "reach")
-    for turn in range(1, max_rounds):
-        last = best.where(F.col("turn") == turn - 1)
-        step = last.join(adj, F.col("dst") == F.col("u")).select("src", F.col("v").alias("dst"), (F.col("dist_m") + F.col("w")).alias("dist_m"), F.lit(turn).alias("turn"), "limit_m")
-        both = best.unionByName(step.where("dist_m <= limit_m")).groupBy("src", "dst").agg(F.min(F.struct("dist_m", "turn", "limit_m")).alias("b"))
-        now, seen = staged_with(both.select("src", "dst", "b.*"), "reach", n=F.count_if(F.col("turn") == turn))
+    adj = staged(adj if "along" in adj.columns else adj.withColumn("along", F.lit(0.0)), "adjacency")
+    zero = sources.select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"), F.lit(0.0).alias("dist_m"), F.lit(0.0).alias("along"), F.lit(0).alias("hops"), "limit_m")
+
+    def stepped(last: DataFrame, turn: int) -> DataFrame:
+        step = last.join(adj.withColumnRenamed("along", "more"), F.col("dst") == F.col("u"))
+        step = step.select("src", F.col("v").alias("dst"), (F.col("dist_m") + F.col("w")).alias("dist_m"), (F.col("along") + F.col("more")).alias("along"), F.lit(turn).alias("hops"), "limit_m")
+        return step.where("dist_m <= limit_m")
+
+    def least(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("src", "dst").agg(F.min(F.struct("dist_m", "along", "hops", "limit_m")).alias("b")).select("src", "dst", "b.*")
+
+    first = 1 if from_neighbours else 0
+    best = staged(least(stepped(zero, 1)) if from_neighbours else zero, "reach")
+    for turn in range(first + 1, max_rounds):
+        last = best.where(F.col("hops") == turn - 1)
+        now, seen = staged_with(least(best.unionByName(stepped(last, turn))), "reach", n=F.count_if(F.col("hops") == turn))
         drop_staged(best)
         best = now
         if not seen["n"]:
-            return best.drop("turn", "limit_m")
+            drop_staged(adj)
+            return best.drop("limit_m")
     raise RuntimeError("distances did not settle")
 
 
-def distances(graph: Graph, sources: DataFrame | None = None, radius_m: float | None = None, by_joins: bool | None = None) -> DataFrame:
+def distances(graph: Graph, sources: DataFrame | None = None, radius_m: float | None = None, by_joins: bool | None = None, hops: bool = False) -> DataFrame:
     """(src, dst, dist_m) from each source (node_id; default: every node) to what it reaches within ``radius_m`` (None:
     any distance), itself included. ``sources`` may have a limit of their own, limit_m. ``by_joins``: by default, as
-    the size of the graph asks for."""
+    the size of the graph asks for. ``hops``: a column more, the fewest edges of a shortest path."""
     sources = graph.nodes if sources is None else sources
     own = F.max("limit_m") if "limit_m" in sources.columns else F.lit(float("inf"))
     limit = F.least(own, F.lit(float("inf") if radius_m is None else float(radius_m)))
     sources = sources.groupBy("node_id").agg(limit.alias("limit_m"))
     arrays = None if by_joins else arrays_of(graph)
-    return relax(adjacency(graph.edges), sources) if arrays is None else staged(_searched(arrays, sources), "reach")
+    found = relax(adjacency(graph.edges), sources) if arrays is None else staged(_searched(arrays, sources), "reach")
+    return found.select("src", "dst", "dist_m", *(["hops"] if hops else []))
 
 
 def bounded_reach(graph: Graph, radius_m: float, sources: DataFrame | None = None) -> DataFrame:

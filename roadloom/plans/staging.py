@@ -34,19 +34,24 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+    if spark.sparkContext._jsc.sc().isLocal():
         return _own_dir()
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staging"
 
 
+def keep_path(path: str) -> None:
+    """Count a path as staged in the open :func:`scope`, if there is one."""
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+
+
 def staged(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     The written table replaces the lineage, so losing an executor later repeats nothing before it.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    keep_path(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_path = path
