@@ -16,6 +16,8 @@ from roadloom.operators.reach import distances
 from roadloom.operators.road_graph import Graph, adjacency
 from roadloom.plans.staging import keep_path, shared_dir, staged
 
+#: Routes that are broadcast to the steps, counted first; beyond it steps are shuffled to them.
+MAX_BROADCAST_ROUTES = 500_000
 _BEST = "trip_id int, pos int, place string, via string, total double"
 
 
@@ -72,25 +74,32 @@ class RoadMatcher:
         ex, ey = F.col("dlon") * east, F.col("dlat")
         square = ex * ex + ey * ey
         t = F.when(square > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * ex + py * ey) / square))).otherwise(0.0)
-        rows = near.withColumn("t", t).withColumns({"plat": F.col("alat") + F.col("t") * F.col("dlat"), "plon": F.col("alon") + F.col("t") * F.col("dlon")})
-        rows = rows.withColumn("off_m", haversine(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))).where(F.col("off_m") <= self.reach_m)
+        # Each step comes from a generator, so that it is computed once, not wherever the next ones use it.
+        once = lambda df, *made: df.select("*", F.inline(F.array(F.struct(*made))))
+        rows = once(near, t.alias("t"))
+        rows = once(rows, (F.col("alat") + F.col("t") * F.col("dlat")).alias("plat"), (F.col("alon") + F.col("t") * F.col("dlon")).alias("plon"))
+        rows = once(rows, haversine(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")).alias("off_m")).where(F.col("off_m") <= self.reach_m)
         return rows.select("trip_id", "pos", "lat", "lon", "a", "b", "len", "t", "off_m", "plat", "plon")
 
     def _steps(self, found: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(trip_id, pos, p, place, cost, x, y) from each place to each of the next point, over the ends x and y of
-        their edges (null within one edge); and the routes between ends."""
+        """(trip_id, pos, p, place, cost, x, y) from each place to each of the next point, by the shortest way over an
+        end x of the one's edge and y of the other's (null within one edge); and the routes between ends."""
         place = F.concat_ws("|", "a", "b")
-        ends = F.explode(F.array(F.struct(F.col("a").alias("n"), (F.col("t") * F.col("len")).alias("d")), F.struct(F.col("b").alias("n"), ((1 - F.col("t")) * F.col("len")).alias("d")))).alias("e")
         limits = found.join(lines, ["trip_id", "pos"]).select(F.explode(F.array("a", "b")).alias("node_id"), (F.col("line") * self.detour + self.slack_m).alias("limit_m"))
         routes = distances(self.graph, limits.groupBy("node_id").agg(F.max("limit_m").alias("limit_m")), hops=True)
-        here = found.select("trip_id", "pos", place.alias("p"), "t", "len", ends)
-        there = found.select("trip_id", (F.col("pos") - 1).alias("pos"), place.alias("place"), F.col("t").alias("t2"), "off_m", ends)
-        here, there = here.select("trip_id", "pos", "p", "t", "len", F.col("e.n").alias("x"), F.col("e.d").alias("dx")), there.select("trip_id", "pos", "place", "t2", "off_m", F.col("e.n").alias("y"), F.col("e.d").alias("dy"))
-        pairs = here.join(there, ["trip_id", "pos"]).join(routes.select(F.col("src").alias("x"), F.col("dst").alias("y"), "dist_m"), ["x", "y"], "left")
-        way = F.struct((F.col("dx") + F.col("dist_m") + F.col("dy")).alias("m"), "x", "y")
+        here = found.select("trip_id", "pos", "a", "b", place.alias("p"), "t", "len")
+        there = found.select("trip_id", (F.col("pos") - 1).alias("pos"), F.col("a").alias("a2"), F.col("b").alias("b2"), place.alias("place"), F.col("t").alias("t2"), F.col("len").alias("len2"), "off_m")
+        pairs, side, found_ways = here.join(there, ["trip_id", "pos"]), small(routes.select("src", "dst", "dist_m")), []
+        from_ends = {"a": F.col("t") * F.col("len"), "b": (1 - F.col("t")) * F.col("len")}
+        to_ends = {"a2": F.col("t2") * F.col("len2"), "b2": (1 - F.col("t2")) * F.col("len2")}
+        for x, dx in from_ends.items():
+            for y, dy in to_ends.items():
+                d = f"d_{x}_{y}"
+                pairs = pairs.join(side.select(F.col("src").alias(x), F.col("dst").alias(y), F.col("dist_m").alias(d)), [x, y], "left")
+                found_ways.append(F.when(F.col(d).isNotNull(), F.struct((dx + F.col(d) + dy).alias("m"), F.col(x).alias("x"), F.col(y).alias("y"))))
         none = F.lit(None).cast("string")
         direct = F.struct((F.abs(F.col("t2") - F.col("t")) * F.col("len")).alias("m"), none.alias("x"), none.alias("y"))
-        best = pairs.groupBy("trip_id", "pos", "p", "place", "off_m").agg(F.min(F.when(F.col("p") == F.col("place"), direct).when(F.col("dist_m").isNotNull(), way)).alias("way"))
+        best = pairs.select("trip_id", "pos", "p", "place", "off_m", F.when(F.col("p") == F.col("place"), direct).otherwise(F.least(*found_ways)).alias("way"))
         best = best.join(lines, ["trip_id", "pos"]).where(F.col("way.m") <= F.col("line") * self.detour + self.slack_m)
         cost = F.round(F.abs(F.col("way.m") - F.col("line")) / self.beta_m + self._emission(F.col("off_m")), 6)
         return best.select("trip_id", (F.col("pos") + 1).cast("int").alias("pos"), "p", "place", cost.alias("cost"), F.col("way.x").alias("x"), F.col("way.y").alias("y")), routes
@@ -143,6 +152,11 @@ class RoadMatcher:
         return rows.select("trip_id", (F.row_number().over(w) - 1).alias("pos"), "lat", "lon")
 
 
+def small(routes: DataFrame) -> DataFrame:
+    """``routes``, to be broadcast if they are few enough."""
+    return F.broadcast(routes) if routes.limit(MAX_BROADCAST_ROUTES + 1).count() <= MAX_BROADCAST_ROUTES else routes
+
+
 def _forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The least total cost of each place, from rows (trip_id, pos, p, place, cost) in order; one point's places are in
     memory at a time. A trip ends at its first gap."""

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from roadloom.functions.geo import haversine
 from roadloom.operators.city import chains, drivable
-from roadloom.operators.matching import RoadMatcher, paths_of
+from roadloom.operators.matching import RoadMatcher, paths_of, small
 from roadloom.operators.reach import MAX_BROADCAST_EDGES, relax
 from roadloom.operators.road_graph import Graph
 from roadloom.plans.staging import staged
@@ -177,7 +177,7 @@ class DirectedMatcher(RoadMatcher):
         routes = fastest(self.roads, sources, self.u_turn_s)
         here = at.select("trip_id", "pos", "p", "t", "len", "time_s")
         there = at.select("trip_id", (F.col("pos") - 1).alias("pos"), F.col("p").alias("place"), F.col("t").alias("t2"), F.col("len").alias("len2"), F.col("time_s").alias("time2"), "off_m")
-        pairs = here.join(there, ["trip_id", "pos"]).join(lines, ["trip_id", "pos"]).join(routes.select(F.col("src").alias("p"), F.col("dst").alias("place"), "dist_m", "along"), ["p", "place"], "left")
+        pairs = here.join(there, ["trip_id", "pos"]).join(lines, ["trip_id", "pos"]).join(small(routes.select(F.col("src").alias("p"), F.col("dst").alias("place"), "dist_m", "along")), ["p", "place"], "left")
         ahead = F.greatest(F.col("t2") - F.col("t"), F.lit(0.0))
         is_direct = (F.col("p") == F.col("place")) & ((F.col("t2") - F.col("t")) * F.col("len") >= -self.back_m)
         direct = F.struct((ahead * F.col("time_s")).alias("s"), (ahead * F.col("len")).alias("m"))
