@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.operators.city import extract_city, read_boundary, read_segments
+from roadloom.operators.city import extract_city, read_boundary
 from roadloom.operators.metrics import compute_metrics, with_component_ids
 from roadloom.operators.placement import Placement, place
 from roadloom.operators.road_graph import Graph, Matcher, build_road_graph, graph_from_request
+from roadloom.operators.tiles import segments_near
 from roadloom.plans.config import ConfigBook, PipelineConfig, PlacementRequest
 from roadloom.plans.staging import staged
 from roadloom.plans.store import GraphStore
@@ -36,7 +37,8 @@ class RoadService:
         return self._built(read_sample(self.spark, folder, name), user)
 
     def import_city(self, segments_path: str, boundary_path: str, user: int) -> Graph:
-        g = extract_city(read_segments(self.spark, segments_path), read_boundary(self.spark, boundary_path), self.configs.active(user))
+        boundary = read_boundary(self.spark, boundary_path)
+        g = extract_city(segments_near(self.spark, segments_path, boundary), boundary, self.configs.active(user))
         g = Graph(staged(g.nodes, "nodes"), staged(g.edges, "edges"))
         return Graph(staged(with_component_ids(g), "nodes"), g.edges)
 
