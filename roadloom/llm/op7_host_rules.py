@@ -192,9 +192,23 @@ def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_quality(docs).select("doc_id", *DIGEST, "base_failed", "kept")
 
 
+def page_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' texts, judged by the domains of their URLs, every seventh of which serves menus alone."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    text = F.regexp_replace(F.coalesce("html", F.lit("")), "<[^>]*>", " ")
+    domain = domain_of(F.col("url"))
+    menu = F.pmod(F.conv(F.substring(F.md5(domain), 1, 6), 16, 10).cast("long"), F.lit(7)) == 0
+    rows = pages.select("page_id", F.when(menu, F.repeat(F.lit("home | news | "), 5)).otherwise(text).alias("text"), domain.alias("domain"))
+    return host_quality(rows, "page_id", "text", "domain").select("doc_id", *DIGEST, "base_failed", F.round("host_rate", 9).alias("host_rate"), "host_rejected", "kept")
+
+
 _P = HostPolicy()
-ORACLE = f"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
+
+
+def oracle(rows: str, columns: str = "NOT base_failed AND NOT bad AS kept") -> str:
+    """The rules in SQL over ``rows``, a query of doc_id, source and text."""
+    return f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, row_number() OVER () AS r FROM ({rows})),
 w AS (SELECT r, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, string_split(t, chr(10)) AS l FROM d),
 g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM w)),
 c AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
@@ -214,9 +228,13 @@ v AS (SELECT *, least(greatest(f / n, 1e-6), 1 - 1e-6) AS mean, n - nn / n AS sp
 x AS (SELECT *, CASE WHEN h > 1 AND spread > 0 AND f > 0 AND f < n THEN (ffn - f * f / n - (h - 1) * mean * (1 - mean)) / spread ELSE 0 END AS between_hosts FROM v),
 z AS (SELECT mean, CASE WHEN between_hosts > 0 THEN least(greatest(mean * (1 - mean) / between_hosts - 1, {_P.min_weight}::DOUBLE), {_P.max_weight}::DOUBLE) ELSE {_P.max_weight}::DOUBLE END AS weight FROM x),
 o AS (SELECT source, n, weight, mean, (f + mean * weight) / (n + weight) AS rate FROM h, z),
-q AS (SELECT source, rate - {_P.z}::DOUBLE * sqrt(rate * (1 - rate) / (n + weight + 1)) > least({_P.max_host_rate}::DOUBLE, {_P.max_ratio}::DOUBLE * mean) AS bad FROM o)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept
+q AS (SELECT source, rate, rate - {_P.z}::DOUBLE * sqrt(rate * (1 - rate) / (n + weight + 1)) > least({_P.max_host_rate}::DOUBLE, {_P.max_ratio}::DOUBLE * mean) AS bad FROM o)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, {columns}
 FROM f JOIN q ON f.source IS NOT DISTINCT FROM q.source
 """
-QUERIES = {"op7_host_rules": op7_host_rules}
-ORACLES = {"op7_host_rules": ORACLE}
+
+
+_HOST = "regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www[.]', '')"
+_PAGES = f"""SELECT page_id AS doc_id, host AS source, CASE WHEN ('0x' || substr(md5(host), 1, 6))::BIGINT % 7 = 0 THEN repeat('home | news | ', 5) ELSE regexp_replace(coalesce(html, ''), '<[^>]*>', ' ', 'g') END AS text FROM (SELECT *, {_HOST} AS host FROM pages)"""
+QUERIES = {"op7_host_rules": op7_host_rules, "page_domains": page_domains}
+ORACLES = {"op7_host_rules": oracle("SELECT doc_id, source, text FROM documents"), "page_domains": oracle(_PAGES, "round(rate, 9) AS host_rate, bad AS host_rejected, NOT base_failed AND NOT bad AS kept")}

@@ -89,6 +89,23 @@ def test_rotation_balances_and_keeps_neighbours():
     assert np.bitwise_count(codes ^ near).mean() < 2 < 10 < np.bitwise_count(codes[:-1] ^ codes[1:]).mean()
 
 
+def test_short_vectors(spark):
+    """Codes of 16 dimensions tell vectors apart as those of 64 do: few pairs are compared, and links are found."""
+    from pyspark.sql import functions as F
+
+    from roadloom.llm.op1_itq import with_codes
+
+    rng, rows = np.random.default_rng(3), []
+    for i in range(1500):
+        a = rng.normal(size=16)
+        rows += [(2 * i, 0, a.tolist()), (2 * i + 1, 0, (a + 0.05 * rng.normal(size=16)).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    coded = with_codes(df, ItqPolicy()).select("label", "dim", F.col("vec_id").alias("rep"), "codes")
+    pairs = {tuple(r) for r in candidates(coded, ItqPolicy()).collect()}
+    assert len(pairs) < 0.15 * 3000 * 2999 / 2
+    assert sum((2 * i, 2 * i + 1) in pairs for i in range(1500)) >= 0.98 * 1500
+
+
 def test_candidates_miss_nothing(spark):
     rng = np.random.default_rng(2)
     base = int(rng.integers(0, 1 << 62))
@@ -109,6 +126,6 @@ def test_unit_rows():
 def test_query_equals_sql(spark, sf):
     from compare import connect, rows_of, rows_of_sql
 
-    for name in ("op1_itq", "op6_raking", "op7_host_rules", "op9_hilbert"):
+    for name in ("op1_itq", "embedding_copies", "page_domains", "op6_raking", "op7_host_rules", "op9_hilbert"):
         df = QUERIES[name](spark, sf)
         assert rows_of(df) == rows_of_sql(connect(sf), ORACLES[name], df.columns), name
