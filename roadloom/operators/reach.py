@@ -1,7 +1,9 @@
 """Distances along the graph: bounded reach, nearest stations, coverage.
 
-Two ways, with the same results. A graph whose edges are few enough, which is counted first, goes to every task as
-arrays, and each source is searched where it is. Beyond that, distances are relaxed by joins.
+Three ways, with the same results. A graph whose edges are few enough, which is counted first, goes to every task as
+arrays, and each source is searched where it is. Beyond that, the graph is cut into square cells: each cell is searched
+in a task, and only what crosses a border goes on to the next round. Without places, or where the fewest edges are
+asked for too, distances are relaxed by joins.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadloom.functions.geo import z_order
 from roadloom.operators.road_graph import Graph, adjacency
 from roadloom.plans.staging import drop_staged, staged, staged_with
 
@@ -127,15 +130,98 @@ def relax(adj: DataFrame, sources: DataFrame, max_rounds: int = 10_000, from_nei
     raise RuntimeError("distances did not settle")
 
 
+def cells_of(graph: Graph, most_edges: int) -> DataFrame:
+    """(node_id, cell): square cells, as large as they can be with ``most_edges`` ends of edges in each, if 65,536 by
+    65,536 of them suffice. Levels are compared in one pass; 17 counts reach the driver."""
+    z = graph.nodes.select("node_id", z_order(F.col("lat"), F.col("lon")).alias("z"))
+    ends = graph.edges.select(F.explode(F.array("src", "dst")).alias("node_id")).groupBy("node_id").agg(F.count("*").alias("n"))
+    z = staged(z.join(ends, "node_id", "left").select("node_id", "z", (F.coalesce("n", F.lit(0)) + 1).alias("n")), "places")
+    at = lambda level: F.shiftright(F.col("z"), 32 - 2 * level)
+    sums = z.groupBy("z").agg(F.sum("n").alias("n")).select("n", F.inline(F.array(*[F.struct(F.lit(k).alias("level"), at(k).alias("cell")) for k in range(17)])))
+    largest = {r["level"]: r["n"] for r in sums.groupBy("level", "cell").agg(F.sum("n").alias("n")).groupBy("level").agg(F.max("n").alias("n")).collect()}
+    level = next((k for k in range(17) if largest.get(k, 0) <= most_edges), 16)
+    return z.select("node_id", at(level).alias("cell"))
+
+
+def _search_cell(rows: pa.Table, arcs: pa.Table) -> pa.Table:
+    """Every source's search through one cell, from the nodes where it has come in; what leaves the cell is told, but
+    not followed."""
+    near: dict[str, list] = {}
+    for u, v, w, cell, inside in zip(*(arcs.column(c).to_pylist() for c in ("u", "v", "w", "to", "inside")), strict=True):
+        near.setdefault(u, []).append((v, w, cell, inside))
+    entries: dict[tuple, list] = {}
+    own = rows.column("cell")[0].as_py() if rows.num_rows else None
+    for src, dst, dist, limit in zip(*(rows.column(c).to_pylist() for c in ("src", "dst", "dist_m", "limit_m")), strict=True):
+        entries.setdefault((src, limit), []).append((dist, dst))
+    out: list[tuple] = []
+    for (src, limit), heap in entries.items():
+        best, done, left = {}, {}, {}
+        for d, n in heap:
+            best[n] = min(d, best.get(n, np.inf))
+        heapq.heapify(heap)
+        while heap:
+            d, u = heapq.heappop(heap)
+            if u in done:
+                continue
+            done[u] = d
+            for v, w, cell, inside in near.get(u, ()):
+                t = d + w
+                if t > limit:
+                    continue
+                if not inside:
+                    if t < left.get(v, (np.inf,))[0]:
+                        left[v] = t, cell
+                elif v not in done and t < best.get(v, np.inf):
+                    best[v] = t
+                    heapq.heappush(heap, (t, v))
+        out += [(src, n, d, limit, own, 1) for n, d in done.items()] + [(src, n, d, limit, cell, 2) for n, (d, cell) in left.items()]
+    columns = list(zip(*out, strict=True)) or [()] * 6
+    kinds = (pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int32())
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["src", "dst", "dist_m", "limit_m", "cell", "kind"])
+
+
+def by_cells(graph: Graph, sources: DataFrame, most_edges: int = 100_000, group_rows: int = 200_000, max_rounds: int = 10_000) -> DataFrame:
+    """(src, dst, dist_m): the shortest distance from each source (node_id, limit_m) to each node within its limit.
+
+    Each round searches the cells that sources have come into, through all of a cell at once, so there are as many
+    rounds as a path crosses borders, not as it has edges. A group is a cell's edges, at most ``most_edges`` by the
+    cells' choice, with about ``group_rows`` entries of some of the sources; more sources make more groups. Distances
+    are summed from the source on and kept as partial minima; every round is a written table.
+    """
+    cells = staged(cells_of(graph, most_edges), "cells")
+    arcs = adjacency(graph.edges).join(cells.select(F.col("node_id").alias("u"), "cell"), "u").join(cells.select(F.col("node_id").alias("v"), F.col("cell").alias("to")), "v")
+    arcs = staged(arcs.select("u", "v", "w", "cell", "to", (F.col("cell") == F.col("to")).alias("inside")), "arcs")
+    zero = sources.join(cells, "node_id").select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"), F.lit(0.0).alias("dist_m"), "limit_m", "cell", F.lit(2).alias("kind"))
+    best = staged(zero, "reach")
+    for _ in range(max_rounds):
+        front = best.where("kind = 2")
+        largest = front.groupBy("cell").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        if not largest:
+            return best.select("src", "dst", "dist_m")
+        part = F.pmod(F.xxhash64("src"), F.lit(-(-largest // group_rows))).alias("part")
+        front = front.select("src", "dst", "dist_m", "limit_m", "cell", part)
+        groups = front.select(F.col("cell").alias("c"), F.col("part").alias("p")).distinct()
+        known = arcs.join(groups, F.col("cell") == F.col("c")).select("u", "v", "w", "to", "inside", F.col("c").alias("cell"), F.col("p").alias("part"))
+        found = front.groupBy("cell", "part").cogroup(known.groupBy("cell", "part")).applyInArrow(_search_cell, "src string, dst string, dist_m double, limit_m double, cell long, kind int")
+        # Of equal distances the older one stays, so that nothing goes around in circles.
+        rows = best.withColumn("kind", F.lit(0)).unionByName(found).groupBy("src", "dst").agg(F.min(F.struct("dist_m", "kind", "limit_m", "cell")).alias("b"))
+        now = staged(rows.select("src", "dst", "b.dist_m", "b.limit_m", "b.cell", "b.kind"), "reach")
+        drop_staged(best)
+        best = now
+    raise RuntimeError("distances did not settle")
+
+
 def distances(graph: Graph, sources: DataFrame | None = None, radius_m: float | None = None, by_joins: bool | None = None, hops: bool = False) -> DataFrame:
     """(src, dst, dist_m) from each source (node_id; default: every node) to what it reaches within ``radius_m`` (None:
-    any distance), itself included. ``sources`` may have a limit of their own, limit_m. ``by_joins``: by default, as
-    the size of the graph asks for. ``hops``: a column more, the fewest edges of a shortest path."""
+    any distance), itself included. ``sources`` may have a limit of their own, limit_m. ``by_joins``: relax by
+    joins; by default, the way follows the graph's size. ``hops``: a column more, the fewest edges of a shortest path."""
     sources = graph.nodes if sources is None else sources
     own = F.max("limit_m") if "limit_m" in sources.columns else F.lit(float("inf"))
     limit = F.least(own, F.lit(float("inf") if radius_m is None else float(radius_m)))
     sources = sources.groupBy("node_id").agg(limit.alias("limit_m"))
     arrays = None if by_joins else arrays_of(graph)
+    if arrays is None and not by_joins and not hops:
+        return by_cells(graph, sources)
     found = relax(adjacency(graph.edges), sources) if arrays is None else staged(_searched(arrays, sources), "reach")
     return found.select("src", "dst", "dist_m", *(["hops"] if hops else []))
 

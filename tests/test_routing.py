@@ -123,3 +123,27 @@ def test_directed_equals_undirected(spark):
     assert set(got) == set(plain) and len(got) == 24
     assert sum(got[k] == plain[k] for k in got) >= 20
     assert turns(roads.arcs, 1.0).count() == sum(d * d for d in [sum(1 for r in rows if i in (r[1], r[2])) for i in at])
+
+
+def test_cells_equal_joins(spark):
+    """Searching cell by cell gives the distances that joins give, at any size of cells and groups, in few rounds."""
+    from roadloom.operators.reach import by_cells, cells_of, distances
+
+    rng = random.Random(8)
+    nodes = [(f"n{i}", rng.uniform(48, 49), rng.uniform(17, 18)) for i in range(120)] + [("lone", 10.0, 10.0)]
+    edges = {}
+    for a, y, x in nodes[:-1]:
+        for b, _, _ in sorted(nodes[:-1], key=lambda n: (n[1] - y) ** 2 + (n[2] - x) ** 2)[1:4]:
+            edges[min(a, b), max(a, b)] = float(rng.choice([0, 1, 2, 7, 7.3]))
+    g = Graph(spark.createDataFrame(nodes, NODES), spark.createDataFrame([(*k, w) for k, w in edges.items()], "src string, dst string, dist_m double"))
+    sources = spark.createDataFrame([(n[0], rng.choice([0.0, 9.0, 30.0, 1e9])) for n in nodes[::3]] + [("lone", 5.0), ("absent", 5.0)], "node_id string, limit_m double")
+    want = sorted(tuple(r) for r in distances(g, sources, by_joins=True).collect() if r["src"] != "absent")
+    for most, rows in ((40, 30), (10**6, 10**6)):
+        assert sorted(tuple(r) for r in by_cells(g, sources, most, rows).collect()) == want
+    sizes = [r["n"] for r in cells_of(g, 40).groupBy("cell").count().withColumnRenamed("count", "n").collect()]
+    assert len(sizes) > 5 and max(sizes) <= 40
+    line = [(f"p{i:03}", 48.0, 17 + i * 1e-5) for i in range(300)]
+    path = Graph(spark.createDataFrame(line, NODES), spark.createDataFrame([(f"p{i:03}", f"p{i + 1:03}", 1.0) for i in range(299)], "src string, dst string, dist_m double"))
+    far = by_cells(path, spark.createDataFrame([("p000", 1e9)], "node_id string, limit_m double"), most_edges=10**6, max_rounds=3)
+    assert far.agg({"dist_m": "max"}).first()[0] == 299.0
+    assert by_cells(g, sources.limit(0)).count() == 0
