@@ -12,6 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from roadloom.operators.reach import bounded_reach, nearest_station
@@ -63,11 +64,6 @@ def _turn(*parts: object) -> object:
     return F.md5(F.concat_ws(":", *[F.col(p) if isinstance(p, str) else F.lit(str(p)) for p in parts]))
 
 
-def _share(turn: object) -> object:
-    """A uniform number in [0, 1) from a digest."""
-    return F.conv(F.substring(turn, 1, 13), 16, 10).cast("double") / float(1 << 52)
-
-
 def greedy(reach: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """(node_id, rank): again and again the open node that reaches most open nodes (ties: least id); open nodes are
     those covered fewer than k times, and a station is no candidate any more.
@@ -124,14 +120,20 @@ def restricted(gains: DataFrame, alpha: float, budget: int, turn: int, seed: int
     """The restricted candidate list of each run: of ``gains`` (run, node, g), those with a gain of at least
     ceil(most - alpha * (most - least)), and ``turn_key``, a random order for uniform picks.
 
-    Of more than ``budget`` candidates, each is evaluated with a probability that leaves ``budget`` on average.
+    Of more than ``budget`` candidates, that many are evaluated, those of the least draws. They aren't sorted: counts
+    by the draws' first three digits, at most 4,096 a run, tell at which digits the budget is used up, and only the
+    candidates with those digits are put in order.
     """
-    drawn = gains.withColumn("turn_key", _turn("run", "node", turn, seed))
-    sizes = drawn.groupBy("run").agg(F.count("*").alias("size"))
-    drawn = drawn.join(F.broadcast(sizes), "run").withColumn("in", _share(_turn("node", "run", seed, turn)) * F.col("size") < budget)
-    # A run whose draw leaves nobody evaluates everybody.
-    some = drawn.groupBy("run").agg(F.max("in").alias("some"))
-    kept = drawn.join(F.broadcast(some), "run").where(F.col("in") | ~F.col("some")).drop("in", "some", "size")
+    draw = _turn("node", "run", seed, turn)
+    drawn = gains.select("run", "node", "g", _turn("run", "node", turn, seed).alias("turn_key"), draw.alias("draw"), F.substring(draw, 1, 3).alias("digits"))
+    counts = drawn.groupBy("run", "digits").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("run").orderBy("digits").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("run", "digits", "n", before.alias("before")).where(F.col("before") < budget)
+    drawn = drawn.join(F.broadcast(counts), ["run", "digits"])
+    whole = F.col("before") + F.col("n") <= budget
+    place = F.row_number().over(W.partitionBy("run").orderBy("draw", "node"))
+    last = drawn.where(~whole).withColumn("place", place).where(F.col("place") <= budget - F.col("before")).drop("place")
+    kept = drawn.where(whole).unionByName(last)
     span = kept.groupBy("run").agg(F.max("g").alias("most"), F.min("g").alias("least"))
     least = F.ceil(F.round(F.col("most") - alpha * (F.col("most") - F.col("least")), 9))
     return kept.join(F.broadcast(span), "run").where(F.col("g") >= least).select("run", "node", "g", "turn_key")

@@ -186,7 +186,7 @@ SELECT n AS node_count, (SELECT count(*) FROM edges) AS edge_count, round(2.0::D
     "under_covered": f"{_R}, cv AS (SELECT t, count(*) AS n FROM r WHERE s IN (SELECT node_id FROM nodes WHERE lat > 50) GROUP BY t) SELECT node_id, coalesce(n, 0) AS n FROM nodes LEFT JOIN cv ON t = node_id WHERE coalesce(n, 0) < {K}",
     "redundant_removed": f"{_R}, {_removal('(SELECT node_id AS node FROM nodes)')} SELECT node AS node_id FROM rm",
     "swaps": f"{_R}, {_random(1)}, {_removal(f'(SELECT node FROM {_LAST})')}, {_SWAPS} SELECT DISTINCT out, into_ AS \"into\" FROM sw WHERE key_ NOT IN (SELECT a.key_ FROM tc a JOIN fs USING (t) WHERE a.key_ <> fs.key_)",
-    "restricted_list": f"{_R}, gn AS (SELECT s AS node, count(*) AS g FROM r GROUP BY s), ev AS (SELECT * FROM gn WHERE ('0x' || substr(md5(node || ':0:{SEED}:0'), 1, 13))::BIGINT::DOUBLE / {float(1 << 52)!r} * (SELECT count(*) FROM gn) < 200) SELECT node AS node_id, g AS gain FROM ev WHERE g >= (SELECT ceil(round(max(g) - 0.3::DOUBLE * (max(g) - min(g)), 9)) FROM ev)",
+    "restricted_list": f"{_R}, gn AS (SELECT s AS node, count(*) AS g FROM r GROUP BY s), ev AS (SELECT * FROM gn ORDER BY md5(node || ':0:{SEED}:0'), node LIMIT 200) SELECT node AS node_id, g AS gain FROM ev WHERE g >= (SELECT ceil(round(max(g) - 0.3::DOUBLE * (max(g) - min(g)), 9)) FROM ev)",
     "map_match": f"{_W}{_LATTICE} SELECT trip_id, pos, src AS a, dst AS b, round(t, 6) AS t FROM bk JOIN fd USING (trip_id, pos, p)",
 }
 QUERIES = {f.__name__: f for f in (eccentricity, graph_metrics, treewidth, place_greedy, place_random, place_grasp, coverage_counts, under_covered, redundant_removed, swaps, restricted_list, map_match, map_match_lines)}

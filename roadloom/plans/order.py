@@ -12,15 +12,19 @@ def ranked(df: DataFrame, *order: Column | str, out: str = "rank") -> DataFrame:
     """``df``, written, with each row's position (long, from 0) in ``order``.
 
     Rows are dealt by range and sorted within partitions, and their place in the partition is written beside them;
-    then each partition's offset is added, from one count per partition.
+    then each partition's offset is added, from one count per partition, which are broadcast as a table. A column
+    named ``out`` is replaced.
     """
+    part, place, offset = "_part", "_place", "_before"
+    while {part, place, offset} & {c.lower() for c in df.columns}:
+        part, place, offset = "_" + part, "_" + place, "_" + offset
     at = F.monotonically_increasing_id()
     rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = staged(rows.select("*", F.shiftrightunsigned(at, 33).alias("_part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("_place")), "ranked")
-    sizes = {r["_part"]: r["n"] for r in rows.groupBy("_part").agg(F.count("*").alias("n")).collect()}
-    before, offsets = 0, []
-    for part in sorted(sizes):
-        offsets += [F.lit(int(part)), F.lit(before)]
-        before += sizes[part]
-    offset = F.create_map(*offsets)[F.col("_part")] if offsets else F.lit(0)
-    return rows.select(*df.columns, (offset + F.col("_place")).cast("long").alias(out))
+    rows = staged(rows.select("*", F.shiftrightunsigned(at, 33).alias(part), at.bitwiseAND(F.lit((1 << 33) - 1)).alias(place)), "ranked")
+    sizes, before, offsets = rows.groupBy(part).agg(F.count("*").alias("n")).collect(), 0, []
+    for r in sorted(sizes, key=lambda r: r[part]):
+        offsets.append((r[part], before))
+        before += r["n"]
+    table = df.sparkSession.createDataFrame(offsets, f"{part} long, {offset} long")
+    out_row = (F.col(offset) + F.col(place)).cast("long").alias(out)
+    return rows.join(F.broadcast(table), part).select(*[F.col(f"`{c}`") for c in df.columns if c.lower() != out.lower()], out_row)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from datetime import UTC, datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,8 @@ class GraphStore:
     """Graphs of users under ``root``, a folder that all executors reach.
 
     Parts lie in folders by graph_id; a header row is added for each change and the latest counts, so renaming and
-    deleting never rewrite data."""
+    deleting never rewrite data. A change claims its revision by making a file that must not be there, so that of
+    writers at the same time each gets a revision of its own; a claim whose header never came leaves a gap."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -39,6 +42,33 @@ class GraphStore:
         row = [(graph_id, user_id, name, created or now, now, revision, deleted)]
         self.spark.createDataFrame(row, _HEADER).coalesce(1).write.parquet(f"{self.root}/headers/entry={uuid.uuid4().hex}")
 
+    def _claimed(self, graph_id: int, after: int) -> int:
+        """The first revision beyond ``after`` that nobody has claimed; it is claimed now."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/claims/{graph_id}")
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.mkdirs(folder)
+        revision = after + 1
+        while not self._made(fs, folder, str(revision)):
+            revision += 1
+        return revision
+
+    def _made(self, fs, folder, name: str) -> bool:
+        """Whether a file that wasn't there was made. The usual create of a local folder looks first and makes then, so
+        there the system's own exclusive one is asked for."""
+        if fs.getUri().getScheme() == "file":
+            try:
+                os.close(os.open(f"{folder.toUri().getPath()}/{name}", os.O_CREAT | os.O_EXCL))
+            except FileExistsError:
+                return False
+            return True
+        try:
+            fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(folder, name), False).close()
+        except Py4JJavaError as e:
+            if "AlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            return False
+        return True
+
     def headers(self, user_id: int | None = None) -> DataFrame:
         """The latest header of each graph that isn't deleted."""
         rows = self._read("headers", _HEADER)
@@ -73,20 +103,20 @@ class GraphStore:
 
     def rename(self, graph_id: int, name: str, user_id: int) -> None:
         h = self._own(graph_id, user_id)
-        self._write_header(graph_id, user_id, name, h["created_at"], h["revision"] + 1)
+        self._write_header(graph_id, user_id, name, h["created_at"], self._claimed(graph_id, h["revision"]))
 
     def delete(self, graph_id: int, user_id: int) -> None:
         h = self._own(graph_id, user_id)
-        self._write_header(graph_id, user_id, h["name"], h["created_at"], h["revision"] + 1, True)
+        self._write_header(graph_id, user_id, h["name"], h["created_at"], self._claimed(graph_id, h["revision"]), True)
         for t in ("nodes", "edges", "stations", "metrics"):
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{t}/graph_id={graph_id}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def list(self, user_id: int) -> DataFrame:
-        """Each graph of the user with the numbers of its nodes, edges and stations."""
-        parts = {}
+        """Each graph of the user with the numbers of its nodes, edges and stations; of others' graphs no file is read."""
+        parts, mine = {}, [r["graph_id"] for r in self.headers(user_id).select("graph_id").collect()]
         for t in ("nodes", "edges", "stations"):
-            parts[t] = self._read(t, "node_id string, src string, graph_id long").select("graph_id")
+            parts[t] = self._read(t, "node_id string, src string, graph_id long").select("graph_id").where(F.col("graph_id").isin(mine))
         return graph_summaries(self.headers(user_id).select("graph_id", "name", "created_at"), **parts)
 
 

@@ -6,6 +6,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from roadloom.operators import metrics, placement, reach
 from roadloom.operators.components import connected_components
@@ -266,3 +267,43 @@ def test_config():
     for bad in (dict(cell_resolution=16), dict(grasp_alpha=1.5), dict(country="de"), dict(algorithm="X"), dict(k=0)):
         with pytest.raises(ValueError):
             PipelineConfig(**bad)
+
+
+def test_renames_at_the_same_time(spark, tmp_path):
+    """Each of several writers gets a revision of its own, and the last one names the graph."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = GraphStore(spark, f"file://{tmp_path}/graphs")
+    one, other = store.save(make(spark, path(3)), "first", 1), store.save(make(spark, path(4)), "others", 2)
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: store.rename(one, f"name {i}", 1), range(4)))
+    rows = spark.read.parquet(f"file://{tmp_path}/graphs/headers").where(f"graph_id = {one}").collect()
+    assert len({r["revision"] for r in rows}) == len(rows) == 5
+    [named] = store.list(1).collect()
+    assert named["name"] == max(rows, key=lambda r: r["revision"])["name"] and named["node_count"] == 3
+    plan = store.list(1)._jdf.queryExecution().optimizedPlan().toString()
+    assert str(one) in plan and str(other) not in plan
+
+
+def test_exact_budget(spark):
+    """As many candidates are evaluated as the budget allows, those of the least draws."""
+    import hashlib
+
+    gains = [(run, f"n{i}", 1 + (i * 7 + run) % 50) for run, n in ((0, 3000), (1, 40), (2, 1)) for i in range(n)]
+    df = spark.createDataFrame(gains, "run int, node string, g long")
+    for budget in (1, 40, 500):
+        got = {(r["run"], r["node"]) for r in placement.restricted(df, 1.0, budget, 3, 9).collect()}
+        want = set()
+        for run in (0, 1, 2):
+            own = sorted((hashlib.md5(f"{n}:{run}:9:3".encode()).hexdigest(), n) for r, n, _ in gains if r == run)
+            want |= {(run, n) for _, n in own[:budget]}
+        assert got == want
+
+
+def test_ranked(spark):
+    from roadloom.plans.order import ranked
+
+    df = spark.createDataFrame([(i * 7 % 101, i) for i in range(500)], "a long, _part long").withColumn("rank", F.lit("old"))
+    rows = ranked(df, "a", "_part").collect()
+    assert sorted((r["a"], r["_part"], r["rank"]) for r in rows) == [(*x, i) for i, x in enumerate(sorted((i * 7 % 101, i) for i in range(500)))]
+    assert ranked(df.limit(0), "a").count() == 0
