@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.operators.city import extract_city, read_boundary
+from roadloom.operators.city import Boundary, extract_city, read_boundary
+from roadloom.operators.gazetteer import boundary_by_name
 from roadloom.operators.metrics import compute_metrics, with_component_ids
 from roadloom.operators.placement import Placement, place
 from roadloom.operators.road_graph import Graph, Matcher, build_road_graph, graph_from_request
@@ -37,7 +38,13 @@ class RoadService:
         return self._built(read_sample(self.spark, folder, name), user)
 
     def import_city(self, segments_path: str, boundary_path: str, user: int) -> Graph:
-        boundary = read_boundary(self.spark, boundary_path)
+        return self._city(segments_path, read_boundary(self.spark, boundary_path), user)
+
+    def import_city_by_name(self, segments_path: str, settlements_path: str, name: str, user: int) -> Graph:
+        """The city that fits ``name`` best, in the user's country if the settings have one."""
+        return self._city(segments_path, boundary_by_name(self.spark, settlements_path, name, self.configs.active(user).country), user)
+
+    def _city(self, segments_path: str, boundary: Boundary, user: int) -> Graph:
         g = extract_city(segments_near(self.spark, segments_path, boundary), boundary, self.configs.active(user))
         g = Graph(staged(g.nodes, "nodes"), staged(g.edges, "edges"))
         return Graph(staged(with_component_ids(g), "nodes"), g.edges)
