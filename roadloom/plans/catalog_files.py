@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.operators import city, metrics, road_graph, trips
 from roadloom.plans.catalog import _C, _F, _LABELS, _P, _SIZES, _W, COARSE, FINE, _graph, _points
-from roadloom.plans.config import DEFAULTS, PipelineConfig
+from roadloom.plans.config import PipelineConfig
 from roadloom.plans.service import RoadService
+from roadloom.plans.settings import StoredConfigs
 from roadloom.plans.staging import shared_dir
 from roadloom.sources import points as src
 
@@ -137,9 +137,14 @@ def saved_graphs(s, d):
 
 
 def settings(s, d):
-    """The default settings, by name."""
-    rows = [(k, str(v)) for k, v in asdict(DEFAULTS).items()]
-    return s.createDataFrame(rows, "name string, value string")
+    """The settings of all customers, of whom every third has saved own ones, and every ninth others after them."""
+    book = StoredConfigs(s, _scratch(s, "settings"))
+    users = s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("user_id"))
+    u = F.col("user_id")
+    own = users.where("user_id % 3 = 0").select(u, F.lit(0).alias("revision"), (u % 5 + 1).alias("k"), (u % 7 * 100 + 100).alias("max_radius_m"), F.when(u % 2 == 0, "sk").alias("country"))
+    book.save(own)
+    book.save(users.where("user_id % 9 = 0").select(u, F.lit(1).alias("revision"), F.lit("GREEDY").alias("algorithm"), F.lit(9).alias("k")))
+    return book.of(users)
 
 
 def refusals(s, d):
@@ -176,7 +181,7 @@ ORACLES = {
     "request_graph": "WITH e AS (SELECT n_nationkey AS k, 'n' || n_nationkey AS a, 'n' || (n_nationkey + 1 + n_regionkey) % 27 AS b, 10.0::DOUBLE + n_nationkey AS v FROM nation), i AS (SELECT 'n' || n_nationkey AS id FROM nation) SELECT 'n' || n_nationkey AS a, NULL::VARCHAR AS b, n_nationkey::DOUBLE AS v FROM nation UNION ALL SELECT least(a, b), greatest(a, b), arg_min(v, k) FROM e WHERE a IN (SELECT id FROM i) AND b IN (SELECT id FROM i) GROUP BY ALL",
     "wire_form": f"{_W}{_F}, {_LABELS}, {_SIZES}, rk AS (SELECT component, row_number() OVER (ORDER BY size DESC, component) - 1 AS part FROM sz) SELECT node_id AS a, '' AS b, round(lat, 6) AS v, part FROM nodes JOIN cc ON id = node_id JOIN rk ON component = c UNION ALL SELECT src, dst, dist_m, NULL FROM edges",
     "saved_graphs": f"WITH {_C}, n AS (SELECT count(*) AS n, count(*) FILTER (lat < 50) AS south, count(*) FILTER (lat > 51.9) AS north FROM nodes), ge AS (SELECT count(*) AS n, count(*) FILTER (src IN (SELECT node_id FROM nodes WHERE lat < 50) AND dst IN (SELECT node_id FROM nodes WHERE lat < 50)) AS south FROM edges) SELECT TRUE AS first, 'all' AS name, n.n AS node_count, ge.n AS edge_count, n.north AS station_count FROM n, ge UNION ALL SELECT FALSE, 'half', n.south, ge.south, 0 FROM n, ge UNION ALL SELECT TRUE, 'loaded', 3, ge.n, n.north FROM n, ge",
-    "settings": "SELECT * FROM (VALUES ('max_speed_kmh', '200.0'), ('cell_resolution', '12'), ('k', '2'), ('max_radius_m', '1000.0'), ('iterations', '10'), ('grasp_alpha', '0.3'), ('grasp_eval_budget', '500'), ('country', 'None'), ('retain_percent', '2.0'), ('buffer_m', '100.0'), ('algorithm', 'RANDOM')) t(name, value)",
+    "settings": "SELECT c_custkey AS user_id, 200.0::DOUBLE AS max_speed_kmh, 12 AS cell_resolution, (CASE WHEN c_custkey % 9 = 0 THEN 9 WHEN c_custkey % 3 = 0 THEN c_custkey % 5 + 1 ELSE 2 END)::INT AS k, (CASE WHEN c_custkey % 9 = 0 OR c_custkey % 3 <> 0 THEN 1000 ELSE c_custkey % 7 * 100 + 100 END)::DOUBLE AS max_radius_m, 10 AS iterations, 0.3::DOUBLE AS grasp_alpha, 500 AS grasp_eval_budget, CASE WHEN c_custkey % 9 <> 0 AND c_custkey % 6 = 0 THEN 'sk' END AS country, 2.0::DOUBLE AS retain_percent, 100.0::DOUBLE AS buffer_m, CASE WHEN c_custkey % 9 = 0 THEN 'GREEDY' ELSE 'RANDOM' END AS algorithm FROM customer",
     "refusals": "SELECT * FROM (VALUES ('settings', 'country must be sk, cz, at or None; k must be from 1 to 1000000, not 0; grasp_alpha must be from 0 to 1, not 1.5'), ('size', 'the graph has more than 10 nodes'), ('format', 'unsupported file format: track.GPX'), ('sample', 'a sample''s name must not hold a path'), ('city', 'city not found'), ('loop', 'a graph must not hold self-loops')) t(name, message)",
 }
 QUERIES = {f.__name__: f for f in (geojson_points, gpx_points, csv_points, in_boundary, request_graph, wire_form, saved_graphs, settings, refusals)}

@@ -11,7 +11,8 @@ from roadloom.operators.metrics import compute_metrics, with_component_ids
 from roadloom.operators.placement import Placement, place
 from roadloom.operators.road_graph import Graph, Matcher, build_road_graph, graph_from_request
 from roadloom.operators.tiles import segments_near
-from roadloom.plans.config import ConfigBook, PipelineConfig, PlacementRequest
+from roadloom.plans.config import PipelineConfig, PlacementRequest
+from roadloom.plans.settings import StoredConfigs
 from roadloom.plans.staging import staged
 from roadloom.plans.store import GraphStore
 from roadloom.sources.points import list_samples, read_points, read_sample
@@ -21,7 +22,7 @@ class RoadService:
     """The users' graphs under ``root`` and their settings. Graphs are arguments and results, never kept aside."""
 
     def __init__(self, spark: SparkSession, root: str, matcher: Matcher | None = None) -> None:
-        self.spark, self.store, self.configs, self.matcher = spark, GraphStore(spark, root), ConfigBook(), matcher
+        self.spark, self.store, self.configs, self.matcher = spark, GraphStore(spark, root), StoredConfigs(spark, root), matcher
 
     def _built(self, points: DataFrame, user: int) -> Graph:
         g = build_road_graph(points, self.configs.active(user), self.matcher)

@@ -15,6 +15,35 @@ from roadloom.operators.road_graph import Graph
 _HEADER = "graph_id long, user_id long, name string, created_at timestamp_ntz, updated_at timestamp_ntz, revision long, deleted boolean"
 
 
+def claimed(spark: SparkSession, path: str, after: int) -> int:
+    """The first revision beyond ``after`` that nobody has claimed in the folder ``path``; it is claimed now."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    revision = after + 1
+    while not _made(spark, fs, folder, str(revision)):
+        revision += 1
+    return revision
+
+
+def _made(spark: SparkSession, fs, folder, name: str) -> bool:
+    """Whether a file that wasn't there was made. The usual create of a local folder looks first and makes then, so
+    there the system's own exclusive one is asked for."""
+    if fs.getUri().getScheme() == "file":
+        try:
+            os.close(os.open(f"{folder.toUri().getPath()}/{name}", os.O_CREAT | os.O_EXCL))
+        except FileExistsError:
+            return False
+        return True
+    try:
+        fs.create(spark._jvm.org.apache.hadoop.fs.Path(folder, name), False).close()
+    except Py4JJavaError as e:
+        if "AlreadyExists" not in e.java_exception.getClass().getName():
+            raise
+        return False
+    return True
+
+
 class GraphStore:
     """Graphs of users under ``root``, a folder that all executors reach.
 
@@ -42,33 +71,6 @@ class GraphStore:
         row = [(graph_id, user_id, name, created or now, now, revision, deleted)]
         self.spark.createDataFrame(row, _HEADER).coalesce(1).write.parquet(f"{self.root}/headers/entry={uuid.uuid4().hex}")
 
-    def _claimed(self, graph_id: int, after: int) -> int:
-        """The first revision beyond ``after`` that nobody has claimed; it is claimed now."""
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/claims/{graph_id}")
-        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.mkdirs(folder)
-        revision = after + 1
-        while not self._made(fs, folder, str(revision)):
-            revision += 1
-        return revision
-
-    def _made(self, fs, folder, name: str) -> bool:
-        """Whether a file that wasn't there was made. The usual create of a local folder looks first and makes then, so
-        there the system's own exclusive one is asked for."""
-        if fs.getUri().getScheme() == "file":
-            try:
-                os.close(os.open(f"{folder.toUri().getPath()}/{name}", os.O_CREAT | os.O_EXCL))
-            except FileExistsError:
-                return False
-            return True
-        try:
-            fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(folder, name), False).close()
-        except Py4JJavaError as e:
-            if "AlreadyExists" not in e.java_exception.getClass().getName():
-                raise
-            return False
-        return True
-
     def headers(self, user_id: int | None = None) -> DataFrame:
         """The latest header of each graph that isn't deleted."""
         rows = self._read("headers", _HEADER)
@@ -103,11 +105,11 @@ class GraphStore:
 
     def rename(self, graph_id: int, name: str, user_id: int) -> None:
         h = self._own(graph_id, user_id)
-        self._write_header(graph_id, user_id, name, h["created_at"], self._claimed(graph_id, h["revision"]))
+        self._write_header(graph_id, user_id, name, h["created_at"], claimed(self.spark, f"{self.root}/claims/{graph_id}", h["revision"]))
 
     def delete(self, graph_id: int, user_id: int) -> None:
         h = self._own(graph_id, user_id)
-        self._write_header(graph_id, user_id, h["name"], h["created_at"], self._claimed(graph_id, h["revision"]), True)
+        self._write_header(graph_id, user_id, h["name"], h["created_at"], claimed(self.spark, f"{self.root}/claims/{graph_id}", h["revision"]), True)
         for t in ("nodes", "edges", "stations", "metrics"):
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{t}/graph_id={graph_id}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

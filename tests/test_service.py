@@ -42,3 +42,27 @@ def test_scopes_delete_what_they_staged(spark, tmp_path):
             staged(kept, "gone")
         keep(kept)
     assert kept.count() == 4 and len(set(os.listdir(folder)) - before) == 1
+
+
+def test_settings_outlive_the_process(spark, tmp_path):
+    """Settings are found again by another service; first use saves a copy of the defaults of that time."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from roadloom.plans.config import DEFAULTS
+    from roadloom.plans.settings import StoredConfigs
+
+    root = f"file://{tmp_path}/s"
+    first = StoredConfigs(spark, root)
+    assert first.latest().count() == 0 and first.active(1) == DEFAULTS
+    first.update(2, k=5, country="cz")
+    later = StoredConfigs(spark, root, DEFAULTS.updated(k=7))
+    assert (later.active(1).k, later.active(2).k, later.active(2).country, later.active(3).k) == (2, 5, "cz", 7)
+    assert later.reset(2).k == 7 and StoredConfigs(spark, root).active(2).country is None
+    with pytest.raises(ValueError):
+        later.update(1, k=0)
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda i: later.update(9, k=10 + i), range(3)))
+    rows = later._rows().where("user_id = 9").collect()
+    assert len({r["revision"] for r in rows}) == len(rows) == 3
+    got = {r["user_id"]: r["k"] for r in StoredConfigs(spark, root).of(spark.range(1, 5).withColumnRenamed("id", "user_id")).collect()}
+    assert got == {1: 2, 2: 7, 3: 7, 4: 2}
