@@ -237,4 +237,5 @@ FROM f JOIN q ON f.source IS NOT DISTINCT FROM q.source
 _HOST = "regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www[.]', '')"
 _PAGES = f"""SELECT page_id AS doc_id, host AS source, CASE WHEN ('0x' || substr(md5(host), 1, 6))::BIGINT % 7 = 0 THEN repeat('home | news | ', 5) ELSE regexp_replace(coalesce(html, ''), '<[^>]*>', ' ', 'g') END AS text FROM (SELECT *, {_HOST} AS host FROM pages)"""
 QUERIES = {"op7_host_rules": op7_host_rules, "page_domains": page_domains}
-ORACLES = {"op7_host_rules": oracle("SELECT doc_id, source, text FROM documents"), "page_domains": oracle(_PAGES, "round(rate, 9) AS host_rate, bad AS host_rejected, NOT base_failed AND NOT bad AS kept")}
+ORACLE = oracle("SELECT doc_id, source, text FROM documents")
+ORACLES = {"op7_host_rules": ORACLE, "page_domains": oracle(_PAGES, "round(rate, 9) AS host_rate, bad AS host_rejected, NOT base_failed AND NOT bad AS kept")}

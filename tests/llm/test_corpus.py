@@ -106,6 +106,12 @@ def test_host_verdicts_equal_sql(spark, tmp_path):
     assert any(not r[df.columns.index("kept")] for r in df.where("not base_failed").collect())
 
 
+def test_pages_of_bad_domains_go(spark):
+    rows = host.page_domains(spark, "/root/testdata/sf0.01").collect()
+    assert {r["host_rejected"] for r in rows} == {True, False}
+    assert all(r["kept"] == (not r["base_failed"] and not r["host_rejected"]) for r in rows) and any(r["kept"] for r in rows)
+
+
 def test_domain(spark):
     urls = spark.createDataFrame([("https://WWW.Example.com/a?b",), ("http://x.example.com:80/",), ("no url",), (None,)], "u string")
     assert [r[0] for r in urls.select(host.domain_of(F.col("u"))).collect()] == ["example.com", "x.example.com", None, None]
