@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from roadloom.functions.geo import grid_cell, haversine, hex_cell
+from roadloom.functions import hexagons
+from roadloom.functions.geo import grid_cell, haversine
 from roadloom.operators.trips import clean_trips, in_order, numbered
 from roadloom.plans.config import DEFAULTS, PipelineConfig
 
@@ -111,7 +112,7 @@ def matched_points(trips: DataFrame, matcher: Matcher | None) -> DataFrame:
 
 
 def cell_encoder(config: PipelineConfig = DEFAULTS) -> Callable[[Column, Column], Column]:
-    return lambda lat, lon: hex_cell(lat, lon, config.cell_resolution)
+    return lambda lat, lon: hexagons.text_of(hexagons.cell(lat, lon, config.cell_resolution))
 
 
 def grid_encoder(step_e6: int) -> Callable[[Column, Column], Column]:

@@ -3,10 +3,10 @@ from __future__ import annotations
 import pytest
 from compare import connect, rows_of, rows_of_sql
 
-from roadloom.plans import catalog, catalog_files, catalog_graphs, catalog_roads
+from roadloom.plans import catalog, catalog_cells, catalog_files, catalog_graphs, catalog_roads
 
-QUERIES = catalog.QUERIES | catalog_files.QUERIES | catalog_graphs.QUERIES | catalog_roads.QUERIES
-ORACLES = catalog.ORACLES | catalog_files.ORACLES | catalog_graphs.ORACLES | catalog_roads.ORACLES
+QUERIES = catalog.QUERIES | catalog_cells.QUERIES | catalog_files.QUERIES | catalog_graphs.QUERIES | catalog_roads.QUERIES
+ORACLES = catalog.ORACLES | catalog_cells.ORACLES | catalog_files.ORACLES | catalog_graphs.ORACLES | catalog_roads.ORACLES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
