@@ -87,24 +87,28 @@ def _construct(reach: DataFrame, nodes: DataFrame, k: int, only_open: bool, pick
     """(run, node, gain): stations of each run by rounds of leaders.
 
     ``pick`` gets the candidates (run, node, g: open nodes in reach) and the round, and returns those that may be
-    chosen with the columns of their order. Pairs that lead to nodes settled in every run are dropped whenever the open
-    nodes have halved."""
+    chosen with the columns of their order. Gains are kept with the nodes: after a round, each loses what its reach
+    holds of the nodes that were just settled, so a round's joins follow what changed. Pairs that lead to nodes settled
+    in every run are dropped whenever the open nodes have halved."""
     reach = staged(reach.select("src", "dst"), "pairs")
-    state = staged(nodes.select("run", "node", F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("gain")), "state")
+    first = nodes.join(reach.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("g")), "node", "left")
+    state = staged(first.select("run", "node", F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("gain"), F.coalesce("g", F.lit(0)).alias("g")), "state")
     still = None
     for turn in range(_MAX_ROUNDS):
         todo = state.where(F.col("n") < k).select("run", "node")
-        free = state.where(F.col("gain").isNull() & (F.col("n") < k if only_open else F.lit(True))).select("run", "node")
-        gains = free.join(reach.select(F.col("src").alias("node"), F.col("dst").alias("spot")), "node").join(todo.select("run", F.col("node").alias("spot")), ["run", "spot"], "left_semi")
-        gains = gains.groupBy("run", "node").agg(F.count("*").alias("g"))
+        gains = state.where(F.col("gain").isNull() & (F.col("g") > 0) & (F.col("n") < k if only_open else F.lit(True))).select("run", "node", "g")
         may, order = pick(gains, turn)
-        lead, seen = staged_with(_leaders(may, reach, todo, order).select("run", "node", "g"), "leaders", n=F.count(F.lit(1)))
+        lead, seen = staged_with(_leaders(may, reach, todo, order).select("run", "node", F.col("g").alias("won")), "leaders", n=F.count(F.lit(1)))
         if not seen["n"]:
+            drop_staged(lead)
             break
-        more = _coverage(reach, lead).withColumnRenamed("n", "m")
-        new = state.join(more, ["run", "node"], "left").join(lead, ["run", "node"], "left")
-        new, seen = staged_with(new.select("run", "node", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"), F.coalesce("gain", "g").alias("gain")), "state", open=F.count_if(F.col("n") < k))
-        for old in (state, lead):
+        more = _coverage(reach, lead).withColumnRenamed("n", "m").join(state.select("run", "node", "n"), ["run", "node"])
+        more = staged(more.select("run", "node", "m", ((F.col("n") < k) & (F.col("n") + F.col("m") >= k)).alias("settled")), "covered")
+        lost = more.where("settled").select("run", F.col("node").alias("dst")).join(reach, "dst").groupBy("run", F.col("src").alias("node")).agg(F.count("*").alias("lost"))
+        new = state.join(more.drop("settled"), ["run", "node"], "left").join(lead, ["run", "node"], "left").join(lost, ["run", "node"], "left")
+        new = new.select("run", "node", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"), F.coalesce("gain", "won").alias("gain"), (F.col("g") - F.coalesce("lost", F.lit(0))).alias("g"))
+        new, seen = staged_with(new, "state", open=F.count_if(F.col("n") < k))
+        for old in (state, lead, more):
             drop_staged(old)
         state = new
         if still is None or seen["open"] * 2 <= still:
