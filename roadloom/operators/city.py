@@ -101,9 +101,11 @@ def chain_graph(points: DataFrame) -> Graph:
     return Graph(nodes, canonical_edges(steps.where("dst is not null").withColumn("_order", F.struct("edge_id", "pos")), "_order"))
 
 
-def extract_city(segments: DataFrame, boundary: Boundary, config: PipelineConfig = DEFAULTS, max_nodes: int = 250_000) -> Graph:
-    """Drivable segments within the boundary as a graph, without small components; an error if it is too large."""
+def extract_city(segments: DataFrame, boundary: Boundary, config: PipelineConfig = DEFAULTS, max_nodes: int | None = 250_000) -> Graph:
+    """Drivable segments within the boundary as a graph, without small components; an error if it has more than
+    ``max_nodes`` (None: any number)."""
     kept = within(drivable(segments.dropDuplicates(["edge_id"])), boundary, config.buffer_m)
     graph = chain_graph(staged(chains(kept), "chains"))
     graph = Graph(staged(graph.nodes, "nodes"), staged(graph.edges, "edges"))
-    return guard_size(prune_components(graph, config.retain_percent), max_nodes)
+    graph = prune_components(graph, config.retain_percent)
+    return graph if max_nodes is None else guard_size(graph, max_nodes)

@@ -201,7 +201,8 @@ def city_edges(s, d):
 
 
 def city_nodes(s, d):
-    g = city.extract_city(_segments(s, d), city.Boundary.of(RING), road_graph.DEFAULTS.updated(buffer_m=0.0, retain_percent=0.2))
+    """All of a city's nodes, however many: the limit of an import is the service's."""
+    g = city.extract_city(_segments(s, d), city.Boundary.of(RING), road_graph.DEFAULTS.updated(buffer_m=0.0, retain_percent=0.2), max_nodes=None)
     return g.nodes.select("node_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 

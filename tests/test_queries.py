@@ -26,3 +26,12 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_city_of_any_size(spark, sf, monkeypatch):
+    """The limit of an import doesn't hold for the query, whose SQL has none."""
+    from roadloom.operators import city, metrics
+
+    monkeypatch.setattr(city, "guard_size", lambda g, most: metrics.guard_size(g, 5))
+    df = catalog.city_nodes(spark, sf)
+    assert rows_of(df) == rows_of_sql(connect(sf), ORACLES["city_nodes"], df.columns)
