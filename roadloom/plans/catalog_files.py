@@ -33,8 +33,9 @@ def _scratch(s: SparkSession, name: str) -> str:
 
 
 def _chunked(s, d) -> DataFrame:
-    """Points with the number of the file that they go to, at most :data:`CHUNK` and their repeats to a file."""
-    return _points(s, d).withColumn("chunk", F.floor(F.col("seq") % 1_000_000_000 / CHUNK))
+    """Points with the number of the file that they go to, at most :data:`CHUNK` and their repeats to a file. Numbers
+    have leading zeros, so that files' names are in the order of their numbers."""
+    return _points(s, d).withColumn("chunk", F.lpad(F.floor(F.col("seq") % 1_000_000_000 / CHUNK).cast("string"), 12, "0"))
 
 
 def _written(rows: DataFrame, path: str, extension: str) -> str:

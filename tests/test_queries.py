@@ -28,6 +28,15 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_files_are_numbered_in_the_order_of_their_chunks(spark, sf, monkeypatch):
+    """More than ten files, whose numbers are of different lengths."""
+    monkeypatch.setattr(catalog_files, "CHUNK", 50)
+    sql = ORACLES["csv_points"]
+    assert "// 1000 AS chunk" in sql
+    df = catalog_files.csv_points(spark, sf)
+    assert rows_of(df) == rows_of_sql(connect(sf), sql.replace("// 1000 AS chunk", "// 50 AS chunk"), df.columns)
+
+
 def test_city_of_any_size(spark, sf, monkeypatch):
     """The limit of an import doesn't hold for the query, whose SQL has none."""
     from roadloom.operators import city, metrics
