@@ -1,9 +1,10 @@
 """Near-duplicate embeddings by iterative quantisation, multi-index Hamming tables and reranking.
 
 A rotation is learnt for balanced binary codes (Gong and Lazebnik, 2011). Codes are cut into segments with a table
-each; the Hamming balls of a vector's segments fetch candidates, whole codes are compared, and what is left is
-reranked by the cosine of the original vectors. Codes grow with the labels: large ones get words from several rotations
-and wider segments, so that buckets stay small.
+each; a vector asks each table for its own segment and for what it becomes when bits flip that lie near the border
+between 0 and 1, codes are compared by how far their differing bits lie from it, and what is left is reranked by the
+cosine of the original vectors. No pair at the threshold is missed (:func:`near_candidates`), so results don't follow
+from the layout; large labels get wider segments, so that buckets stay small.
 """
 
 from __future__ import annotations
@@ -25,12 +26,18 @@ from roadloom.operators.components import connected_components
 from roadloom.plans.staging import staged
 
 
+#: Where a segment's number stands in a key; steps of margins.
+TAG, STEPS = 57, 8
+
+
 @dataclass(frozen=True)
 class ItqPolicy:
     """threshold: the least cosine of a link. bits: of a word, at most 64. max_bits: most
     differing bits of candidates, per word. layout: (words, segments of each), by default :func:`layout_for` the
-    largest label; every segment has radius 1, so with one word and 2 * segments > max_bits no such pair is missed.
-    sample: most vectors on which the rotations are fitted, chosen by a hash of their ids. rounds, seed: of the fit."""
+    largest label; complete search needs one word. Otherwise every segment has radius 1, so with one word and
+    2 * segments > max_bits no pair within max_bits is missed.
+    sample: most vectors on which the rotations are fitted, chosen by a hash of their ids. rounds, seed: of the fit.
+    complete: whether no link may be missed; if not, candidates are those within max_bits, by Hamming balls."""
 
     threshold: float = 0.93
     bits: int = 64
@@ -39,6 +46,7 @@ class ItqPolicy:
     sample: int = 5000
     rounds: int = 40
     seed: int = 42
+    complete: bool = True
 
 
 def layout_for(count: int) -> tuple[int, int]:
@@ -110,9 +118,37 @@ def encode(rows: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.nda
     return np.packbits(wide, axis=1, bitorder="little").view("<i8").reshape(-1)
 
 
-def with_codes(vectors: DataFrame, policy: ItqPolicy, words: int = 1) -> DataFrame:
+def flips(codes: np.ndarray, margins: np.ndarray, segments: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the tables to ask: each segment of a row's code, and what it becomes by flips of bits whose squared
+    ``margins`` (rows by bits) sum up to half of ``share``, or a quarter for one bit alone.
+
+    Of two vectors whose margins on the differing bits, a and b, have the sum of (a + b)^2 within the share, one has the
+    sum of its own squares within half of it, and with one such bit within a quarter."""
+    rows, keys = [], []
+    for i, (s, w) in enumerate(places_of(segments)):
+        row, value = np.arange(len(codes)), (codes.view(np.uint64) >> np.uint64(s)) & np.uint64((1 << w) - 1)
+        total, n = np.zeros(len(codes)), np.zeros(len(codes), np.int8)
+        for j in range(min(w, margins.shape[1] - s)):
+            more = total + margins[row, s + j]
+            ok = more <= share / 2
+            row, value = np.concatenate([row, row[ok]]), np.concatenate([value, value[ok] ^ np.uint64(1 << j)])
+            total, n = np.concatenate([total, more[ok]]), np.concatenate([n, n[ok] + 1])
+        ok = (n != 1) | (total <= share / 4)
+        rows.append(row[ok])
+        keys.append(value[ok].astype(np.int64) | (i << TAG))
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def places_of(segments: int) -> list[tuple[int, int]]:
+    """(shift, width) of the segments of a word."""
+    widths = [64 // segments + (i < 64 % segments) for i in range(segments)]
+    return [(sum(widths[:i]), w) for i, w in enumerate(widths)]
+
+
+def with_codes(vectors: DataFrame, policy: ItqPolicy, words: int = 1, segments: int = 0) -> DataFrame:
     """``vectors`` (vec_id, label, embedding) with dim, codes (an array of ``words`` longs) and digest, which is null
-    where a vector can't link.
+    where a vector can't link. With ``segments``, also probes (:func:`flips` of the first word) and far: masks of the
+    bits whose squared margin is at least 1, 2, ... times a :data:`STEPS`-th of the squared distance at the threshold.
 
     The rotations are fitted on the driver, on ``policy.sample`` vectors at most. Vectors of several lengths share
     them, padded with zeros, and never link with another length.
@@ -128,17 +164,54 @@ def with_codes(vectors: DataFrame, policy: ItqPolicy, words: int = 1) -> DataFra
     def make(column: pa.Array) -> list[pa.Array]:
         wide, turns = shared.value
         units, valid = unit_rows(column, wide)
-        codes = np.stack([encode(units, m, p) for m, p in turns], axis=1).reshape(-1)
+        first = encode(units, *turns[0])
+        codes = np.stack([first, *[encode(units, m, p) for m, p in turns[1:]]], axis=1).reshape(-1)
         codes = pa.ListArray.from_arrays(pa.array(np.arange(len(units) + 1) * len(turns), pa.int32()), pa.array(codes, pa.int64()))
         sizes = pa.compute.list_value_length(column).cast(pa.int32())
         keys = [blake2b((np.round(u, 15) + 0.0).tobytes(), digest_size=16).digest() if v else None for u, v in zip(units, valid, strict=True)]
-        return [sizes, codes, pa.array(keys, pa.binary())]
+        made = [sizes, codes, pa.array(keys, pa.binary())]
+        if not segments:
+            return made
+        mean, turn = turns[0]
+        margins, total = ((units - mean) @ turn) ** 2, distance_of(policy, wide)
+        row, asked = flips(first, margins, segments, total / segments)
+        order = np.argsort(row, kind="stable")
+        starts = np.searchsorted(row[order], np.arange(len(units) + 1))
+        level = np.zeros((len(units), STEPS, 64), np.uint8)
+        for k in range(STEPS):
+            level[:, k, : margins.shape[1]] = margins >= total * (k + 1) / STEPS
+        far = np.packbits(level, axis=2, bitorder="little").view("<i8").reshape(-1)
+        lists = lambda at, values: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.int64()))
+        return [*made, lists(starts, asked[order]), lists(np.arange(len(units) + 1) * STEPS, far)]
 
     fields = [T.StructField("dim", T.IntegerType()), T.StructField("codes", T.ArrayType(T.LongType())), T.StructField("digest", T.BinaryType())]
+    fields += [T.StructField(c, T.ArrayType(T.LongType())) for c in ("probes", "far")] if segments else []
     named = vectors.select("vec_id", "label", "embedding", F.col("embedding").alias("_again"))
     return add_columns(named, "_again", fields, make, arrow=True).drop("_again")
 
 
+def distance_of(policy: ItqPolicy, width: int) -> float:
+    """The greatest squared distance of two unit vectors at the threshold, summed over the axes of a word: axes are at
+    right angles up to the vectors' length ``width``, and then begin again. With a little more for rounding."""
+    return 2 * (1 - policy.threshold) * -(-policy.bits // min(policy.bits, width)) + 1e-9
+
+
+def near_candidates(classes: DataFrame, segments: int) -> DataFrame:
+    """(a, b), a < b, distinct: representatives of one label and length whose vectors may lie at the threshold.
+
+    Where signs differ, coordinates differ by the sum of both margins. Squares of differences sum up to the squared
+    distance over all axes, so to its share at most in some segment: there, one of the two asks for the other's value
+    (:func:`flips`). What is fetched stays if the differing bits' own squared margins, rounded down to whole
+    :data:`STEPS`, don't exceed the distance. Both hold of every pair at the threshold."""
+    table = [F.lit(i << TAG).bitwiseOR(_segment(F.col("codes")[0], s, w)) for i, (s, w) in enumerate(places_of(segments))]
+    left = classes.select("label", "dim", F.explode("probes").alias("key"), F.col("rep").alias("a"), F.col("codes")[0].alias("ca"))
+    right = classes.select("label", "dim", F.explode(F.array(*table)).alias("key"), F.col("rep").alias("b"), F.col("codes")[0].alias("cb"), *[F.col("far")[k].alias(f"far{k}") for k in range(STEPS)])
+    differ = F.col("ca").bitwiseXOR(F.col("cb"))
+    steps = sum((F.bit_count(differ.bitwiseAND(F.col(f"far{k}"))) for k in range(1, STEPS)), F.bit_count(differ.bitwiseAND(F.col("far0"))))
+    hits = left.join(right, ["label", "dim", "key"]).where((F.col("a") != F.col("b")) & (steps <= STEPS))
+    return hits.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def candidates(classes: DataFrame, policy: ItqPolicy, layout: tuple[int, int] = (1, 6)) -> DataFrame:
     """(a, b), a < b: representatives of one label and length that agree in a segment of their codes up to a bit, and
     whose codes differ in at most ``policy.max_bits`` a word.
@@ -149,11 +222,10 @@ def candidates(classes: DataFrame, policy: ItqPolicy, layout: tuple[int, int] =
     words, segments = layout
     if words == 1 and policy.max_bits >= 2 * segments:
         raise ValueError("too few segments for max_bits")
-    widths = [64 // segments + (i < 64 % segments) for i in range(segments)]
-    places = [(word, sum(widths[:i]), w) for word in range(words) for i, w in enumerate(widths)]
+    places = [(word, s, w) for word in range(words) for s, w in places_of(segments)]
     table, probe = [], []
     for i, (word, s, w) in enumerate(places):
-        seg, tag = _segment(F.col("codes")[word], s, w), F.lit(i << 57)
+        seg, tag = _segment(F.col("codes")[word], s, w), F.lit(i << TAG)
         table.append(tag.bitwiseOR(seg))
         ball = F.concat(F.array(seg), _cleared(seg, w))
         probe.append(F.transform(ball, lambda x: tag.bitwiseOR(x)))  # noqa: B023
@@ -165,7 +237,7 @@ def candidates(classes: DataFrame, policy: ItqPolicy, layout: tuple[int, int] =
     on = F.lit(True)
     for c in block:
         on = on & (F.col(f"l.{c}") == F.col(f"r.{c}"))
-    at = F.shiftrightunsigned(F.col("l.key"), 57)
+    at = F.shiftrightunsigned(F.col("l.key"), TAG)
     once = F
     for i, (word, s, w) in enumerate(places):
         d = F.bit_count(_segment(differ[word], s, w))
@@ -213,13 +285,14 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", label: str = "label
     vectors = vectors.select(*kind)
     largest = vectors.where("label is not null").groupBy("label").count().agg(F.max("count")).first()[0] or 0
     layout = policy.layout or layout_for(largest)
-    rows = staged(with_codes(vectors, policy, layout[0]), "codes")
+    rows = staged(with_codes(vectors, policy, 1, layout[1]) if policy.complete else with_codes(vectors, policy, layout[0]), "codes")
     group = ["label", "dim", "digest"]
     sound = rows.where("label is not null and digest is not null and vec_id is not null")
-    heads = sound.groupBy(*group).agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("codes").alias("codes"))
+    heads = sound.groupBy(*group).agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), *[F.first(c).alias(c) for c in ("codes", "probes", "far") if c in rows.columns])
     heads = staged(heads, "classes")
     firsts = sound.join(heads.select(*group, "rep"), group).where("vec_id = rep").groupBy("rep").agg(F.first("embedding").alias("embedding"))
-    links = staged(rerank(candidates(heads, policy, layout), staged(firsts, "heads"), policy.threshold), "links")
+    pairs = near_candidates(heads, layout[1]) if policy.complete else candidates(heads, policy, layout)
+    links = staged(rerank(pairs, staged(firsts, "heads"), policy.threshold), "links")
     sizes = heads.select("rep", "size")
     ends = links.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("rep"), F.col("a").alias("other")))
     counts = ends.join(sizes.select(F.col("rep").alias("other"), "size"), "other").groupBy("rep").agg(F.sum("size").alias("outside"))
@@ -227,7 +300,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", label: str = "label
     known = heads.join(counts, "rep", "left").join(parts, "rep", "left")
     known = known.select(*group, (F.col("size") - 1 + F.coalesce("outside", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c"))
     # Rows that can't link have a null in the join's key or none that matches.
-    out = rows.drop("embedding", "codes").withColumn("on", F.col("vec_id").isNotNull()).join(known.withColumn("on", F.lit(True)), [*group, "on"], "left")
+    out = rows.select("vec_id", *group).withColumn("on", F.col("vec_id").isNotNull()).join(known.withColumn("on", F.lit(True)), [*group, "on"], "left")
     component = F.coalesce("c", "vec_id")
     return out.select(
         "vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept")
