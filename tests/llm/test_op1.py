@@ -129,3 +129,20 @@ def test_query_equals_sql(spark, sf):
     for name in ("op1_itq", "embedding_copies", "page_domains", "op6_raking", "op7_host_rules", "op9_hilbert"):
         df = QUERIES[name](spark, sf)
         assert rows_of(df) == rows_of_sql(connect(sf), ORACLES[name], df.columns), name
+
+
+def test_no_link_is_missed_in_any_layout(spark):
+    """Pairs barely above the threshold, of which some differ in more than 11 bits: all are found, in all layouts."""
+    rng, rows, n = np.random.default_rng(21), [], 600
+    for i in range(n):
+        size = (64, 20)[i % 2]
+        a, b = rng.normal(size=size), rng.normal(size=size)
+        a /= np.linalg.norm(a)
+        b -= a * (a @ b)
+        c = 0.9301 if i % 5 else 0.9299
+        rows += [(2 * i, i % 3, a.tolist()), (2 * i + 1, i % 3, (c * a + (1 - c * c) ** 0.5 * b / np.linalg.norm(b)).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    want = sorted(2 * i + j for i in range(n) if i % 5 for j in (0, 1))
+    for layout in ((1, 6), (3, 4), (7, 3)):
+        got = near_duplicates(df, policy=ItqPolicy(layout=layout)).where("n_links > 0")
+        assert sorted(r["vec_id"] for r in got.collect()) == want, layout
