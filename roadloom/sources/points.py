@@ -103,10 +103,14 @@ def read_csv(spark: SparkSession, path: str | list[str], with_file: bool = False
 
 def read_geojson(spark: SparkSession, path: str | list[str], with_file: bool = False) -> DataFrame:
     """Point features; coordinates are (lon, lat). A missing timestamp or another geometry fails the query; a
-    missing trip_id is 1. ``with_file``: a column ``file`` comes first."""
-    rows = spark.read.option("multiLine", True).schema(_GEOJSON).json(path)
+    missing trip_id is 1. ``with_file``: a column ``file`` comes first.
+
+    A file is read as one text in UTF-8 and parsed from memory: the JSON source would go back to the file for each
+    number that is kept as it is written."""
+    rows = spark.read.text(path, wholetext=True)
     kept = ["file"] if with_file else []
-    f = rows.select(*_file(with_file), F.posexplode("features").alias("seq", "f"))
+    parsed = F.from_json(F.ltrim("value", F.lit("\ufeff")), _GEOJSON).alias("j")
+    f = rows.select(*_file(with_file), parsed).select(*kept, F.posexplode("j.features").alias("seq", "f"))
     c = F.col("f.geometry.coordinates")
     fail = lambda test, value, why: F.when(test, value).otherwise(F.raise_error(F.lit(why)).cast("string"))
     is_point = (F.coalesce(F.col("f.geometry.type"), F.lit("Point")) == "Point") & (F.size(c) >= 2)

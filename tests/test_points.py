@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 import math
 import random
 from datetime import datetime
@@ -307,3 +308,15 @@ def test_matching(spark):
     assert [(r["trip_id"], r["off_road"]) for r in rows] == [(1, False)] * 5 + [(2, True)] * 2
     assert [round(r["lat"], 3) for r in rows[:5]] == [48.0, 48.001, 48.002, 48.003, 48.004]
     assert merged_graph(matched_points(df, None), grid_encoder(1000)).nodes.count() == 7
+
+
+def test_geojson_is_read_once(spark, tmp_path):
+    """No value sends the reader back to the file: what is read follows its size."""
+    feature = {"type": "Feature", "geometry": {"type": "Point", "coordinates": [17.125, 48.25]}, "properties": {"timestamp": "2020-01-01T00:00:00Z"}}
+    text = "\ufeff" + json.dumps({"type": "FeatureCollection", "features": [feature] * 2000})
+    (tmp_path / "a.geojson").write_text(text, encoding="utf-8")
+    read = lambda: sum(s.getBytesRead() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics())
+    before = read()
+    rows = src.read_geojson(spark, f"file://{tmp_path}/a.geojson").collect()
+    assert read() - before < 3 * len(text)
+    assert len(rows) == 2000 and {(r["lat"], r["lon"], r["trip_id"]) for r in rows} == {(48.25, 17.125, 1)}
