@@ -9,7 +9,8 @@ asked for too, distances are relaxed by joins.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from roadloom.functions.geo import z_order
 from roadloom.operators.road_graph import Graph, adjacency
-from roadloom.plans.staging import drop_staged, staged, staged_with
+from roadloom.plans.staging import drop_staged, keep_path, shared_dir, staged, staged_with
 
 #: The most undirected edges, and nodes, of a graph that goes to every task: 24 bytes an edge and an id a node.
 MAX_BROADCAST_EDGES, MAX_BROADCAST_NODES = 2_000_000, 1_000_000
@@ -211,6 +212,104 @@ def by_cells(graph: Graph, sources: DataFrame, most_edges: int = 100_000, group_
     raise RuntimeError("distances did not settle")
 
 
+_STATE = "src string, dst string, dist_m double, along double, hops int, limit_m double, cell long, at string, back string"
+
+
+def _search_cells(rows: pa.Table, arcs: pa.Table, u_turn: float, first: bool) -> pa.Table:
+    """Every source's search from arc to arc through each cell of a group on its own, from where it has come in; what
+    leaves a cell is told, but not followed. kind: 2 what leaves, 3 where it came in, 1 the rest, and 0 all of a
+    ``first`` search that leaves nothing. Ways have an arc at least; an arc that leads back costs ``u_turn`` more."""
+    near: dict[str, list] = {}
+    for u, v, w, more, cell, to in zip(*(arcs.column(c).to_pylist() for c in ("u", "v", "w", "along", "cell", "to")), strict=True):
+        near.setdefault(u, []).append((f"{u}|{v}", v, w, more, to, cell == to))
+    entries: dict[tuple, list] = {}
+    for src, cell, limit, *entry in zip(*(rows.column(c).to_pylist() for c in ("src", "cell", "limit_m", "dist_m", "along", "hops", "dst", "at", "back")), strict=True):
+        entries.setdefault((src, cell, limit), []).append(tuple(entry))
+    out: list[tuple] = []
+    for (src, cell, limit), heap in entries.items():
+        best, done, left, entered = {}, {}, {}, {e[3] for e in heap}
+        heapq.heapify(heap)
+        while heap:
+            d, along, h, name, at, back = heapq.heappop(heap)
+            if h:
+                if name in done:
+                    continue
+                done[name] = d, along, h
+            for f, v, w, more, to, inside in near.get(at, ()):
+                t = d + (w + u_turn if v == back else w)
+                if t > limit:
+                    continue
+                new = t, along + more, h + 1
+                if not inside:
+                    if f not in left or new < left[f][:3]:
+                        left[f] = *new, to, v, at
+                elif f not in done and (f not in best or new < best[f]):
+                    best[f] = new
+                    heapq.heappush(heap, (*new, f, v, at))
+        whole = first and not left
+        out += [(src, n, *x, None, None, None, None, 0 if whole else 3 if n in entered else 1) for n, x in done.items()]
+        out += [(src, n, *x[:3], limit, *x[3:], 2) for n, x in left.items()]
+    columns = list(zip(*out, strict=True)) or [()] * 10
+    kinds = (pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.float64(), pa.int64(), pa.string(), pa.string(), pa.int32())
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in _STATE.split(", ")] + ["kind"])
+
+
+def through_cells(sources: DataFrame, arcs: DataFrame, u_turn: float, group_rows: int = 50_000, group_arcs: int = 100_000, max_rounds: int = 10_000) -> DataFrame:
+    """(src, dst, dist_m, along, hops) from ``sources`` (as :data:`_STATE`, one row a source) over ``arcs`` (u, v, w,
+    along, cell of u, to: cell of v; a written table), by :func:`_search_cells`.
+
+    A round searches the cells that sources have come into. A group is a batch of cells with about ``group_rows`` entries
+    and ``group_arcs`` arcs; a cell with more entries is searched in several groups, each with some of the sources. What
+    is found is only added to, and its minima are taken once, at the end; of what leaves a cell, that goes on which is
+    better than all that was found there. Sources that never leave their cell need no minima."""
+    spark = sources.sparkSession
+    folder = f"{shared_dir(spark)}/cells-{uuid.uuid4().hex}"
+    keep_path(folder)
+    schema = _STATE + ", turn int, kind int"
+    rank = F.struct("dist_m", "along", "hops")
+    total = arcs.count()
+
+    def search(first: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+        return lambda rows, known: _search_cells(rows, known, u_turn, first)
+
+    front = staged(sources, "front")
+    for turn in range(max_rounds):
+        size = front.groupBy("cell").agg(F.count("*").alias("n")).agg(F.max("n").alias("largest"), F.sum("n").alias("rows")).first()
+        if not size["rows"]:
+            break
+        parts, batches = -(-size["largest"] // group_rows), max(-(-size["rows"] // group_rows), -(-total // group_arcs))
+        batch, part = F.pmod(F.xxhash64("cell"), F.lit(batches)).alias("batch"), F.pmod(F.xxhash64("src"), F.lit(parts)).alias("part")
+        rows = front.select("*", batch, part)
+        known = arcs.select("*", batch)
+        if turn == 0 and parts == 1:
+            known = known.withColumn("part", F.lit(0).cast("long"))
+        else:
+            groups = rows.select(F.col("cell").alias("c"), F.col("part").alias("p")).distinct()
+            known = known.join(groups, F.col("cell") == F.col("c")).select(*known.columns, F.col("p").alias("part"))
+        found = rows.groupBy("batch", "part").cogroup(known.groupBy("batch", "part")).applyInArrow(search(turn == 0), _STATE + ", kind int")
+        found.write.partitionBy("kind").parquet(f"{folder}/turn={turn}")
+        drop_staged(front)
+        every = spark.read.schema(schema).parquet(folder)
+        left = every.where((F.col("turn") == turn) & (F.col("kind") == 2)).groupBy("src", "dst").agg(F.min(F.struct(rank.alias("rank"), "limit_m", "cell", "at", "back")).alias("b"))
+        left = left.select("src", "dst", "b.*")
+        seen = every.where("kind = 3").groupBy("src", "dst").agg(F.min(rank).alias("known"))
+        # Of equal ones the older stays, so that nothing goes around in circles.
+        left = left.join(seen, ["src", "dst"], "left").where(F.col("known").isNull() | (F.col("rank") < F.col("known")))
+        front = staged(left.select("src", "dst", "rank.*", "limit_m", "cell", "at", "back"), "front")
+    else:
+        raise RuntimeError("distances did not settle")
+    if not turn:
+        return staged(sources.limit(0).select("src", "dst", "dist_m", "along", "hops"), "reach")
+    every = spark.read.schema(schema).parquet(folder)
+    again = every.where("kind in (1, 3)").groupBy("src", "dst").agg(F.min(rank).alias("b")).select("src", "dst", "b.*")
+    return every.where("kind = 0").select(*again.columns).unionByName(again)
+
+
+def with_cells(arcs: DataFrame, cells: DataFrame) -> DataFrame:
+    """``arcs`` (u, v, ...) with the cells of both ends, cell and to."""
+    return arcs.join(cells.select(F.col("node_id").alias("u"), "cell"), "u").join(cells.select(F.col("node_id").alias("v"), F.col("cell").alias("to")), "v")
+
+
 def distances(graph: Graph, sources: DataFrame | None = None, radius_m: float | None = None, by_joins: bool | None = None, hops: bool = False) -> DataFrame:
     """(src, dst, dist_m) from each source (node_id; default: every node) to what it reaches within ``radius_m`` (None:
     any distance), itself included. ``sources`` may have a limit of their own, limit_m. ``by_joins``: relax by

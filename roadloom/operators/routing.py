@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 from roadloom.functions.geo import haversine
 from roadloom.operators.city import chains, drivable
 from roadloom.operators.matching import RoadMatcher, paths_of, small
-from roadloom.operators.reach import MAX_BROADCAST_EDGES, relax
+from roadloom.operators.reach import MAX_BROADCAST_EDGES, cells_of, relax, through_cells, with_cells
 from roadloom.operators.road_graph import Graph
 from roadloom.plans.staging import staged
 
 _ROUTES = "src string, dst string, dist_m double, along double, hops int"
 _ROWS = 50_000
+#: Cells among which nodes without a place are dealt out.
+_NO_PLACE = 1024
 
 
 @dataclass(frozen=True)
@@ -114,11 +116,14 @@ def fastest(roads: Roads, sources: DataFrame, u_turn_s: float = 40.0, by_joins:
     metres, and its turns.
 
     Roads of few enough arcs, which are counted first, go to the tasks as arrays, and each source is searched where it
-    is; beyond that (or with ``by_joins``) ways are relaxed by joins over the table of turns. Sources that are no arcs
-    reach nothing; of sources that repeat, the greatest limit counts. Empty tables: no rows.
+    is; beyond that, cells of roads are searched in tasks (:func:`fastest_by_cells`). With ``by_joins`` ways are relaxed
+    by joins over the table of turns. Sources that are no arcs reach nothing; of sources that repeat, the greatest limit
+    counts. Empty tables: no rows.
     """
+    if by_joins is None and roads.arcs.limit(MAX_BROADCAST_EDGES + 1).count() > MAX_BROADCAST_EDGES:
+        return fastest_by_cells(roads, sources, u_turn_s)
     sources = sources.groupBy("node_id").agg(F.max("limit_s").alias("limit_m"))
-    if by_joins or by_joins is None and roads.arcs.limit(MAX_BROADCAST_EDGES + 1).count() > MAX_BROADCAST_EDGES:
+    if by_joins:
         return relax(turns(roads.arcs, u_turn_s), sources, from_neighbours=True)
     spark = sources.sparkSession
     shared = spark.sparkContext.broadcast(Arcs.of(roads.arcs, u_turn_s))
@@ -146,6 +151,22 @@ def fastest(roads: Roads, sources: DataFrame, u_turn_s: float = 40.0, by_joins:
     return staged(sources.repartition(spark.sparkContext.defaultParallelism * 4, "node_id").mapInArrow(run, _ROUTES), "ways")
 
 
+def fastest_by_cells(roads: Roads, sources: DataFrame, u_turn_s: float = 40.0, most_edges: int = 100_000, group_rows: int = 50_000) -> DataFrame:
+    """:func:`fastest` for roads of any size: square cells of at most ``most_edges`` ends of arcs are searched in tasks,
+    and only ways that cross a border go on to the next round. An arc is where it begins; a way that has come to its end
+    goes on in that end's cell. Nodes without a place are dealt out by their ids."""
+    graph = Graph(roads.nodes, roads.arcs.select("src", "dst"))
+    ends = roads.arcs.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+    cells = ends.join(cells_of(graph, most_edges).groupBy("node_id").agg(F.min("cell").alias("cell")), "node_id", "left")
+    cells = staged(cells.select("node_id", F.coalesce("cell", F.lit(-1) - F.pmod(F.xxhash64("node_id"), F.lit(_NO_PLACE))).alias("cell")), "cells")
+    arcs = staged(with_cells(roads.arcs.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("time_s").cast("double").alias("w"), F.col("dist_m").cast("double").alias("along")), cells), "arcs")
+    name = F.concat_ws("|", "u", "v").alias("src")
+    limits = sources.groupBy(F.col("node_id").alias("src")).agg(F.max("limit_s").alias("limit_m"))
+    zero = arcs.select(name, F.col("to").alias("cell"), F.col("v").alias("at"), F.col("u").alias("back")).join(limits, "src")
+    zero = zero.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("dist_m"), F.lit(0.0).alias("along"), F.lit(0).alias("hops"), F.col("limit_m").cast("double").alias("limit_m"), "cell", "at", "back")
+    return through_cells(zero, arcs, u_turn_s, group_rows=group_rows)
+
+
 @dataclass(frozen=True)
 class DirectedMatcher(RoadMatcher):
     """:class:`RoadMatcher` on directed roads: a place is on an arc, and the way to the next place is the fastest one

@@ -48,6 +48,27 @@ def test_fastest(spark, by_joins):
     assert fastest(roads, none, 1.0, by_joins).count() == 0
 
 
+def test_fastest_by_cells(spark, monkeypatch):
+    """Roads beyond the limit of arrays are searched cell by cell, however small the cells and groups, with turns that
+    cost something, ways of no length and nodes without a place; no table of turns is relaxed."""
+    from roadloom.operators import routing
+
+    rng, arcs = random.Random(7), {}
+    nodes = [(f"n{i}", 48 + rng.random() / 10, 17 + rng.random() / 10) for i in range(30)]
+    for _ in range(90):
+        a, b = rng.sample([n for n, _, _ in nodes] + ["lost", "gone"], 2)
+        arcs[a, b] = (float(rng.randint(0, 5)), float(rng.randint(0, 9)))
+    arcs["n0", "n1"], arcs["n1", "n0"] = (3.0, 2.0), (3.0, 2.0)
+    roads = Roads(spark.createDataFrame(nodes, NODES), spark.createDataFrame([(*k, *v) for k, v in arcs.items()], ARCS))
+    sources = spark.createDataFrame([(f"{a}|{b}", 30.0) for a, b in arcs] + [("x|y", 9.0), ("n0|n1", 1.0)], "node_id string, limit_s double")
+    for most, rows, u_turn in ((10**6, 10**6, 7.0), (12, 5, 7.0), (12, 10**6, 0.0)):
+        got = {(r["src"], r["dst"]): tuple(r)[2:] for r in routing.fastest_by_cells(roads, sources, u_turn, most, rows).collect()}
+        assert got == {("|".join(s), "|".join(f)): x for s in arcs for f, x in brute(arcs, s, u_turn).items() if x[0] <= 30}
+    monkeypatch.setattr(routing, "MAX_BROADCAST_EDGES", 10)
+    monkeypatch.setattr(routing, "relax", None)
+    assert fastest(roads, sources, 7.0).count() == sum(x[0] <= 30 for s in arcs for x in brute(arcs, s, 7.0).values())
+
+
 def test_paths_over_edges_of_no_length(spark):
     """Paths end though edges of length 0 leave distances equal, along directed arcs and around circles too."""
     adj = spark.createDataFrame([(a, b, w) for a, b, w in [("z", "b", 5.0), ("b", "c", 0.0), ("c", "d", 2.0), ("b", "e", 0.0), ("e", "c", 0.0)] for a, b in ((a, b), (b, a))], "u string, v string, w double")
