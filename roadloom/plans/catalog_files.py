@@ -38,9 +38,11 @@ def _chunked(s, d) -> DataFrame:
     return _points(s, d).withColumn("chunk", F.lpad(F.floor(F.col("seq") % 1_000_000_000 / CHUNK).cast("string"), 12, "0"))
 
 
-def _written(rows: DataFrame, path: str, extension: str) -> str:
-    """One file for each row (chunk, value)."""
+def _written(rows: DataFrame, path: str, extension: str | None = None) -> str:
+    """One file for each row (chunk, value). Files have Spark's names; with an extension, the driver renames them."""
     rows.repartition("chunk").write.partitionBy("chunk").option("lineSep", "\n").text(path)
+    if extension is None:
+        return path
     spark = rows.sparkSession
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -68,8 +70,8 @@ def geojson_points(s, d):
         F.struct(F.date_format("ts", _ISO).alias("timestamp"), F.when(F.col("seq") % 7 > 0, F.col("trip_id")).alias("trip_id")).alias("properties"),
     )
     docs = p.groupBy("chunk").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", feature.alias("f")))), lambda x: x["f"]).alias("features"))
-    path = _written(docs.select("chunk", F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value")), _scratch(s, "geojson"), "geojson")
-    return _read(src.read_folder(s, path))
+    path = _written(docs.select("chunk", F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value")), _scratch(s, "geojson"))
+    return _read(src.read_folder(s, path, "geojson"))
 
 
 def gpx_points(s, d):
@@ -80,7 +82,7 @@ def gpx_points(s, d):
     joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda x: x["v"]), "")
     segs = _chunked(s, d).withColumn("v", pt).groupBy("chunk", "trip_id").agg(tag("trkseg", joined(F.struct("seq", "v"))).alias("v"))
     docs = segs.groupBy("chunk").agg(tag("gpx", F.concat(F.lit("<metadata><time>2020-01-01T00:00:00Z</time></metadata>"), tag("trk", joined(F.struct("trip_id", "v"))))).alias("value"))
-    return _read(src.read_folder(s, _written(docs, _scratch(s, "gpx"), "gpx")))
+    return _read(src.read_folder(s, _written(docs, _scratch(s, "gpx")), "gpx"))
 
 
 def csv_points(s, d):

@@ -32,10 +32,11 @@ def _file(with_file: bool) -> list[Column]:
     return [F.col("_metadata.file_path").alias("file")] if with_file else []
 
 
-def read_gpx(spark: SparkSession, path: str | list[str], with_file: bool = False) -> DataFrame:
+def read_gpx(spark: SparkSession, path: str | list[str], with_file: bool = False, nested: bool = False) -> DataFrame:
     """Track points; every segment is a trip, counted from 1 across a file's tracks, empty ones too. A point without a
-    time has the file's. Routes and waypoints don't count. ``with_file``: a column ``file`` comes first."""
-    rows = spark.read.format("xml").option("rowTag", "gpx").schema(_GPX).load(path)
+    time has the file's. Routes and waypoints don't count. ``with_file``: a column ``file`` comes first. ``nested``: files
+    in the folders below are read too."""
+    rows = spark.read.option("recursiveFileLookup", nested).format("xml").option("rowTag", "gpx").schema(_GPX).load(path)
     kept = ["file"] if with_file else []
     segments = rows.select(*_file(with_file), F.col("metadata.time").alias("whole"), F.posexplode(F.flatten(F.transform("trk", lambda t: F.coalesce(t["trkseg"], F.array())))).alias("s", "seg"))
     points = segments.select(*kept, "whole", "s", F.posexplode("seg.trkpt").alias("p", "pt"))
@@ -101,13 +102,14 @@ def read_csv(spark: SparkSession, path: str | list[str], with_file: bool = False
     return points.select(*(["file"] if with_file else []), "seq", "trip_id", "lat", "lon", "ts")
 
 
-def read_geojson(spark: SparkSession, path: str | list[str], with_file: bool = False) -> DataFrame:
+def read_geojson(spark: SparkSession, path: str | list[str], with_file: bool = False, nested: bool = False) -> DataFrame:
     """Point features; coordinates are (lon, lat). A missing timestamp or another geometry fails the query; a
-    missing trip_id is 1. ``with_file``: a column ``file`` comes first.
+    missing trip_id is 1. ``with_file``: a column ``file`` comes first. ``nested``: files in the folders below are read
+    too.
 
     A file is read as one text in UTF-8 and parsed from memory: the JSON source would go back to the file for each
     number that is kept as it is written."""
-    rows = spark.read.text(path, wholetext=True)
+    rows = spark.read.option("recursiveFileLookup", nested).text(path, wholetext=True)
     kept = ["file"] if with_file else []
     parsed = F.from_json(F.ltrim("value", F.lit("\ufeff")), _GEOJSON).alias("j")
     f = rows.select(*_file(with_file), parsed).select(*kept, F.posexplode("j.features").alias("seq", "f"))
@@ -132,9 +134,16 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
     return _READERS[kind](spark, path)
 
 
-def read_folder(spark: SparkSession, folder: str) -> DataFrame:
+def read_folder(spark: SparkSession, folder: str, kind: str | None = None) -> DataFrame:
     """(file, seq, trip_id, lat, lon, ts) of all files in a folder and those below, each read by its extension; seq and
-    trip_id are those within the file, see :func:`merged_files`. Names that begin with a dot or underscore don't count."""
+    trip_id are those within the file, see :func:`merged_files`. Names that begin with a dot or underscore don't count.
+
+    With a ``kind`` (gpx or geojson), all files are of it, whatever their names, and Spark finds them; without, the
+    driver lists them one by one, as it must see their extensions."""
+    if kind is not None:
+        if kind not in ("gpx", "geojson"):
+            raise ValueError(f"files of this kind are read by their names only: {kind}")
+        return _READERS[kind](spark, folder, with_file=True, nested=True)
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     found, by_kind = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), {}
     while found.hasNext():

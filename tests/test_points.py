@@ -320,3 +320,18 @@ def test_geojson_is_read_once(spark, tmp_path):
     rows = src.read_geojson(spark, f"file://{tmp_path}/a.geojson").collect()
     assert read() - before < 3 * len(text)
     assert len(rows) == 2000 and {(r["lat"], r["lon"], r["trip_id"]) for r in rows} == {(48.25, 17.125, 1)}
+
+
+def test_folder_of_one_kind(spark, tmp_path):
+    """Files of a named kind are read whatever their names and wherever they lie; those that begin with an underscore
+    don't count."""
+    from roadloom.sources.points import read_folder
+
+    gpx = lambda lat: f'<gpx><trk><trkseg><trkpt lat="{lat}" lon="17.0"><time>2024-01-01T00:00:00Z</time></trkpt></trkseg></trk></gpx>'
+    for at, lat in (("a/part-0.txt", 48.5), ("b/c/part-0.txt", 49.5), ("_SUCCESS", None)):
+        (tmp_path / "g" / at).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "g" / at).write_text("" if lat is None else gpx(lat))
+    rows = read_folder(spark, str(tmp_path / "g"), "gpx").orderBy("lat").collect()
+    assert [(r["file"].rsplit("/g/", 1)[1], r["seq"], r["trip_id"], r["lat"]) for r in rows] == [("a/part-0.txt", 0, 1, 48.5), ("b/c/part-0.txt", 0, 1, 49.5)]
+    with pytest.raises(ValueError):
+        read_folder(spark, str(tmp_path / "g"), "csv")
