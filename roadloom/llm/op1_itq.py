@@ -28,13 +28,15 @@ from roadloom.plans.staging import staged
 
 #: Where a segment's number stands in a key; steps of margins.
 TAG, STEPS = 57, 8
+#: (words, segments of each) of the search by Hamming balls at any size, as what it finds follows from them.
+BALLS = (1, 6)
 
 
 @dataclass(frozen=True)
 class ItqPolicy:
     """threshold: the least cosine of a link. bits: of a word, at most 64. max_bits: most
     differing bits of candidates, per word. layout: (words, segments of each), by default :func:`layout_for` the
-    largest label; complete search needs one word. Otherwise every segment has radius 1, so with one word and
+    largest label, which decides the cost alone as complete search takes one word, or else :data:`BALLS`. Otherwise every segment has radius 1, so with one word and
     2 * segments > max_bits no pair within max_bits is missed.
     sample: most vectors on which the rotations are fitted, chosen by a hash of their ids. rounds, seed: of the fit.
     complete: whether no link may be missed; if not, candidates are those within max_bits, by Hamming balls."""
@@ -284,7 +286,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", label: str = "label
     kind = [F.col(f"`{key}`").cast("long").alias("vec_id"), F.col(f"`{label}`").alias("label"), F.col(f"`{embedding}`").alias("embedding")]
     vectors = vectors.select(*kind)
     largest = vectors.where("label is not null").groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    layout = policy.layout or layout_for(largest)
+    layout = policy.layout or (layout_for(largest) if policy.complete else BALLS)
     rows = staged(with_codes(vectors, policy, 1, layout[1]) if policy.complete else with_codes(vectors, policy, layout[0]), "codes")
     group = ["label", "dim", "digest"]
     sound = rows.where("label is not null and digest is not null and vec_id is not null")

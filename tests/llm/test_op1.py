@@ -146,3 +146,21 @@ def test_no_link_is_missed_in_any_layout(spark):
     for layout in ((1, 6), (3, 4), (7, 3)):
         got = near_duplicates(df, policy=ItqPolicy(layout=layout)).where("n_links > 0")
         assert sorted(r["vec_id"] for r in got.collect()) == want, layout
+
+
+def test_size_decides_no_result_of_hamming_balls(spark, monkeypatch):
+    """Without complete search too, links are the same whatever layout the largest label would have."""
+    from roadloom.llm import op1_itq
+
+    rng, rows = np.random.default_rng(4), []
+    for i in range(300):
+        a, b = rng.normal(size=64), rng.normal(size=64)
+        a /= np.linalg.norm(a)
+        b -= a * (a @ b)
+        rows += [(2 * i, 0, a.tolist()), (2 * i + 1, 0, (0.8501 * a + (1 - 0.8501**2) ** 0.5 * b / np.linalg.norm(b)).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    got = []
+    for layout in ((1, 6), (7, 3)):
+        monkeypatch.setattr(op1_itq, "layout_for", lambda n, x=layout: x)
+        got.append({r["vec_id"] for r in near_duplicates(df, policy=ItqPolicy(threshold=0.85, complete=False)).where("n_links > 0").collect()})
+    assert got[0] == got[1]
