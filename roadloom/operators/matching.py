@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
+from typing import ClassVar
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,8 +20,11 @@ from roadloom.operators.reach import distances
 from roadloom.operators.road_graph import Graph, adjacency
 from roadloom.plans.staging import keep_path, shared_dir, staged
 
-#: Routes that are broadcast to the steps, counted first; beyond it steps are shuffled to them.
-MAX_BROADCAST_ROUTES = 500_000
+#: Routes, or places along them, that go to every task, counted first; beyond it steps are shuffled to them.
+MAX_BROADCAST_ROUTES = 2_000_000
+#: A point's candidates: where the best path to each comes from, and by which way; ``end`` is where the trip's ends.
+_FOLLOWED = "trip_id int, pos int, end int, via array<int>, way array<int>, a array<string>, b array<string>, t array<double>, plat array<double>, plon array<double>"
+_CHOSEN = "trip_id int, pos int, a string, b string, t double, lat double, lon double, way int, last boolean"
 _BEST = "trip_id int, pos int, place string, via string, total double"
 
 
@@ -37,6 +44,8 @@ class RoadMatcher:
     beta_m: float = 50.0
     detour: float = 3.0
     slack_m: float = 1000.0
+    #: Whether routes run between edges, by their names, or else between nodes.
+    by_edge: ClassVar[bool] = False
 
     def _row(self, lat: Column) -> Column:
         return F.floor(lat * (METRES_PER_DEGREE / (2 * self.reach_m)))
@@ -55,19 +64,20 @@ class RoadMatcher:
         return rows.select("a", "b", "len", "alat", "alon", (F.col("blat") - F.col("alat")).alias("dlat"), (F.pmod(F.col("blon") - F.col("alon") + 540, F.lit(360.0)) - 180).alias("dlon"))
 
     def candidates_of(self, points: DataFrame) -> DataFrame:
-        """(trip_id, pos, lat, lon, a, b, len, t, off_m, plat, plon): the nearest place of each edge in reach, at the
-        share t of its length.
+        """(trip_id, pos, a, b, len, t, off_m, plat, plon, and what else ``points`` hold but lat and lon): the nearest
+        place of each edge in reach, at the share t of its length.
 
         An equi-join on cells: edges lie in the cells around points along them, a reach apart. Columns of cells get
         wider towards the poles and meet at 180 degrees.
         """
+        more = [c for c in points.columns if c not in ("trip_id", "pos", "lat", "lon")]
         e = self._edges()
         n = F.greatest(F.ceil(F.col("len") / self.reach_m), F.lit(1))
         along = e.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), n))).withColumn("f", F.col("i") / n)
         along = along.select("a", "b", self._row(F.col("alat") + F.col("f") * F.col("dlat")).alias("row"), (F.col("alon") + F.col("f") * F.col("dlon")).alias("lon"))
         around = along.withColumn("row", F.explode(F.array(*[F.col("row") + i for i in (-1, 0, 1)])))
         around = around.select("a", "b", "row", F.explode(F.array(*[self._column(F.col("lon"), F.col("row"), i) for i in (-1, 0, 1)])).alias("col")).distinct()
-        p = points.select("trip_id", "pos", "lat", "lon", self._row(F.col("lat")).alias("row")).withColumn("col", self._column(F.col("lon"), F.col("row")))
+        p = points.select("trip_id", "pos", "lat", "lon", *more, self._row(F.col("lat")).alias("row")).withColumn("col", self._column(F.col("lon"), F.col("row")))
         near = p.join(around, ["row", "col"]).drop("row", "col").join(e, ["a", "b"])
         east = F.cos(F.radians("lat"))
         px, py = (F.pmod(F.col("lon") - F.col("alon") + 540, F.lit(360.0)) - 180) * east, F.col("lat") - F.col("alat")
@@ -79,82 +89,288 @@ class RoadMatcher:
         rows = once(near, t.alias("t"))
         rows = once(rows, (F.col("alat") + F.col("t") * F.col("dlat")).alias("plat"), (F.col("alon") + F.col("t") * F.col("dlon")).alias("plon"))
         rows = once(rows, haversine(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")).alias("off_m")).where(F.col("off_m") <= self.reach_m)
-        return rows.select("trip_id", "pos", "lat", "lon", "a", "b", "len", "t", "off_m", "plat", "plon")
-
-    def _steps(self, found: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(trip_id, pos, p, place, cost, x, y) from each place to each of the next point, by the shortest way over an
-        end x of the one's edge and y of the other's (null within one edge); and the routes between ends."""
-        place = F.concat_ws("|", "a", "b")
-        limits = found.join(lines, ["trip_id", "pos"]).select(F.explode(F.array("a", "b")).alias("node_id"), (F.col("line") * self.detour + self.slack_m).alias("limit_m"))
-        routes = distances(self.graph, limits.groupBy("node_id").agg(F.max("limit_m").alias("limit_m")), hops=True)
-        here = found.select("trip_id", "pos", "a", "b", place.alias("p"), "t", "len")
-        there = found.select("trip_id", (F.col("pos") - 1).alias("pos"), F.col("a").alias("a2"), F.col("b").alias("b2"), place.alias("place"), F.col("t").alias("t2"), F.col("len").alias("len2"), "off_m")
-        pairs, side, found_ways = here.join(there, ["trip_id", "pos"]), small(routes.select("src", "dst", "dist_m")), []
+        return rows.select("trip_id", "pos", *more, "a", "b", "len", "t", "off_m", "plat", "plon")
+
+    def _placed(self, found: DataFrame) -> DataFrame:
+        """Candidates with what the cost of a step needs."""
+        return found
+
+    def _routes(self, found: DataFrame) -> DataFrame:
+        """(src, dst, dist_m, hops) between ends of edges, as far as any step from a candidate may go."""
+        limits = found.where("line is not null").select(F.explode(F.array("a", "b")).alias("node_id"), (F.col("line") * self.detour + self.slack_m).alias("limit_m"))
+        return distances(self.graph, limits.groupBy("node_id").agg(F.max("limit_m").alias("limit_m")), hops=True)
+
+    def _step_costs(self, ways: Ways, c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cost, way) of steps from the candidates i to j (places in the columns c): the shortest way over an end of the
+        one's edge and one of the other's (1: a to a, 2: a to b, 3: b to a, 4: b to b), or within one edge (0). Steps
+        without a way cost infinitely much."""
+        a, b, t, size = c["a"], c["b"], c["t"], c["len"]
+        best, way = np.full(len(i), np.inf), np.zeros(len(i), np.int32)
+        leave, enter = ((a, t * size), (b, (1 - t) * size)), ((a, t * size), (b, (1 - t) * size))
+        for k, ((x, dx), (y, dy)) in enumerate(((x, y) for x in leave for y in enter), 1):
+            m = dx[i] + ways.find(x[i], y[j])[0] + dy[j]
+            less = m < best
+            best[less], way[less] = m[less], k
+        same = (a[i] == a[j]) & (b[i] == b[j])
+        best[same], way[same] = (np.abs(t[j] - t[i]) * size[i])[same], 0
+        line = c["line"][i]
+        return np.where(best <= line * self.detour + self.slack_m, self._rounded(np.abs(best - line) / self.beta_m + 0.5 * (c["off_m"][j] / self.sigma_m) ** 2), np.inf), way
+
+    @staticmethod
+    def _rounded(x: np.ndarray) -> np.ndarray:
+        """To six digits, halves up."""
+        with np.errstate(invalid="ignore"):
+            y = x * 1e6
+            whole = np.trunc(y)
+            return (whole + (y - whole >= 0.5)) / 1e6
+
+    def _ends(self, way: Column, pa_: Column, pb: Column, a: Column, b: Column) -> tuple[Column, Column]:
+        """(x, y): between which ends a step's route runs; null within one edge."""
+        return F.when(way.isin(1, 2), pa_).when(way.isin(3, 4), pb), F.when(way.isin(1, 3), a).when(way.isin(2, 4), b)
+
+    def _steps(self, found: DataFrame, routes: DataFrame) -> DataFrame:
+        """(trip_id, pos, p, place, cost, way) from each place to each of the next point, with routes joined to them."""
+        here = found.where("line is not null").select("trip_id", "pos", "line", "a", "b", "place", "t", "len").withColumnRenamed("place", "p")
+        there = found.select("trip_id", (F.col("pos") - 1).alias("pos"), F.col("a").alias("a2"), F.col("b").alias("b2"), "place", F.col("t").alias("t2"), F.col("len").alias("len2"), "off_m")
+        pairs, side, found_ways = here.join(there, ["trip_id", "pos"]), routes.select("src", "dst", "dist_m"), []
         from_ends = {"a": F.col("t") * F.col("len"), "b": (1 - F.col("t")) * F.col("len")}
         to_ends = {"a2": F.col("t2") * F.col("len2"), "b2": (1 - F.col("t2")) * F.col("len2")}
         for x, dx in from_ends.items():
             for y, dy in to_ends.items():
                 d = f"d_{x}_{y}"
                 pairs = pairs.join(side.select(F.col("src").alias(x), F.col("dst").alias(y), F.col("dist_m").alias(d)), [x, y], "left")
-                found_ways.append(F.when(F.col(d).isNotNull(), F.struct((dx + F.col(d) + dy).alias("m"), F.col(x).alias("x"), F.col(y).alias("y"))))
-        none = F.lit(None).cast("string")
-        direct = F.struct((F.abs(F.col("t2") - F.col("t")) * F.col("len")).alias("m"), none.alias("x"), none.alias("y"))
-        best = pairs.select("trip_id", "pos", "p", "place", "off_m", F.when(F.col("p") == F.col("place"), direct).otherwise(F.least(*found_ways)).alias("way"))
-        best = best.join(lines, ["trip_id", "pos"]).where(F.col("way.m") <= F.col("line") * self.detour + self.slack_m)
+                found_ways.append(F.when(F.col(d).isNotNull(), F.struct((dx + F.col(d) + dy).alias("m"), F.lit(len(found_ways) + 1).alias("way"))))
+        direct = F.struct((F.abs(F.col("t2") - F.col("t")) * F.col("len")).alias("m"), F.lit(0).alias("way"))
+        best = pairs.select("trip_id", "pos", "p", "place", "line", "off_m", F.when(F.col("p") == F.col("place"), direct).otherwise(F.least(*found_ways)).alias("way"))
+        best = best.where(F.col("way.m") <= F.col("line") * self.detour + self.slack_m)
         cost = F.round(F.abs(F.col("way.m") - F.col("line")) / self.beta_m + self._emission(F.col("off_m")), 6)
-        return best.select("trip_id", (F.col("pos") + 1).cast("int").alias("pos"), "p", "place", cost.alias("cost"), F.col("way.x").alias("x"), F.col("way.y").alias("y")), routes
+        return best.select("trip_id", (F.col("pos") + 1).cast("int").alias("pos"), "p", "place", cost.alias("cost"), F.col("way.way").alias("way"))
 
     def _emission(self, off: Column) -> Column:
         return 0.5 * F.pow(off / self.sigma_m, 2)
 
-    def _solve(self, trips: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-        """(chosen, candidates, steps, routes); chosen: (trip_id, pos, place, via) of each point of the matched trips."""
-        points = staged(trips.select(F.col("trip_id").cast("int").alias("trip_id"), F.col("pos").cast("int").alias("pos"), "lat", "lon"), "points")
-        found = staged(self.candidates_of(points), "candidates")
-        b = points.select("trip_id", (F.col("pos") - 1).alias("pos"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-        lines = staged(points.join(b, ["trip_id", "pos"]).select("trip_id", "pos", haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")).alias("line")), "lines")
-        steps, routes = self._steps(found, lines)
-        steps = staged(steps, "steps")
-        first = found.where("pos = 0").select("trip_id", "pos", F.lit(None).cast("string").alias("p"), F.concat_ws("|", "a", "b").alias("place"), F.round(self._emission(F.col("off_m")), 6).alias("cost"))
+    def _solve(self, trips: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(chosen, routes); chosen: (trip_id, pos, a, b, t, lat, lon, way, last) of each point of the matched trips, way
+        being that of the step to it.
+
+        Routes that are few enough, which are counted first, go to the tasks as arrays, and a step's cost is found where
+        the path is followed, so no table of steps is made; beyond that, steps are joined with their routes."""
+        w = W.partitionBy("trip_id").orderBy("pos")
+        points = trips.select(F.col("trip_id").cast("int").alias("trip_id"), F.col("pos").cast("int").alias("pos"), "lat", "lon")
+        after = {c: F.lead(c).over(w) for c in ("pos", "lat", "lon")}
+        points = points.select("*", *[c.alias(f"{k}2") for k, c in after.items()])
+        line = F.when(F.col("pos2") == F.col("pos") + 1, haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")))
+        points = staged(points.select("trip_id", "pos", "lat", "lon", line.alias("line"), F.col("pos2").isNull().alias("last")), "points")
+        found = staged(self._placed(self.candidates_of(points)).withColumn("place", F.concat_ws("|", "a", "b")), "candidates")
+        routes = self._routes(found)
+        if few(routes):
+            return staged(self._followed(found, Ways.shared(routes)), "chosen"), routes
+        steps = staged(self._steps(found, routes), "steps")
+        first = found.where("pos = 0").select("trip_id", "pos", F.lit(None).cast("string").alias("p"), "place", F.round(self._emission(F.col("off_m")), 6).alias("cost"))
         rows = first.unionByName(steps.select(*first.columns)).repartition("trip_id").sortWithinPartitions("trip_id", "pos", "place", "p")
         best = staged(rows.mapInArrow(_forward, _BEST), "best")
         # Trips that were followed to their last point, and where they end.
-        lengths = points.groupBy("trip_id").agg(F.max("pos").alias("pos"))
-        last = best.join(lengths, ["trip_id", "pos"]).groupBy("trip_id").agg(F.min_by("place", F.struct("total", "place")).alias("last"))
+        last = best.join(points.where("last").select("trip_id", "pos"), ["trip_id", "pos"]).groupBy("trip_id").agg(F.min_by("place", F.struct("total", "place")).alias("last"))
         back = best.join(last, "trip_id").select("trip_id", "pos", "place", "via", "last").repartition("trip_id").sortWithinPartitions("trip_id", F.desc("pos"))
-        return staged(back.mapInArrow(_backward, "trip_id int, pos int, place string, via string"), "chosen"), found, steps, routes
+        chosen = back.mapInArrow(_backward, "trip_id int, pos int, place string, via string")
+        chosen = chosen.join(steps.select("trip_id", "pos", F.col("p").alias("via"), "place", "way"), ["trip_id", "pos", "via", "place"], "left")
+        at = found.select("trip_id", "pos", "place", "a", "b", "t", F.col("plat").alias("lat"), F.col("plon").alias("lon"), "last")
+        return staged(chosen.join(at, ["trip_id", "pos", "place"]).select(*[f.split()[0] for f in _CHOSEN.split(", ")]), "chosen"), routes
+
+    def _followed(self, found: DataFrame, shared: Broadcast) -> DataFrame:
+        """The chosen places, by a fold over the candidates of each trip forward and one back, both in the partition that
+        holds the trip, with costs of steps found in the task."""
+        rows = found.repartition("trip_id").sortWithinPartitions("trip_id", "pos", "place").drop("place")
+        settings = replace(self, **{k: None for k in ("graph", "roads") if hasattr(self, k)})
+        best = rows.mapInArrow(lambda batches: _follow(batches, settings, shared.value), _FOLLOWED)
+        return best.sortWithinPartitions("trip_id", F.desc("pos")).mapInArrow(_trace, _CHOSEN)
 
     def match_points(self, trips: DataFrame) -> DataFrame:
         """(trip_id, pos, a, b, t, lat, lon): where on which edge each point of the matched trips lies; ``trips`` needs
         trip_id, pos (from 0), lat and lon."""
-        chosen, found, _, _ = self._solve(trips)
-        at = found.select("trip_id", "pos", F.concat_ws("|", "a", "b").alias("place"), "a", "b", "t", F.col("plat").alias("lat"), F.col("plon").alias("lon"))
-        return chosen.select("trip_id", "pos", "place").join(at, ["trip_id", "pos", "place"]).drop("place")
-
-    def _inner(self, taken: DataFrame, routes: DataFrame) -> DataFrame:
-        """(trip_id, pos, k, node, lat, lon): the nodes, in the order of k, of the routes from x to y that steps take."""
-        paths = paths_of(adjacency(self.graph.edges), routes, taken.select("x", "y").distinct())
-        nodes = self.graph.nodes.select(F.col("node_id").alias("node"), "lat", "lon")
-        return taken.join(paths, ["x", "y"]).join(nodes, "node").select("trip_id", "pos", (F.lit(0) - F.col("back")).alias("k"), "node", "lat", "lon")
+        return self._solve(trips)[0].select("trip_id", "pos", "a", "b", "t", "lat", "lon")
+
+    def _inner(self, pairs: DataFrame, routes: DataFrame) -> DataFrame:
+        """(x, y, k, lat, lon): the nodes, in the order of k, of the routes of the pairs (x, y)."""
+        paths = paths_of(adjacency(self.graph.edges), routes, pairs)
+        return paths.join(self.graph.nodes.select("node_id", "lat", "lon"), F.col("node") == F.col("node_id")).select("x", "y", (F.lit(0) - F.col("back")).alias("k"), "lat", "lon")
+
+    def match_steps(self, trips: DataFrame) -> DataFrame:
+        """(trip_id, at, before, line): the geometry along the roads of the matched trips, a row for each point: the
+        places (lat, lon) of the way to it, without those equal to the one before, that which comes before them in the
+        trip, if any does, and how many do. A route's places are put together once for all steps that take it."""
+        chosen, routes = self._solve(trips)
+        w = W.partitionBy("trip_id").orderBy("pos")
+        spot = F.struct("lat", "lon")
+        x, y = self._ends(F.col("way"), F.lag("a").over(w), F.lag("b").over(w), F.col("a"), F.col("b"))
+        steps = chosen.select("trip_id", "pos", spot.alias("spot"), "last", x.alias("x"), y.alias("y"))
+        taken = staged(steps.where("x is not null").select("x", "y").distinct(), "taken")
+        inner = staged(self._inner(taken, routes), "inner")
+        places = F.transform(F.array_sort(F.collect_list(F.struct("k", "lat", "lon"))), lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon")))
+        paths = staged(inner.groupBy("x", "y").agg(places.alias("inner")), "paths")
+        steps = steps.join(F.broadcast(paths) if few(inner) else paths, ["x", "y"], "left")
+        none = F.array().cast("array<struct<lat: double, lon: double>>")
+        own = F.when(F.col("pos") == 0, F.array("spot")).otherwise(F.concat(F.coalesce("inner", none), F.when(F.col("last"), F.array("spot")).otherwise(none)))
+        rows = steps.select("trip_id", "pos", own.alias("all"))
+        rows = rows.select("trip_id", "pos", "all", F.last(F.try_element_at("all", F.lit(-1)), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)).alias("before"))
+        new = F.filter("all", lambda p, i: F.coalesce(p != F.when(i == 0, F.col("before")).otherwise(F.get("all", i - 1)), F.lit(True)))
+        rows = rows.select("trip_id", "pos", "before", new.alias("line"))
+        at = F.coalesce(F.sum(F.size("line")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        return rows.select("trip_id", at.alias("at"), "before", "line")
 
     def match(self, trips: DataFrame) -> DataFrame:
         """(trip_id, pos, lat, lon) along the roads of the matched trips: the first point's place, all nodes of the
         routes between, and the last point's place."""
-        chosen, found, steps, routes = self._solve(trips)
-        taken = chosen.where("pos > 0").select("trip_id", "pos", "place", F.col("via").alias("p")).join(steps, ["trip_id", "pos", "p", "place"]).where("x is not null").select("trip_id", "pos", "x", "y")
-        inner = self._inner(staged(taken, "taken"), routes)
-        at = chosen.join(found.select("trip_id", "pos", F.concat_ws("|", "a", "b").alias("place"), "plat", "plon"), ["trip_id", "pos", "place"])
-        length = chosen.groupBy("trip_id").agg(F.max("pos").alias("end"))
-        ends = at.join(length, "trip_id").where("pos = 0 or pos = end").select("trip_id", F.when(F.col("pos") == 0, 0).otherwise(F.col("pos") + 1).alias("pos"), F.lit(0).alias("k"), F.lit(None).cast("string").alias("node"), F.col("plat").alias("lat"), F.col("plon").alias("lon"))
-        w = W.partitionBy("trip_id").orderBy("pos", "k")
-        rows = inner.unionByName(ends).withColumns({"y0": F.lag("lat").over(w), "x0": F.lag("lon").over(w)})
-        rows = rows.where("y0 is null or y0 <> lat or x0 <> lon")
-        return rows.select("trip_id", (F.row_number().over(w) - 1).alias("pos"), "lat", "lon")
-
-
-def small(routes: DataFrame) -> DataFrame:
-    """``routes``, to be broadcast if they are few enough."""
-    return F.broadcast(routes) if routes.limit(MAX_BROADCAST_ROUTES + 1).count() <= MAX_BROADCAST_ROUTES else routes
+        rows = self.match_steps(trips).select("trip_id", "at", F.posexplode("line").alias("k", "p"))
+        return rows.select("trip_id", (F.col("at") + F.col("k")).cast("int").alias("pos"), "p.lat", "p.lon")
+
+
+@dataclass
+class Ways:
+    """Routes as arrays: from node i to j, keys[k] = i * n + j has dist[k] and, of directed ways, along[k]."""
+
+    names: list[str]
+    keys: np.ndarray
+    dist: np.ndarray
+    along: np.ndarray
+    place: dict = field(default_factory=dict)
+
+    @staticmethod
+    def shared(routes: DataFrame) -> Broadcast:
+        more = "along" if "along" in routes.columns else F.lit(0.0)
+        t = routes.select("src", "dst", F.col("dist_m").cast("double"), more).toArrow()
+        src, dst = (t.column(i).to_pylist() for i in (0, 1))
+        number = {n: i for i, n in enumerate(dict.fromkeys(src + dst))}
+        a, b = (np.fromiter((number[x] for x in c), np.int64, len(c)) for c in (src, dst))
+        order = np.argsort(a * len(number) + b)
+        return routes.sparkSession.sparkContext.broadcast(Ways(list(number), (a * len(number) + b)[order], t.column(2).to_numpy()[order], t.column(3).to_numpy()[order]))
+
+    def numbers(self, nodes: list[str]) -> np.ndarray:
+        """The numbers of nodes. Those of no route get negative ones, a number for each name."""
+        if not self.place:
+            self.place.update((n, i) for i, n in enumerate(self.names))
+        other: dict[str, int] = {}
+        return np.fromiter((self.place[n] if n in self.place else other.setdefault(n, -1 - len(other)) for n in nodes), np.int64, len(nodes))
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(dist, along) from each of a to each of b; without a route, infinity."""
+        if not len(self.keys):
+            return np.full(len(a), np.inf), np.full(len(a), np.inf)
+        key = np.where((a < 0) | (b < 0), -1, a * len(self.names) + b)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        known = self.keys[at] == key
+        return np.where(known, self.dist[at], np.inf), np.where(known, self.along[at], np.inf)
+
+
+def few(rows: DataFrame) -> bool:
+    """Whether they may go to every task."""
+    return rows.limit(MAX_BROADCAST_ROUTES + 1).count() <= MAX_BROADCAST_ROUTES
+
+
+_NUMBERS = ("line", "len", "t", "off_m", "time_s")
+
+
+def _follow(batches: Iterator[pa.RecordBatch], matcher: RoadMatcher, ways: Ways) -> Iterator[pa.RecordBatch]:
+    """Rows as :data:`_FOLLOWED`, a point each, from candidates in the order of trip, position and place: where the best
+    path to each candidate comes from, and at a trip's last point, where the best path ends (else -1). A trip ends at its
+    first gap. A batch's candidates are in memory at a time, with those of the point before."""
+    rest: pa.Table | None = None
+    old: tuple | None = None  # trip, position and totals of the last point that was followed
+    for table, more in _with_end(batches):
+        rows = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
+        if not rows.num_rows:
+            continue
+        trip, pos = (rows.column(k).to_numpy() for k in ("trip_id", "pos"))
+        starts = np.flatnonzero(np.concatenate([[True], (trip[1:] != trip[:-1]) | (pos[1:] != pos[:-1])]))
+        sizes = np.diff(np.append(starts, len(trip)))
+        done = len(starts) - 1 if more else len(starts)  # the last point may go on in the next batch
+        known = 1 if old is not None else 0
+        if done > known:
+            yield from _points(rows, trip[starts], pos[starts], starts, sizes, known, done, old, matcher, ways, keep := [])
+            old = keep[0]
+        rest = rows.slice(starts[done - 1]) if done else rows
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, bool]]:
+    """Each batch with whether it isn't the end, and at the end an empty table."""
+    table = None
+    for b in batches:
+        table = pa.Table.from_batches([b])
+        yield table, True
+    if table is not None:
+        yield table.slice(0, 0), False
+
+
+def _points(rows: pa.Table, trip: np.ndarray, pos: np.ndarray, starts: np.ndarray, sizes: np.ndarray, known: int, done: int, old: tuple | None, matcher: RoadMatcher, ways: Ways, keep: list) -> Iterator[pa.RecordBatch]:
+    """The points from ``known`` to ``done`` of ``rows`` followed, as :func:`_follow` says; the last one's state goes to
+    ``keep``."""
+    c = {k: rows.column(k).to_numpy(zero_copy_only=False) for k in _NUMBERS if k in rows.column_names}
+    ends = ways.numbers(rows.column("a").to_pylist() + rows.column("b").to_pylist())
+    c["a"], c["b"] = np.split(ends, 2)
+    if matcher.by_edge:
+        c["edge"] = ways.numbers([f"{a}|{b}" for a, b in zip(rows.column("a").to_pylist(), rows.column("b").to_pylist(), strict=True)])
+    lasts = rows.column("last").to_numpy(zero_copy_only=False)[starts]
+    linked = np.concatenate([[False], (trip[1:] == trip[:-1]) & (pos[1:] == pos[:-1] + 1)])[:done]
+    to = np.flatnonzero(linked)
+    wide = sizes[to]
+    counts = sizes[to - 1] * wide
+    first = np.concatenate([[0], np.cumsum(counts)])
+    local = np.arange(first[-1]) - np.repeat(first[:-1], counts)
+    wide_of = np.repeat(wide, counts)
+    cost, way = matcher._step_costs(ways, c, np.repeat(starts[to - 1], counts) + local // wide_of, np.repeat(starts[to], counts) + local % wide_of)
+    begin = matcher._rounded(0.5 * (c["off_m"] / matcher.sigma_m) ** 2)
+    links = dict(zip(to.tolist(), first[:-1].tolist(), strict=True))
+    low, high = starts[known], starts[done - 1] + sizes[done - 1]
+    via, took, end, alive = np.full(high - low, -1, np.int32), np.zeros(high - low, np.int32), np.full(done - known, -1, np.int32), np.zeros(done - known, bool)
+    totals = old[2] if old is not None and old[0] == trip[0] and old[1] == pos[0] else None
+    columns = np.arange(sizes.max())
+    for k, (at, n, p, start, last) in enumerate(zip(*(x[known:done].tolist() for x in (starts, sizes, pos, linked, lasts)), strict=True), known):
+        if start and totals is not None:
+            f, m = links[k], len(totals)
+            sums = totals[:, None] + cost[f : f + m * n].reshape(m, n)
+            come = sums.argmin(0)
+            totals = sums[come, columns[:n]]
+            via[at - low : at - low + n] = np.where(np.isinf(totals), -1, come)
+            took[at - low : at - low + n] = way[f : f + m * n].reshape(m, n)[come, columns[:n]]
+        else:
+            totals = begin[at : at + n] if p == 0 else None
+        if totals is not None and np.isinf(totals.min()):
+            totals = None
+        if totals is not None:
+            alive[k - known] = True
+            if last:
+                end[k - known] = totals.argmin()
+    keep.append((trip[done - 1], pos[done - 1], totals))
+    offsets = pa.array(np.append(starts[known:done], high) - low, pa.int32())
+    part = rows.slice(low, high - low).combine_chunks()
+    flat = lambda name: part.column(name).chunk(0) if part.column(name).num_chunks else pa.array([], part.column(name).type)
+    lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(via), pa.array(took), *(flat(k) for k in ("a", "b", "t", "plat", "plon")))]
+    out = pa.RecordBatch.from_arrays([pa.array(trip[known:done], pa.int32()), pa.array(pos[known:done], pa.int32()), pa.array(end), *lists], names=[f.split()[0] for f in _FOLLOWED.split(", ")])
+    yield out.filter(pa.array(alive))
+
+
+def _trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chosen places, from rows as :data:`_FOLLOWED` of each trip from its end on."""
+    trip, want = object(), -1
+    for batch in batches:
+        lists = {k: batch.column(k) for k in ("via", "way", "a", "b", "t", "plat", "plon")}
+        values = {k: x.flatten() for k, x in lists.items()}
+        via, take, kept, lasts = values["via"].to_pylist(), [], [], []
+        at = 0
+        sizes = pc.list_value_length(lists["via"]).to_pylist()
+        for i, (t, end, n) in enumerate(zip(batch.column("trip_id").to_pylist(), batch.column("end").to_pylist(), sizes, strict=True)):
+            last = t != trip
+            if last:
+                trip, want = t, end
+            if want >= 0:
+                kept.append(i)
+                take.append(at + want)
+                lasts.append(last)
+                want = via[at + want]
+            at += n
+        ids = batch.take(pa.array(kept, pa.int64()))
+        chosen = [values[k].take(pa.array(take, pa.int64())) for k in ("a", "b", "t", "plat", "plon", "way")]
+        yield pa.RecordBatch.from_arrays([ids.column("trip_id"), ids.column("pos"), *chosen, pa.array(lasts, pa.bool_())], names=[f.split()[0] for f in _CHOSEN.split(", ")])
 
 
 def _forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,15 +9,16 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.functions.geo import haversine
 from roadloom.operators.city import chains, drivable
-from roadloom.operators.matching import RoadMatcher, paths_of, small
+from roadloom.operators.matching import RoadMatcher, Ways, paths_of
 from roadloom.operators.reach import MAX_BROADCAST_EDGES, cells_of, relax, through_cells, with_cells
 from roadloom.operators.road_graph import Graph
 from roadloom.plans.staging import staged
@@ -182,36 +183,52 @@ class DirectedMatcher(RoadMatcher):
     pace_kmh: float = 30.0
     slack_s: float = 120.0
     back_m: float = 20.0
+    by_edge: ClassVar[bool] = True
 
     @staticmethod
     def on(roads: Roads, **settings: float) -> DirectedMatcher:
         return DirectedMatcher(Graph(roads.nodes, roads.arcs.select("src", "dst", "dist_m")), roads=roads, **settings)
 
-    def _steps(self, found: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-        place = F.concat_ws("|", "a", "b")
-        times = self.roads.arcs.select(F.col("src").alias("a"), F.col("dst").alias("b"), "time_s")
-        most = float(times.agg(F.max("time_s")).first()[0] or 0.0)
-        limit = F.col("line") / (self.pace_kmh / 3.6) * self.detour + self.slack_s
-        at = staged(found.join(times, ["a", "b"]).select("trip_id", "pos", place.alias("p"), "t", "len", "time_s", "off_m"), "on-arcs")
+    def _placed(self, found: DataFrame) -> DataFrame:
+        return found.join(self.roads.arcs.select(F.col("src").alias("a"), F.col("dst").alias("b"), "time_s"), ["a", "b"])
+
+    def _limit(self, line: Column | np.ndarray) -> Column | np.ndarray:
+        return line / (self.pace_kmh / 3.6) * self.detour + self.slack_s
+
+    def _routes(self, found: DataFrame) -> DataFrame:
+        most = float(self.roads.arcs.agg(F.max("time_s")).first()[0] or 0.0)
         # The search counts the last arc to its end, the first from its end.
-        sources = at.join(lines, ["trip_id", "pos"]).select(F.col("p").alias("node_id"), (limit + most).alias("limit_s"))
-        routes = fastest(self.roads, sources, self.u_turn_s)
-        here = at.select("trip_id", "pos", "p", "t", "len", "time_s")
-        there = at.select("trip_id", (F.col("pos") - 1).alias("pos"), F.col("p").alias("place"), F.col("t").alias("t2"), F.col("len").alias("len2"), F.col("time_s").alias("time2"), "off_m")
-        pairs = here.join(there, ["trip_id", "pos"]).join(lines, ["trip_id", "pos"]).join(small(routes.select(F.col("src").alias("p"), F.col("dst").alias("place"), "dist_m", "along")), ["p", "place"], "left")
+        sources = found.where("line is not null").select(F.col("place").alias("node_id"), (self._limit(F.col("line")) + most).alias("limit_s"))
+        return fastest(self.roads, sources, self.u_turn_s)
+
+    def _step_costs(self, ways: Ways, c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As in :class:`RoadMatcher`; way: 0 within one arc, else 1."""
+        arc, t, size, time, line = c["edge"], c["t"], c["len"], c["time_s"], c["line"][i]
+        ahead = t[j] - t[i]
+        direct = (arc[i] == arc[j]) & (ahead * size[i] >= -self.back_m)
+        on, (found, along) = np.maximum(ahead, 0.0), ways.find(arc[i], arc[j])
+        s = np.where(direct, on * time[i], (1 - t[i]) * time[i] + found - (1 - t[j]) * time[j])
+        m = np.where(direct, on * size[i], (1 - t[i]) * size[i] + along - (1 - t[j]) * size[j])
+        return np.where(s <= self._limit(line), self._rounded(np.abs(m - line) / self.beta_m + 0.5 * (c["off_m"][j] / self.sigma_m) ** 2), np.inf), np.where(direct, 0, 1).astype(np.int32)
+
+    def _ends(self, way: Column, pa_: Column, pb: Column, a: Column, b: Column) -> tuple[Column, Column]:
+        return F.when(way == 1, F.concat_ws("|", pa_, pb)), F.when(way == 1, F.concat_ws("|", a, b))
+
+    def _steps(self, found: DataFrame, routes: DataFrame) -> DataFrame:
+        here = found.where("line is not null").select("trip_id", "pos", "line", "place", "t", "len", "time_s").withColumnRenamed("place", "p")
+        there = found.select("trip_id", (F.col("pos") - 1).alias("pos"), "place", F.col("t").alias("t2"), F.col("len").alias("len2"), F.col("time_s").alias("time2"), "off_m")
+        pairs = here.join(there, ["trip_id", "pos"]).join(routes.select(F.col("src").alias("p"), F.col("dst").alias("place"), "dist_m", "along"), ["p", "place"], "left")
         ahead = F.greatest(F.col("t2") - F.col("t"), F.lit(0.0))
         is_direct = (F.col("p") == F.col("place")) & ((F.col("t2") - F.col("t")) * F.col("len") >= -self.back_m)
         direct = F.struct((ahead * F.col("time_s")).alias("s"), (ahead * F.col("len")).alias("m"))
         way = F.struct(((1 - F.col("t")) * F.col("time_s") + F.col("dist_m") - (1 - F.col("t2")) * F.col("time2")).alias("s"), ((1 - F.col("t")) * F.col("len") + F.col("along") - (1 - F.col("t2")) * F.col("len2")).alias("m"))
-        rows = pairs.select("*", is_direct.alias("direct"), F.when(is_direct, direct).when(F.col("dist_m").isNotNull(), way).alias("way")).where(F.col("way.s") <= limit)
+        rows = pairs.select("*", is_direct.alias("direct"), F.when(is_direct, direct).when(F.col("dist_m").isNotNull(), way).alias("way")).where(F.col("way.s") <= self._limit(F.col("line")))
         cost = F.round(F.abs(F.col("way.m") - F.col("line")) / self.beta_m + self._emission(F.col("off_m")), 6)
-        arc = lambda c: F.when(~F.col("direct"), F.col(c))
-        return rows.select("trip_id", (F.col("pos") + 1).cast("int").alias("pos"), "p", "place", cost.alias("cost"), arc("p").alias("x"), arc("place").alias("y")), routes
+        return rows.select("trip_id", (F.col("pos") + 1).cast("int").alias("pos"), "p", "place", cost.alias("cost"), F.when(F.col("direct"), 0).otherwise(1).alias("way"))
 
-    def _inner(self, taken: DataFrame, routes: DataFrame) -> DataFrame:
-        start = taken.select(F.col("x").alias("src")).distinct().select("src", F.col("src").alias("dst"), F.lit(0.0).alias("dist_m"), F.lit(0).alias("hops"))
+    def _inner(self, pairs: DataFrame, routes: DataFrame) -> DataFrame:
+        start = pairs.select(F.col("x").alias("src")).distinct().select("src", F.col("src").alias("dst"), F.lit(0.0).alias("dist_m"), F.lit(0).alias("hops"))
         known = routes.select("src", "dst", "dist_m", "hops").unionByName(start)
-        paths = paths_of(turns(self.roads.arcs, self.u_turn_s), known, taken.select("x", "y").distinct()).where("hops > 0")
-        tails = self.roads.arcs.select(F.concat_ws("|", "src", "dst").alias("node"), F.col("src").alias("node_id")).join(self.graph.nodes, "node_id").select("node", "node_id", "lat", "lon")
-        return taken.join(paths, ["x", "y"]).join(tails, "node").select("trip_id", "pos", (F.lit(0) - F.col("back")).alias("k"), F.col("node_id").alias("node"), "lat", "lon")
-
+        paths = paths_of(turns(self.roads.arcs, self.u_turn_s), known, pairs).where("hops > 0")
+        tails = self.roads.arcs.select(F.concat_ws("|", "src", "dst").alias("node"), F.col("src").alias("node_id")).join(self.graph.nodes, "node_id").select("node", "lat", "lon")
+        return paths.join(tails, "node").select("x", "y", (F.lit(0) - F.col("back")).alias("k"), "lat", "lon")

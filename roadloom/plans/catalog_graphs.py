@@ -105,9 +105,10 @@ def map_match(s, d):
 
 def map_match_lines(s, d):
     """How long the road geometry of each matched trip is."""
-    line = staged(matching.RoadMatcher(lattice(s, d), **MATCH).match(trips.numbered(_plain(s, d))), "line")
-    b = line.select("trip_id", (F.col("pos") - 1).alias("pos"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    steps = line.join(b, ["trip_id", "pos"]).select("trip_id", haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")).alias("m"))
+    line = matching.RoadMatcher(lattice(s, d), **MATCH).match_steps(trips.numbered(_plain(s, d)))
+    along = F.when(F.col("before").isNull(), F.col("line")).otherwise(F.concat(F.array("before"), "line"))
+    pairs = line.select("trip_id", along.alias("p")).where(F.size("p") > 1).select("trip_id", F.inline(F.arrays_zip(F.slice("p", F.lit(1), F.size("p") - 1).alias("u"), F.slice("p", F.lit(2), F.size("p") - 1).alias("v"))))
+    steps = pairs.toDF("trip_id", "u", "v").select("trip_id", haversine(F.col("u.lat"), F.col("u.lon"), F.col("v.lat"), F.col("v.lon")).alias("m"))
     return steps.groupBy("trip_id").agg(F.count("*").alias("n_steps"), F.round(F.sum("m"), 0).alias("length_m"))
 
 

@@ -335,3 +335,38 @@ def test_folder_of_one_kind(spark, tmp_path):
     assert [(r["file"].rsplit("/g/", 1)[1], r["seq"], r["trip_id"], r["lat"]) for r in rows] == [("a/part-0.txt", 0, 1, 48.5), ("b/c/part-0.txt", 0, 1, 49.5)]
     with pytest.raises(ValueError):
         read_folder(spark, str(tmp_path / "g"), "csv")
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_steps_of_few_routes_make_no_table(spark, monkeypatch, directed):
+    """Where routes are few, the costs of steps are found in the tasks and no table of steps is written; joining steps
+    with their routes matches the same, however small the batches."""
+    from roadloom.operators import matching
+    from roadloom.operators.routing import DirectedMatcher, Roads
+
+    g, at, edges, wide = grid(spark, 48.0, 17.0)
+    own = dict(reach_m=500.0, sigma_m=150.0, beta_m=300.0)
+    if directed:
+        arcs = [(a, b, w, w / 10) for a, b, w in edges] + [(b, a, w, w / 12) for i, (a, b, w) in enumerate(edges) if i % 3]
+        m = DirectedMatcher.on(Roads(g.nodes, spark.createDataFrame(arcs, "src string, dst string, dist_m double, time_s double")), back_m=50.0, slack_s=300.0, **own)
+    else:
+        m = RoadMatcher(g, **own)
+    rng, rows = random.Random(3), []
+    for trip in range(5):
+        y, x = 1.5, 1
+        for pos in range(1 if trip == 4 else 12):
+            rows.append((trip, pos, 48.0 + y * 0.01, 17.0 + x * wide))
+            y, x = min(3.0, max(0.0, y + rng.uniform(-1, 1))), round(min(3.0, max(0.0, x + rng.uniform(-1, 1))))
+    rows.append((3, 12, 60.0, 17.0))  # a trip that ends out of reach
+    df = spark.createDataFrame(rows, "trip_id int, pos int, lat double, lon double")
+    names, write = [], matching.staged
+    monkeypatch.setattr(matching, "staged", lambda rows, name: names.append(name) or write(rows, name))
+    both = []
+    for most, batch in ((matching.MAX_BROADCAST_ROUTES, "7"), (0, "10000")):
+        monkeypatch.setattr(matching, "MAX_BROADCAST_ROUTES", most)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        names.clear()
+        both.append((sorted(map(tuple, m.match_points(df).collect())), sorted(map(tuple, m.match(df).collect()))))
+        assert ("steps" in names) == (most == 0)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert both[0] == both[1] and {r[0] for r in both[0][0]} == {0, 1, 2, 4} and len(both[0][1]) > 20
