@@ -180,7 +180,7 @@ class RoadMatcher:
     def _followed(self, found: DataFrame, shared: Broadcast) -> DataFrame:
         """The chosen places, by a fold over the candidates of each trip forward and one back, both in the partition that
         holds the trip, with costs of steps found in the task."""
-        rows = found.repartition("trip_id").sortWithinPartitions("trip_id", "pos", "place").drop("place")
+        rows = found.repartition("trip_id").sortWithinPartitions("trip_id", "pos", "place")
         settings = replace(self, **{k: None for k in ("graph", "roads") if hasattr(self, k)})
         best = rows.mapInArrow(lambda batches: _follow(batches, settings, shared.value), _FOLLOWED)
         return best.sortWithinPartitions("trip_id", F.desc("pos")).mapInArrow(_trace, _CHOSEN)
@@ -249,8 +249,11 @@ class Ways:
         """The numbers of nodes. Those of no route get negative ones, a number for each name."""
         if not self.place:
             self.place.update((n, i) for i, n in enumerate(self.names))
-        other: dict[str, int] = {}
-        return np.fromiter((self.place[n] if n in self.place else other.setdefault(n, -1 - len(other)) for n in nodes), np.int64, len(nodes))
+        get, other = self.place.get, {}
+        out = np.array([get(n, -1) for n in nodes], np.int64)
+        for i in np.flatnonzero(out < 0).tolist():
+            out[i] = other.setdefault(nodes[i], -1 - len(other))
+        return out
 
     def find(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(dist, along) from each of a to each of b; without a route, infinity."""
@@ -305,10 +308,10 @@ def _points(rows: pa.Table, trip: np.ndarray, pos: np.ndarray, starts: np.ndarra
     """The points from ``known`` to ``done`` of ``rows`` followed, as :func:`_follow` says; the last one's state goes to
     ``keep``."""
     c = {k: rows.column(k).to_numpy(zero_copy_only=False) for k in _NUMBERS if k in rows.column_names}
-    ends = ways.numbers(rows.column("a").to_pylist() + rows.column("b").to_pylist())
-    c["a"], c["b"] = np.split(ends, 2)
     if matcher.by_edge:
-        c["edge"] = ways.numbers([f"{a}|{b}" for a, b in zip(rows.column("a").to_pylist(), rows.column("b").to_pylist(), strict=True)])
+        c["edge"] = ways.numbers(rows.column("place").to_pylist())
+    else:
+        c["a"], c["b"] = np.split(ways.numbers(rows.column("a").to_pylist() + rows.column("b").to_pylist()), 2)
     lasts = rows.column("last").to_numpy(zero_copy_only=False)[starts]
     linked = np.concatenate([[False], (trip[1:] == trip[:-1]) & (pos[1:] == pos[:-1] + 1)])[:done]
     to = np.flatnonzero(linked)
@@ -321,26 +324,27 @@ def _points(rows: pa.Table, trip: np.ndarray, pos: np.ndarray, starts: np.ndarra
     begin = matcher._rounded(0.5 * (c["off_m"] / matcher.sigma_m) ** 2)
     links = dict(zip(to.tolist(), first[:-1].tolist(), strict=True))
     low, high = starts[known], starts[done - 1] + sizes[done - 1]
-    via, took, end, alive = np.full(high - low, -1, np.int32), np.zeros(high - low, np.int32), np.full(done - known, -1, np.int32), np.zeros(done - known, bool)
-    totals = old[2] if old is not None and old[0] == trip[0] and old[1] == pos[0] else None
-    columns = np.arange(sizes.max())
-    for k, (at, n, p, start, last) in enumerate(zip(*(x[known:done].tolist() for x in (starts, sizes, pos, linked, lasts)), strict=True), known):
-        if start and totals is not None:
+    via, sums, end = np.full(high, -1, np.int32), np.full(high, np.inf), np.full(done - known, -1, np.int32)
+    totals = old[2] if known else None
+    for k, (at, n, p, follows, last) in enumerate(zip(*(x[known:done].tolist() for x in (starts, sizes, pos, linked, lasts)), strict=True), known):
+        if follows:
             f, m = links[k], len(totals)
-            sums = totals[:, None] + cost[f : f + m * n].reshape(m, n)
-            come = sums.argmin(0)
-            totals = sums[come, columns[:n]]
-            via[at - low : at - low + n] = np.where(np.isinf(totals), -1, come)
-            took[at - low : at - low + n] = way[f : f + m * n].reshape(m, n)[come, columns[:n]]
+            step = cost[f : f + m * n].reshape(m, n) + totals[:, None]
+            via[at : at + n] = step.argmin(0)
+            totals = step.min(0)
         else:
-            totals = begin[at : at + n] if p == 0 else None
-        if totals is not None and np.isinf(totals.min()):
-            totals = None
-        if totals is not None:
-            alive[k - known] = True
-            if last:
-                end[k - known] = totals.argmin()
+            totals = begin[at : at + n] if p == 0 else np.full(n, np.inf)
+        sums[at : at + n] = totals
+        if last and totals.min() < np.inf:
+            end[k - known] = totals.argmin()
     keep.append((trip[done - 1], pos[done - 1], totals))
+    took, of = np.zeros(high, np.int32), np.repeat(np.arange(done), sizes[:done])
+    come = np.flatnonzero(via >= 0)
+    firsts, at = np.zeros(done, np.int64), of[come]
+    firsts[to] = first[:-1]
+    took[come] = way[firsts[at] + via[come] * sizes[at] + come - starts[at]]
+    via, took = np.where(np.isinf(sums), -1, via)[low:].astype(np.int32), took[low:]
+    alive = np.minimum.reduceat(sums, starts[:done])[known:] < np.inf
     offsets = pa.array(np.append(starts[known:done], high) - low, pa.int32())
     part = rows.slice(low, high - low).combine_chunks()
     flat = lambda name: part.column(name).chunk(0) if part.column(name).num_chunks else pa.array([], part.column(name).type)
