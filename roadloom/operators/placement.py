@@ -22,6 +22,8 @@ from roadloom.plans.order import ranked
 from roadloom.plans.staging import drop_staged, staged, staged_with
 
 _MAX_ROUNDS = 10_000
+#: Rounds of removal in one written step.
+_ROUNDS_A_STEP = 4
 
 
 @dataclass(frozen=True)
@@ -173,21 +175,36 @@ def random_runs(reach: DataFrame, nodes: DataFrame, k: int, iterations: int, see
 
 def remove_redundant(reach: DataFrame, stations: DataFrame, k: int) -> DataFrame:
     """Without stations all of whose nodes are covered more than k times, until there is none; of redundant stations
-    that share a node, the least id goes first."""
-    reach = staged(reach.select("src", "dst"), "pairs")
+    that share a node, the least id goes first.
+
+    So a station goes if each of its nodes is covered more than k times once the stations of lesser ids that go have
+    gone. That is settled as soon as it holds even if all undecided ones of lesser ids go, or doesn't hold even if none
+    does. ``left``: by how many a node is covered for a station, without lesser ones that went; a written step makes
+    several such rounds, each of which looks at the nodes' stations and the stations' nodes once."""
     now = staged(stations.select("run", "node"), "stations")
+    spot, node = W.partitionBy("run", "spot"), W.partitionBy("run", "node")
+    lesser = spot.orderBy("node").rowsBetween(W.unboundedPreceding, -1)
+    count = lambda c: F.count_if(c).over(lesser)
+    went, open_ = F.coalesce("gone", F.lit(False)), F.col("gone").isNull()
+    rows = now.join(reach.select(F.col("src").alias("node"), F.col("dst").alias("spot")), "node")
+    first = F.col("spot") == F.min("spot").over(node)
+    rows = rows.select("run", "node", "spot", F.count("*").over(spot).alias("left"), first.alias("first"), F.lit(None).cast("boolean").alias("gone"))
+    old, out = None, rows.limit(0)
     for _ in range(_MAX_ROUNDS):
-        cover = staged(_coverage(reach, now), "cover")
-        spots = now.join(reach.select(F.col("src").alias("node"), F.col("dst").alias("spot")), "node")
-        least = spots.join(cover.select("run", F.col("node").alias("spot"), "n"), ["run", "spot"]).groupBy("run", "node").agg(F.min("n").alias("least"))
-        spare = staged(least.where(F.col("least") > k).select("run", "node"), "spare")
-        gone = staged(_leaders(spare, reach, cover, []), "gone")
-        if gone.isEmpty():
-            return now
-        new = staged(now.join(gone, ["run", "node"], "left_anti"), "stations")
-        for old in (cover, spare, gone, now):
+        for _ in range(_ROUNDS_A_STEP):
+            rows = rows.withColumn("most", F.col("left") - count(went)).withColumn("least", F.col("most") - count(open_))
+            goes = F.when(F.min("least").over(node) > k, True).when(F.min("most").over(node) <= k, False)
+            rows = rows.select("run", "node", "spot", "left", "first", F.coalesce("gone", goes).alias("gone"))
+        rows = rows.withColumn("left", F.col("left") - count(went)).where(open_ | (F.col("gone") & F.col("first")))
+        step, seen = staged_with(rows.unionByName(out), "pairs", open=F.count_if(open_))
+        if old is not None:
+            drop_staged(old)
+        rows, out, old = step.where(open_), step.where("gone"), step
+        if not seen["open"]:
+            left = staged(now.join(out.select("run", "node"), ["run", "node"], "left_anti"), "stations")
+            drop_staged(now)
             drop_staged(old)
-        now = new
+            return left
     raise RuntimeError("removal did not settle")
 
 

@@ -224,6 +224,33 @@ def test_swap_frees_a_station(spark):
         assert any(all(cover[n] > 1 for n in at[x]) for x in now)
 
 
+def test_removal_in_few_steps(spark, monkeypatch):
+    """Rounds by which the redundant stations of least ids go, as SQL makes them: many on a grid whose ids follow its
+    rows, but few written steps. What reaches nothing stays."""
+    n, k, rng = 9, 2, random.Random(12)
+    names = {(y, x): f"c{y}{x}" for y in range(n) for x in range(n)}
+    at = {a: {b for q, b in names.items() if abs(q[0] - p[0]) + abs(q[1] - p[1]) <= 2} for p, a in names.items()}
+    table = spark.createDataFrame([(a, b) for a, found in at.items() for b in found], "src string, dst string")
+    runs = {0: set(at), 1: {a for a in at if rng.random() < 0.6}, 2: {"c44"}}
+    want, turns = set(), 0
+    for run, chosen in runs.items():
+        now = set(chosen)
+        for turn in range(n * n):
+            cover = {b: len(at[b] & now) for b in at}
+            spare = [a for a in now if all(cover[b] > k for b in at[a])]
+            gone = {a for a in spare if not any(b < a and at[a] & at[b] for b in spare)}
+            if not gone:
+                break
+            now, turns = now - gone, max(turns, turn + 1)
+        want |= {(run, a) for a in now}
+    assert turns > 8
+    rows = [(run, a) for run, chosen in runs.items() for a in chosen] + [(2, "alone")]
+    monkeypatch.setattr(placement, "_MAX_ROUNDS", 4)
+    got = placement.remove_redundant(table, spark.createDataFrame(rows, "run int, node string"), k)
+    assert {tuple(r) for r in got.collect()} == want | {(2, "alone")}
+    assert placement.remove_redundant(table, spark.createDataFrame([], "run int, node string"), k).count() == 0
+
+
 def test_isolated_and_empty(spark):
     p = placement.place(make(spark, [("a", "b", 50)], ["a", "b", "z"]), PlacementRequest("GREEDY", 2, 100))
     assert {r["node_id"] for r in p.stations.collect()} == {"a", "b", "z"}
