@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from roadloom.llm.batches import add_columns
 from roadloom.llm.text import fresh
 from roadloom.operators.components import connected_components
-from roadloom.plans.staging import staged
+from roadloom.plans.staging import shuffled, staged
 
 BITS = 64
 _BLOCK = 1 << 16
@@ -109,7 +109,7 @@ def _close_groups(bits: DataFrame) -> DataFrame:
     near = F.transform(F.filter(whole, lambda m: b.bitwiseAND(m) != 0), lambda m: b.bitwiseXOR(m))
     keys = bits.select("b", F.explode(F.concat(F.array(b), near)).alias("key"))
     low = keys.groupBy("key").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).where("lo < hi")
-    return keys.join(low, "key").where("b > lo").select(F.col("b").alias("src"), F.col("lo").alias("dst")).distinct()
+    return keys.join(shuffled(low), "key").where("b > lo").select(F.col("b").alias("src"), F.col("lo").alias("dst")).distinct()
 
 
 def link_groups(bits: DataFrame, max_bits: int = 4, segments: int | None = None) -> DataFrame:
@@ -118,14 +118,14 @@ def link_groups(bits: DataFrame, max_bits: int = 4, segments: int | None = None)
 
     Groups that differ by single bits are settled first; then only links between different groups are searched, so
     a dense group emits no pairs. A bucket that holds much is a hot key of a sort-merge join, which adaptive
-    execution splits.
+    execution splits. No side of a join is broadcast, whatever Spark takes its size for.
     """
     bits = staged(bits.select("b").distinct(), "bits")
     segments = segments or segments_for(bits.count(), max_bits)
     if max_bits >= 2:
         first = connected_components(_close_groups(bits)).withColumnRenamed("node", "b")
         first = staged(first, "first")
-        bits = staged(bits.join(first, "b", "left").select("b", F.coalesce("component", "b").alias("g")), "grouped")
+        bits = staged(bits.join(shuffled(first), "b", "left").select("b", F.coalesce("component", "b").alias("g")), "grouped")
     else:
         bits = bits.select("b", F.col("b").alias("g"))
     table, probe = [], []
@@ -138,19 +138,19 @@ def link_groups(bits: DataFrame, max_bits: int = 4, segments: int | None = None)
     tables = bits.select(F.explode(F.concat(*table)).alias("key"), F.col("b").alias("b2"), F.col("g").alias("g2"))
     probes = bits.select(F.explode(F.concat(*probe)).alias("key"), "b", "g")
     near = F.bit_count(F.col("b").bitwiseXOR(F.col("b2"))) <= max_bits
-    hits = probes.join(tables, (probes["key"] == tables["key"]) & (F.col("g") != F.col("g2")) & near)
+    hits = probes.join(shuffled(tables), (probes["key"] == tables["key"]) & (F.col("g") != F.col("g2")) & near)
     links = hits.select(F.least("g", "g2").alias("src"), F.greatest("g", "g2").alias("dst")).distinct()
     merged = staged(connected_components(links), "merged")
-    return bits.join(merged.withColumnRenamed("node", "g"), "g", "left").select("b", F.coalesce("component", "g").alias("group"))
+    return bits.join(shuffled(merged.withColumnRenamed("node", "g")), "g", "left").select("b", F.coalesce("component", "g").alias("group"))
 
 
 def _components(prints: DataFrame, max_bits: int, segments: int | None) -> DataFrame:
     """(b, component_id) of the fingerprints in ``prints`` (doc_id, b)."""
     groups = staged(link_groups(prints, max_bits, segments), "groups")
-    nodes = staged(prints.groupBy("b").agg(F.min("doc_id").alias("low")).join(groups, "b"), "nodes")
+    nodes = staged(prints.groupBy("b").agg(F.min("doc_id").alias("low")).join(shuffled(groups), "b"), "nodes")
     # Written apart, so that the join reads nothing but two exchanges and a large group can be split.
     ids = staged(nodes.groupBy("group").agg(F.min("low").alias("component_id")), "ids")
-    return staged(nodes.join(ids, "group").select("b", "component_id"), "of")
+    return staged(nodes.join(shuffled(ids), "group").select("b", "component_id"), "of")
 
 
 def _prints(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
@@ -167,7 +167,7 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     table: no rows. Other columns are dropped, whatever their names.
     """
     rows = _prints(docs, key, text, words)
-    return rows.join(_components(rows, max_bits, segments), "b").select("doc_id", F.lower(F.lpad(F.hex("b"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(shuffled(_components(rows, max_bits, segments)), "b").select("doc_id", F.lower(F.lpad(F.hex("b"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, max_bits: int = 4, segments: int | None = None, broadcast_keys: int = 1_000_000) -> DataFrame:

@@ -16,6 +16,7 @@ from roadloom.llm import op6_raking as mix
 from roadloom.llm import op7_host_rules as host
 from roadloom.llm import op8_simhash as sim
 from roadloom.llm import op9_hilbert as hil
+from roadloom.operators import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -178,6 +179,33 @@ def test_two_segments_miss_nothing(spark):
     assert len(set(zip(got.values(), (want[v] for v in got), strict=True))) == len(set(want.values())) == len(set(got.values()))
 
 
+def plans_of(monkeypatch, *modules):
+    """The physical plans of all tables that the modules stage from now on."""
+    plans = []
+    for m in modules:
+        for name in ("staged", "staged_with"):
+            if hasattr(m, name):
+                def stage(df, *a, f=getattr(m, name), **b):
+                    plans.append(df._jdf.queryExecution().executedPlan().toString())
+                    return f(df, *a, **b)
+
+                monkeypatch.setattr(m, name, stage)
+    return plans
+
+
+def test_exploded_fingerprints_are_not_broadcast(spark, odd, monkeypatch):
+    """Spark takes the keys of a fingerprint's balls for as few as fingerprints, far below what it broadcasts."""
+    monkeypatch.setattr(components, "MOST_BROADCAST", 0)
+    plans = plans_of(monkeypatch, sim, components)
+    bits = spark.range(2000).select((F.col("id") * 7919).alias("b"))
+    last = sim.link_groups(bits)
+    plans.append(last._jdf.queryExecution().executedPlan().toString())
+    rows = sim.simhash_groups(odd)
+    plans.append(rows._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) >= 8
+    assert not any("BroadcastExchange" in p for p in plans)
+
+
 def test_simhash_rows(spark, odd, none):
     rows = sim.simhash_groups(odd.withColumn("component_id", F.lit("x"))).collect()
     prints = [simhash(r["text"]) for r in odd.collect()]
