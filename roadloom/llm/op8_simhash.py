@@ -183,14 +183,14 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
     k = F.col(f"`{key}`")
     rows = _prints(docs, key, text, words)
     of = _components(rows, max_bits, segments)
-    per = rows.where("doc_id is not null").join(of, "b").groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    per = rows.where("doc_id is not null").join(shuffled(of), "b").groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
     per = staged(per, "per-key")
     [g] = fresh(docs, "_key")
 
     def keys(which: str) -> tuple[DataFrame, int]:
         some = per.where(which).select(F.col("doc_id").alias(g))
         n = some.count()
-        return (F.broadcast(some) if n <= broadcast_keys else some), n
+        return (F.broadcast(some) if n <= broadcast_keys else shuffled(some)), n
 
     (gone, _), (again, repeated) = keys("not stays or n > 1"), keys("stays and n > 1")
     once = docs.join(gone, k == F.col(g), "left_anti")
@@ -199,7 +199,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
     rest = docs.join(again, k == F.col(g), "left_semi")
     # The repeated keys' rows alone are measured again, so that each is known by its own text.
     packed = rest.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), k.alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    packed = with_fingerprints(packed, out="b", words=words).join(of, "b").where("doc_id = component_id")
+    packed = with_fingerprints(packed, out="b", words=words).join(shuffled(of), "b").where("doc_id = component_id")
     first = packed.groupBy("doc_id").agg(F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row"))
     return once.unionByName(first.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)]))
 

@@ -206,6 +206,15 @@ def test_exploded_fingerprints_are_not_broadcast(spark, odd, monkeypatch):
     assert not any("BroadcastExchange" in p for p in plans)
 
 
+def test_keys_beyond_the_limit_are_not_broadcast(spark, odd, monkeypatch):
+    plans = plans_of(monkeypatch, sim)
+    for limit, n in ((-1, 0), (1_000_000, 2)):
+        plans[:] = []
+        rows = sim.keep_one(odd, broadcast_keys=limit)
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        assert sum(p.count("BroadcastExchange") for p in plans) == n
+
+
 def test_simhash_rows(spark, odd, none):
     rows = sim.simhash_groups(odd.withColumn("component_id", F.lit("x"))).collect()
     prints = [simhash(r["text"]) for r in odd.collect()]
