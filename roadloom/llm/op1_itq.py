@@ -4,7 +4,8 @@ A rotation is learnt for balanced binary codes (Gong and Lazebnik, 2011). Codes
 each; a vector asks each table for its own segment and for what it becomes when bits flip that lie near the border
 between 0 and 1, codes are compared by how far their differing bits lie from it, and what is left is reranked by the
 cosine of the original vectors. No pair at the threshold is missed (:func:`near_candidates`), so results don't follow
-from the layout; large labels get wider segments, so that buckets stay small.
+from the layout. Tables fetch a share of all pairs of a label; where that would be too many, labels are compared by blocks
+instead (:func:`block_candidates`), and what passes is reranked just so.
 """
 
 from __future__ import annotations
@@ -23,13 +24,18 @@ from pyspark.sql import types as T
 from roadloom.llm.batches import add_columns, bound_batches
 from roadloom.llm.op8_simhash import _cleared, _segment
 from roadloom.operators.components import connected_components
-from roadloom.plans.staging import staged
+from roadloom.plans.staging import shuffled, staged
 
 
 #: Where a segment's number stands in a key; steps of margins.
 TAG, STEPS = 57, 8
 #: (words, segments of each) of the search by Hamming balls at any size, as what it finds follows from them.
 BALLS = (1, 6)
+#: The largest label that tables search: what they fetch grows with its square and is reranked with both vectors each, so
+#: larger ones are compared by blocks of so many vectors, at least (but in eight blocks at most) and at most.
+MOST_IN_TABLES, BLOCK = 4096, (2048, 32768)
+#: Rows of a block that are compared at a time.
+_ROWS = 512
 
 
 @dataclass(frozen=True)
@@ -249,6 +255,45 @@ def candidates(classes: DataFrame, policy: ItqPolicy, layout: tuple[int, int] =
     return hits.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def block_candidates(classes: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b, distinct: representatives of one label and length whose vectors, in single precision, have this
+    cosine but for rounding. ``vectors``: rep, embedding.
+
+    A label is dealt out to blocks by a hash, and each two blocks meet in a task, which multiplies their matrices by
+    parts. So a vector is sent once for each block of its label, and of what is compared only pairs that pass are
+    written; a task holds two blocks."""
+
+    def make(column: pa.Array) -> list[pa.Array]:
+        sizes = pa.compute.list_value_length(column).to_pylist()
+        units = unit_rows(column, max(sizes, default=1))[0].astype("<f4")
+        return [pa.array([u[:n].tobytes() for u, n in zip(units, sizes, strict=True)], pa.binary())]
+
+    def run(table: pa.Table) -> pa.Table:
+        reps = table["rep"].to_numpy()
+        units = np.frombuffer(b"".join(table["embedding"].to_pylist()), "<f4").reshape(len(reps), -1)
+        left, one = table["left"].to_numpy(), table["i"][0] == table["j"][0]
+        at, to = (np.arange(len(reps)),) * 2 if one else (np.flatnonzero(left), np.flatnonzero(~left))
+        # Each of the products and sums may round by a part in 2 ** 24.
+        least, other, pairs = threshold - 4 * (units.shape[1] + 4) * 2.0**-24, np.ascontiguousarray(units[to].T), [np.zeros((2, 0), np.int64)]
+        for k in range(0, len(at), _ROWS):
+            x, y = np.nonzero(units[at[k : k + _ROWS]] @ other >= least)
+            x, y = at[k + x], to[y]
+            ok = x < y if one else slice(None)
+            pairs.append(np.sort(np.stack([reps[x[ok]], reps[y[ok]]]), axis=0))
+        a, b = np.concatenate(pairs, axis=1)
+        return pa.table({"a": a, "b": b})
+
+    n = F.col("n")
+    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).where("n > 1")
+    blocks = F.greatest(F.ceil(n / BLOCK[1]), F.least(F.lit(8), F.ceil(n / BLOCK[0])))
+    sizes = sizes.select("label", "dim", blocks.alias("blocks"))
+    units = add_columns(vectors.select("rep", "embedding"), "embedding", [T.StructField("embedding", T.BinaryType())], make, arrow=True)
+    rows = classes.select("label", "dim", "rep").join(sizes, ["label", "dim"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    rows = rows.join(shuffled(units), "rep").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("label", "dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), "rep", "embedding")
+    return rows.groupBy("label", "dim", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def rerank(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose original vectors have at least this cosine, in double precision."""
     va, vb = (vectors.select(F.col("rep").alias(k), F.col("embedding").alias(f"v{k}")) for k in "ab")
@@ -281,20 +326,26 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", label: str = "label
     non-finite components link with nothing, nor do rows without a label or id: no links, their own component, kept.
     Vectors of equal direction are one class, whose members link with one another; classes are compared once, and a
     link between classes counts for each member of the other. Repeated rows are members like others. Empty table:
-    no rows. Other columns are dropped.
+    no rows. Other columns are dropped. With complete search, labels of more than :data:`MOST_IN_TABLES` vectors make all
+    be compared by blocks (:func:`block_candidates`), which misses no link either; a named layout keeps the tables.
     """
     kind = [F.col(f"`{key}`").cast("long").alias("vec_id"), F.col(f"`{label}`").alias("label"), F.col(f"`{embedding}`").alias("embedding")]
     vectors = vectors.select(*kind)
     largest = vectors.where("label is not null").groupBy("label").count().agg(F.max("count")).first()[0] or 0
     layout = policy.layout or (layout_for(largest) if policy.complete else BALLS)
-    rows = staged(with_codes(vectors, policy, 1, layout[1]) if policy.complete else with_codes(vectors, policy, layout[0]), "codes")
+    by_blocks = policy.complete and policy.layout is None and largest > MOST_IN_TABLES
+    rows = staged(with_codes(vectors, policy, 1, 0 if by_blocks else layout[1]) if policy.complete else with_codes(vectors, policy, layout[0]), "codes")
     group = ["label", "dim", "digest"]
     sound = rows.where("label is not null and digest is not null and vec_id is not null")
     heads = sound.groupBy(*group).agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), *[F.first(c).alias(c) for c in ("codes", "probes", "far") if c in rows.columns])
     heads = staged(heads, "classes")
     firsts = sound.join(heads.select(*group, "rep"), group).where("vec_id = rep").groupBy("rep").agg(F.first("embedding").alias("embedding"))
-    pairs = near_candidates(heads, layout[1]) if policy.complete else candidates(heads, policy, layout)
-    links = staged(rerank(pairs, staged(firsts, "heads"), policy.threshold), "links")
+    firsts = staged(firsts, "heads")
+    if by_blocks:
+        pairs = staged(block_candidates(heads, firsts, policy.threshold), "pairs")
+    else:
+        pairs = near_candidates(heads, layout[1]) if policy.complete else candidates(heads, policy, layout)
+    links = staged(rerank(pairs, firsts, policy.threshold), "links")
     sizes = heads.select("rep", "size")
     ends = links.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("rep"), F.col("a").alias("other")))
     counts = ends.join(sizes.select(F.col("rep").alias("other"), "size"), "other").groupBy("rep").agg(F.sum("size").alias("outside"))

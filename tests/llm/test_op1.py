@@ -164,3 +164,45 @@ def test_size_decides_no_result_of_hamming_balls(spark, monkeypatch):
         monkeypatch.setattr(op1_itq, "layout_for", lambda n, x=layout: x)
         got.append({r["vec_id"] for r in near_duplicates(df, policy=ItqPolicy(threshold=0.85, complete=False)).where("n_links > 0").collect()})
     assert got[0] == got[1]
+
+
+def test_blocks_find_what_tables_find(spark, monkeypatch):
+    """Large labels are compared by blocks: all links are found, within blocks and between, and nothing else is written."""
+    from roadloom.llm import op1_itq
+
+    rows = make_rows()
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    written = {}
+    stage = op1_itq.staged
+
+    def staged(table, name="step"):
+        out = written[name] = stage(table, name)
+        return out
+
+    monkeypatch.setattr(op1_itq, "staged", staged)
+    monkeypatch.setattr(op1_itq, "_ROWS", 5)
+    for most, block in ((0, (7, 20)), (0, (1000, 1000)), (1 << 30, (7, 20))):
+        monkeypatch.setattr(op1_itq, "MOST_IN_TABLES", most)
+        monkeypatch.setattr(op1_itq, "BLOCK", block)
+        written.clear()
+        assert sorted((tuple(r) for r in near_duplicates(df).collect()), key=repr) == plain(rows)
+        assert ("pairs" in written) == (most == 0)
+        if most == 0:
+            assert sorted(map(tuple, written["pairs"].collect())) == sorted(map(tuple, written["links"].collect()))
+            assert "probes" not in written["codes"].columns
+
+
+def test_pairs_at_the_threshold_are_found_by_blocks(spark, monkeypatch):
+    from roadloom.llm import op1_itq
+
+    monkeypatch.setattr(op1_itq, "MOST_IN_TABLES", 0)
+    rng, rows = np.random.default_rng(22), []
+    for i in range(200):
+        size = (64, 20)[i % 2]
+        a, b = rng.normal(size=size), rng.normal(size=size)
+        a /= np.linalg.norm(a)
+        b -= a * (a @ b)
+        c = 0.93 + (1e-12 if i % 5 else -1e-12)
+        rows += [(2 * i, i % 3, a.tolist()), (2 * i + 1, i % 3, (c * a + (1 - c * c) ** 0.5 * b / np.linalg.norm(b)).tolist())]
+    got = near_duplicates(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).where("n_links > 0")
+    assert sorted(r["vec_id"] for r in got.collect()) == sorted(2 * i + j for i in range(200) if i % 5 for j in (0, 1))
